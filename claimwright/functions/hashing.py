@@ -18,3 +18,8 @@ def key_hash(key: Column) -> Column:
 
 def fold_of(key: Column, folds: int = 5) -> Column:
     return (key_hash(key) % folds).cast("int")
+
+
+def inner_fold_of(key: Column, folds: int = 5) -> Column:
+    """A second, independent fold number, for folds inside a training split."""
+    return (F.floor(key_hash(key) / folds) % folds).cast("int")

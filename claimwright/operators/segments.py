@@ -138,6 +138,10 @@ def segment_composite(
     return _finish(counts.withColumn("segment", label), columns, min_size, True)
 
 
-def segment_residual(df: DataFrame, segmented: DataFrame, key: str) -> DataFrame:
-    """Rows that are in no segment."""
-    return df.join(segmented.select(key), key, "left_anti")
+def segment_residual(df: DataFrame, dictionary: SegmentDictionary) -> DataFrame:
+    """Rows that are in no segment of their own: an anti-join against the dictionary's
+    combinations, not against the segmented rows, so the table is not shuffled by key."""
+    own = dictionary.table.where(
+        F.col("segment").isNotNull() & (F.col("segment") != F.lit(dictionary.fallback or LEFTOVER))
+    )
+    return df.join(own.select(*dictionary.columns), dictionary.columns, "left_anti")

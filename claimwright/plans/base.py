@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.functions.hashing import fold_of
+from claimwright.functions.hashing import fold_of, inner_fold_of
 from claimwright.operators.clean import constant_impute, fit_medians, impute, quantile_trim
 from claimwright.operators.features import engineered
 from claimwright.operators.segments import SegmentDictionary, segment_hierarchical
@@ -31,6 +31,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "y": F.col(TARGET),
             "fold": fold_of(F.col(KEY)),
+            "inner_fold": inner_fold_of(F.col(KEY)),
             "split": holdout(F.col(KEY)),
         }
     )

@@ -69,7 +69,8 @@ totals AS (SELECT *, special_care + special_earnings + special_medical AS total_
   CASE WHEN regexp_matches(lower(injury_description), 'severe|major|critical') THEN 1 ELSE 0 END AS severe_injury,
   CASE WHEN whiplash = 'Yes' THEN 1 ELSE 0 END AS whiplash_flag,
   CASE WHEN minor_psychological_injury = 'Yes' THEN 1 ELSE 0 END AS psych_flag,
-  (claim_id * 2654435761) % 4294967296 % 5 AS fold FROM imputed),
+  (claim_id * 2654435761) % 4294967296 % 5 AS fold,
+  (claim_id * 2654435761) % 4294967296 // 5 % 5 AS inner_fold FROM imputed),
 base AS (SELECT *, total_special + total_general AS total_damages,
   total_special / CASE WHEN total_general = 0 THEN 1 ELSE total_general END AS special_general_ratio,
   CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split FROM totals)"""
