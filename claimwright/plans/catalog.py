@@ -6,7 +6,7 @@ import importlib
 
 from claimwright.plans.registry import ORACLES, QUERIES
 
-for _module in ("cleaning", "features", "segments", "linear_models", "evaluation"):
+for _module in ("cleaning", "features", "segments", "linear_models", "evaluation", "explain"):
     importlib.import_module(f"claimwright.plans.{_module}")
 
 
