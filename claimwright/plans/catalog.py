@@ -6,7 +6,9 @@ import importlib
 
 from claimwright.plans.registry import ORACLES, QUERIES
 
-for _module in ("cleaning", "features", "segments", "linear_models", "evaluation", "explain"):
+for _module in (
+    "cleaning", "features", "segments", "linear_models", "evaluation", "explain", "tree_models", "streams",
+):
     importlib.import_module(f"claimwright.plans.{_module}")
 
 

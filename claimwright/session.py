@@ -58,8 +58,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; with ``by`` in one
+    folder per value of that column, so that a filter on it reads only its own files.
 
     This cuts the lineage (a lost executor re-reads files instead of recomputing joins),
     keeps column pruning and filter pushdown for the next steps, and gives Catalyst the
@@ -68,5 +69,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     and a large one falls back to a sort-merge join with skew handling.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if by:
+        # Rebalancing brings a value's rows together and still splits a hot value.
+        df = df.hint("rebalance", by)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Even out the rows over all cores before an iterative fit; by key hash, so a retried
+    task gets the same rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
