@@ -132,12 +132,12 @@ def meta_features_wide(
 
 def tree_out_of_fold(
     train: DataFrame,
-    test: DataFrame,
+    test: DataFrame | None,
     features: Sequence[str],
     bases: Mapping[str, object],
     fold: str,
     folds: int = 5,
-) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
+) -> tuple[DataFrame, DataFrame | None, dict[str, PipelineModel]]:
     """Out-of-fold ``pred_<base>`` columns on ``train`` and full-fit ones on ``test``.
 
     Each of the (folds + 1) fits per base is a distributed job. The result is written once
@@ -158,4 +158,5 @@ def tree_out_of_fold(
     for part in parts[1:]:
         inside = inside.unionByName(part)
     full = {n: fit_on(train, features, e) for n, e in bases.items()}
-    return settle(inside, "stack-train"), settle(scored(test, full), "stack-test"), full
+    outside = settle(scored(test, full), "stack-test") if test is not None else None
+    return settle(inside, "stack-train"), outside, full

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimwright.session import settle
@@ -84,6 +85,21 @@ def importance_table(models: DataFrame, segment: str, features: Sequence[str]) -
     )
 
 
+def selected_features(
+    models: DataFrame, segment: str, features: Sequence[str], least: int = 3
+) -> DataFrame:
+    """Features at or above the segment's mean importance; the top ``least`` if fewer are."""
+    table = importance_table(models, segment, features)
+    per_segment = W.partitionBy(segment)  # one row per feature
+    order = per_segment.orderBy(F.round("importance", SCORE_DIGITS).desc(), "feature")
+    high = F.col("importance") >= F.avg("importance").over(per_segment)
+    marked = table.withColumn("high", high).withColumns(
+        {"place": F.row_number().over(order), "n_high": F.count_if("high").over(per_segment)}
+    )
+    chosen = F.when(F.col("n_high") >= least, F.col("high")).otherwise(F.col("place") <= least)
+    return marked.where(chosen).select(segment, "feature", "importance")
+
+
 def ranked_features(models: DataFrame, segment: str, features: Sequence[str], top: int) -> DataFrame:
     """Per segment an array ``ranked`` of (feature, importance, mean), most important first."""
     items = F.transform(

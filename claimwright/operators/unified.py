@@ -27,8 +27,8 @@ from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators.clean import constant_impute, finite_target, fit_medians, impute
 from claimwright.operators.features import engineered
-from claimwright.operators.linear import ALL_FOLDS, LinearModels, fit_linear
-from claimwright.operators.metrics import regression_metrics
+from claimwright.operators.linear import LinearModels, fit_linear
+from claimwright.operators.metrics import regression_metrics, weighted_metrics
 from claimwright.operators.segments import SegmentDictionary, segment_composite
 from claimwright.session import settle, spread
 from claimwright.sources.claims import CATEGORICAL, KEY, NUMERIC, TARGET
@@ -68,6 +68,27 @@ def boosted_per_segment(
     return dict(zip(names, fits))
 
 
+def boosted_segmentation(
+    df: DataFrame, dictionary: SegmentDictionary, features: Sequence[str], estimator
+) -> DataFrame:
+    """Size-weighted test metrics of one booster per segment. ``df`` has ``y`` and ``split``."""
+    rows = settle(
+        dictionary.split(df).select("segment", "split", "y", *features), "search-files", by="segment"
+    )
+    fitted = boosted_per_segment(rows.where("split = 'train'"), features, estimator)
+    parts = [
+        model.transform(rows.where((F.col("segment") == name) & (F.col("split") == "test"))).select(
+            "segment", "y", "prediction"
+        )
+        for name, model in fitted.items()
+    ]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    sizes = dictionary.sizes().withColumnRenamed("n", "n_total")
+    return weighted_metrics(regression_metrics(scored, ["segment"]).join(sizes, "segment"), "n_total")
+
+
 @dataclass
 class UnifiedSegmentedModel:
     segmentation: list[str] = field(default_factory=lambda: ["exceptional_circumstances", "accident_type"])
@@ -114,7 +135,7 @@ class UnifiedSegmentedModel:
             "rf": mo.random_forest(self.trees, 8),
         }
         inside, _, full = en.tree_out_of_fold(
-            meta_rows, meta_rows.limit(0), META, bases, "fold", self.folds
+            meta_rows, None, META, bases, "fold", self.folds
         )
         names_in = [f"pred_{b}" for b in bases]
         final = mo.elastic_net(0.001, 0.5, mo.target_deviation(inside, "y")[1])

@@ -128,6 +128,22 @@ def segment_profile(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    "feature_select_mean",
+    on_segments(
+        """SELECT segment, feature, round(imp, 6) AS importance FROM (
+          SELECT *, count(CASE WHEN high THEN 1 END) OVER (PARTITION BY segment) AS n_high FROM (
+            SELECT segment, feature, imp, rk, imp >= avg(imp) OVER (PARTITION BY segment) AS high FROM fit))
+        WHERE CASE WHEN n_high >= 3 THEN high ELSE rk <= 3 END""",
+        _FIT,
+    ),
+)
+def feature_select_mean(spark, sf_dir) -> DataFrame:
+    _, models = explained(spark, sf_dir)
+    chosen = ex.selected_features(models, "segment", FEATURES)
+    return _show(chosen).withColumn("importance", rounded(F.col("importance"), 6))
+
+
 @query(
     "record_vs_segment",
     on_segments(

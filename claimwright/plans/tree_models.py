@@ -19,15 +19,21 @@ from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators import rbf
 from claimwright.operators import trees as tr
+from claimwright.operators.clean import finite_target
+from claimwright.operators.linear import fit_linear
 from claimwright.operators.metrics import improvement_pct, regression_metrics
 from claimwright.operators.neighbours import distance_weighted, nearest
-from claimwright.operators.unified import UnifiedSegmentedModel, boosted_per_segment
-from claimwright.plans.base import base, hierarchy, written_claims
-from claimwright.plans.linear_models import shown_metrics
+from claimwright.operators.segments import segment_single
+from claimwright.operators.split import holdout
+from claimwright.operators.unified import (
+    UnifiedSegmentedModel,
+    boosted_per_segment,
+    boosted_segmentation,
+)
+from claimwright.plans.base import base, written_claims
+from claimwright.plans.linear_models import SEGMENTS, shown_metrics
 from claimwright.plans.registry import query
 from claimwright.plans.sql import on_base
-from claimwright.operators.clean import drop_missing_target, finite_target
-from claimwright.operators.split import holdout
 from claimwright.session import settle, shared_path, spread
 from claimwright.sources.claims import CATEGORICAL, KEY, NUMERIC, TARGET
 from claimwright.sources.tables import load_model, save_model
@@ -140,8 +146,12 @@ def default_vs_tuned(spark, sf_dir) -> DataFrame:
     default = mo.test_metrics(mo.fit_on(train, FEATURES, mo.boosted_trees(TREES)), test, "default")
     tuned = mo.boosted_trees(TREES, rate=0.1, depth=5, subsample=0.8)
     second = mo.test_metrics(mo.fit_on(train, FEATURES, tuned), test, "tuned")
-    pair = default.select(*[F.col(c).alias(f"default_{c}") for c in ("rmse", "mae", "r2")]).join(
-        second.select(*[F.col(c).alias(f"tuned_{c}") for c in ("rmse", "mae", "r2")]), F.lit(True)
+    pair = default.unionByName(second).agg(
+        *[
+            F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}")
+            for m in ("default", "tuned")
+            for c in ("rmse", "mae", "r2")
+        ]
     )
     return pair.withColumns(
         {
@@ -249,12 +259,28 @@ def segment_prediction_boosted(spark, sf_dir) -> DataFrame:
     return _rows([mo.test_metrics(model, outside, "segment_prediction")])
 
 
+@query("segmentation_search_boosted")
+def segmentation_search_boosted(spark, sf_dir) -> DataFrame:
+    """Every text column as a segmentation with one booster per segment, best first."""
+    frame = model_frame(spark, sf_dir)
+    parts = [
+        boosted_segmentation(frame, segment_single(frame, c), FEATURES, mo.boosted_trees(3, 0.1, 5))
+        .withColumn("candidate", F.lit(c))
+        for c in CATEGORICAL
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.select(
+        "candidate",
+        *[rounded(F.col(c), 6 if c == "r2" else 4).alias(c) for c in ("rmse", "mae", "r2")],
+        "n_total",
+    ).orderBy(F.col("r2").desc_nulls_last(), "candidate")
+
+
 @query("stacked_segment_model")
 def stacked_segment_model(spark, sf_dir) -> DataFrame:
     """Booster on wide meta-features (own and all segment predictions) and the numbers."""
-    from claimwright.operators.linear import fit_linear
-    from claimwright.plans.linear_models import SEGMENTS
-
     frame = model_frame(spark, sf_dir)
     train = frame.where("split = 'train'").withColumn("fold", F.col("inner_fold"))
     models = fit_linear(train, ["total_special", "total_general"], "y", ["exceptional_circumstances"], "fold")
