@@ -32,30 +32,53 @@ def kind_of(feature: str) -> str:
 
 
 def fit_segment_models(train: DataFrame, segment: str, features: Sequence[str], target: str) -> DataFrame:
-    """Per segment: size, mean target, and per feature the slope, intercept, mean and
-    importance (absolute correlation, scaled to sum 1). One aggregation."""
+    """Per segment: size, mean target, and per feature the slope, mean and importance
+    (absolute correlation, scaled to sum 1), as arrays in feature order.
+
+    The features are exploded into rows before the aggregation: map-side combining makes
+    that cheap, while one aggregation over all feature columns at once would generate a
+    method too large for the JVM to compile.
+    """
     count = float(len(features))
-    flat = [F.coalesce(F.regr_slope(target, c), F.lit(0.0)) for c in features]
-    start = [F.coalesce(F.regr_intercept(target, c), F.avg(target)) for c in features]
-    strength = [F.coalesce(F.abs(F.corr(c, target)), F.lit(0.0)) for c in features]
-    fitted = train.groupBy(segment).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(target).alias("mean_y"),
-        F.array(*flat).alias("slopes"),
-        (sum(start) / count).alias("intercept"),
-        F.array(*strength).alias("strengths"),
-        F.array(*[F.avg(c) for c in features]).alias("means"),
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))
+            for i, c in enumerate(features)
+        ]
+    )
+    moments = (
+        train.select(segment, F.col(target).alias("y"), F.explode(cells).alias("c"))
+        .groupBy(segment, F.col("c.i").alias("i"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("y").alias("my"),
+            F.avg("c.x").alias("mx"),
+            F.var_pop("c.x").alias("vx"),
+            F.var_pop("y").alias("vy"),
+            F.covar_pop("c.x", "y").alias("vxy"),
+        )
     )
-    total = F.aggregate("strengths", F.lit(0.0), lambda a, x: a + x)
+    slope = F.when(F.col("vx") > 0, F.col("vxy") / F.when(F.col("vx") > 0, F.col("vx"))).otherwise(0.0)
+    spread = F.sqrt(F.col("vx") * F.col("vy"))
+    strength = F.when(spread > 0, F.abs(F.col("vxy")) / F.when(spread > 0, spread)).otherwise(0.0)
+    item = F.struct("i", slope.alias("b"), strength.alias("s"), F.col("mx").alias("m"))
+    ordered = moments.groupBy(segment).agg(
+        F.first("n").alias("n"),
+        F.first("my").alias("mean_y"),
+        F.sort_array(F.collect_list(item)).alias("f"),
+    )
+    total = F.aggregate("f", F.lit(0.0), lambda a, z: a + z["s"])
+    explained = F.aggregate("f", F.lit(0.0), lambda a, z: a + z["b"] * z["m"])
     return settle(
-        fitted.withColumns(
-            {
-                "slopes": F.transform("slopes", lambda b: b / count),
-                "importances": F.transform(
-                    "strengths", lambda s: s / F.when(total > 0, total).otherwise(1.0)
-                ),
-            }
-        ).drop("strengths"),
+        ordered.select(
+            segment,
+            "n",
+            "mean_y",
+            F.transform("f", lambda z: z["b"] / count).alias("slopes"),
+            (F.col("mean_y") - explained / count).alias("intercept"),
+            F.transform("f", lambda z: z["s"] / F.when(total > 0, total).otherwise(1.0)).alias("importances"),
+            F.transform("f", lambda z: z["m"]).alias("means"),
+        ),
         "segment-models",
     )
 
@@ -136,72 +159,86 @@ def contribution_shares(models: DataFrame, least: float = 0.01) -> DataFrame:
     )
 
 
-def perturbations(value: Column) -> tuple[Column, Column]:
-    """Low and high test value: half and one and a half times the value, or 100 either side
-    when these are closer than 1."""
-    zero = value == 0
-    low = F.greatest(F.lit(0.1), F.when(zero, 100.0).otherwise(value * 0.5))
-    high = F.when(zero, 1000.0).otherwise(value * 1.5)
-    close = F.abs(high - low) < 1.0
-    return (
-        F.when(close, F.greatest(F.lit(0.0), value - 100)).otherwise(low),
-        F.when(close, value + 100).otherwise(high),
+def test_width(value: Column) -> Column:
+    """Distance between the two test values of a feature: half and one and a half times the
+    value (100 and 1000 for zero), or 100 either side when these are closer than 1."""
+    usual = F.when(value == 0, F.lit(900.0)).otherwise(value * 1.5 - F.greatest(F.lit(0.1), value * 0.5))
+    return F.when(F.abs(usual) < 1.0, value + 100 - F.greatest(F.lit(0.0), value - 100)).otherwise(usual)
+
+
+def impact(value: Column, always: Column, slope: Column, importance: Column, prediction: Column):
+    """Whether a perturbation moves the prediction by more than 1 or by more than 0.5 %,
+    by how much, by which share, and the score. A value near zero counts only if ``always``."""
+    change = F.abs(slope * test_width(value))
+    share = F.when(prediction > 0, change / F.when(prediction > 0, prediction)).otherwise(0.0)
+    moved = (always | (F.abs(value) >= 0.1)) & ((change > 1.0) | (share > 0.005))
+    return moved, change, share, share * 0.7 + importance * 0.3
+
+
+def screened(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Rows ``(key, feature, kind, change, share, score)`` of the features that matter.
+    ``df`` holds the records, their segment's arrays and ``prediction``."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.lit(kind_of(c)).alias("kind"),
+            F.lit(c.startswith("total_")).alias("always"),
+            F.col(c).cast("double").alias("value"),
+            F.col("slopes")[i].alias("slope"),
+            F.col("importances")[i].alias("importance"),
+        )
+        for i, c in enumerate(features)
+    ]
+    long = df.select(key, "prediction", F.explode(F.array(*cells)).alias("c")).select(
+        key, "prediction", "c.*"
     )
-
-
-def screened(features: Sequence[str], prediction: Column) -> Column:
-    """Array of the features whose perturbation moves the prediction by more than 1 or by
-    more than 0.5 %, with their score, best first. A value near zero is tested only if it
-    is a total."""
-    facts = F.arrays_zip(
-        names_of(features).alias("feature"),
-        F.array(*[F.lit(kind_of(c)) for c in features]).alias("kind"),
-        F.array(*[F.lit(c.startswith("total_")) for c in features]).alias("always"),
-        values_of(features).alias("value"),
-        F.col("slopes").alias("slope"),
-        F.col("importances").alias("importance"),
+    moved, change, share, score = impact(
+        *[F.col(c) for c in ("value", "always", "slope", "importance", "prediction")]
+    )
+    return long.where(moved).select(
+        key, "feature", "kind", change.alias("change"), share.alias("share"), score.alias("score")
     )
-    tested = F.filter(facts, lambda z: z["always"] | (F.abs(z["value"]) >= 0.1))
-
-    def with_change(z: Column) -> Column:
-        low, high = perturbations(z["value"])
-        return F.struct(
-            z["feature"].alias("feature"),
-            z["kind"].alias("kind"),
-            z["importance"].alias("importance"),
-            F.abs(z["slope"] * (high - low)).alias("change"),
-        )
 
-    def with_share(z: Column) -> Column:
-        share = F.when(prediction > 0, z["change"] / F.when(prediction > 0, prediction)).otherwise(0.0)
-        return F.struct(
-            *[z[c].alias(c) for c in ("feature", "kind", "importance", "change")], share.alias("share")
-        )
 
-    def with_score(z: Column) -> Column:
-        score = z["share"] * 0.7 + z["importance"] * 0.3
-        return F.struct(
-            (-F.round(score, SCORE_DIGITS)).alias("order"),
-            z["feature"].alias("feature"),
-            z["kind"].alias("kind"),
-            z["change"].alias("change"),
-            z["share"].alias("share"),
-            score.alias("score"),
+def diverse(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Per record the features to show: first the quota of every kind, then the best of the
+    rest, five in all, as ``(key, feature, kind, place)``.
+
+    A record's scores stay in its row as one sorted array per kind, so nothing is shuffled;
+    the kind of a feature is known beforehand.
+    """
+    by_name = sorted(features)
+    scores, items = {}, {}
+    for i, c in enumerate(features):
+        moved, _, _, score = impact(
+            F.col(c).cast("double"), F.lit(c.startswith("total_")),
+            F.col("slopes")[i], F.col("importances")[i], F.col("prediction"),
+        )
+        scores[f"score_{i}"] = F.when(moved, F.round(score, SCORE_DIGITS))
+        # Sorted downwards: higher scores first, equal ones by name, features left out last.
+        items[c] = F.when(
+            F.col(f"score_{i}").isNotNull(),
+            F.struct(
+                F.col(f"score_{i}").alias("score"),
+                F.lit(-by_name.index(c)).alias("name_order"),
+                F.lit(c).alias("feature"),
+                F.lit(kind_of(c)).alias("kind"),
+            ),
         )
-
-    shares = F.transform(F.transform(tested, with_change), with_share)
-    moved = F.filter(shares, lambda z: (z["change"] > 1.0) | (z["share"] > 0.005))
-    return F.array_sort(F.transform(moved, with_score))
-
-
-def _first_of_kind(ranked: Column, kind: str, count: int) -> Column:
-    return F.slice(F.filter(ranked, lambda x: x["kind"] == kind), 1, count)
-
-
-def diverse(ranked: Column) -> Column:
-    """First the quota of every kind, then the best of the rest, five in all."""
-    picked = F.concat(*[_first_of_kind(ranked, kind, count) for kind, count in QUOTA.items()])
-    return F.slice(F.concat(picked, F.array_except(ranked, picked)), 1, REPORT_SIZE)
+    ranked = {
+        kind: F.slice(F.sort_array(F.array(*[items[c] for c in features if kind_of(c) == kind]), False), 1, count)
+        for kind, count in QUOTA.items()
+        if any(kind_of(c) == kind for c in features)
+    }
+    best = F.sort_array(F.array(*items.values()), False)
+    chosen = F.array_distinct(F.concat(*ranked.values(), best))
+    shown = F.slice(F.array_compact(chosen), 1, REPORT_SIZE)
+    return (
+        df.select(key, "prediction", "slopes", "importances", *features)
+        .withColumns(scores)
+        .select(key, F.posexplode(shown).alias("at", "s"))
+        .select(key, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place"))
+    )
 
 
 def curve_range(value: Column, p10: Column, p90: Column, largest: Column) -> tuple[Column, Column]:

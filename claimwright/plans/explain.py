@@ -219,12 +219,11 @@ _SCREEN = f"""tst AS (SELECT claim_id, feature, x, b, imp, prediction,
     FROM shr WHERE change > 1.0 OR share > 0.005)"""
 
 
-def _screened(spark, sf_dir) -> DataFrame:
+def _with_models(spark, sf_dir) -> DataFrame:
     rows, models = explained(spark, sf_dir)
-    scored = rows.join(models.drop("means"), "segment").withColumn(
+    return rows.join(models.drop("means"), "segment").withColumn(
         "prediction", ex.predicted(FEATURES)
     )
-    return scored.select(KEY, ex.screened(FEATURES, F.col("prediction")).alias("screened"))
 
 
 @query(
@@ -236,14 +235,14 @@ def _screened(spark, sf_dir) -> DataFrame:
     ),
 )
 def sensitivity_screen(spark, sf_dir) -> DataFrame:
-    found = _screened(spark, sf_dir).select(KEY, F.explode("screened").alias("s"))
+    found = ex.screened(_with_models(spark, sf_dir), KEY, FEATURES)
     return found.select(
         KEY,
-        "s.feature",
-        "s.kind",
-        rounded(F.col("s.change")).alias("change"),
-        rounded(F.col("s.share"), 6).alias("share"),
-        rounded(F.col("s.score"), 6).alias("score"),
+        "feature",
+        "kind",
+        rounded(F.col("change")).alias("change"),
+        rounded(F.col("share"), 6).alias("share"),
+        rounded(F.col("score"), 6).alias("score"),
     )
 
 
@@ -262,9 +261,7 @@ def sensitivity_screen(spark, sf_dir) -> DataFrame:
     ),
 )
 def diverse_top_features(spark, sf_dir) -> DataFrame:
-    chosen = ex.diverse(F.col("screened"))
-    found = _screened(spark, sf_dir).select(KEY, F.posexplode(chosen).alias("at", "s"))
-    return found.select(KEY, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place"))
+    return ex.diverse(_with_models(spark, sf_dir), KEY, FEATURES)
 
 
 CURVES = ["total_special", "vehicle_age", "whiplash_flag"]
