@@ -12,7 +12,8 @@ KEY_RANGE = 2147483648  # keys are folded below this, so the product fits a BIGI
 
 
 def key_hash(key: Column) -> Column:
-    folded = F.pmod(key + F.floor(key / F.lit(KEY_RANGE)), F.lit(KEY_RANGE))
+    low, high = F.pmod(key, F.lit(KEY_RANGE)), F.pmod(F.shiftright(key, 31), F.lit(KEY_RANGE))
+    folded = F.pmod(low + high, F.lit(KEY_RANGE))
     return (folded * F.lit(MULTIPLIER)) % F.lit(MODULUS)
 
 
