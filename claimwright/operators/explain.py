@@ -175,69 +175,60 @@ def impact(value: Column, always: Column, slope: Column, importance: Column, pre
     return moved, change, share, share * 0.7 + importance * 0.3
 
 
-def screened(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Rows ``(key, feature, kind, change, share, score)`` of the features that matter.
-    ``df`` holds the records, their segment's arrays and ``prediction``."""
-    cells = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.lit(kind_of(c)).alias("kind"),
-            F.lit(c.startswith("total_")).alias("always"),
-            F.col(c).cast("double").alias("value"),
-            F.col("slopes")[i].alias("slope"),
-            F.col("importances")[i].alias("importance"),
-        )
-        for i, c in enumerate(features)
-    ]
-    long = df.select(key, "prediction", F.explode(F.array(*cells)).alias("c")).select(
-        key, "prediction", "c.*"
+def _facts(features: Sequence[str]) -> Column:
+    """One struct per feature from a few short arrays. Spelling the structs out per feature
+    would make the generated method too long for the JVM to compile."""
+    return F.arrays_zip(
+        names_of(features).alias("feature"),
+        F.array(*[F.lit(kind_of(c)) for c in features]).alias("kind"),
+        F.array(*[F.lit(c.startswith("total_")) for c in features]).alias("always"),
+        F.array(*[F.lit(-sorted(features).index(c)) for c in features]).alias("name_order"),
+        values_of(features).alias("value"),
+        F.col("slopes").alias("slope"),
+        F.col("importances").alias("importance"),
+    )
+
+
+def _moved(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """One row per record and feature that matters, with change, share and score."""
+    long = df.select(*keep, "prediction", F.explode(_facts(features)).alias("c")).select(
+        *keep, "prediction", "c.*"
     )
     moved, change, share, score = impact(
         *[F.col(c) for c in ("value", "always", "slope", "importance", "prediction")]
     )
     return long.where(moved).select(
-        key, "feature", "kind", change.alias("change"), share.alias("share"), score.alias("score")
-    )
+        *keep, "feature", "kind", "name_order",
+        change.alias("change"), share.alias("share"), score.alias("score"),
+    )
+
+
+def screened(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Rows ``(key, feature, kind, change, share, score)`` of the features that matter.
+    ``df`` holds the records, their segment's arrays and ``prediction``."""
+    return _moved(df, [key], features).drop("name_order")
+
+
+def _first_of_kind(ranked: Column, kind: str, count: int) -> Column:
+    return F.slice(F.filter(ranked, lambda x: x["kind"] == kind), 1, count)
 
 
 def diverse(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """Per record the features to show: first the quota of every kind, then the best of the
-    rest, five in all, as ``(key, feature, kind, place)``.
-
-    A record's scores stay in its row as one sorted array per kind, so nothing is shuffled;
-    the kind of a feature is known beforehand.
-    """
-    by_name = sorted(features)
-    scores, items = {}, {}
-    for i, c in enumerate(features):
-        moved, _, _, score = impact(
-            F.col(c).cast("double"), F.lit(c.startswith("total_")),
-            F.col("slopes")[i], F.col("importances")[i], F.col("prediction"),
-        )
-        scores[f"score_{i}"] = F.when(moved, F.round(score, SCORE_DIGITS))
-        # Sorted downwards: higher scores first, equal ones by name, features left out last.
-        items[c] = F.when(
-            F.col(f"score_{i}").isNotNull(),
-            F.struct(
-                F.col(f"score_{i}").alias("score"),
-                F.lit(-by_name.index(c)).alias("name_order"),
-                F.lit(c).alias("feature"),
-                F.lit(kind_of(c)).alias("kind"),
-            ),
-        )
-    ranked = {
-        kind: F.slice(F.sort_array(F.array(*[items[c] for c in features if kind_of(c) == kind]), False), 1, count)
-        for kind, count in QUOTA.items()
-        if any(kind_of(c) == kind for c in features)
-    }
-    best = F.sort_array(F.array(*items.values()), False)
-    chosen = F.array_distinct(F.concat(*ranked.values(), best))
-    shown = F.slice(F.array_compact(chosen), 1, REPORT_SIZE)
-    return (
-        df.select(key, "prediction", "slopes", "importances", *features)
-        .withColumns(scores)
-        .select(key, F.posexplode(shown).alias("at", "s"))
-        .select(key, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place"))
+    rest, five in all, as ``(key, feature, kind, place)``. A record has at most one score
+    per feature, so the grouping collects a short, bounded list."""
+    item = F.struct(
+        F.round("score", SCORE_DIGITS).alias("score"), F.col("name_order"), F.col("feature"), F.col("kind")
+    )
+    ranked = (
+        _moved(df, [key], features)
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(item), asc=False).alias("ranked"))
+    )
+    picked = F.concat(*[_first_of_kind(F.col("ranked"), k, n) for k, n in QUOTA.items()])
+    chosen = F.slice(F.array_distinct(F.concat(picked, F.col("ranked"))), 1, REPORT_SIZE)
+    return ranked.select(key, F.posexplode(chosen).alias("at", "s")).select(
+        key, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place")
     )
 
 

@@ -24,7 +24,7 @@ ALL_FOLDS = -1
 def _moments(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
     names = [*features, target]
     means = F.array(*[F.avg(c) for c in names])
-    pairs = F.array(*[F.covar_pop(a, b) for a in names for b in names])
+    pairs = F.array(*[F.covar_pop(a, b) for i, a in enumerate(names) for b in names[i:]])
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("n"), means.alias("means"), pairs.alias("cov")
     )
@@ -101,10 +101,14 @@ def fit_linear(
     moments = _moments(df.withColumn("fold", fold_column), features, target, [*keys, "fold"])
     size = len(features) + 1
 
+    def square(upper) -> np.ndarray:
+        full = np.zeros((size, size))
+        full[np.triu_indices(size)] = upper
+        return full + np.triu(full, 1).T
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {
-            int(row.fold): (row.n, np.array(row.means), np.array(row.cov).reshape(size, size))
-            for row in pdf.itertuples()
+            int(row.fold): (row.n, np.array(row.means), square(row.cov)) for row in pdf.itertuples()
         }
         chosen = {ALL_FOLDS: list(parts.values())}
         if fold:

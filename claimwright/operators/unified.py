@@ -178,6 +178,8 @@ class FittedSegmentedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``segment``, ``segment_prediction`` and the non-negative ``prediction``."""
         ready = self.dictionary.assign(_prepared(df, self.medians))
+        # Written by segment, so that each booster reads only its own rows.
+        ready = settle(ready, "unified-scoring", by="segment")
         scored = _own_prediction(self.linear.predict(ready, "linear"), self.boosted, self.overall)
         for name, model in self.bases.items():
             scored = model.transform(scored).withColumnRenamed("prediction", f"pred_{name}").drop("features")
