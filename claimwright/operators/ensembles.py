@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.operators.linear import ALL_FOLDS, LinearModels, fit_linear, linear_value
-from claimwright.operators.models import fit_on
+from claimwright.operators.models import fit_all, fit_on
 from claimwright.session import settle
 
 
@@ -149,14 +149,22 @@ def tree_out_of_fold(
             df = model.transform(df).withColumnRenamed("prediction", f"pred_{name}").drop("features")
         return df
 
-    parts = []
-    for k in range(folds):
-        rest = train.where(F.col(fold) != k)
-        models = {n: fit_on(rest, features, e) for n, e in bases.items()}
-        parts.append(scored(train.where(F.col(fold) == k), models))
+    def job(rows, estimator):
+        return lambda: fit_on(rows, features, estimator.copy())
+
+    everything = folds  # the number of the fit that leaves no fold out
+    jobs = {
+        (k, name): job(train.where(F.col(fold) != k) if k < folds else train, estimator)
+        for k in range(folds + 1)
+        for name, estimator in bases.items()
+    }
+    fitted = fit_all(jobs)
+    parts = [
+        scored(train.where(F.col(fold) == k), {n: fitted[(k, n)] for n in bases}) for k in range(folds)
+    ]
     inside = parts[0]
     for part in parts[1:]:
         inside = inside.unionByName(part)
-    full = {n: fit_on(train, features, e) for n, e in bases.items()}
+    full = {n: fitted[(everything, n)] for n in bases}
     outside = settle(scored(test, full), "stack-test") if test is not None else None
     return settle(inside, "stack-train"), outside, full

@@ -15,9 +15,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from multiprocessing.pool import ThreadPool
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +49,9 @@ def select_features(model: PipelineModel, features: Sequence[str], least: int =
 
 def boosted_per_segment(
     rows: DataFrame, features: Sequence[str], estimator, names: Sequence[str] | None = None,
-    select: bool = False, parallelism: int = 4,
+    select: bool = False,
 ) -> dict[str, PipelineModel]:
-    """One booster per segment of ``rows`` (written by segment). A few fits run at a time so
-    that small segments do not leave the cluster idle."""
+    """One booster per segment of ``rows`` (written by segment), a few at a time."""
     if names is None:
         names = [r[0] for r in rows.select("segment").distinct().sort("segment").collect()]
 
@@ -63,9 +61,7 @@ def boosted_per_segment(
             used = select_features(mo.fit_on(own, used, estimator.copy()), used)
         return mo.fit_on(own, used, estimator.copy())
 
-    with ThreadPool(parallelism) as pool:
-        fits = pool.map(inheritable_thread_target(fit), names)
-    return dict(zip(names, fits))
+    return mo.fit_all({name: partial(fit, name) for name in names})
 
 
 def boosted_segmentation(

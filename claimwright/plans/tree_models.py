@@ -6,6 +6,7 @@ The registered queries grow a few trees; the library's defaults are the full siz
 from __future__ import annotations
 
 import time
+from functools import partial
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -186,7 +187,8 @@ def meta_learners(n: int, deviation: float, trees: int = TREES) -> dict[str, obj
         "ridge": mo.ridge(0.1, n, deviation),
         "lasso": mo.elastic_net(0.01, 1.0, deviation),
         "elastic_net": mo.elastic_net(0.01, 0.5, deviation),
-        "sgd": mo.elastic_net(0.01, 0.5, deviation).setSolver("l-bfgs"),
+        # An iterative optimiser, stopped early as stochastic descent would be.
+        "sgd": mo.elastic_net(0.01, 0.5, deviation).setSolver("l-bfgs").setMaxIter(100).setTol(1e-6),
         "random_forest": mo.random_forest(trees, 5),
         "gradient_boosting": mo.gradient_boosting(trees, 0.05, 3),
         "boosted_trees": mo.boosted_trees(trees, rate=0.05, depth=3),
@@ -376,8 +378,8 @@ def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_dept
 
     def vote():
         scored = test
-        for name, estimator in bases.items():
-            model = mo.fit_on(train, FEATURES, estimator)
+        fits = {n: partial(mo.fit_on, train, FEATURES, e.copy()) for n, e in bases.items()}
+        for name, model in mo.fit_all(fits).items():
             scored = model.transform(scored).withColumnRenamed("prediction", f"pred_{name}").drop("features")
         return regression_metrics(scored.select("y", en.mean_vote(names).alias("prediction")))
 
