@@ -2,16 +2,17 @@
 
 The built-in ``percentile`` merges every distinct value of a group into one reducer. Here
 one pass of ``percentile_approx`` (a sketch of bounded size, with a guaranteed rank error)
-gives a bracket around each wanted rank. A second pass counts the rows below the bracket
-and the distinct values inside it, pre-aggregated on the map side; only those few distinct
-values are put in order. Hot values collapse to one row.
+gives a bracket around each wanted rank. While a bracket could hold more than ``LARGEST``
+rows, another sketch of the rows inside narrows it. A last pass counts the rows below the
+bracket and the distinct values inside it, pre-aggregated on the map side; only those few
+distinct values are put in order. Hot values collapse to one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from claimwright.session import settle
 
 ACCURACY = 20_000
 MARGIN = 8.0 / ACCURACY  # eight times the rank error the sketch guarantees
+GRID = 256  # cells of a further narrowing
+LARGEST = 5_000_000  # values of one bracket that a task puts in order
 
 
 def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
@@ -45,6 +48,34 @@ def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataF
     )
 
 
+def _position() -> Column:
+    return F.col("p") * (F.col("n") - 1)
+
+
+def _narrowed(long: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Tighter brackets: a grid of approximate quantiles of the rows inside, of which the
+    wanted rank's cell and one whole cell on either side are kept."""
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    stats = (
+        long.join(brackets, [*keys, "feature"])
+        .where(F.col("value") <= F.col("high"))
+        .groupBy(*keys, "feature", "n", "p", "low", "high")
+        .agg(
+            F.count_if(F.col("value") < F.col("low")).alias("below"),
+            F.count(inside).alias("m"),
+            F.percentile_approx(inside, [i / GRID for i in range(1, GRID)], ACCURACY).alias("q"),
+        )
+    )
+    cell = F.floor((_position() - F.col("below")) / F.col("m") * GRID).cast("int")
+    enough = F.col("m") >= 16 * GRID
+    low = F.when(enough & (cell >= 2), F.get("q", cell - 2))
+    high = F.when(enough & (cell <= GRID - 3), F.get("q", cell + 1))
+    return stats.select(
+        *keys, "feature", "n", "p",
+        F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"),
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -59,6 +90,10 @@ def exact_quantiles(
         .where(F.col("value").isNotNull())
     )
     brackets = settle(_brackets(long, keys, probs), "quantile-brackets")
+    widest = (brackets.agg(F.max("n")).first()[0] or 0) * 2 * MARGIN
+    while widest > LARGEST:
+        brackets = settle(_narrowed(long, brackets, keys), "quantile-brackets")
+        widest *= 4.0 / GRID
     inside = (
         long.join(brackets, [*keys, "feature"])
         .where(F.col("value") <= F.col("high"))
@@ -67,7 +102,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     ordered = W.partitionBy(*keys, "feature", "p").orderBy(F.col("value").asc_nulls_first())
-    position = F.col("p") * (F.col("n") - 1)
+    position = _position()
     first = F.floor(position)
     second = F.least(first + 1, F.col("n") - 1)
     before = F.col("upto") - F.col("copies")

@@ -4,9 +4,12 @@ import pytest
 from claimwright.functions import quantiles
 
 
-@pytest.mark.parametrize("accuracy", [50, 20_000])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, accuracy):
-    """Also with a sketch so coarse that most rows fall outside the bracket."""
+@pytest.mark.parametrize("accuracy, largest", [(50, 10**6), (20_000, 10**6), (400, 20)])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, accuracy, largest):
+    """Also with a coarse sketch, so that rows fall outside the bracket, and with a limit
+    so low that brackets are narrowed several times."""
+    monkeypatch.setattr(quantiles, "LARGEST", largest)
+    monkeypatch.setattr(quantiles, "GRID", 8)
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     monkeypatch.setattr(quantiles, "MARGIN", 8.0 / accuracy if accuracy > 100 else 0.06)
     rng = np.random.default_rng(1)
