@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.session import shared_path
@@ -30,11 +30,12 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(LEAST_BLOCKS, -(-int(total) // block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text`` and ``block``, with the rows of a block in one partition. The block
-    hangs on the whole row, so rows that share an id are spread too."""
+def in_blocks(docs: DataFrame, blocks: int, key: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+    """``doc_id``, ``text``, ``block`` and more columns, with the rows of a block in one
+    partition. The block hangs on id and text, so rows that share an id are spread too."""
     block = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int")
-    return docs.select(F.col(key), F.col(text), block.alias("block")).repartition(blocks, "block")
+    chosen = [c.alias(n) for n, c in more.items()]
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), block.alias("block"), *chosen).repartition(blocks, "block")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -44,10 +45,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def saved_by(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    return saved(df, name) if spark is not None else df
-
-
 def planes(values: np.ndarray) -> bytes:
     """Bytes of a number array, all first bytes first, which packs small numbers well."""
     return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1) if len(values) else b""
@@ -66,6 +63,11 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def held_out(key: str, modulus: int) -> Column:
+    """Whether crc32 of the id as text leaves no remainder; rows without an id are held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == 0, F.lit(True))
+
+
 def shard_cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard begins among sorted hashes, with the end as the last entry."""
     return np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1, dtype=np.uint64))

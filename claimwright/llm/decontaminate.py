@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimwright.llm import words as W
-from claimwright.llm.blocks import ids_of
 from claimwright.llm.registry import query
 
 WINDOW = 10
