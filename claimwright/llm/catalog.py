@@ -6,7 +6,7 @@ import importlib
 
 from claimwright.llm.registry import ORACLES, QUERIES
 
-for _module in ("language_model", "decontaminate", "language_id", "quality"):
+for _module in ("language_model", "decontaminate", "language_id", "quality", "packing"):
     importlib.import_module(f"claimwright.llm.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
