@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
     of about ``MEMBERS`` each, and its set goes to each of those once."""
     parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("parts")
-    carriers = sets.select("cls", "block", "shingles", "bits")
+    carriers = sets.where(F.col("shingles").isNotNull()).select("cls", "block", "shingles", "bits")
     members = dealt.join(homes, "cls").join(carriers, ["cls", "block"]).select("centre", "part", "cls", "shingles", "bits")
     centres = dealt.select(F.col("centre").alias("cls"), "centre", "part").distinct().join(homes, "cls").join(carriers, ["cls", "block"]).select("centre", "part", "shingles", "bits")
     centres = centres.toDF(*centres.columns)  # columns of its own: both sides come from the same tables
