@@ -9,8 +9,9 @@ reach 75 times those of either. The result is exact; equal sets are one class fr
 2. Shingles are ordered rarest first. Linked documents share one among the first quarter of
    each (prefix filter), so candidates meet under such shingles and never under a passage
    that many otherwise unlike documents have.
-3. Under a shingle, first every document is compared with one centre. Most groups of copies
-   are then one component, and a further link within one adds nothing.
+3. Under a shingle, first documents are compared with one centre, in a few rounds with other
+   centres. Most groups of copies are then one component, and a further link within one adds
+   nothing.
 4. What remains under a shingle with several components goes into tiles of bounded size and
    of one size band. Tiles meet if their bands can link; in a pair of tiles, bit counts of
    hashed bitmap signatures bound the overlap from above, and only pairs that pass are
@@ -36,8 +37,10 @@ from claimwright.llm.graph import components
 from claimwright.llm.registry import query
 
 WORDS, PERCENT = 5, 75
-#: Bits of a signature; documents of a tile, and members compared with one centre in a task.
-BITS, TILE, MEMBERS = 1024, 256, 512
+#: Bits of a signature (about twice the set, between these); documents of a tile, and members compared with one centre in a task.
+LEAST_BITS, MOST_BITS, TILE, MEMBERS = 1024, 8192, 256, 512
+#: Rounds of comparisons with centres; more rounds leave less for the tiles, never other results.
+STARS = 3
 #: Size bands grow by this factor, a little more than linked sizes can differ.
 BAND = 1.34
 _KEY_BYTES = 5
@@ -120,8 +123,9 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def signature(shingles: np.ndarray) -> bytes:
     """Bitmap with the bit of each shingle's lower digits set."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -156,8 +160,17 @@ def _set_maker(shards: int):
     return make
 
 
-def _bits(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+def _folded(bits: bytes, size: int) -> bytes:
+    """The signature with fewer bits: remainders of a power of two fall together."""
+    if len(bits) == size:
+        return bits
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), 0).tobytes()
+
+
+def _bits(*columns: list[bytes]) -> list[np.ndarray]:
+    """Signatures of several columns, all at the fewest bits that one of them has."""
+    size = min(len(b) for c in columns for b in c)
+    return [np.frombuffer(b"".join(_folded(b, size) for b in c), np.uint64).reshape(len(c), -1) for c in columns]
 
 
 def overlap_bound(bits: np.ndarray, size: np.ndarray, other_bits: np.ndarray, other_size: np.ndarray) -> np.ndarray:
@@ -177,10 +190,11 @@ def _verify(members: pa.Table, centres: pa.Table) -> pa.Table:
     if not centres.num_rows:
         return table(_LINKS, found)
     centre = np.frombuffer(centres["shingles"][0].as_py(), np.uint64)
-    centre_bits, name = _bits([centres["bits"][0].as_py()]), centres["centre"][0].as_py()
+    centre_bits, name = centres["bits"][0].as_py(), centres["centre"][0].as_py()
     for at in range(members.num_rows):
         own = np.frombuffer(members["shingles"][at].as_py(), np.uint64)
-        most = overlap_bound(_bits([members["bits"][at].as_py()]), len(own), centre_bits, len(centre))
+        ours, theirs = _bits([members["bits"][at].as_py()], [centre_bits])
+        most = overlap_bound(ours, len(own), theirs, len(centre))
         if not links(most, len(own), len(centre))[0]:
             continue
         place = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
@@ -209,8 +223,9 @@ def _tile_pairs(batches):
             sides = []
             for side in (left.values, right.values):
                 cls, n, label, bits = (side.field(k) for k in ("cls", "n", "label", "bits"))
-                sides.append((cls.to_numpy(), n.to_numpy(), label.to_numpy(), _bits(bits.to_pylist())))
+                sides.append((cls.to_numpy(), n.to_numpy(), label.to_numpy(), bits.to_pylist()))
             (c1, n1, l1, b1), (c2, n2, l2, b2) = sides
+            b1, b2 = _bits(b1, b2)
             found_a, found_b = [], []
             for k in range(len(c1)):
                 most = overlap_bound(b1[k], n1[k], b2, n2)
@@ -231,14 +246,23 @@ def shingle_links(sets: DataFrame) -> DataFrame:
     homes = saved(carriers.groupBy("cls").agg(F.min("block").alias("block")), "homes")
     entries = carriers.select("cls", "n", F.explode("prefix").alias("token")).distinct()
     entries = saved(entries, "entries")
-    centres = entries.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("c"), F.count("*").alias("k")).where("k > 1").select("token", F.col("c.cls").alias("centre"), F.col("c.n").alias("centre_n"))
-    near = entries.join(centres, "token").where((F.col("cls") != F.col("centre")) & (100 * F.col("centre_n") >= PERCENT * F.col("n")))
-    # One centre for each document: the one with which it shares most of its prefix.
-    star = near.groupBy("cls", "centre").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max(F.struct("k", "centre")).alias("best")).select("cls", F.col("best.centre").alias("centre"))
-    star_links = saved(verified(saved(star, "star"), sets, homes), "links")
-
-    labels = star_links.select(F.col("a").alias("cls"), F.col("b").alias("label"))
-    labelled = entries.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled, tested, star_links = entries.withColumn("label", F.col("cls")), None, None
+    for turn in range(STARS):
+        # Another centre in every round; only documents of other components are compared.
+        order = F.struct("n", "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("n"), "cls")
+        centres = labelled.groupBy("token").agg(F.min_by(F.struct("cls", "n", "label"), order).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        centres = centres.select("token", F.col("c.cls").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+        near = labelled.join(centres, "token").where((F.col("label") != F.col("centre_label")) & (100 * F.least("centre_n", "n") >= PERCENT * F.greatest("centre_n", "n")))
+        # One centre for each document: the one with which it shares most of its prefix.
+        shared = near.groupBy("cls", "centre").agg(F.count("*").alias("k"))
+        if tested is not None:
+            shared = shared.join(tested, ["cls", "centre"], "left_anti")
+        star = saved(shared.groupBy("cls").agg(F.max(F.struct("k", "centre")).alias("best")).select("cls", F.col("best.centre").alias("centre")), "star")
+        tested = star if tested is None else tested.unionByName(star)
+        new = saved(verified(star, sets, homes), "links")
+        star_links = new if star_links is None else star_links.unionByName(new)
+        roots = components(star_links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+        labelled = saved(entries.join(roots, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     groups = labelled.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("members")
     ).where("low != high")

@@ -110,8 +110,9 @@ def test_overlap_bound_is_above():
     rng = np.random.default_rng(1)
     for _ in range(200):
         pool = rng.integers(0, 2**63, 60).astype(np.uint64)
-        a, b = np.unique(rng.choice(pool, 40)), np.unique(rng.choice(pool, 35))
-        most = ngram_join.overlap_bound(ngram_join._bits([ngram_join.signature(a)]), len(a), ngram_join._bits([ngram_join.signature(b)]), len(b))
+        a, b = np.unique(rng.choice(pool, 40)), np.unique(np.concatenate([rng.choice(pool, 35), rng.integers(0, 2**63, rng.choice([0, 3000])).astype(np.uint64)]))
+        ours, theirs = ngram_join._bits([ngram_join.signature(a)], [ngram_join.signature(b)])
+        most = ngram_join.overlap_bound(ours, len(a), theirs, len(b))
         assert most[0] >= len(np.intersect1d(a, b))
 
 
