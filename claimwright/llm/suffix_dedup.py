@@ -114,6 +114,8 @@ class Entries:
     and context, the earliest; ``rank`` leads from contexts to entries."""
 
     def __init__(self, group: pa.Table) -> None:
+        # Rows of a block arrive in any order, and stretches must be cut alike every time.
+        self.group = group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.data, self.offsets = W.flat(group["text"])
         self.contexts = c = Contexts(self.data, self.offsets)
         self.doc = ids_of(group["doc_id"])
@@ -321,11 +323,12 @@ def _cutter(group: pa.Table, answers: pa.Table) -> pa.Table:
     np.add.at(change, place, 1)
     np.add.at(change, place + WINDOW, -1)
     removed = np.cumsum(change[:-1]) > 0
-    for k in range(group.num_rows):
+    names = e.group["doc_id"].to_pylist()
+    for k, name in enumerate(names):
         low, high = offsets[k], offsets[k + 1]
         own = removed[low:high]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        rows["doc_id"].append(group["doc_id"][k].as_py())
+        rows["doc_id"].append(name)
         rows["n_bytes"].append(high - low)
         rows["n_removed"].append(int(own.sum()))
         rows["n_spans"].append(len(edges) // 2)

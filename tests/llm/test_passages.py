@@ -37,8 +37,10 @@ def test_longest_previous_factor():
 def test_crowded_anchors_give_the_same(monkeypatch, edge_rows, crowd):
     """All phases of one block, without Spark, with and without windows dealt one by one."""
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1 << 12)
     block = pa.table({"doc_id": pa.array([i for i, _ in edge_rows], pa.int64()), "text": pa.array([t for _, t in edge_rows], pa.string()), "block": pa.array([0] * len(edge_rows), pa.int32())})
     verdicts = suffix_dedup._answer(suffix_dedup._asker(1)(block))
+    block = block.take(pa.array(np.random.default_rng(0).permutation(block.num_rows)))  # rows arrive in any order
     found = suffix_dedup._find(suffix_dedup._shipper(1)(block, verdicts))
     answers = pa.concat_tables([verdicts, found.append_column("shard", pa.array([-1] * found.num_rows, pa.int32()))], promote_options="default")
     got = suffix_dedup._cutter(block, answers).drop_columns(["spans"]).to_pylist()
