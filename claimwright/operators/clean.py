@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,12 @@ def feature_projection(
 
 def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians; to learn them on a training split only, pass that split."""
-    found = quantile_values(df, columns, [0.5])
+    found = quantile_values(df, columns, [0.5]) if columns else {}
     return {c: found[(c, 0.5)] for c in columns if (c, 0.5) in found}
 
 
 def impute(df: DataFrame, values: dict[str, float | str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()}) if values else df
 
 
 def constant_impute(df: DataFrame, columns: Sequence[str], value: str = "Unknown") -> DataFrame:
@@ -91,12 +93,24 @@ def scaled(column: str, scaler: dict[str, tuple[float, float]]) -> Column:
     return (F.col(column) - F.lit(mean)) / F.lit(deviation)
 
 
-def fit_categories(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Distinct values in order, for indicator columns; more than ``most`` is an error."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} values; do not one-hot encode it")
-    return sorted(r[0] for r in rows)
+def fit_categories(df: DataFrame, column: str) -> list[str]:
+    """Distinct values in order, for one indicator column each. For columns of many values
+    use ``indicator_vector``, which keeps them in one sparse vector."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
+
+def indicator_vector(train: DataFrame, columns: Sequence[str], output: str = "indicators") -> PipelineModel:
+    """A fitted encoder of any number of values into one sparse vector; NULL and values not
+    seen in ``train`` give zeros."""
+    indexed = [f"{c}_index" for c in columns]
+    encoded = [f"{c}_vector" for c in columns]
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCols=list(columns), outputCols=indexed, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
+            VectorAssembler(inputCols=encoded, outputCol=output),
+        ]
+    ).fit(train)
 
 
 def one_hot(column: str, categories: Sequence[str]) -> list[Column]:

@@ -94,6 +94,11 @@ def clip_nonnegative(prediction: Column) -> Column:
     return F.greatest(prediction, F.lit(0.0))
 
 
+def fitted_groups(models: LinearModels, key: str) -> list[str]:
+    """Names of the groups that have a model, in order; they become columns."""
+    return sorted(r[0] for r in models.table.select(key).distinct().collect())
+
+
 def meta_features_wide(
     df: DataFrame, models: LinearModels, segment: str, names: Sequence[str], fold: str
 ) -> DataFrame:

@@ -189,45 +189,44 @@ def _facts(features: Sequence[str]) -> Column:
     )
 
 
-def _moved(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """One row per record and feature that matters, with change, share and score."""
-    long = df.select(*keep, "prediction", F.explode(_facts(features)).alias("c")).select(
-        *keep, "prediction", "c.*"
-    )
-    moved, change, share, score = impact(
-        *[F.col(c) for c in ("value", "always", "slope", "importance", "prediction")]
-    )
-    return long.where(moved).select(
-        *keep, "feature", "kind", "name_order",
-        change.alias("change"), share.alias("share"), score.alias("score"),
-    )
+def moving(features: Sequence[str]) -> Column:
+    """Array of the features that matter for a record, best score first and ties by name, as
+    (order, name_order, feature, kind, change, share, score, value, slope)."""
+
+    def measured(z: Column) -> Column:
+        moved, change, share, score = impact(z["value"], z["always"], z["slope"], z["importance"], F.col("prediction"))
+        return F.when(
+            moved,
+            F.struct(
+                F.round(score, SCORE_DIGITS).alias("order"), z["name_order"].alias("name_order"), z["feature"].alias("feature"), z["kind"].alias("kind"),
+                change.alias("change"), share.alias("share"), score.alias("score"), z["value"].alias("value"), z["slope"].alias("slope"),
+            ),
+        )
+
+    return F.sort_array(F.filter(F.transform(_facts(features), measured), lambda x: x.isNotNull()), asc=False)
 
 
 def screened(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """Rows ``(key, feature, kind, change, share, score)`` of the features that matter.
     ``df`` holds the records, their segment's arrays and ``prediction``."""
-    return _moved(df, [key], features).drop("name_order")
+    return df.select(key, F.explode(moving(features)).alias("m")).select(key, "m.feature", "m.kind", "m.change", "m.share", "m.score")
 
 
 def _first_of_kind(ranked: Column, kind: str, count: int) -> Column:
     return F.slice(F.filter(ranked, lambda x: x["kind"] == kind), 1, count)
 
 
-def diverse(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Per record the features to show: first the quota of every kind, then the best of the
-    rest, five in all, as ``(key, feature, kind, place)``. A record has at most one score
-    per feature, so the grouping collects a short, bounded list."""
-    item = F.struct(
-        F.round("score", SCORE_DIGITS).alias("score"), F.col("name_order"), F.col("feature"), F.col("kind")
-    )
-    ranked = (
-        _moved(df, [key], features)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(item), asc=False).alias("ranked"))
-    )
+def with_shown(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add ``shown``, the record's features for a report as entries of ``moving``: first the
+    quota of every kind, then the best of the rest, five in all. All of it stays in the row."""
+    ranked = df.withColumn("ranked", moving(features))
     picked = F.concat(*[_first_of_kind(F.col("ranked"), k, n) for k, n in QUOTA.items()])
-    chosen = F.slice(F.array_distinct(F.concat(picked, F.col("ranked"))), 1, REPORT_SIZE)
-    return ranked.select(key, F.posexplode(chosen).alias("at", "s")).select(
+    return ranked.withColumn("shown", F.slice(F.array_distinct(F.concat(picked, F.col("ranked"))), 1, REPORT_SIZE)).drop("ranked")
+
+
+def diverse(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """``(key, feature, kind, place)`` of ``with_shown``."""
+    return with_shown(df, features).select(key, F.posexplode("shown").alias("at", "s")).select(
         key, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place")
     )
 

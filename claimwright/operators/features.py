@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +52,49 @@ def injury_column(df: DataFrame) -> str | None:
     return None
 
 
+# What each derived feature is computed from; all others are columns of the claims.
+NEEDS = {
+    "days_to_claim": ["accident_date", "claim_date"],
+    "total_special": SPECIAL,
+    "total_general": GENERAL,
+    "severe_injury": ["injury_description"],
+    "whiplash_flag": ["whiplash"],
+    "psych_flag": ["minor_psychological_injury"],
+    "total_damages": ["total_special", "total_general"],
+    "log_special": ["total_special"],
+    "log_general": ["total_general"],
+    "log_damages": ["total_damages"],
+    "special_general_ratio": ["total_special", "total_general"],
+    "age_damage_ratio": ["driver_age", "total_special"],
+    "severe_special": ["severe_injury", "total_special"],
+    "psych_special": ["psych_flag", "total_special"],
+    "vehicle_age_special": ["vehicle_age", "total_special"],
+    "severe_total": ["severe_injury", "total_damages"],
+    "psych_total": ["psych_flag", "total_damages"],
+    "special_squared": ["total_special"],
+    "general_squared": ["total_general"],
+}
+
+
+def sources(columns: Iterable[str]) -> list[str]:
+    """The claims columns that these columns, derived or not, come from."""
+    found: list[str] = []
+    for column in columns:
+        parts = sources(NEEDS[column]) if column in NEEDS else [column]
+        found += [p for p in parts if p not in found]
+    return found
+
+
 def engineered(df: DataFrame, injury: str = "injury_description") -> DataFrame:
-    """All derived features. Every one is an expression in one projection pair, so the
-    whole set stays inside a single code-generated stage."""
+    """All derived features whose columns are there. Every one is an expression in one
+    projection pair, so the whole set stays inside a single code-generated stage."""
     special, general = F.col("total_special"), F.col("total_general")
-    totals = df.withColumns(
+    there = set(df.columns)
+
+    def possible(columns: dict[str, Column]) -> dict[str, Column]:
+        return {c: e for c, e in columns.items() if there.issuperset(injury if s == "injury_description" else s for s in sources([c]))}
+
+    totals = df.withColumns(possible(
         {
             "days_to_claim": days_to_claim(F.col("accident_date"), F.col("claim_date")),
             "total_special": row_total(SPECIAL),
@@ -65,9 +103,9 @@ def engineered(df: DataFrame, injury: str = "injury_description") -> DataFrame:
             "whiplash_flag": yes_flag(F.col("whiplash")),
             "psych_flag": yes_flag(F.col("minor_psychological_injury")),
         }
-    )
+    ))
     total = special + general
-    return totals.withColumns(
+    return totals.withColumns(possible(
         {
             "total_damages": total,
             "log_special": F.log1p(special),
@@ -83,4 +121,4 @@ def engineered(df: DataFrame, injury: str = "injury_description") -> DataFrame:
             "special_squared": special * special,
             "general_squared": general * general,
         }
-    )
+    ))

@@ -59,12 +59,11 @@ class LinearModels:
     features: list[str]
     keys: list[str]
 
-    def rows(self, limit: int = 10_000) -> list:
-        """The fitted numbers on the driver; meant for few groups, and checked."""
-        found = self.table.where(F.col("fold") == ALL_FOLDS).limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} models; join their table instead")
-        return found
+    def only(self):
+        """The fitted numbers of the one model without keys."""
+        if self.keys:
+            raise ValueError("models by key stay in their table")
+        return self.table.where(F.col("fold") == ALL_FOLDS).first()
 
     def predict(self, df: DataFrame, output: str, out_of_fold: bool = False) -> DataFrame:
         """Add the prediction of each row's own group (NULL where that has no model).

@@ -31,22 +31,23 @@ def target_deviation(df: DataFrame, target: str) -> tuple[int, float]:
     return row["n"], row["s"]
 
 
-def penalised(l1: float, l2: float, deviation: float, target: str = "y", **params) -> LinearRegression:
+def penalised(l1: float, l2: float, deviation: float, target: str = "y", rows: int | None = None, **params) -> LinearRegression:
     """Minimise ``||y-Xb||²/2n + l1·|b| + l2·b²/2`` on unscaled features.
 
     pyspark.ml scales the target by its deviation inside, which leaves an L1 weight as it
-    is and divides an L2 weight by that deviation. The ``normal`` solver needs one pass
-    over the data whatever the number of iterations.
+    is and divides an L2 weight by that deviation: the population's with the ``normal``
+    solver, which needs one pass over the data whatever the number of iterations, and the
+    sample's with ``l-bfgs``, for which ``rows`` must be given.
     """
+    if params.get("solver") == "l-bfgs":
+        deviation *= (rows / (rows - 1)) ** 0.5
+    params = {"solver": "normal", "maxIter": 1000, "tol": 1e-12} | params
     weight = l1 + l2 * deviation
     return LinearRegression(
         labelCol=target,
-        solver="normal",
         regParam=weight,
         elasticNetParam=l1 / weight if weight else 0.0,
         standardization=False,
-        tol=1e-12,
-        maxIter=1000,
         **params,
     )
 

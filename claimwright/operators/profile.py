@@ -34,8 +34,9 @@ def cardinality_profile(df: DataFrame, columns: Sequence[str], most: int = 20) -
     )
 
 
-def table_shape(df: DataFrame, steps: dict[str, F.Column]) -> DataFrame:
-    """Rows left after each filter: ``steps`` maps a label to its condition, applied in turn."""
+def table_shape(df: DataFrame, steps: dict[str, F.Column], n_columns: int | None = None) -> DataFrame:
+    """Rows left after each filter: ``steps`` maps a label to its condition, applied in turn.
+    ``n_columns``: of the whole table, where ``df`` has only those that the steps need."""
     aggregates, condition = [], F.lit(True)
     for label, step in steps.items():
         condition = condition & F.coalesce(step, F.lit(False))
@@ -43,7 +44,7 @@ def table_shape(df: DataFrame, steps: dict[str, F.Column]) -> DataFrame:
     return (
         df.agg(*aggregates)
         .unpivot([], list(steps), "step", "n_rows")
-        .withColumn("n_columns", F.lit(len(df.columns)).cast("long"))
+        .withColumn("n_columns", F.lit(n_columns or len(df.columns)).cast("long"))
     )
 
 

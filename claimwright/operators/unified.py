@@ -6,14 +6,19 @@ forest and two boosters with an elastic net on the segments' predictions.
 * The meta-model sees out-of-fold segment predictions only.
 * Medians and the segment dictionary (with the merge target of small segments) are kept
   with the model, so a scored batch does not change how its own rows are read.
-* The largest ``boosted_segments`` segments get a booster, each a distributed fit on its own
-  files; all others get least squares from one shared aggregation. No segment is dropped.
+* Every segment gets a booster, each a distributed fit on its own files, and its own set of
+  features, chosen once on all its training rows. Only rows of a segment whose fit has no
+  rows (all of them in the fold left out) get the overall mean. The fits are driven from
+  here, ``parallelism`` at a time: their number is that of the segments, which ``min_segment``
+  bounds by the rows.
+* The meta-models see each row's own ``segment_prediction`` and one ``pred_<segment>`` column
+  for every segment, 0 outside it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import partial
 
@@ -26,7 +31,6 @@ from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators.clean import constant_impute, finite_target, fit_medians, impute
 from claimwright.operators.features import engineered
-from claimwright.operators.linear import LinearModels, fit_linear
 from claimwright.operators.metrics import regression_metrics, weighted_metrics
 from claimwright.operators.segments import SegmentDictionary, segment_composite
 from claimwright.session import settle, spread
@@ -35,8 +39,7 @@ from claimwright.sources.claims import CATEGORICAL, KEY, NUMERIC, TARGET
 FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "total_damages",
             "log_special", "log_general", "log_damages", "special_general_ratio", "severe_injury",
             "whiplash_flag", "psych_flag", "severe_total", "psych_total"]
-LINEAR = ["total_special", "total_general"]
-META = ["segment_prediction", "total_special", "total_general", "total_damages"]
+TOTALS = ["total_special", "total_general", "total_damages"]
 
 
 def select_features(model: PipelineModel, features: Sequence[str], least: int = 3) -> list[str]:
@@ -47,21 +50,31 @@ def select_features(model: PipelineModel, features: Sequence[str], least: int =
     return kept if len(kept) >= least else sorted(values, key=lambda f: (-values[f], f))[:least]
 
 
+def segment_names(rows: DataFrame) -> list[str]:
+    return [r[0] for r in rows.select("segment").distinct().sort("segment").collect()]
+
+
 def boosted_per_segment(
-    rows: DataFrame, features: Sequence[str], estimator, names: Sequence[str] | None = None,
-    select: bool = False,
+    rows: DataFrame, features: Sequence[str], estimator, chosen: Mapping[str, list[str]] | None = None,
+    parallelism: int = 4,
 ) -> dict[str, PipelineModel]:
-    """One booster per segment of ``rows`` (written by segment), a few at a time."""
-    if names is None:
-        names = [r[0] for r in rows.select("segment").distinct().sort("segment").collect()]
+    """One booster per segment of ``rows`` (written by segment), a few at a time. ``chosen``
+    has the segments to fit and their features; by default all with all. A segment without
+    rows here is left out."""
+    chosen = chosen or {name: list(features) for name in segment_names(rows)}
+
+    def fit(name: str) -> PipelineModel | None:
+        own = rows.where(F.col("segment") == name)
+        return mo.fit_on(own, chosen[name], estimator.copy()) if own.head(1) else None
 
-    def fit(name: str) -> PipelineModel:
-        own, used = rows.where(F.col("segment") == name), list(features)
-        if select and len(used) > 5:
-            used = select_features(mo.fit_on(own, used, estimator.copy()), used)
-        return mo.fit_on(own, used, estimator.copy())
+    fitted = mo.fit_all({name: partial(fit, name) for name in chosen}, parallelism)
+    return {name: model for name, model in fitted.items() if model is not None}
 
-    return mo.fit_all({name: partial(fit, name) for name in names})
+
+def chosen_features(rows: DataFrame, features: Sequence[str], estimator, parallelism: int = 4) -> dict[str, list[str]]:
+    """For every segment the features of at least mean importance in a booster over all."""
+    fitted = boosted_per_segment(rows, features, estimator, None, parallelism)
+    return {name: select_features(model, features) for name, model in fitted.items()}
 
 
 def boosted_segmentation(
@@ -72,15 +85,10 @@ def boosted_segmentation(
         dictionary.split(df).select("segment", "split", "y", *features), "search-files", by="segment"
     )
     fitted = boosted_per_segment(rows.where("split = 'train'"), features, estimator)
-    parts = [
-        model.transform(rows.where((F.col("segment") == name) & (F.col("split") == "test"))).select(
-            "segment", "y", "prediction"
-        )
-        for name, model in fitted.items()
-    ]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    scored = rows.select("segment", "y", F.lit(0.0).alias("prediction")).limit(0)
+    for name, model in fitted.items():
+        test = rows.where((F.col("segment") == name) & (F.col("split") == "test"))
+        scored = scored.unionByName(model.transform(test).select("segment", "y", "prediction"))
     sizes = dictionary.sizes().withColumnRenamed("n", "n_total")
     return weighted_metrics(regression_metrics(scored, ["segment"]).join(sizes, "segment"), "n_total")
 
@@ -90,8 +98,8 @@ class UnifiedSegmentedModel:
     segmentation: list[str] = field(default_factory=lambda: ["exceptional_circumstances", "accident_type"])
     min_segment: int = 50
     feature_selection: bool = True
-    boosted_segments: int = 32
     trees: int = 150
+    parallelism: int = 4
     folds: int = 5
 
     def fit(self, df: DataFrame) -> FittedSegmentedModel:
@@ -106,37 +114,34 @@ class UnifiedSegmentedModel:
         rows = settle(
             dictionary.split(ready).select(KEY, "segment", "fold", "y", *FEATURES), "unified-rows", by="segment"
         )
-        largest = dictionary.sizes().orderBy(F.desc("n"), "segment").limit(self.boosted_segments)
-        names = [r["segment"] for r in largest.collect()]
         estimator = mo.boosted_trees(self.trees, 0.1, 5, subsample=0.8, column_share=0.8)
+        if self.feature_selection:
+            chosen = chosen_features(rows, FEATURES, estimator, self.parallelism)
+        else:
+            chosen = {name: FEATURES for name in segment_names(rows)}
 
         def boosted(part: DataFrame) -> dict[str, PipelineModel]:
-            return boosted_per_segment(part, FEATURES, estimator, names, self.feature_selection)
+            return boosted_per_segment(part, FEATURES, estimator, chosen, self.parallelism) if chosen else {}
 
-        linear = fit_linear(rows, LINEAR, "y", ["segment"], "fold")
-        parts = []
+        meta = _meta_columns(list(chosen))
+        meta_rows = rows.select(KEY, "y", "fold", *TOTALS, F.lit(0.0).alias("segment_prediction"), "segment").limit(0)
         for k in range(self.folds):
-            inside = boosted(rows.where(F.col("fold") != k))
-            own = linear.predict(rows.where(F.col("fold") == k), "linear", out_of_fold=True)
-            parts.append(_own_prediction(own, inside, overall))
-        meta_rows = parts[0]
-        for part in parts[1:]:
-            meta_rows = meta_rows.unionByName(part)
-        meta_rows = settle(
-            spread(meta_rows.select(KEY, "y", "fold", *META), KEY), "unified-meta"
-        )
+            scored = _own_prediction(rows.where(F.col("fold") == k), boosted(rows.where(F.col("fold") != k)), overall)
+            meta_rows = meta_rows.unionByName(scored.select(*meta_rows.columns))
+        meta_rows = _with_segment_columns(meta_rows, list(chosen))
+        meta_rows = settle(spread(meta_rows.select(KEY, "y", "fold", *meta), KEY), "unified-meta")
         bases = {
             "boosted": mo.boosted_trees(self.trees, 0.05, 4),
             "gbm": mo.gradient_boosting(self.trees, 0.05, 4),
             "rf": mo.random_forest(self.trees, 8),
         }
         inside, _, full = en.tree_out_of_fold(
-            meta_rows, None, META, bases, "fold", self.folds
+            meta_rows, None, meta, bases, "fold", self.folds
         )
         names_in = [f"pred_{b}" for b in bases]
         final = mo.elastic_net(0.001, 0.5, mo.target_deviation(inside, "y")[1])
         return FittedSegmentedModel(
-            asdict(self), medians, overall, dictionary, boosted(rows), linear, full,
+            asdict(self), medians, overall, dictionary, list(chosen), boosted(rows), full,
             mo.fit_on(inside, names_in, final),
         )
 
@@ -149,15 +154,24 @@ def _prepared(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def _own_prediction(df: DataFrame, boosted: dict[str, PipelineModel], overall: float) -> DataFrame:
-    """``segment_prediction``: the booster's where the segment has one, else ``linear``,
-    else the overall mean. Every branch reads only its own segments."""
-    own = F.coalesce(F.col("linear"), F.lit(overall), F.lit(0.0))
+    """``segment_prediction``: the booster's where the segment has one, else the overall
+    mean. Every branch reads only its own segments."""
     others = ~F.col("segment").isin(list(boosted)) | F.col("segment").isNull()
-    result = df.where(others).withColumn("segment_prediction", own)
+    result = df.where(others).withColumn("segment_prediction", F.coalesce(F.lit(overall), F.lit(0.0)))
     for name, model in boosted.items():
         scored = model.transform(df.where(F.col("segment") == name)).drop("features")
         result = result.unionByName(scored.withColumnRenamed("prediction", "segment_prediction"))
-    return result.drop("linear")
+    return result
+
+
+def _meta_columns(segments: Sequence[str]) -> list[str]:
+    """By number, as a segment's name may hold any character."""
+    return ["segment_prediction", *TOTALS, *[f"pred_segment_{i}" for i in range(len(segments))]]
+
+
+def _with_segment_columns(df: DataFrame, segments: Sequence[str]) -> DataFrame:
+    own = {f"pred_segment_{i}": F.when(F.col("segment") == s, F.col("segment_prediction")).otherwise(0.0) for i, s in enumerate(segments)}
+    return df.withColumns(own) if own else df
 
 
 @dataclass
@@ -166,20 +180,22 @@ class FittedSegmentedModel:
     medians: dict[str, float]
     overall: float
     dictionary: SegmentDictionary
+    segments: list[str]
     boosted: dict[str, PipelineModel]
-    linear: LinearModels
     bases: dict[str, PipelineModel]
     final: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``segment``, ``segment_prediction`` and the non-negative ``prediction``."""
         ready = self.dictionary.assign(_prepared(df, self.medians))
-        # Written by segment, so that each booster reads only its own rows.
-        ready = settle(ready, "unified-scoring", by="segment")
-        scored = _own_prediction(self.linear.predict(ready, "linear"), self.boosted, self.overall)
+        if not df.isStreaming:
+            # Written by segment, so that each booster reads only its own rows. A stream's
+            # batch is filtered for each booster instead.
+            ready = settle(ready, "unified-scoring", by="segment")
+        scored = _with_segment_columns(_own_prediction(ready, self.boosted, self.overall), self.segments)
         for name, model in self.bases.items():
             scored = model.transform(scored).withColumnRenamed("prediction", f"pred_{name}").drop("features")
-        scored = self.final.transform(scored).drop("features", *[f"pred_{b}" for b in self.bases])
+        scored = self.final.transform(scored).drop("features", *[f"pred_{b}" for b in self.bases], *_meta_columns(self.segments)[4:])
         return scored.withColumn(
             "prediction", en.clip_nonnegative(F.coalesce(F.col("prediction"), F.lit(self.overall)))
         )
@@ -195,13 +211,13 @@ class FittedSegmentedModel:
                 model.write().overwrite().save(f"{path}/{folder}/{i}")
         self.final.write().overwrite().save(f"{path}/final")
         self.dictionary.table.write.mode("overwrite").parquet(f"{path}/segments")
-        self.linear.table.write.mode("overwrite").parquet(f"{path}/linear")
         facts = {
             "params": self.params,
             "medians": self.medians,
             "overall": self.overall,
             "columns": self.dictionary.columns,
             "fallback": self.dictionary.fallback,
+            "segments": self.segments,
             "boosted": list(self.boosted),
             "bases": list(self.bases),
         }
@@ -218,8 +234,7 @@ class FittedSegmentedModel:
         dictionary = SegmentDictionary(
             spark.read.parquet(f"{path}/segments"), facts["columns"], facts["fallback"]
         )
-        linear = LinearModels(spark.read.parquet(f"{path}/linear"), LINEAR, ["segment"])
         return cls(
-            facts["params"], facts["medians"], facts["overall"], dictionary, models("boosted"), linear,
+            facts["params"], facts["medians"], facts["overall"], dictionary, facts["segments"], models("boosted"),
             models("bases"), PipelineModel.load(f"{path}/final"),
         )

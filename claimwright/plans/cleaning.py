@@ -14,7 +14,7 @@ from claimwright.plans.base import base, hierarchy, segmented, written_claims
 from claimwright.plans.registry import query
 from claimwright.plans.sql import on_base, on_claims, on_segments, on_trimmed, FINITE
 from claimwright.session import shared_path
-from claimwright.sources.claims import CATEGORICAL, KEY, NUMERIC, TARGET, claims
+from claimwright.sources.claims import CATEGORICAL, COLUMNS, KEY, NUMERIC, TARGET, claims
 from claimwright.sources.tables import append_run, scan_claims, sink_metrics
 
 TEXT_COLUMNS = ["exceptional_circumstances", "accident_type", "injury_description"]
@@ -102,7 +102,7 @@ def run_log(spark, sf_dir) -> DataFrame:
     ),
 )
 def table_shape(spark, sf_dir) -> DataFrame:
-    frame = written_claims(spark, sf_dir)
+    frame = written_claims(spark, sf_dir, [])
     threshold = clean.trim_threshold(clean.finite_target(frame, TARGET), TARGET)
     y = F.col(TARGET)
     return profile.table_shape(
@@ -113,6 +113,7 @@ def table_shape(spark, sf_dir) -> DataFrame:
             "target_finite": F.abs(y) < float("inf"),
             "outliers_trimmed": y <= threshold,
         },
+        len(COLUMNS),
     )
 
 
@@ -146,7 +147,7 @@ def missing_profile(spark, sf_dir) -> DataFrame:
     ),
 )
 def target_summary(spark, sf_dir) -> DataFrame:
-    kept = clean.quantile_trim(written_claims(spark, sf_dir), TARGET)
+    kept = clean.quantile_trim(written_claims(spark, sf_dir, []), TARGET)
     median = quantile_values(kept, [TARGET], [0.5])[(TARGET, 0.5)]
     return kept.agg(
         F.count(F.lit(1)).alias("n"),
@@ -187,7 +188,7 @@ def cardinality_profile(spark, sf_dir) -> DataFrame:
     ),
 )
 def segment_share(spark, sf_dir) -> DataFrame:
-    sizes = segment_single(base(spark, sf_dir), "exceptional_circumstances").sizes()
+    sizes = segment_single(base(spark, sf_dir, "exceptional_circumstances"), "exceptional_circumstances").sizes()
     total = sizes.agg(F.sum("n")).scalar()
     return sizes.select(
         shown(F.col("segment")).alias("segment"),
@@ -265,7 +266,7 @@ def text_exclude(spark, sf_dir) -> DataFrame:
 )
 def feature_projection(spark, sf_dir) -> DataFrame:
     wanted = ["special_care", "special_medical", "total_damages", "pred_unseen"]
-    frame = base(spark, sf_dir).withColumn("y", rounded(F.col("y")))
+    frame = base(spark, sf_dir, *wanted[:3]).withColumn("y", rounded(F.col("y")))
     return clean.feature_projection(frame, wanted, target="y", keep=[KEY])
 
 
@@ -275,7 +276,7 @@ _IMPUTED = ["special_care", "special_earnings", "special_medical", "general_rest
 
 @query("median_impute", on_base(f"SELECT claim_id, {', '.join(_IMPUTED)} FROM imputed"))
 def median_impute(spark, sf_dir) -> DataFrame:
-    kept = clean.quantile_trim(written_claims(spark, sf_dir), TARGET)
+    kept = clean.quantile_trim(written_claims(spark, sf_dir, NUMERIC), TARGET)
     return clean.impute(kept, clean.fit_medians(kept, NUMERIC)).select(KEY, *_IMPUTED)
 
 
@@ -297,7 +298,7 @@ _FOLD = "(claim_id * 2654435761) % 4294967296 % 5"
 )
 def median_impute_fitted(spark, sf_dir) -> DataFrame:
     """Medians of the training rows, applied to the test rows."""
-    frame = written_claims(spark, sf_dir).withColumn("split", split.holdout(F.col(KEY)))
+    frame = written_claims(spark, sf_dir, NUMERIC).withColumn("split", split.holdout(F.col(KEY)))
     medians = clean.fit_medians(frame.where("split = 'train'"), NUMERIC)
     return clean.impute(frame.where("split = 'test'"), medians).select(KEY, *_IMPUTED)
 
@@ -341,7 +342,7 @@ def drop_all_null_columns(spark, sf_dir) -> DataFrame:
         )
         for v in ("Yes", "No", "Withdrawn")
     }
-    frame = base(spark, sf_dir).withColumns(own).select(KEY, *own)
+    frame = base(spark, sf_dir, "exceptional_circumstances", "total_damages").withColumns(own).select(KEY, *own)
     return clean.drop_all_null_columns(frame, list(own))
 
 
@@ -364,7 +365,7 @@ def drop_all_null_columns(spark, sf_dir) -> DataFrame:
 )
 def standard_scale(spark, sf_dir) -> DataFrame:
     columns = [*_IMPUTED, "constant"]
-    frame = base(spark, sf_dir).withColumn("constant", F.lit(1.0))
+    frame = base(spark, sf_dir, *_IMPUTED).withColumn("constant", F.lit(1.0))
     scaler = clean.fit_scaler(frame.where("split = 'train'"), columns)
     return frame.select(KEY, *[rounded(clean.scaled(c, scaler), 6).alias(c) for c in columns])
 
@@ -386,7 +387,7 @@ def standard_scale(spark, sf_dir) -> DataFrame:
 def one_hot(spark, sf_dir) -> DataFrame:
     """Categories are learned where the circumstances are known; the imputed ``Unknown``
     is then a value not seen in training and encodes to zeros only."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, "vehicle_type", "exceptional_circumstances")
     train = frame.where("split = 'train' AND exceptional_circumstances <> 'Unknown'")
     encoded = []
     for column in ("vehicle_type", "exceptional_circumstances"):

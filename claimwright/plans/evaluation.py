@@ -10,7 +10,7 @@ from claimwright.functions.numbers import rounded
 from claimwright.operators import metrics as me
 from claimwright.operators import segments as sg
 from claimwright.operators.linear import fit_linear
-from claimwright.plans.base import base, hierarchy
+from claimwright.plans.base import CRITERIA, base, hierarchy
 from claimwright.plans.linear_models import shown_metrics
 from claimwright.plans.registry import query
 from claimwright.plans.sql import metrics, on_segments
@@ -34,7 +34,7 @@ mx AS (SELECT model, avg((y-prediction)*(y-prediction)) AS mse, sqrt(avg((y-pred
 def scored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Long test predictions ``(segment, model, y, prediction)`` of four models, and the
     whole size of every segment."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA, "total_damages")
     dictionary = hierarchy(frame)
     rows = settle(
         dictionary.split(frame).select("segment", "split", "y", "total_damages"), "scored-rows"

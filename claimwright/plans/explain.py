@@ -14,8 +14,8 @@ from claimwright.operators.features import row_total
 from claimwright.operators.linear import fit_linear
 from claimwright.operators.metrics import regression_metrics
 from claimwright.operators.neighbours import distance_weighted, nearest
-from claimwright.plans.base import base, hierarchy, segmented
-from claimwright.plans.linear_models import PREDICTIONS, STACK, STACK_SQL, _predictions_sql, predictions
+from claimwright.plans.base import CRITERIA, base, hierarchy, segmented
+from claimwright.plans.linear_models import BASE_COLUMNS, PREDICTIONS, STACK, STACK_SQL, _predictions_sql, predictions
 from claimwright.plans.registry import query
 from claimwright.plans.sql import on_base, on_claims, on_segments
 from claimwright.session import settle
@@ -26,7 +26,6 @@ FEATURES = [
     "total_special", "total_general", "driver_age", "vehicle_age",
     "severe_injury", "whiplash_flag", "psych_flag",
 ]
-CRITERIA = ["exceptional_circumstances", "accident_type"]
 
 
 def _show(df: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def _show(df: DataFrame) -> DataFrame:
 
 def explained(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Segmented records and their segments' fitted models (training rows only)."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA, *FEATURES)
     rows = settle(
         hierarchy(frame).split(frame).select(KEY, "segment", "split", "y", *CRITERIA, *FEATURES),
         "explained-rows",
@@ -79,7 +78,7 @@ prd AS (SELECT claim_id, any_value(y) AS y, sum(a + b * x) AS prediction FROM lo
 def explain_records(spark, sf_dir) -> DataFrame:
     """Prediction of the whole stack, the record's segment, and what that segment's model
     alone says."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA, "total_damages")
     rows = settle(
         hierarchy(frame).assign(frame).select(
             KEY, "segment", "y", "split", "inner_fold", *CRITERIA, "total_damages"
@@ -246,27 +245,28 @@ def sensitivity_screen(spark, sf_dir) -> DataFrame:
     )
 
 
+_SHOWN = """shw AS (SELECT claim_id, feature, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY
+    CASE WHEN in_kind <= quota THEN ord ELSE 9 END, overall) AS place FROM (
+      SELECT claim_id, feature, kind, CASE kind WHEN 'damage' THEN 2 ELSE 1 END AS quota,
+        CASE kind WHEN 'damage' THEN 1 WHEN 'injury' THEN 2 WHEN 'demographic' THEN 3 ELSE 4 END AS ord,
+        row_number() OVER (PARTITION BY claim_id, kind ORDER BY round(score, 9) DESC, feature) AS in_kind,
+        row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, feature) AS overall FROM scr))
+    WHERE place <= 5)"""
+
+
 @query(
     "diverse_top_features",
     on_segments(
-        """SELECT claim_id, feature, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY
-            CASE WHEN in_kind <= quota THEN ord ELSE 9 END, overall) AS place FROM (
-          SELECT claim_id, feature, kind, CASE kind WHEN 'damage' THEN 2 ELSE 1 END AS quota,
-            CASE kind WHEN 'damage' THEN 1 WHEN 'injury' THEN 2 WHEN 'demographic' THEN 3 ELSE 4 END AS ord,
-            row_number() OVER (PARTITION BY claim_id, kind ORDER BY round(score, 9) DESC, feature) AS in_kind,
-            row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, feature) AS overall FROM scr))
-        WHERE place <= 5""",
+        "SELECT * FROM shw",
         _FIT,
         _SCREEN,
+        _SHOWN,
     ),
 )
 def diverse_top_features(spark, sf_dir) -> DataFrame:
     return ex.diverse(_with_models(spark, sf_dir), KEY, FEATURES)
 
 
-CURVES = ["total_special", "vehicle_age", "whiplash_flag"]
-
-
 @query(
     "sensitivity_curve",
     on_segments(
@@ -275,46 +275,31 @@ CURVES = ["total_special", "vehicle_age", "whiplash_flag"]
           SELECT claim_id, feature, x, b, prediction,
             CASE WHEN abs(x) >= 0.1 THEN greatest(0, x * 0.2) WHEN p90 - greatest(0, p10) < 1 THEN 0 ELSE greatest(0, p10) END AS lo,
             CASE WHEN abs(x) >= 0.1 THEN x * 2 WHEN p90 - greatest(0, p10) < 1 THEN greatest(1000, mx * 1.2) ELSE p90 END AS hi
-          FROM long JOIN fit USING (segment, feature) JOIN prd USING (claim_id) JOIN qs USING (segment, feature)),
+          FROM long JOIN fit USING (segment, feature) JOIN prd USING (claim_id) JOIN qs USING (segment, feature)
+            JOIN (SELECT claim_id, feature FROM shw) USING (claim_id, feature)),
         (SELECT unnest(range(11)) AS g)""",
         _FIT,
+        _SCREEN,
+        _SHOWN,
         """qs AS (SELECT segment, feature, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90, max(x) AS mx
-          FROM long WHERE feature IN ('total_special', 'vehicle_age', 'whiplash_flag') GROUP BY 1, 2)""",
+          FROM long GROUP BY 1, 2)""",
     ),
 )
 def sensitivity_curve(spark, sf_dir) -> DataFrame:
-    """Eleven values of a feature and the prediction at each, all else unchanged."""
+    """Eleven values of each feature that the record's report shows, and the prediction at
+    each, all else unchanged."""
     rows, models = explained(spark, sf_dir)
-    spread = exact_quantiles(rows, CURVES, [0.1, 0.9, 1.0], ["segment"])
+    spread = exact_quantiles(rows, FEATURES, [0.1, 0.9, 1.0], ["segment"])
     at = {"low": 0.1, "high": 0.9, "top": 1.0}
-    spread = spread.groupBy("segment").agg(
-        *[
-            F.max(F.when((F.col("feature") == c) & (F.col("p") == p), F.col("value"))).alias(f"{c}_{n}")
-            for c in CURVES
-            for n, p in at.items()
-        ]
-    )
-    fitted = settle(
-        models.select("segment", "intercept", "slopes").join(spread, "segment"), "curve-models"
-    )
-    scored = rows.join(fitted, "segment").withColumn("now", ex.predicted(FEATURES))
-    cells = []
-    for c in CURVES:
-        x = F.col(c).cast("double")
-        low, high = ex.curve_range(x, F.col(f"{c}_low"), F.col(f"{c}_high"), F.col(f"{c}_top"))
-        cells.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                x.alias("x"),
-                F.col("slopes")[FEATURES.index(c)].alias("b"),
-                low.cast("double").alias("low"),
-                high.cast("double").alias("high"),
-            )
-        )
+    spread = spread.groupBy("segment", "feature").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in at.items()])
+    ranges = spread.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*at)))).alias("ranges"))
+    fitted = settle(models.drop("means").join(ranges, "segment"), "curve-models")
+    scored = rows.join(fitted, "segment").withColumn("prediction", ex.predicted(FEATURES))
+    shown = ex.with_shown(scored, FEATURES).select(KEY, F.col("prediction").alias("now"), "ranges", F.explode("shown").alias("s"))
+    own = F.col("ranges")[F.col("s.feature")]
+    low, high = ex.curve_range(F.col("s.value"), own["low"], own["high"], own["top"])
     points = F.explode(F.sequence(F.lit(0), F.lit(10))).alias("point")
-    grid = scored.select(KEY, "now", F.explode(F.array(*cells)).alias("c")).select(
-        KEY, "now", "c.*", points
-    )
+    grid = shown.select(KEY, "now", F.col("s.feature").alias("feature"), F.col("s.value").alias("x"), F.col("s.slope").alias("b"), low.cast("double").alias("low"), high.cast("double").alias("high"), points)
     value = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / 10
     return grid.select(
         KEY,
@@ -361,7 +346,7 @@ def _standardised(rows: DataFrame) -> DataFrame:
 
 def _similar(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = settle(
-        segmented(spark, sf_dir).select(
+        segmented(spark, sf_dir, *DISTANCE).select(
             KEY, "segment", "y", *[F.col(c).cast("double").alias(c) for c in DISTANCE], "total_special", "total_general"
         ),
         "similar-rows",
@@ -442,7 +427,7 @@ def knn_regression(spark, sf_dir) -> DataFrame:
     """Five neighbours among the training rows in the space of the base predictions,
     weighted by inverse distance."""
     rows = settle(
-        predictions(base(spark, sf_dir), "split = 'train'").select(KEY, "y", "split", *PREDICTIONS),
+        predictions(base(spark, sf_dir, *BASE_COLUMNS), "split = 'train'").select(KEY, "y", "split", *PREDICTIONS),
         "knn-rows",
     )
     found = nearest(

@@ -150,7 +150,7 @@ def yes_no_flags(spark, sf_dir) -> DataFrame:
 )
 def interactions(spark, sf_dir) -> DataFrame:
     """Both published variants: with the special total, and with the total of all damages."""
-    return base(spark, sf_dir).select(
+    return base(spark, sf_dir, "severe_special", "psych_special", "vehicle_age_special", "severe_total", "psych_total").select(
         KEY,
         "severe_special",
         "psych_special",

@@ -12,7 +12,7 @@ from claimwright.operators import models as mo
 from claimwright.operators import segments as sg
 from claimwright.operators.linear import ALL_FOLDS, fit_linear
 from claimwright.operators.metrics import METRICS, metric_columns, regression_metrics
-from claimwright.plans.base import base, hierarchy, segmented
+from claimwright.plans.base import CRITERIA, base, hierarchy, segmented
 from claimwright.plans.registry import query
 from claimwright.plans.sql import metrics, on_base, on_segments
 from claimwright.session import settle
@@ -47,7 +47,7 @@ def two_feature_sql(l1: str, l2: str) -> str:
 
 
 def _linear_query(spark, sf_dir, estimator) -> DataFrame:
-    frame = settle(base(spark, sf_dir).select("y", "split", *TWO), "linear-frame")
+    frame = settle(base(spark, sf_dir, *TWO).select("y", "split", *TWO), "linear-frame")
     train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
     n, deviation = mo.target_deviation(train, "y")
     model = mo.fit_on(train, TWO, estimator(n, deviation))
@@ -92,11 +92,7 @@ def sgd_linear(spark, sf_dir) -> DataFrame:
     """The objective of the stochastic-gradient model, minimised by quasi-Newton steps on
     distributed gradients. pyspark.ml scales by the sample deviation with this solver."""
 
-    def estimator(n, s):
-        sample = s * (n / (n - 1)) ** 0.5
-        return mo.elastic_net(0.01, 0.5, sample).setSolver("l-bfgs")
-
-    return _linear_query(spark, sf_dir, estimator)
+    return _linear_query(spark, sf_dir, lambda n, s: mo.elastic_net(0.01, 0.5, s, rows=n, solver="l-bfgs"))
 
 
 # --- models per segment -------------------------------------------------------------
@@ -118,7 +114,7 @@ all_mdl AS (SELECT avg(y) AS g_mean, regr_slope(y, total_damages) AS g1, regr_in
 )
 def per_segment_models(spark, sf_dir) -> DataFrame:
     """Least squares and mean of every segment in one aggregation, whatever their number."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA, "total_damages")
     dictionary = hierarchy(frame)
     rows = settle(
         dictionary.split(frame).select("segment", "split", "y", "total_damages"), "segment-rows"
@@ -149,9 +145,9 @@ def per_segment_models(spark, sf_dir) -> DataFrame:
     ),
 )
 def baseline_model(spark, sf_dir) -> DataFrame:
-    rows = settle(segmented(spark, sf_dir).select("split", "y", "total_damages"), "baseline-rows")
+    rows = settle(segmented(spark, sf_dir, "total_damages").select("split", "y", "total_damages"), "baseline-rows")
     model = fit_linear(rows.where("split = 'train'"), ["total_damages"], "y")
-    fitted = model.rows()[0]
+    fitted = model.only()
     scored = model.predict(rows.where("split = 'test'"), "prediction")
     return shown_metrics(
         regression_metrics(scored).withColumns(
@@ -178,10 +174,10 @@ def baseline_model(spark, sf_dir) -> DataFrame:
 )
 def segment_mean_fallback(spark, sf_dir) -> DataFrame:
     """A fit needs 100 rows, a segment 7; below that the segment's or the overall mean."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, "accident_type", "total_damages")
     train = frame.where("split = 'train'")
     fitted = fit_linear(train, ["total_damages"], "y", ["accident_type"])
-    overall = fit_linear(train, [], "y").rows()[0]["mean_y"]
+    overall = fit_linear(train, [], "y").only()["mean_y"]
     usable = fitted.table.where(F.col("n") >= 7).select(
         "accident_type", "n", "mean_y", "intercept", F.col("slopes")[0].alias("slope")
     )
@@ -211,7 +207,7 @@ def segment_mean_fallback(spark, sf_dir) -> DataFrame:
 )
 def clip_nonnegative(spark, sf_dir) -> DataFrame:
     """A steeply falling model, which is negative for large ratios."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, "age_damage_ratio")
     model = fit_linear(frame.where("split = 'train'"), ["age_damage_ratio"], "y")
     scored = model.predict(frame, "raw")
     return scored.select(
@@ -229,6 +225,7 @@ BASES = {
     "general": en.LinearBase("general", ["total_general"]),
 }
 PREDICTIONS = [f"pred_{b}" for b in BASES]
+BASE_COLUMNS = ["accident_type", *TWO]
 
 
 def _predictions_sql(train: str) -> str:
@@ -263,7 +260,7 @@ def predictions(frame: DataFrame, train: str) -> DataFrame:
 def voting_weighted(spark, sf_dir) -> DataFrame:
     """Weights from a validation fold that neither fits the models nor is scored."""
     scored = settle(
-        predictions(base(spark, sf_dir), "fold > 1").select(KEY, "y", "fold", *PREDICTIONS),
+        predictions(base(spark, sf_dir, *BASE_COLUMNS), "fold > 1").select(KEY, "y", "fold", *PREDICTIONS),
         "votes",
     )
     weights = en.vote_weights(scored.where("fold = 1"), PREDICTIONS)
@@ -280,7 +277,7 @@ def voting_weighted(spark, sf_dir) -> DataFrame:
     ),
 )
 def voting_uniform(spark, sf_dir) -> DataFrame:
-    scored = predictions(base(spark, sf_dir), "split = 'train'").where("split = 'test'")
+    scored = predictions(base(spark, sf_dir, *BASE_COLUMNS), "split = 'train'").where("split = 'test'")
     return scored.select(KEY, rounded(en.mean_vote(PREDICTIONS)).alias("prediction"))
 
 
@@ -293,7 +290,7 @@ def voting_uniform(spark, sf_dir) -> DataFrame:
 )
 def mean_ensemble(spark, sf_dir) -> DataFrame:
     """The mean of a named subset of the base learners, and its metrics."""
-    scored = predictions(base(spark, sf_dir), "split = 'train'").where("split = 'test'")
+    scored = predictions(base(spark, sf_dir, *BASE_COLUMNS), "split = 'train'").where("split = 'test'")
     vote = en.mean_vote(["pred_special", "pred_general"])
     return shown_metrics(regression_metrics(scored.select("y", vote.alias("prediction"))))
 
@@ -333,7 +330,7 @@ STACK_SQL = """k5 AS (SELECT unnest(range(5)) AS f),
 def stacking(spark, sf_dir) -> DataFrame:
     """Ridge (0.1) over out-of-fold predictions of group means and group least squares."""
     frame = settle(
-        base(spark, sf_dir).select(
+        base(spark, sf_dir, *CRITERIA, "total_damages").select(
             KEY, "y", "split", "inner_fold", "accident_type", "exceptional_circumstances", "total_damages"
         ),
         "stack-frame",
@@ -356,7 +353,7 @@ def stacking(spark, sf_dir) -> DataFrame:
 )
 def ensemble_weights(spark, sf_dir) -> DataFrame:
     """Meta-model coefficients, labelled by base model, by absolute size."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA, "total_damages")
     _, meta = en.linear_stack(
         frame.where("split = 'train'"), frame.where("split = 'test'"), STACK, "inner_fold", l2=0.1
     )
@@ -381,7 +378,7 @@ def ensemble_weights(spark, sf_dir) -> DataFrame:
     )
 
 
-SEGMENTS = ["No", "Unknown", "Yes"]
+SEGMENTS = ["No", "Unknown", "Yes"]  # the values in the tables, for the SQL twins only
 
 _META_SQL = """k5 AS (SELECT unnest(range(5)) AS f),
   tr AS (SELECT * FROM base WHERE split = 'train'),
@@ -393,15 +390,17 @@ _META_SQL = """k5 AS (SELECT unnest(range(5)) AS f),
 ) + """ FROM base JOIN co ON f = CASE WHEN split = 'train' THEN inner_fold ELSE -1 END GROUP BY ALL)"""
 
 
-def _meta_frame(spark, sf_dir) -> DataFrame:
-    """Own and all segment predictions; training rows get those of their left-out fold."""
-    frame = base(spark, sf_dir)
+def _meta_frame(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Own and all segment predictions, and the segments' names as fitted; training rows get
+    the predictions of their left-out fold."""
+    frame = base(spark, sf_dir, "exceptional_circumstances", "total_damages")
     train = frame.where("split = 'train'").withColumn("fold", F.col("inner_fold"))
     models = fit_linear(train, ["total_damages"], "y", ["exceptional_circumstances"], "fold")
     outside = F.when(F.col("split") == "train", F.col("inner_fold"))
+    names = en.fitted_groups(models, "exceptional_circumstances")
     return en.meta_features_wide(
-        frame.withColumn("left_out", outside), models, "exceptional_circumstances", SEGMENTS, "left_out"
-    )
+        frame.withColumn("left_out", outside), models, "exceptional_circumstances", names, "left_out"
+    ), names
 
 
 @query(
@@ -419,9 +418,9 @@ def _meta_frame(spark, sf_dir) -> DataFrame:
     ),
 )
 def meta_features_wide(spark, sf_dir) -> DataFrame:
-    names = [f"pred_{s}" for s in SEGMENTS] + [f"all_pred_{s}" for s in SEGMENTS]
+    frame, segments = _meta_frame(spark, sf_dir)
+    names = [f"pred_{s}" for s in segments] + [f"all_pred_{s}" for s in segments]
     names += ["pred_mean", "all_pred_mean", "segment_prediction"]
-    frame = _meta_frame(spark, sf_dir)
     return frame.select(KEY, *[rounded(F.col(c)).alias(c) for c in names])
 
 
@@ -435,8 +434,9 @@ def meta_features_wide(spark, sf_dir) -> DataFrame:
     ),
 )
 def meta_features_unified(spark, sf_dir) -> DataFrame:
-    names = [f"pred_{s}" for s in SEGMENTS]
-    frame = _meta_frame(spark, sf_dir).na.fill(0.0, names)
+    frame, segments = _meta_frame(spark, sf_dir)
+    names = [f"pred_{s}" for s in segments]
+    frame = frame.na.fill(0.0, names)
     return frame.select(
         KEY,
         *[rounded(F.col(c)).alias(c) for c in names],
@@ -462,14 +462,14 @@ def meta_features_unified(spark, sf_dir) -> DataFrame:
 def segment_prediction_feature(spark, sf_dir) -> DataFrame:
     """A row's own-segment prediction (0 if it has none) as a feature of a global model."""
     frame = settle(
-        _meta_frame(spark, sf_dir)
+        _meta_frame(spark, sf_dir)[0]
         .na.fill(0.0, ["segment_prediction"])
         .select("y", "split", "segment_prediction", "total_general"),
         "segment-feature",
     )
     features = ["segment_prediction", "total_general"]
     model = fit_linear(frame.where("split = 'train'"), features, "y")
-    fitted = model.rows()[0]
+    fitted = model.only()
     scored = model.predict(frame.where("split = 'test'"), "prediction")
     return shown_metrics(
         regression_metrics(scored).withColumns(

@@ -9,7 +9,7 @@ from claimwright.functions.numbers import rounded
 from claimwright.operators import search
 from claimwright.operators import segments as sg
 from claimwright.operators.metrics import improvement_pct
-from claimwright.plans.base import base, hierarchy
+from claimwright.plans.base import CRITERIA, base, hierarchy
 from claimwright.plans.registry import query
 from claimwright.plans.sql import on_base, on_segments
 from claimwright.sources.claims import CATEGORICAL, KEY
@@ -30,7 +30,7 @@ def _labelled(df: DataFrame) -> DataFrame:
     ),
 )
 def segment_single(spark, sf_dir) -> DataFrame:
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, "accident_type")
     return _labelled(sg.segment_single(frame, "accident_type").split(frame))
 
 
@@ -46,14 +46,14 @@ def segment_single(spark, sf_dir) -> DataFrame:
     ),
 )
 def segment_multi(spark, sf_dir) -> DataFrame:
-    frame = base(spark, sf_dir)
-    columns = ["exceptional_circumstances", "accident_type"]
+    frame = base(spark, sf_dir, *CRITERIA)
+    columns = list(CRITERIA)
     return _labelled(sg.segment_multi(frame, columns).split(frame))
 
 
 @query("segment_hierarchical", on_segments("SELECT claim_id, segment FROM seg"))
 def segment_hierarchical(spark, sf_dir) -> DataFrame:
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CRITERIA)
     return _labelled(hierarchy(frame).split(frame))
 
 
@@ -87,8 +87,8 @@ def _composite(size: int) -> list[str]:
 def segment_composite(spark, sf_dir) -> DataFrame:
     """Three columns, where the leftovers suffice for a bucket, and one column with a
     minimum they miss, so that they go into the largest segment."""
-    frame = base(spark, sf_dir)
-    columns = ["exceptional_circumstances", "accident_type", "injury_description"]
+    columns = [*CRITERIA, "injury_description"]
+    frame = base(spark, sf_dir, *columns)
     kept = _labelled(sg.segment_composite(frame, columns, 50).split(frame))
     merged = _labelled(sg.segment_composite(frame, ["accident_type"], 70).split(frame))
     return kept.withColumn("leftovers", F.lit("kept")).union(
@@ -109,8 +109,8 @@ def segment_composite(spark, sf_dir) -> DataFrame:
 )
 def segment_assign(spark, sf_dir) -> DataFrame:
     """The training dictionary applied to test rows."""
-    frame = base(spark, sf_dir)
-    columns = ["exceptional_circumstances", "accident_type"]
+    frame = base(spark, sf_dir, *CRITERIA)
+    columns = list(CRITERIA)
     dictionary = sg.segment_composite(frame.where("split = 'train'"), columns)
     return _labelled(dictionary.assign(frame.where("split = 'test'")))
 
@@ -122,7 +122,7 @@ def segment_assign(spark, sf_dir) -> DataFrame:
     ),
 )
 def segment_residual(spark, sf_dir) -> DataFrame:
-    frame = base(spark, sf_dir).select(KEY, "accident_type")
+    frame = base(spark, sf_dir, "accident_type").select(KEY, "accident_type")
     return sg.segment_residual(frame, sg.segment_single(frame, "accident_type"))
 
 
@@ -131,7 +131,7 @@ def segment_residual(spark, sf_dir) -> DataFrame:
     on_base("SELECT DISTINCT exceptional_circumstances, accident_type, vehicle_type FROM base"),
 )
 def distinct_combinations(spark, sf_dir) -> DataFrame:
-    return base(spark, sf_dir).select(
+    return base(spark, sf_dir, *CRITERIA, "vehicle_type").select(
         "exceptional_circumstances", "accident_type", "vehicle_type"
     ).distinct()
 
@@ -191,7 +191,7 @@ def _shown(results: DataFrame) -> DataFrame:
 @query("segmentation_search", on_base(f"SELECT {_SHOW} FROM result", *_SINGLE))
 def segmentation_search(spark, sf_dir) -> DataFrame:
     """Every text column; the date as text shows how a column of many values is skipped."""
-    return _shown(single_search(base(spark, sf_dir)))
+    return _shown(single_search(base(spark, sf_dir, *CATEGORICAL, "accident_date")))
 
 
 @query(
@@ -199,7 +199,7 @@ def segmentation_search(spark, sf_dir) -> DataFrame:
     on_base(f"SELECT {_SHOW} FROM result ORDER BY r2 DESC, candidate LIMIT 5", *_SINGLE),
 )
 def top_k_segmentations(spark, sf_dir) -> DataFrame:
-    return _shown(search.top_candidates(single_search(base(spark, sf_dir))))
+    return _shown(search.top_candidates(single_search(base(spark, sf_dir, *CATEGORICAL, "accident_date"))))
 
 
 _RANKED = "top5 AS (SELECT candidate, row_number() OVER (ORDER BY r2 DESC, candidate) AS rk FROM result ORDER BY rk LIMIT 5)"
@@ -225,7 +225,7 @@ _PAIRS = _search_sql(
 @query("pairwise_search", on_base(f"SELECT {_SHOW} FROM p_result", *_SINGLE, _RANKED, *_PAIRS))
 def pairwise_search(spark, sf_dir) -> DataFrame:
     """All pairs of the five best columns; five names come to the driver, no rows."""
-    frame = base(spark, sf_dir)
+    frame = base(spark, sf_dir, *CATEGORICAL, "accident_date")
     best = [r["candidate"] for r in search.top_candidates(single_search(frame)).collect()]
     pairs = search.pair_candidates(best)
     return _shown(search.evaluate_candidates(frame, pairs, min_size=100, most_values=None))

@@ -29,10 +29,10 @@ from claimwright.streaming.score import score_stream
 )
 def stream_scores(spark, sf_dir) -> DataFrame:
     """A fitted model applied to claim files as they arrive; the result is what the sink holds."""
-    frame = base(spark, sf_dir).select(KEY, "y", "split", *TWO)
-    model = fit_linear(settle(frame.where("split = 'train'"), "stream-train"), TWO, "y").rows()[0]
+    frame = base(spark, sf_dir, *TWO).select(KEY, "y", "split", *TWO)
+    model = fit_linear(settle(frame.where("split = 'train'"), "stream-train"), TWO, "y").only()
     source, sink = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
-    frame.select(KEY, *TWO).repartition(4, KEY).write.parquet(source)
+    frame.select(KEY, *TWO).hint("rebalance", KEY).write.parquet(source)
 
     def score(df: DataFrame) -> DataFrame:
         slopes = F.array(*[F.lit(b) for b in model["slopes"]])

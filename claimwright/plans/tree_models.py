@@ -32,7 +32,7 @@ from claimwright.operators.unified import (
     boosted_segmentation,
 )
 from claimwright.plans.base import base, written_claims
-from claimwright.plans.linear_models import SEGMENTS, shown_metrics
+from claimwright.plans.linear_models import shown_metrics
 from claimwright.plans.registry import query
 from claimwright.plans.sql import on_base
 from claimwright.session import settle, shared_path, spread
@@ -85,8 +85,8 @@ def xgboost_like(spark, sf_dir) -> DataFrame:
     return _single(spark, sf_dir, "boosted_trees", tuned)
 
 
-@query("preprocess_features")
-def preprocess_features(spark, sf_dir) -> DataFrame:
+@query("preprocess_pipeline")
+def preprocess_pipeline(spark, sf_dir) -> DataFrame:
     """Scaled numbers and indicator columns in one fitted chain, then least squares."""
     train, test = halves(model_frame(spark, sf_dir))
     stages = mo.preprocess_stages(FEATURES, CATEGORICAL)
@@ -187,8 +187,8 @@ def meta_learners(n: int, deviation: float, trees: int = TREES) -> dict[str, obj
         "ridge": mo.ridge(0.1, n, deviation),
         "lasso": mo.elastic_net(0.01, 1.0, deviation),
         "elastic_net": mo.elastic_net(0.01, 0.5, deviation),
-        # An iterative optimiser, stopped early as stochastic descent would be.
-        "sgd": mo.elastic_net(0.01, 0.5, deviation).setSolver("l-bfgs").setMaxIter(100).setTol(1e-6),
+        # The objective of stochastic descent, by quasi-Newton steps until it converges.
+        "sgd": mo.elastic_net(0.01, 0.5, deviation, rows=n, solver="l-bfgs"),
         "random_forest": mo.random_forest(trees, 5),
         "gradient_boosting": mo.gradient_boosting(trees, 0.05, 3),
         "boosted_trees": mo.boosted_trees(trees, rate=0.05, depth=3),
@@ -287,10 +287,11 @@ def stacked_segment_model(spark, sf_dir) -> DataFrame:
     train = frame.where("split = 'train'").withColumn("fold", F.col("inner_fold"))
     models = fit_linear(train, ["total_special", "total_general"], "y", ["exceptional_circumstances"], "fold")
     left_out = F.when(F.col("split") == "train", F.col("inner_fold"))
+    names = en.fitted_groups(models, "exceptional_circumstances")
     wide = en.meta_features_wide(
-        frame.withColumn("left_out", left_out), models, "exceptional_circumstances", SEGMENTS, "left_out"
+        frame.withColumn("left_out", left_out), models, "exceptional_circumstances", names, "left_out"
     )
-    meta = [f"{p}{s}" for p in ("pred_", "all_pred_") for s in SEGMENTS]
+    meta = [f"{p}{s}" for p in ("pred_", "all_pred_") for s in names]
     meta += ["pred_mean", "all_pred_mean", "segment_prediction"]
     ready = settle(spread(wide.na.fill(0.0, meta), KEY), "stacked-segments")
     train, test = halves(ready)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -40,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
     Only a local master may fall back to a temporary folder, since there the driver
-    and the executors are one process.
+    and the executors are one process; it is removed when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -49,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimwright-"))
+        folder = tempfile.mkdtemp(prefix="claimwright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 
 
@@ -69,12 +74,15 @@ def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     and a large one falls back to a sort-merge join with skew handling.
     """
     path = shared_path(df.sparkSession, name)
-    if by:
-        # Rebalancing brings a value's rows together and still splits a hot value.
-        df = df.hint("rebalance", by)
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not by:
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Folder names cannot tell an empty value from none: a letter before the value can.
+    # Rebalancing brings a value's rows together and still splits a hot value.
+    marked = df.withColumn(by, F.concat(F.lit("="), F.col(by))).hint("rebalance", by)
+    marked.write.partitionBy(by).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.withColumn(by, F.expr(f"substring(`{by}`, 2)")).select(*df.columns)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -57,8 +57,13 @@ def test_one_hot_of_unseen_value_is_all_zero(spark):
     test = spark.createDataFrame([("a",), ("z",), (None,)], "c string")
     columns = clean.one_hot("c", clean.fit_categories(train, "c"))
     assert [tuple(r) for r in test.select(*columns).collect()] == [(1, 0), (0, 0), (0, 0)]
-    with pytest.raises(ValueError):
-        clean.fit_categories(train, "c", most=1)
+
+
+def test_indicator_vector_takes_any_number_of_values(spark):
+    train = spark.range(3000).selectExpr("cast(id as string) c")
+    test = spark.createDataFrame([("7",), ("never seen",), (None,)], "c string")
+    found = [r.indicators for r in clean.indicator_vector(train, ["c"]).transform(test).collect()]
+    assert [v.size for v in found] == [3000] * 3 and [v.numNonzeros() for v in found] == [1, 0, 0]
 
 
 def test_projection_and_all_null_columns(spark):

@@ -36,7 +36,7 @@ def closed_form(x, y, l2=0.0):
 
 def test_grouped_fits_equal_closed_form_with_constant_feature(sample):
     df, x, y, group = sample
-    for row in fit_linear(df, ["a", "b", "c"], "y", ["g"], l2=0.5).rows():
+    for row in fit_linear(df, ["a", "b", "c"], "y", ["g"], l2=0.5).table.where("fold = -1").collect():
         mine = group == int(row["g"][1])
         intercept, slopes = closed_form(x[mine], y[mine], 0.5)
         assert row["intercept"] == pytest.approx(intercept, rel=1e-6)
@@ -76,7 +76,7 @@ def test_ridge_and_elastic_net_mapping(sample, solver):
 
 def test_least_squares_equal_pyspark(sample):
     df, *_ = sample
-    ours = fit_linear(df, ["a", "b"], "y").rows()[0]
+    ours = fit_linear(df, ["a", "b"], "y").only()
     theirs = mo.fit_on(df, ["a", "b"], LinearRegression(labelCol="y", solver="normal")).stages[-1]
     assert ours["intercept"] == pytest.approx(theirs.intercept)
     assert ours["slopes"] == pytest.approx(list(theirs.coefficients))

@@ -7,7 +7,7 @@ from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators import trees as tr
 from claimwright.operators.clean import finite_target
-from claimwright.operators.unified import FittedSegmentedModel, UnifiedSegmentedModel
+from claimwright.operators.unified import FittedSegmentedModel, UnifiedSegmentedModel, boosted_per_segment
 from claimwright.session import settle, shared_path
 from claimwright.sources.claims import KEY, TARGET, claims
 from claimwright.sources.tables import CLAIMS_SCHEMA, append_run, scan_claims, sink_metrics
@@ -47,7 +47,8 @@ def test_out_of_fold_table_has_every_training_row_once(frame):
 
 def test_unified_model_predicts_saves_and_loads(spark, sf_dir):
     raw = settle(claims(spark, sf_dir), "unified-test")
-    model = UnifiedSegmentedModel(["exceptional_circumstances"], trees=2, folds=2, boosted_segments=1).fit(raw)
+    model = UnifiedSegmentedModel(["exceptional_circumstances"], trees=2, folds=2).fit(raw)
+    assert sorted(model.boosted) == sorted(model.segments) and len(model.segments) == 2
     new = raw.withColumn("exceptional_circumstances", F.when(F.col(KEY) % 2 == 0, "Never seen").otherwise("No"))
     scored = settle(model.transform(new).select(KEY, "segment", "prediction"), "unified-scored")
     assert scored.count() == raw.count()
@@ -76,3 +77,17 @@ def test_csv_scan_sink_and_log(spark, sf_dir):
     append_run(metrics, log, "one")
     append_run(metrics, log, "two")
     assert spark.read.parquet(log).groupBy("run_id").count().collect()[0]["count"] == 4
+
+
+def test_every_segment_gets_a_booster(spark):
+    """Forty segments, one of them with an empty name, and none for a segment without rows."""
+    df = spark.range(400).selectExpr(
+        "id", "case when id % 40 = 0 then '' else concat('s', cast(id % 40 as string)) end segment", "cast(id as double) a", "cast(id % 40 as double) y"
+    )
+    rows = settle(df, "forty", by="segment")
+    assert rows.where("segment = ''").count() == 10 and rows.where("segment is null").count() == 0
+    fitted = boosted_per_segment(rows, ["a"], mo.boosted_trees(1, 1.0, 1))
+    assert len(fitted) == 40
+    assert set(boosted_per_segment(rows, ["a"], mo.boosted_trees(1, 1.0, 1), {"s1": ["a"], "never": ["a"]})) == {"s1"}
+    scored = fitted["s7"].transform(rows.where("segment = 's7'"))
+    assert scored.where("abs(prediction - 7) > 1e-9").count() == 0
