@@ -1,12 +1,10 @@
-"""Spark ML models. Their numbers have no SQL form; tests check their invariants.
-
-The registered queries grow a few trees; the library's defaults are the full sizes.
-"""
+"""Spark ML models. Their numbers have no SQL form; tests check their invariants."""
 
 from __future__ import annotations
 
 import time
 from functools import partial
+from itertools import combinations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -24,7 +22,7 @@ from claimwright.operators.clean import finite_target
 from claimwright.operators.linear import fit_linear
 from claimwright.operators.metrics import improvement_pct, regression_metrics
 from claimwright.operators.neighbours import distance_weighted, nearest
-from claimwright.operators.segments import segment_single
+from claimwright.operators.segments import SegmentDictionary, segment_multi, segment_single
 from claimwright.operators.split import holdout
 from claimwright.operators.unified import (
     UnifiedSegmentedModel,
@@ -41,7 +39,11 @@ from claimwright.sources.tables import load_model, save_model
 
 FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "special_general_ratio",
             "severe_injury", "whiplash_flag", "psych_flag"]
-TREES = 10
+#: Trees of the single models, and of each of the many fits of searches and stacks, where the
+#: whole query would otherwise take hours on one machine; the operators' defaults are full.
+TREES = 100
+FOREST_TREES, FOREST_DEPTH = 100, 10
+STACK_TREES, SEARCH_TREES, GRID_TREES, PAIR_TREES = 5, 3, 2, 20
 
 
 def model_frame(spark, sf_dir) -> DataFrame:
@@ -71,7 +73,7 @@ def _single(spark, sf_dir, name, estimator) -> DataFrame:
 
 @query("random_forest")
 def random_forest(spark, sf_dir) -> DataFrame:
-    return _single(spark, sf_dir, "random_forest", mo.random_forest(TREES, 8))
+    return _single(spark, sf_dir, "random_forest", mo.random_forest(FOREST_TREES, FOREST_DEPTH))
 
 
 @query("gradient_boosting")
@@ -115,37 +117,46 @@ def grid_search(train: DataFrame, estimator, grid: list, folds: int = 5) -> Cros
     return search.fit(train)
 
 
-def _small_grid(estimator) -> list:
+def full_grid(estimator) -> list:
+    """Sixteen combinations of rate, depth, sampling and smallest leaf."""
     return (
         ParamGridBuilder()
         .addGrid(estimator.stepSize, [0.05, 0.1])
         .addGrid(estimator.maxDepth, [3, 5])
+        .addGrid(estimator.subsamplingRate, [0.8, 1.0])
+        .addGrid(estimator.minInstancesPerNode, [1, 3])
         .build()
     )
 
 
 @query("grid_search_cv")
 def grid_search_cv(spark, sf_dir) -> DataFrame:
-    """Mean cross-validated R² of every combination, best first."""
-    train, _ = halves(model_frame(spark, sf_dir))
-    estimator = mo.boosted_trees(3, rate=0.1)
-    grid = _small_grid(estimator)
+    """Mean cross-validated R² of every combination, and for the best one the holdout metrics
+    of its refit on all training rows."""
+    train, test = halves(model_frame(spark, sf_dir))
+    estimator = mo.boosted_trees(GRID_TREES, rate=0.1)
+    grid = full_grid(estimator)
     fitted = grid_search(train, estimator, grid)
+    names = ("stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode")
     rows = [
-        (float(p[estimator.stepSize]), int(p[estimator.maxDepth]), float(r2))
+        (*(float(p[estimator.getParam(n)]) for n in names), float(r2))
         for p, r2 in zip(grid, fitted.avgMetrics)
     ]
-    return spark.createDataFrame(rows, "step_size double, max_depth int, cv_r2 double").orderBy(
-        F.col("cv_r2").desc()
-    )
+    best = max(range(len(rows)), key=lambda i: rows[i][-1])
+    holdout_metrics = mo.test_metrics(fitted.bestModel, test, "best").first()
+    rows = [
+        (*r, i == best, *((holdout_metrics[m] if i == best else None) for m in ("rmse", "mae", "r2"))) for i, r in enumerate(rows)
+    ]
+    schema = "step_size double, max_depth double, subsample double, min_child double, cv_r2 double, best boolean, test_rmse double, test_mae double, test_r2 double"
+    return spark.createDataFrame(rows, schema).orderBy(F.col("cv_r2").desc())
 
 
 @query("default_vs_tuned")
 def default_vs_tuned(spark, sf_dir) -> DataFrame:
     """Default and tuned booster side by side, with the gains of the tuned one."""
     train, test = halves(model_frame(spark, sf_dir))
-    default = mo.test_metrics(mo.fit_on(train, FEATURES, mo.boosted_trees(TREES)), test, "default")
-    tuned = mo.boosted_trees(TREES, rate=0.1, depth=5, subsample=0.8)
+    default = mo.test_metrics(mo.fit_on(train, FEATURES, mo.boosted_trees(PAIR_TREES)), test, "default")
+    tuned = mo.boosted_trees(2 * PAIR_TREES, rate=0.1, depth=5, subsample=0.8)
     second = mo.test_metrics(mo.fit_on(train, FEATURES, tuned), test, "tuned")
     pair = default.unionByName(second).agg(
         *[
@@ -162,7 +173,7 @@ def default_vs_tuned(spark, sf_dir) -> DataFrame:
     )
 
 
-def base_trees(trees: int = TREES) -> dict[str, object]:
+def base_trees(trees: int) -> dict[str, object]:
     return {
         "rf": mo.random_forest(trees, 5),
         "gb": mo.gradient_boosting(trees),
@@ -174,14 +185,14 @@ def base_trees(trees: int = TREES) -> dict[str, object]:
 def stacking_trees(spark, sf_dir) -> DataFrame:
     """Ridge over out-of-fold predictions of a forest and two boosters."""
     train, test = halves(model_frame(spark, sf_dir))
-    bases = base_trees(3)
+    bases = base_trees(STACK_TREES)
     inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold")
     names = [f"pred_{b}" for b in bases]
     meta = mo.fit_on(inside, names, mo.ridge(0.1, *mo.target_deviation(inside, "y")))
     return _rows([mo.test_metrics(meta, outside, "stacked")])
 
 
-def meta_learners(n: int, deviation: float, trees: int = TREES) -> dict[str, object]:
+def meta_learners(n: int, deviation: float, trees: int) -> dict[str, object]:
     return {
         "linear": LinearRegression(labelCol="y", solver="normal"),
         "ridge": mo.ridge(0.1, n, deviation),
@@ -199,13 +210,13 @@ def meta_learners(n: int, deviation: float, trees: int = TREES) -> dict[str, obj
 def metalearner_sweep(spark, sf_dir) -> DataFrame:
     """Ten meta-learners over one out-of-fold table, which is computed once."""
     train, test = halves(model_frame(spark, sf_dir))
-    bases = base_trees(3)
+    bases = base_trees(STACK_TREES)
     inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold")
     names = [f"pred_{b}" for b in bases]
     n, deviation = mo.target_deviation(inside, "y")
     parts = [
         mo.test_metrics(mo.fit_on(inside, names, estimator), outside, name)
-        for name, estimator in meta_learners(n, deviation, 5).items()
+        for name, estimator in meta_learners(n, deviation, STACK_TREES).items()
     ]
     model, columns = rbf.fit_rbf(inside, names)
     parts.append(mo.test_metrics(model, outside.withColumns(columns), "rbf"))
@@ -227,7 +238,7 @@ def metalearner_sweep(spark, sf_dir) -> DataFrame:
 @query("feature_importance")
 def feature_importance(spark, sf_dir) -> DataFrame:
     train, _ = halves(model_frame(spark, sf_dir))
-    model = mo.fit_on(train, FEATURES, mo.random_forest(TREES, 8))
+    model = mo.fit_on(train, FEATURES, mo.random_forest(FOREST_TREES, FOREST_DEPTH))
     return spark.createDataFrame(
         mo.importances(model, FEATURES), "place int, feature string, importance double"
     )
@@ -257,27 +268,44 @@ def segment_prediction_boosted(spark, sf_dir) -> DataFrame:
     models = en.fit_bases(folded, base_learner, "fold")
     inside = settle(en.base_predictions(folded, models, True), "segment-train")
     outside = en.base_predictions(test, models, False)
-    model = mo.fit_on(inside, [*FEATURES, "pred_segment"], mo.boosted_trees(TREES, rate=0.05, depth=3))
+    model = mo.fit_on(inside, [*FEATURES, "pred_segment"], mo.boosted_trees(PAIR_TREES, rate=0.05, depth=3))
     return _rows([mo.test_metrics(model, outside, "segment_prediction")])
 
 
+def boosted_search(frame: DataFrame, dictionaries: dict[str, SegmentDictionary], estimator, most_values: int | None) -> DataFrame:
+    """Weighted test metrics of one booster per segment for every candidate segmentation. One
+    of more than ``most_values`` values, or of a single segment, is left out."""
+    result = None
+    for name, dictionary in dictionaries.items():
+        if dictionary.sizes().count() < 2 or most_values is not None and dictionary.table.count() > most_values:
+            continue
+        part = boosted_segmentation(frame, dictionary, FEATURES, estimator).withColumn("candidate", F.lit(name))
+        result = part if result is None else result.unionByName(part)
+    if result is None:
+        schema = "candidate string, rmse double, mae double, r2 double, n_total long"
+        return frame.sparkSession.createDataFrame([], schema)
+    shown = [rounded(F.col(c), 6 if c == "r2" else 4).alias(c) for c in ("rmse", "mae", "r2")]
+    return result.select("candidate", *shown, "n_total").orderBy(F.col("r2").desc_nulls_last(), "candidate")
+
+
+def single_boosted(frame: DataFrame) -> DataFrame:
+    singles = {c: segment_single(frame, c) for c in CATEGORICAL}
+    return boosted_search(frame, singles, mo.boosted_trees(SEARCH_TREES, 0.1, 5), most_values=20)
+
+
 @query("segmentation_search_boosted")
 def segmentation_search_boosted(spark, sf_dir) -> DataFrame:
     """Every text column as a segmentation with one booster per segment, best first."""
+    return single_boosted(model_frame(spark, sf_dir))
+
+
+@query("pairwise_search_boosted")
+def pairwise_search_boosted(spark, sf_dir) -> DataFrame:
+    """All pairs of the five best columns, with one booster per segment of each pair."""
     frame = model_frame(spark, sf_dir)
-    parts = [
-        boosted_segmentation(frame, segment_single(frame, c), FEATURES, mo.boosted_trees(3, 0.1, 5))
-        .withColumn("candidate", F.lit(c))
-        for c in CATEGORICAL
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.select(
-        "candidate",
-        *[rounded(F.col(c), 6 if c == "r2" else 4).alias(c) for c in ("rmse", "mae", "r2")],
-        "n_total",
-    ).orderBy(F.col("r2").desc_nulls_last(), "candidate")
+    best = [r["candidate"] for r in single_boosted(frame).limit(5).collect()]
+    pairs = {f"{a} + {b}": segment_multi(frame, [a, b]) for a, b in combinations(best, 2)}
+    return boosted_search(frame, pairs, mo.boosted_trees(SEARCH_TREES, 0.1, 5), most_values=None)
 
 
 @query("stacked_segment_model")
@@ -295,7 +323,7 @@ def stacked_segment_model(spark, sf_dir) -> DataFrame:
     meta += ["pred_mean", "all_pred_mean", "segment_prediction"]
     ready = settle(spread(wide.na.fill(0.0, meta), KEY), "stacked-segments")
     train, test = halves(ready)
-    model = mo.fit_on(train, [*meta, *FEATURES], mo.boosted_trees(TREES, rate=0.05, depth=4, subsample=0.9))
+    model = mo.fit_on(train, [*meta, *FEATURES], mo.boosted_trees(PAIR_TREES, rate=0.05, depth=4, subsample=0.9))
     return _rows([mo.test_metrics(model, test, "stacked_segments")])
 
 
