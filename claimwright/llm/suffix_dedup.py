@@ -43,6 +43,8 @@ WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Different contexts of one anchor above which its windows are dealt out one by one.
 CROWD = 4_000
+#: Bytes of text in a block; a task holds some twenty times as much in arrays.
+BLOCK_BYTES = 6 << 20
 #: Places of text handled at once, and windows in one suffix array.
 STRETCH, SORTED = 1 << 19, 200_000
 #: Verdicts on an entry.
@@ -340,7 +342,7 @@ def _cutter(group: pa.Table, answers: pa.Table) -> pa.Table:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its bytes, how many go in how many spans, the hash of what is left, and
     the ``spans`` as pairs of byte offsets in one list."""
-    blocks = block_count(docs, text)
+    blocks = block_count(docs, text, BLOCK_BYTES)
     rows = in_blocks(docs, blocks, key, text)
     by_block = rows.groupBy("block")
     verdicts = by_block.applyInArrow(_asker(blocks), _ddl(_ASK)).groupBy("shard").applyInArrow(_answer, _ddl(_ANSWER))
