@@ -15,7 +15,8 @@ reach 75 times those of either. The result is exact; equal sets are one class fr
 4. What remains under a shingle with several components goes into tiles of bounded size and
    of one size band. Tiles meet if their bands can link; in a pair of tiles, bit counts of
    hashed bitmap signatures bound the overlap from above, and only pairs that pass are
-   emitted and compared exactly, as sorted arrays.
+   emitted and compared exactly, as sorted arrays: first the most promising one of each
+   document, then, where components still differ, all.
 5. Components come from repeated least neighbours with pointer jumping.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing;
@@ -37,10 +38,10 @@ from claimwright.llm.graph import components
 from claimwright.llm.registry import query
 
 WORDS, PERCENT = 5, 75
-#: Bits of a signature (about twice the set, between these); documents of a tile, and members compared with one centre in a task.
-LEAST_BITS, MOST_BITS, TILE, MEMBERS = 1024, 8192, 256, 512
+#: Bits of a signature (about eight for each shingle, between these); documents of a tile, and members compared with one centre in a task.
+LEAST_BITS, MOST_BITS, TILE, MEMBERS = 1024, 32768, 256, 512
 #: Rounds of comparisons with centres; more rounds leave less for the tiles, never other results.
-STARS = 3
+STARS = 2
 #: Size bands grow by this factor, a little more than linked sizes can differ.
 BAND = 1.34
 _KEY_BYTES = 5
@@ -48,7 +49,7 @@ _KEY_BYTES = 5
 _ASK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())])
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("cls", pa.int64()), ("shingles", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("alone", pa.int64()), ("cls", pa.int64()), ("shingles", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))]
 )
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -123,7 +124,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def signature(shingles: np.ndarray) -> bytes:
     """Bitmap with the bit of each shingle's lower digits set."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * len(shingles) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(shingles % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -155,7 +156,7 @@ def _set_maker(shards: int):
             rows["shingles"].append(own.tobytes())
             rows["bits"].append(signature(own))
             rows["prefix"].append(own[order][often[order] > 1].view(np.int64))
-        return table(_SETS, {"doc_id": group["doc_id"], "block": group["block"], "n": size, "cls": pa.array(cls, mask=size == 0), **rows})
+        return table(_SETS, {"doc_id": group["doc_id"], "block": group["block"], "n": size, "alone": size - shared, "cls": pa.array(cls, mask=size == 0), **rows})
 
     return make
 
@@ -216,27 +217,78 @@ def verified(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
     return members.groupBy("centre", "part").cogroup(centres.groupBy("centre", "part")).applyInArrow(_verify, "a long, b long")
 
 
-def _tile_pairs(batches):
-    """Pairs of differing labels in a pair of tiles whose bitmaps leave a link possible."""
-    for batch in batches:
-        for left, right, same in zip(batch["left"], batch["right"], batch["same"].to_pylist(), strict=True):
-            sides = []
-            for side in (left.values, right.values):
-                cls, n, label, bits = (side.field(k) for k in ("cls", "n", "label", "bits"))
-                sides.append((cls.to_numpy(), n.to_numpy(), label.to_numpy(), bits.to_pylist()))
-            (c1, n1, l1, b1), (c2, n2, l2, b2) = sides
-            b1, b2 = _bits(b1, b2)
-            found_a, found_b = [], []
-            for k in range(len(c1)):
-                most = overlap_bound(b1[k], n1[k], b2, n2)
-                good = links(most, n1[k], n2) & (l2 != l1[k])
-                if same:
-                    good[: k + 1] = False
-                found_a.append(np.full(int(good.sum()), c1[k]))
-                found_b.append(c2[good])
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cls", "centre"])
+def tile_pairs(left: tuple, right: tuple, same: bool, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of differing labels in two tiles (classes, sizes, labels, signatures) whose
+    bitmaps leave a link possible; with ``best`` only the most promising one of each row.
+    The documents of the commonest label are no rows but only columns of the others."""
+    sides = [left, right]
+    b1, b2 = _bits(left[3], right[3])
+    names, counts = np.unique(np.concatenate([left[2], right[2]]), return_counts=True)
+    common = names[counts.argmax()]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for one, other, own_bits, their_bits in ((0, 1, b1, b2), (1, 0, b2, b1))[: 1 if same else 2]:
+        (c1, n1, l1, _), (c2, n2, l2, _) = sides[one], sides[other]
+        for k in np.flatnonzero(l1 != common):
+            # From the right tile only what the left rows have not met: their common label.
+            ahead = (l2 == common) if one else (l2 != l1[k])
+            if same:
+                ahead &= (l2 == common) | (np.arange(len(c2)) > k)
+            columns = np.flatnonzero(ahead)
+            if not len(columns):
+                continue
+            most = overlap_bound(own_bits[k], n1[k], their_bits[columns], n2[columns])
+            good = columns[links(most, n1[k], n2[columns])]
+            if best and len(good) > 1:
+                reach = most[links(most, n1[k], n2[columns])]
+                good = good[[int((reach / (n1[k] + n2[good] - reach)).argmax())]]
+            found.append((np.full(len(good), c1[k]), c2[good]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _tile_task(best: bool):
+    def run(batches):
+        for batch in batches:
+            for left, right, same in zip(batch["left"], batch["right"], batch["same"].to_pylist(), strict=True):
+                sides = []
+                for side in (left.values, right.values):
+                    cls, n, label, bits = (side.field(k) for k in ("cls", "n", "label", "bits"))
+                    sides.append((cls.to_numpy(), n.to_numpy(), label.to_numpy(), bits.to_pylist()))
+                a, b = tile_pairs(*sides, same, best)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cls", "centre"])
+
+    return run
+
+
+def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with the component that their class has under the links found so far."""
+    roots = components(found).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    return saved(entries.join(roots, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+
+
+def _met_in_tiles(labelled: DataFrame, signed: DataFrame, best: bool) -> DataFrame:
+    """Pairs (``cls``, ``centre``) of different components that may link, by tiles of the
+    documents under one shingle."""
+    groups = labelled.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("members")
+    ).where("low != high")
+    # Shingles of one passage gather the same documents: one of them is enough.
+    groups = groups.groupBy("k", "members").agg(F.min("token").alias("token")).select("token")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    rest = saved(labelled.join(groups, "token").withColumn("band", band), "rest")
+    salts = rest.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
+    tiles = (
+        rest.join(salts, ["token", "band"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(signed, "cls")
+        .groupBy("token", "band", "salt").agg(F.collect_list(F.struct("cls", "n", "label", "bits")).alias("tile"))
+    )
+    tiles = saved(tiles, "tiles")
+    left = tiles.select("token", F.col("band").alias("own_band"), F.col("salt").alias("own_salt"), F.col("tile").alias("left"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    met = left.join(tiles.withColumnRenamed("tile", "right"), ["token", "band"]).where((F.col("own_band") < F.col("band")) | (F.col("own_salt") <= F.col("salt")))
+    met = met.select("left", "right", ((F.col("own_band") == F.col("band")) & (F.col("own_salt") == F.col("salt"))).alias("same"))
+    return saved(met.mapInArrow(_tile_task(best), "cls long, centre long").distinct(), "pairs")
 
 
 def shingle_links(sets: DataFrame) -> DataFrame:
@@ -244,12 +296,13 @@ def shingle_links(sets: DataFrame) -> DataFrame:
     carriers = sets.where(F.col("shingles").isNotNull())
     # A class may be carried by several blocks; one of them is its home.
     homes = saved(carriers.groupBy("cls").agg(F.min("block").alias("block")), "homes")
-    entries = carriers.select("cls", "n", F.explode("prefix").alias("token")).distinct()
+    entries = carriers.select("cls", "n", (F.col("alone") / F.col("n")).alias("edits"), F.explode("prefix").alias("token")).distinct()
     entries = saved(entries, "entries")
     labelled, tested, star_links = entries.withColumn("label", F.col("cls")), None, None
     for turn in range(STARS):
-        # Another centre in every round; only documents of other components are compared.
-        order = F.struct("n", "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("n"), "cls")
+        # First the document with the fewest shingles of its own, the likely origin of copies;
+        # then any. Only documents of other components are compared.
+        order = F.struct("edits", "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("edits"), "cls")
         centres = labelled.groupBy("token").agg(F.min_by(F.struct("cls", "n", "label"), order).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         centres = centres.select("token", F.col("c.cls").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
         near = labelled.join(centres, "token").where((F.col("label") != F.col("centre_label")) & (100 * F.least("centre_n", "n") >= PERCENT * F.greatest("centre_n", "n")))
@@ -261,27 +314,13 @@ def shingle_links(sets: DataFrame) -> DataFrame:
         tested = star if tested is None else tested.unionByName(star)
         new = saved(verified(star, sets, homes), "links")
         star_links = new if star_links is None else star_links.unionByName(new)
-        roots = components(star_links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
-        labelled = saved(entries.join(roots, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    groups = labelled.groupBy("token").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("members")
-    ).where("low != high")
-    # Shingles of one passage gather the same documents: one of them is enough.
-    groups = groups.groupBy("k", "members").agg(F.min("token").alias("token")).select("token")
-    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
-    rest = saved(labelled.join(groups, "token").withColumn("band", band), "rest")
-    salts = rest.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
+        labelled = _labelled(entries, star_links)
     signed = carriers.select("cls", "block", "bits").join(homes, ["cls", "block"]).select("cls", "bits")
-    tiles = (
-        rest.join(salts, ["token", "band"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(signed, "cls")
-        .groupBy("token", "band", "salt").agg(F.collect_list(F.struct("cls", "n", "label", "bits")).alias("tile"))
-    )
-    tiles = saved(tiles, "tiles")
-    left = tiles.select("token", F.col("band").alias("own_band"), F.col("salt").alias("own_salt"), F.col("tile").alias("left"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    met = left.join(tiles.withColumnRenamed("tile", "right"), ["token", "band"]).where((F.col("own_band") < F.col("band")) | (F.col("own_salt") <= F.col("salt")))
-    met = met.select("left", "right", ((F.col("own_band") == F.col("band")) & (F.col("own_salt") == F.col("salt"))).alias("same"))
-    pairs = saved(met.mapInArrow(_tile_pairs, "cls long, centre long").distinct(), "pairs")
-    return saved(star_links.unionByName(verified(pairs, sets, homes)), "links")
+    # The most promising pair of each document first: it joins most of what can be joined.
+    met = _met_in_tiles(labelled, signed, best=True)
+    first = star_links.unionByName(saved(verified(met, sets, homes), "links"))
+    rest = _met_in_tiles(_labelled(entries, first), signed, best=False).join(met, ["cls", "centre"], "left_anti")
+    return saved(first.unionByName(verified(saved(rest, "pairs"), sets, homes)), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,7 +331,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     asked = rows.groupBy("block").applyInArrow(_asker(blocks), "shard int, block int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "block int, shard int, counts binary")
     sets = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _set_maker(blocks), "doc_id long, block int, n long, cls long, shingles binary, bits binary, prefix array<long>"
+        _set_maker(blocks), "doc_id long, block int, n long, alone long, cls long, shingles binary, bits binary, prefix array<long>"
     )
     sets = saved(sets, "sets")
     roots = components(shingle_links(sets))

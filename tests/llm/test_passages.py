@@ -118,6 +118,30 @@ def test_overlap_bound_is_above():
         assert most[0] >= len(np.intersect1d(a, b))
 
 
+def test_tile_pairs_meet_all_labels():
+    """All pairs of different labels that can link, once each, in one tile and in two."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 75, False), rng.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(40)]
+    label = np.array([k if k % 3 else 100 for k in range(40)])
+
+    def tile(at):
+        return np.array(at), np.array([len(sets[k]) for k in at]), label[at], [ngram_join.signature(sets[k]) for k in at]
+
+    def possible(a, b):
+        one, other = ngram_join._bits([ngram_join.signature(sets[a])], [ngram_join.signature(sets[b])])
+        return label[a] != label[b] and ngram_join.links(ngram_join.overlap_bound(one, len(sets[a]), other, len(sets[b])), len(sets[a]), len(sets[b]))[0]
+
+    whole, low, high = list(range(40)), list(range(15)), list(range(15, 40))
+    for left, right in ((whole, whole), (low, high)):
+        a, b = ngram_join.tile_pairs(tile(left), tile(right), left == right, False)
+        expected = {(min(x, y), max(x, y)) for x in left for y in right if x != y and possible(x, y)}
+        got = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert set(got) == expected and len(expected) > 20
+        a, b = ngram_join.tile_pairs(tile(left), tile(right), left == right, True)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) <= expected and len(a) <= len(left) + len(right)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
