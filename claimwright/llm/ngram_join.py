@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 75
 #: Bits of a signature (about eight for each shingle, between these); documents of a tile, and members compared with one centre in a task.
 LEAST_BITS, MOST_BITS, TILE, MEMBERS = 1024, 32768, 256, 512
 #: Rounds of comparisons with centres; more rounds leave less for the tiles, never other results.
-STARS = 2
+STARS = 1
 #: Size bands grow by this factor, a little more than linked sizes can differ.
 BAND = 1.34
 _KEY_BYTES = 5
