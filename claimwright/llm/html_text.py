@@ -10,8 +10,8 @@ or role) go too, so that sites of a few pages are cleaned as well. What is left
 articles, else of ``main``, else of the page, is the text.
 
 At most ``1 / LEAST_SHARE`` different templates can stand at one place of a host's pages, so
-a page meets a bounded list. Pages and their lists meet by a hash of the page, so a host with
-a third of all pages is spread over all tasks.
+a page meets a bounded list. Pages and their lists meet by a hash of URL and source, so a host
+with a third of all pages is spread over all tasks.
 
 Defined cases: a null page is empty and gives an empty text; a URL without host belongs to the
 host ''; repeated rows count as pages each and get the same text; end tags may be missing; a
@@ -213,26 +213,26 @@ def page_subtrees(pages: DataFrame, page: str = "page", url: str = "url", source
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The pages' own columns with ``text`` in place of the source."""
+    """The pages' own columns with ``text`` in place of the source and of such a column."""
     spark = pages.sparkSession
-    key = F.xxhash64(*[F.col(c) for c in pages.columns])
+    key = F.xxhash64(F.col(url), F.col(source))
     keyed = pages.withColumn("_page", key)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     sizes = pages.groupBy(host.alias("h")).agg(F.count("*").alias("pages"))
     found = page_subtrees(keyed, "_page", url, source)
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     common = counts.join(sizes, F.col("host") == F.col("h")).where(F.col("n") >= least_share * F.col("pages")).select(F.col("host").alias("h"), F.col("subtree").alias("s"))
-    lists = found.join(common, (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy("page").agg(F.collect_set("subtree").alias("templates"))
-    joined = keyed.join(lists, F.col("_page") == F.col("page"), "left").drop("_page", "page")
-    others = [c for c in pages.columns if c != source]
-    ordered = joined.select(source, "templates", *others)
+    lists = found.join(common, (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("page").alias("_of_page")).agg(F.collect_set("subtree").alias("_templates"))
+    joined = keyed.join(lists, F.col("_page") == F.col("_of_page"), "left")
+    others = [c for c in pages.columns if c not in (source, "text")]
+    ordered = joined.select(source, "_templates", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [PageReader(text or "", frozenset(known or ())).main_text() for text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*others, "text"])
 
-    schema = spark.createDataFrame([], pages.schema).drop(source).withColumn("text", F.lit("").cast("string")).schema
+    schema = spark.createDataFrame([], pages.schema).select(*others).withColumn("text", F.lit("").cast("string")).schema
     return ordered.mapInArrow(run, schema)
 
 

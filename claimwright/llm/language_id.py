@@ -183,10 +183,11 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     return Model(languages, tables, totals)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with ``lang_pred`` and ``lang_score``, in place of such columns."""
+def identify(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The documents with language and score under the ``added`` names, in place of columns
+    of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(*added)
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +198,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for low, high in W.cuts(offsets, SLICE_BYTES):
                 found, score = shared.value.predict(data, offsets[low : high + 1], valid[low:high])
                 kept = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string()), pa.array(score)], names=[*names, *added])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit("").cast("string"), "lang_score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns({added[0]: F.lit(""), added[1]: F.lit(0.0)}).schema)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least_score: float = 0.5) -> DataFrame:
     """The documents whose language was found, with their own columns. Rejected are those
     of no language and those whose language is in doubt."""
     names = docs.columns
-    return identify(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_score)).select(*names)
+    found = identify(docs, model, text, ("_language", "_certainty"))
+    return found.where((F.col("_language") != UNKNOWN) & (F.col("_certainty") >= least_score)).select(*names)
 
 
 @query("op9_language_id")

@@ -219,7 +219,8 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without their text, with an array of features."""
+    """The documents without their text, with an array ``features`` in place of such a column."""
+    docs = docs.drop("features")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
 
 
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
-    """The documents, without text, with their ``score``."""
+    """The documents, without text, with their ``score`` in place of such a column."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text)
 

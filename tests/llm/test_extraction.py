@@ -63,7 +63,7 @@ def test_pages_edges(spark):
     menu = "<div><p>Start</p><p>Shop</p></div>"
     rows = [(k, "http://h.example/x", f"<body>{menu}<div><p>text {k} &amp; more</p></div>") for k in range(6)]
     rows += [(10, "http://other.example/", f"<body>{menu}<p>one</p>"), (11, None, None), (12, "not a url", ""), (12, "not a url", ""), (13, "//h2/", "a < b &lt;c&gt; <b>bo</b>ld<br>line <p"), (14, "x", "<article>a<aside>s</aside><p>b</article>tail")]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, host string")).collect()}
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(*r, "t", 1, "u") for r in rows], "page_id long, url string, html string, host string, page int, text string")).collect()}
     assert [got[k] for k in range(6)] == [f"text {k} & more" for k in range(6)]  # the menu recurs
     assert got[10] == "Start Shop one"  # on a single page it does not
     assert got[11] == got[12] == "" and got[13] == "a < b <c> bold line" and got[14] == "a b"

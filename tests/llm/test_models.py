@@ -95,7 +95,8 @@ def test_language_id_edges(spark, edge_docs, edge_rows, no_docs):
     for r in got:
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.lang_score <= 1
-    assert language_id.accepted(edge_docs, model).columns == edge_docs.columns
+    clashing = edge_docs.withColumn("lang_score", F.lit("x"))
+    assert language_id.accepted(clashing, model).columns == clashing.columns
     nothing = language_id.fit(no_docs, F.lit(True))
     assert {r.lang_pred for r in language_id.identify(edge_docs, nothing).collect()} == {"und"}
     assert language_id.identify(no_docs, model).count() == 0
@@ -119,11 +120,11 @@ def test_quality_query_is_accurate(spark):
 def test_quality_edges(spark, edge_docs, edge_rows, no_docs):
     labels = spark.createDataFrame([(i, k % 2, 0) for k, (i, _) in enumerate(edge_rows)] + [(6, None, 1), (6, 7, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(edge_docs, labels, F.lit(True))
-    got = quality.score(edge_docs.drop("score"), model).collect()
+    got = quality.score(edge_docs, model).collect()
     assert len(got) == len(edge_rows) and all(0 <= r.score <= 1 for r in got)
     untrained = quality.fit(edge_docs, labels.where("false"), F.lit(True))
-    assert {r.score for r in quality.score(edge_docs.drop("score"), untrained).collect()} == {0.5}
-    assert quality.score(no_docs.drop("score"), model).count() == 0
+    assert {r.score for r in quality.score(edge_docs, untrained).collect()} == {0.5}
+    assert quality.score(no_docs, model).count() == 0
 
 
 def test_additive_model_learns_an_interaction():
