@@ -318,12 +318,12 @@ _Z = {c: f"(({c} - avg_{c}) / coalesce(nullif(sd_{c}, 0), 1))" for c in DISTANCE
 _SIMILAR = (
     "zs AS (SELECT segment, "
     + _n([f"avg({c}) AS avg_{c}, stddev_samp({c}) AS sd_{c}" for c in DISTANCE])
-    + " FROM seg GROUP BY 1), z AS (SELECT claim_id, segment, "
+    + " FROM seg GROUP BY 1), z AS MATERIALIZED (SELECT claim_id, segment, "
     + _n([f"{_Z[c]} AS z{i}" for i, c in enumerate(DISTANCE)])
-    + " FROM seg JOIN zs USING (segment)), nb AS (SELECT a.claim_id, min(struct_pack(d2 := round("
+    + " FROM seg JOIN zs USING (segment)), nb AS MATERIALIZED (SELECT a.claim_id, min(struct_pack(d2 := round("
     + " + ".join(f"coalesce((a.z{i} - b.z{i}) * (a.z{i} - b.z{i}), 0)" for i in range(len(DISTANCE)))
     + """, 6), nb := b.claim_id), 5) AS top FROM z a JOIN z b ON a.segment = b.segment AND a.claim_id <> b.claim_id GROUP BY 1),
-    sim AS (SELECT claim_id, rank AS neighbour_rank, top[rank].nb AS neighbour, sqrt(top[rank].d2) AS distance
+    sim AS MATERIALIZED (SELECT claim_id, rank AS neighbour_rank, top[rank].nb AS neighbour, sqrt(top[rank].d2) AS distance
       FROM nb, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS rank) WHERE rank <= len(top))"""
 )
 
@@ -379,7 +379,7 @@ SIDE = [*SPECIAL, *GENERAL, "total_special", "total_general", "y"]
         + _n([f"max(CASE WHEN neighbour_rank = {i} THEN v END) AS s{i}" for i in range(1, 6)])
         + " FROM sim JOIN lv ON lv.claim_id = neighbour GROUP BY 1, 2) JOIN (SELECT claim_id, feature, v AS current_case FROM lv) USING (claim_id, feature)",
         _SIMILAR,
-        "lv AS (" + " UNION ALL ".join(f"SELECT claim_id, '{c}' AS feature, {c} AS v FROM seg" for c in SIDE) + ")",
+        "lv AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT claim_id, '{c}' AS feature, {c} AS v FROM seg" for c in SIDE) + ")",
     ),
 )
 def similar_cases_compare(spark, sf_dir) -> DataFrame:
