@@ -343,10 +343,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that link to a smaller id; of equal rows one stays. Rows
     without an id stay."""
-    found = near_duplicates(docs, key, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key, text])
-    return known.unionByName(docs.where(F.col(key).isNull()))
+    found = near_duplicates(docs, key, text).where("doc_id is not null")
+    own = F.col("doc_id") == F.col("component_id")
+    ids = saved(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(own).alias("stays"), F.count("*").alias("rows")), "ids")
+    # Few ids go or repeat: texts meet those alone, and only repeated ids are looked at twice.
+    special = ids.where("not stays or rows > 1").select("_id")
+    again = ids.where("stays and rows > 1").select("_id")
+    once = docs.join(special, F.col(key) == F.col("_id"), "left_anti")
+    return once.unionByName(docs.join(again, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key, text]))
 
 
 @query("op5_ngram_join")
