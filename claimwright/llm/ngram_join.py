@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 75
 LEAST_BITS, MOST_BITS, TILE, MEMBERS = 1024, 32768, 256, 512
 #: Rounds of comparisons with centres; more rounds leave less for the tiles, never other results.
 STARS = 1
+#: Bytes of text in a block; a task holds some ten times as much in arrays.
+BLOCK_BYTES = 6 << 20
 #: Size bands grow by this factor, a little more than linked sizes can differ.
 BAND = 1.34
 _KEY_BYTES = 5
@@ -326,7 +328,7 @@ def shingle_links(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the least id that
     links lead to."""
-    blocks = block_count(docs, text)
+    blocks = block_count(docs, text, BLOCK_BYTES)
     rows = in_blocks(docs, blocks, key, text)
     asked = rows.groupBy("block").applyInArrow(_asker(blocks), "shard int, block int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "block int, shard int, counts binary")
