@@ -9,7 +9,9 @@ ranks of the matrix, their occurrences located by walking to the next sampled po
 and the spans they cover merged.
 
 The documents are read once and not shuffled. The benchmark goes to the tasks in chunks of
-at most ``CHUNK_BYTES`` of text, whatever its size; each chunk is one more pass.
+about ``CHUNK_BYTES`` of text, whatever its size. A shard meets all chunks, one in memory at a
+time, before anything is reported or cut: the hits of all chunks are places in the original
+text, so results do not depend on how the benchmark is cut into chunks.
 
 Defined cases: a null text has no words; null or repeated item ids count as one item (null
 is written ``null``); an item without words is in no document; repeated document rows give
@@ -19,10 +21,11 @@ by ``remove_spans``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +34,7 @@ from claimwright.llm import words as W
 from claimwright.llm.registry import query
 
 WINDOW = 10
-#: Bytes of benchmark text in one pass over the documents.
+#: Bytes of benchmark text that a shard meets at once.
 CHUNK_BYTES = 4 << 20
 #: Bytes of training text under one index.
 SHARD_BYTES = 4 << 20
@@ -181,7 +184,7 @@ def occurrences(phrases: Phrases, words: np.ndarray, first: np.ndarray) -> Itera
             yield origin[index.locate(rows)], which, windows.shape[1], items
 
 
-def scan_texts(phrases: Phrases, column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set], tuple[int, int], np.ndarray, np.ndarray]]:
+def scan_texts(chunks: Callable[[], Iterable[Phrases]], column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set], tuple[int, int], np.ndarray, np.ndarray]]:
     """Shard by shard: first words, hit words, word bounds, items of each text, rows, bytes."""
     data, offsets = W.flat(column)
     for low, high in W.cuts(offsets, SHARD_BYTES):
@@ -190,12 +193,13 @@ def scan_texts(phrases: Phrases, column: pa.ChunkedArray) -> Iterator[tuple[np.n
         words = W.hash_words(part, starts, ends)
         change = np.zeros(len(words) + 1, np.int64)
         items: list[set] = [set() for _ in range(high - low)]
-        for places, which, width, names in occurrences(phrases, words, first):
-            np.add.at(change, places, 1)
-            np.add.at(change, places + width, -1)
-            text = np.searchsorted(first, places, "right") - 1
-            for t, w in set(zip(text.tolist(), which.tolist(), strict=True)):
-                items[t].update(names[w])
+        for phrases in chunks():
+            for places, which, width, names in occurrences(phrases, words, first):
+                np.add.at(change, places, 1)
+                np.add.at(change, places + width, -1)
+                text = np.searchsorted(first, places, "right") - 1
+                for t, w in set(zip(text.tolist(), which.tolist(), strict=True)):
+                    items[t].update(names[w])
         hit = np.cumsum(change)[:-1] > 0
         yield starts, ends, first, hit, items, (low, high), part, inner
 
@@ -211,12 +215,21 @@ def _passes(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
         yield Phrases(list(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)), window)
 
 
-def _mapped(docs: DataFrame, phrases: Phrases, task, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+def _shared(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int) -> list[Broadcast]:
+    return [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _passes(benchmark, item, text, window)]
+
+
+def _mapped(docs: DataFrame, shared: list[Broadcast], task, schema: str | T.StructType) -> DataFrame:
+    def chunks() -> Iterator[Phrases]:
+        for chunk in shared:
+            yield chunk.value
+            # Of several chunks none stays in memory; its file is read again for the next shard.
+            if len(shared) > 1 and getattr(chunk, "_path", None):
+                vars(chunk).pop("_value", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from task(shared.value, batch)
+            yield from task(chunks, batch)
 
     return docs.mapInArrow(run, schema)
 
@@ -224,9 +237,9 @@ def _mapped(docs: DataFrame, phrases: Phrases, task, schema: str) -> DataFrame:
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _hits(phrases: Phrases, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _hits(chunks: Callable[[], Iterable[Phrases]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = pa.chunked_array([batch.column(0)])
-    for _, _, first, hit, items, (low, high), _, _ in scan_texts(phrases, pa.chunked_array([batch.column(1)])):
+    for _, _, first, hit, items, (low, high), _, _ in scan_texts(chunks, pa.chunked_array([batch.column(1)])):
         places = [np.flatnonzero(hit[first[k] : first[k + 1]]) for k in range(high - low)]
         yield pa.RecordBatch.from_arrays(
             [ids.slice(low, high - low).combine_chunks().cast(pa.int64()), pa.array(np.diff(first)),
@@ -238,28 +251,16 @@ def _hits(phrases: Phrases, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Per document: its words, the places of hit words, and the items found in it."""
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    passes = list(_passes(benchmark, item, "text", window))
-    if len(passes) == 1:
-        return _mapped(chosen, passes[0], _hits, "doc_id long, n_words long, hits array<long>, items array<string>")
-    # Some rows may share an id: the row's own number keeps its passes together.
-    chosen = chosen.withColumn("row", F.struct("doc_id", F.xxhash64("text"), F.length("text")))
-    found = None
-    for phrases in passes:
-        part = _mapped(chosen, phrases, _hits, "doc_id long, n_words long, hits array<long>, items array<string>")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
+    return _mapped(chosen, _shared(docs, benchmark, item, "text", window), _hits, "doc_id long, n_words long, hits array<long>, items array<string>")
 
 
 def _cleaner(names: list[str], text: str):
-    def task(phrases: Phrases, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def task(chunks: Callable[[], Iterable[Phrases]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         column = pa.chunked_array([batch.column(at)])
         valid = batch.column(at).is_valid().to_pylist()
         out: list[str | None] = []
-        for starts, ends, first, hit, _, (low, high), part, inner in scan_texts(phrases, column):
+        for starts, ends, first, hit, _, (low, high), part, inner in scan_texts(chunks, column):
             for k in range(high - low):
                 own = hit[first[k] : first[k + 1]]
                 if not valid[low + k]:
@@ -283,10 +284,8 @@ def _cleaner(names: list[str], text: str):
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents with every merged span of benchmark words cut out of their texts, all
     other columns as they are. Spans reach from the first to the last hit word of a run."""
-    for phrases in _passes(benchmark, item, "text", window):
-        schema = T.StructType([T.StructField(f.name, f.dataType if f.name != text else T.StringType(), True) for f in docs.schema.fields])
-        docs = _mapped(docs, phrases, _cleaner(docs.columns, text), schema)
-    return docs
+    schema = T.StructType([T.StructField(f.name, f.dataType if f.name != text else T.StringType(), True) for f in docs.schema.fields])
+    return _mapped(docs, _shared(docs, benchmark, item, "text", window), _cleaner(docs.columns, text), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from tests.llm import brute
-from tests.llm.conftest import ordered
+from tests.llm.conftest import ordered, prose
 
 from claimwright.llm import decontaminate, graph, ngram_join, suffix_dedup
 from claimwright.llm.registry import QUERIES
@@ -69,6 +69,26 @@ def test_contamination_in_chunks(monkeypatch, spark, edge_docs, edge_rows):
     assert ordered(got) == ordered(set(brute.contamination(edge_rows, items)))
 
 
+def test_chunks_lose_no_rows_and_no_words(monkeypatch, spark):
+    passage = prose(8, 40).split(" ")
+    # Windows of one item overlap spans of others; cutting one after the other loses their ends
+    # and joins the words beside a cut to a window that no text holds.
+    items = [(k, " ".join(passage[k : k + 12])) for k in range(0, 28, 3)] + [(90, "left right " * 5)]
+    text = prose(9, 15) + " " + " ".join(passage) + " " + prose(10, 15)
+    rows = [(1, text), (1, text), (1, text), (None, text), (None, text.replace(passage[20], "other")), (2, "left right left right left " + items[0][1] + " right left right left right")]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found, cut = [], []
+    for size in (1 << 20, 60):
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", size)
+        assert size > 60 or len(list(decontaminate._passes(table, "item_id", "text", 10))) > 5
+        found.append(ordered(decontaminate.digest(decontaminate.contamination(docs, table)).collect()))
+        cut.append(ordered(decontaminate.remove_spans(docs, table).collect()))
+    assert found[0] == found[1] == ordered(brute.contamination(rows, items))
+    assert cut[0] == cut[1]
+    assert (2, "left right left right left  right left right left right") in cut[1]
+    assert not {*passage[:20], *passage[21:39]} & set(next(t for i, t in cut[1] if i == 1).split()) - set(prose(9, 15).split() + prose(10, 15).split())
+
+
 def test_contamination_query(spark, sf_dir, small_rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert ordered(QUERIES["op3_decontaminate"](spark, sf_dir).collect()) == ordered(brute.contamination(small_rows, items))
