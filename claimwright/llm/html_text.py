@@ -2,15 +2,13 @@
 
 Every element of a page gets a hash of its subtree: tag, texts and the hashes of its
 children, without attributes. Spark counts on how many pages of a host each hash occurs, and
-subtrees that recur on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages
-are deleted: menus, notices, footers and the like, whatever their markup. Texts inside an
+subtrees that recur on at least ``LEAST_PAGES`` pages, however many the host has, are deleted: menus, notices, footers and the like, whatever their markup. Texts inside an
 ``article`` are never taken for a template, as articles quote each other. Elements that say
 themselves that they are no content (``NO_CONTENT`` tags, ``NO_CONTENT_NAMES`` in class, id
 or role) go too, so that sites of a few pages are cleaned as well. What is left of the
 articles, else of ``main``, else of the page, is the text.
 
-At most ``1 / LEAST_SHARE`` different templates can stand at one place of a host's pages, so
-a page meets a bounded list. Pages and their lists meet by a hash of URL and source, so a host
+A page meets only those templates that it holds, at most as many as it has subtrees. Pages and their lists meet by a hash of URL and source, so a host
 with a third of all pages is spread over all tasks.
 
 Defined cases: a null page is empty and gives an empty text; a URL without host belongs to the
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 
 from claimwright.llm.registry import query
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
+LEAST_PAGES = 5
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,16 +210,14 @@ def page_subtrees(pages: DataFrame, page: str = "page", url: str = "url", source
     return pages.select(page, url, source).mapInArrow(run, "page long, host string, subtree long")
 
 
-def extract(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """The pages' own columns with ``text`` in place of the source and of such a column."""
     spark = pages.sparkSession
     key = F.xxhash64(F.col(url), F.col(source))
     keyed = pages.withColumn("_page", key)
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    sizes = pages.groupBy(host.alias("h")).agg(F.count("*").alias("pages"))
     found = page_subtrees(keyed, "_page", url, source)
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = counts.join(sizes, F.col("host") == F.col("h")).where(F.col("n") >= least_share * F.col("pages")).select(F.col("host").alias("h"), F.col("subtree").alias("s"))
+    common = counts.select(F.col("host").alias("h"), F.col("subtree").alias("s"))
     lists = found.join(common, (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("page").alias("_of_page")).agg(F.collect_set("subtree").alias("_templates"))
     joined = keyed.join(lists, F.col("_page") == F.col("_of_page"), "left")
     others = [c for c in pages.columns if c not in (source, "text")]

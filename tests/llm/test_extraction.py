@@ -70,6 +70,13 @@ def test_pages_edges(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_of_a_large_host(spark):
+    notice = "<div><p>Section notice</p></div>"
+    rows = [(k, "http://big.example/x", f"<body>{notice if k < 6 else ''}<div><p>text {k}</p></div>") for k in range(700)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text {k}" for k in range(700)}  # six pages are less than one in a hundred
+
+
 def test_reader_drops_what_is_no_content():
     page = html_text.PageReader(
         '<html><head><title>T</title></head><body><div class="main-menu">m</div><header>h</header><main>x<article><h1>A &amp; b</h1><p>one <b>two<p>thr<i>e</i>e</b> x<span class=ad>AD</span>y'
