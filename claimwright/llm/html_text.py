@@ -1,8 +1,11 @@
 """Main text of web pages, after removal of what the pages of a site have in common.
 
 Every element of a page gets a hash of its subtree: tag, texts and the hashes of its
-children, without attributes. Spark counts on how many pages of a host each hash occurs, and
-subtrees that recur on at least ``LEAST_PAGES`` pages, however many the host has, are deleted: menus, notices, footers and the like, whatever their markup. Texts inside an
+children, without attributes. Spark counts on how many different pages of a host each hash
+occurs, and subtrees that recur on at least ``LEAST_PAGES`` of them, however many pages the
+host has, are deleted: menus, notices, footers and the like, whatever their markup. Pages
+of a host with the same content, the text that is left without templates, are one page here:
+no copy votes for its own text, under however many URLs it stands. Texts inside an
 ``article`` are never taken for a template, as articles quote each other. Elements that say
 themselves that they are no content (``NO_CONTENT`` tags, ``NO_CONTENT_NAMES`` in class, id
 or role) go too, so that sites of a few pages are cleaned as well. What is left of the
@@ -12,7 +15,7 @@ A page meets only those templates that it holds, at most as many as it has subtr
 with a third of all pages is spread over all tasks.
 
 Defined cases: a null page is empty and gives an empty text; a URL without host belongs to the
-host ''; repeated rows count as pages each and get the same text; end tags may be missing; a
+host ''; repeated rows count as one page and get the same text; end tags may be missing; a
 page cut off in a tag ends there; extra columns are ignored.
 """
 
@@ -189,25 +192,36 @@ class PageReader:
         self._pop_to(1)
         self._flush()
 
+    def content(self) -> int:
+        """Hash of all texts that are kept: the same for copies of a page."""
+        digest = hashlib.blake2b("\x00".join(text for _, text in self.blocks).encode("utf-8", "replace"), digest_size=8).digest()
+        return int.from_bytes(digest, "little", signed=True)
+
     def main_text(self) -> str:
         best = max((region for region, _ in self.blocks), default=0)
         return " ".join(text for region, text in self.blocks if region == best)
 
 
+def site_hash(host: str) -> int:
+    """Subtrees of a host are told from those of others by exclusive or with this."""
+    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace"), digest_size=8, person=b"host").digest(), "little", signed=True)
+
+
 def page_subtrees(pages: DataFrame, page: str = "page", url: str = "url", source: str = "html") -> DataFrame:
-    """``page``, ``host`` and ``subtree`` for every different subtree of every page."""
+    """``page``, a hash of the page's ``content``, and ``subtree``, the hash of subtree and host,
+    for every different subtree of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, hashes = [], [], []
+            keys, contents, hashes = [], [], []
             for key, link, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = PageReader(text or "").subtrees
-                keys += [key] * len(found)
-                hosts += [host_of(link)] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["page", "host", "subtree"])
+                read, site = PageReader(text or ""), site_hash(host_of(link))
+                keys += [key] * len(read.subtrees)
+                contents += [read.content()] * len(read.subtrees)
+                hashes += [subtree ^ site for subtree in read.subtrees]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, contents, hashes)], names=["page", "content", "subtree"])
 
-    return pages.select(page, url, source).mapInArrow(run, "page long, host string, subtree long")
+    return pages.select(page, url, source).mapInArrow(run, "page long, content long, subtree long")
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -216,17 +230,20 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", least_page
     key = F.xxhash64(F.col(url), F.col(source))
     keyed = pages.withColumn("_page", key)
     found = page_subtrees(keyed, "_page", url, source)
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = counts.select(F.col("host").alias("h"), F.col("subtree").alias("s"))
-    lists = found.join(common, (F.col("host") == F.col("h")) & (F.col("subtree") == F.col("s"))).groupBy(F.col("page").alias("_of_page")).agg(F.collect_set("subtree").alias("_templates"))
+    counts = found.select("subtree", "content").distinct().groupBy("subtree").agg(F.count("*").alias("n"))
+    common = counts.where(F.col("n") >= least_pages).select(F.col("subtree").alias("s"))
+    lists = found.select("page", "subtree").join(common, F.col("subtree") == F.col("s")).groupBy(F.col("page").alias("_of_page")).agg(F.collect_set("subtree").alias("_templates"))
     joined = keyed.join(lists, F.col("_page") == F.col("_of_page"), "left")
     others = [c for c in pages.columns if c not in (source, "text")]
-    ordered = joined.select(source, "_templates", *others)
+    ordered = joined.select(source, "_templates", F.col(url).alias("_url"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [PageReader(text or "", frozenset(known or ())).main_text() for text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*others, "text"])
+            texts = []
+            for text, known, link in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                site = site_hash(host_of(link)) if known else 0
+                texts.append(PageReader(text or "", frozenset(subtree ^ site for subtree in known or ())).main_text())
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(texts, pa.string())], names=[*others, "text"])
 
     schema = spark.createDataFrame([], pages.schema).select(*others).withColumn("text", F.lit("").cast("string")).schema
     return ordered.mapInArrow(run, schema)

@@ -77,6 +77,17 @@ def test_templates_of_a_large_host(spark):
     assert got == {k: f"text {k}" for k in range(700)}  # six pages are less than one in a hundred
 
 
+def test_copies_keep_their_text(spark):
+    menu = "<div><p>Start</p><p>Shop</p></div>"
+    source = f"<body>{menu}<h1>Title</h1><div class='x{{}}'><p>one text</p><section>and more</section></div>"
+    rows = [(0, "http://h.example/same", source.format(0))] * 40 + [(k, f"http://h.example/{k}", source.format(k)) for k in range(1, 40)]
+    rows += [(100 + k, "http://h.example/y", f"<body>{menu}<div><p>text {k}</p></div>") for k in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 83
+    # The menu stands on five different pages, and the copies' own text on one.
+    assert all(r.text == ("Title one text and more" if r.page_id < 100 else f"text {r.page_id - 100}") for r in got)
+
+
 def test_reader_drops_what_is_no_content():
     page = html_text.PageReader(
         '<html><head><title>T</title></head><body><div class="main-menu">m</div><header>h</header><main>x<article><h1>A &amp; b</h1><p>one <b>two<p>thr<i>e</i>e</b> x<span class=ad>AD</span>y'
