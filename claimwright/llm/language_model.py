@@ -14,9 +14,10 @@ word sum to 1 after any state.
 
 Nothing of the model is ever whole in one place. Blocks of documents send the n-grams they
 need with their own counts to shards, shards add up and answer, and each block builds the
-part of the automaton that its texts can reach. ``order`` defaults to 2: longer n-grams of
-invented or rare words are nearly all unlike, and moving them would take several times the
-input.
+part of the automaton that its texts can reach. ``op1_language_model`` keeps to word pairs,
+which its plain version in ``tests/llm`` states; ``op1_language_model_order3`` scores with two
+words of context, and ``order`` may be any. Longer n-grams of invented or rare words are nearly
+all unlike, and moving them takes several times the input.
 
 Defined cases: null and empty texts consist of the end token; rows without id are not
 learned from; repeated rows count as often as they occur; an empty table gives an empty
@@ -273,3 +274,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, key: str = "doc_
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_texts(docs, ~held_out("doc_id", 10))
+
+
+@query("op1_language_model_order3")
+def op1_language_model_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score_texts(docs, ~held_out("doc_id", 10), order=3)

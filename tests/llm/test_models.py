@@ -1,5 +1,6 @@
 """Language model, language identification and quality model."""
 
+import collections
 import math
 
 import numpy as np
@@ -31,6 +32,46 @@ def test_language_model_query(spark, sf_dir, small_rows):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def plain_order_three(rows, scale, power):
+    """Scores with two words of context from dictionaries of whole sequences."""
+    tokens = [["<s>", "<s>", *brute.words(t), "</s>"] for _, t in rows]
+    train = [not brute.held_out(i, 10) for i, _ in rows]
+    count, before = collections.Counter(), collections.Counter()
+    for own, learn in zip(tokens, train, strict=True):
+        for at in range(2, len(own) if learn else 0):
+            for n in range(3):
+                count[tuple(own[at - n : at + 1])] += 1
+                before[tuple(own[at - n : at])] += 1
+    total, types = before[()], sum(len(g) == 1 for g in count)
+    # A state that is no beginning counts wherever it ends, as the last one of a text does.
+    ends = collections.Counter(tuple(own[at - n + 1 : at + 1]) for own, learn in zip(tokens, train, strict=True) if learn for at in range(2, len(own)) for n in (1, 2))
+    out = {}
+    for (i, t), own in zip(rows, tokens, strict=True):
+        score = 0.0
+        for at in range(2, len(own)):
+            p = (count[(own[at],)] + 0.1) / (total + 0.1 * (types + 1))
+            for n in (1, 2):
+                state = tuple(own[at - n : at])
+                if c := sum(train) if set(state) == {"<s>"} else ends[state]:
+                    m = scale * c**power
+                    p = (count[(*state, own[at])] + m * p) / (c + m)
+            score += math.log10(p)
+        out.setdefault((i, len(own) - 2), []).append(round(score, 6))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_language_model_with_two_words_of_context(spark, sf_dir, small_rows):
+    got = QUERIES["op1_language_model_order3"](spark, sf_dir).collect()
+    scale, power = eval(got[0].smoothing)
+    scores = {}
+    for r in got:
+        scores.setdefault((r.doc_id, r.n_tokens), []).append(r.score)
+    expected = plain_order_three(small_rows, scale, power)
+    assert scores.keys() == expected.keys() and all(np.allclose(sorted(v), expected[k], rtol=0, atol=1e-5) for k, v in scores.items())
+    # More context than the word pairs of the other query: other scores.
+    assert [r.score for r in sorted(got)] != [r.score for r in sorted(QUERIES["op1_language_model"](spark, sf_dir).collect())]
+
+
 def test_language_model_of_order_three_sums_to_one(spark):
     """The probabilities of all continuations of one beginning, and of an unseen word."""
     corpus = ["a b a b c", "b a c", "a b c c", "c"]
