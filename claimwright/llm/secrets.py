@@ -5,15 +5,15 @@ name), ``access`` (an access identifier) and ``hex`` (a long hexadecimal number)
 are weak: ``ident`` (an assigned user, client or account name), ``key`` (a long mixed string)
 and ``endpoint`` (a URL). A credential has an identifier (``access``, ``ident``), a secret
 (``assign``, ``hex``, ``key``) and often an endpoint. A weak candidate is reported only
-if a complementary part stands within ``SCOPE`` characters of the same text: for an
+if a complementary part stands in the same text with a gap of at most ``SCOPE`` characters: for an
 identifier a secret, for a secret an identifier, for an endpoint both.
 
 Only DataFrame functions are used. Matches are taken in row by ``regexp_extract_all`` and
 what lies between them by ``split``; only their lengths go on, and running sums of them give
-the places. The link is an interval join on text and scope: parts fall into bins one scope
-wide, the complementary side stands in the bins beside its own too, and a semi-join with the
-distance as condition keeps a candidate without listing pairs. A bin cannot hold more parts
-than a scope has characters, however many a text has.
+the places. The link is an interval join on text and scope: parts stand in all bins one scope
+wide that they cover, the complementary side in the bins beside those too, and a semi-join with
+the gap between the two as condition keeps a candidate without listing pairs. A bin cannot hold
+more parts of a kind than a scope has characters, however many a text has.
 
 Defined cases: null and empty texts have no spans; repeated rows each get the row's result;
 weak spans that overlap one of the three strong kinds are left out; extra columns are
@@ -38,7 +38,7 @@ MARK = "[REDACTED]"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-IDENT = r"""(?i)\b(user_?name|user_?id|client_?id|account_?id|access_?key_?id|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})"""
+IDENT = r"""(?i)(?<![A-Za-z0-9])(user_?name|user_?id|client_?id|account_?id|access_?key_?id|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})"""
 KEY = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
 ENDPOINT = r"""https?://[^\s"'<>|]+"""
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
@@ -83,17 +83,18 @@ def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return placed
 
 
-def _bins(df: DataFrame, wide: bool) -> DataFrame:
-    """``bin`` by start; with ``wide`` a row in its own bin and the two beside it."""
-    own = F.floor(F.col("start") / SCOPE)
-    return df.withColumn("bin", F.explode(F.array(own - 1, own, own + 1)) if wide else own)
+def _bins(df: DataFrame, beside: int) -> DataFrame:
+    """A row for each ``bin`` that the part covers, and so many on either side."""
+    first, last = F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)
+    return df.withColumn("bin", F.explode(F.sequence(first - beside, last + beside)))
 
 
 def _near(weak: DataFrame, others: DataFrame) -> DataFrame:
-    """Those of ``weak`` with one of ``others`` within the scope, in the same text."""
-    right = _bins(others.select(F.col("row").alias("r"), "start"), True).select("r", F.col("bin").alias("b"), F.col("start").alias("s")).distinct()
-    left = _bins(weak, False)
-    return left.join(right, (F.col("row") == F.col("r")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("start") - F.col("s")) <= SCOPE), "left_semi").drop("bin")
+    """Those of ``weak`` with one of ``others`` at most the scope apart, in the same text."""
+    right = _bins(others.select("row", "start", "end").distinct(), 1).select(F.col("row").alias("r"), F.col("bin").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
+    left = _bins(weak, 0)
+    apart = (F.col("s") - F.col("end") <= SCOPE) & (F.col("start") - F.col("e") <= SCOPE)
+    return left.join(right, (F.col("row") == F.col("r")) & (F.col("bin") == F.col("b")) & apart, "left_semi").drop("bin").distinct()
 
 
 def linked(found: DataFrame) -> DataFrame:

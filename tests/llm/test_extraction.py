@@ -39,6 +39,25 @@ def test_secret_edges(secret_docs):
     assert spans[1] == spans[2] == spans[6] == spans[7] == spans[8] == ""
 
 
+def test_weak_parts_with_prefixes_and_long_parts(spark):
+    key = "ABCxef0123456789ABCDzz"
+    long_url, long_key = "https://a.b/" + "p." * 500, "Ab1" * 300
+    texts = [f"{name}=foo.bar1 {key}" for name in ("AWS_ACCESS_KEY_ID", "DB_USERNAME", "MY_CLIENT_ID", "xlogin")]
+    texts += [f"{long_url} login=foo.bar1 {key}", f"{long_key} login=foo.bar1", "login=foo.bar1" + " " * 300 + key, "login=foo.bar1" + " " * 301 + key]
+    texts += [f"login=foo.bar1 {key} " + "https://a.b/" + "p." * 900 + " x", f"{long_key}{' ' * 301}login=foo.bar1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(docs).collect()}
+    for k, name in enumerate(("ACCESS_KEY_ID", "USERNAME", "CLIENT_ID")):
+        at, end = texts[k].index(name), texts[k].index(" ")
+        assert spans[k] == f"ident:{at}:{end},key:{end + 1}:{end + 23}"
+    assert spans[3] == ""  # another word
+    assert spans[4] == "endpoint:0:1012,ident:1013:1027,key:1028:1050"
+    assert spans[5] == "key:0:900,ident:901:915"
+    assert spans[6] == "ident:0:14,key:314:336" and spans[7] == ""
+    assert spans[8] == "ident:0:14,key:15:37,endpoint:38:1850" and spans[9] == ""
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[5] == "[REDACTED] [REDACTED]"
+
+
 def test_redaction(secret_docs):
     got = {r.doc_id: r.text for r in secrets.redact(secret_docs).collect()}
     assert got[0] == "é😀 [REDACTED] x [REDACTED] [REDACTED] [REDACTED] [REDACTED]"
