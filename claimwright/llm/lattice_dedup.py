@@ -287,7 +287,7 @@ def _cell_maker(dimensions: int, link: float):
 def met_in_units(unit_of: np.ndarray, home: np.ndarray, ball: np.ndarray, signs: np.ndarray, radius: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of balls whose signs let them link: each home of a unit with all of the unit.
     ``unit_of`` ascends; pairs are listed in bounded stretches and only those that pass go on."""
-    homes = np.flatnonzero(home)
+    homes, signs = np.flatnonzero(home), signs.view(np.uint64)  # bits of a negative number are counted without its sign
     low, high = np.searchsorted(unit_of, unit_of[homes], "left"), np.searchsorted(unit_of, unit_of[homes], "right")
     total = np.concatenate([[0], np.cumsum(high - low)])
     first = 0

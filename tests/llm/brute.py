@@ -135,3 +135,90 @@ def secrets(rows) -> list[tuple]:
 def article(source: str) -> str:
     inner = re.search(r"<article>(.*)</article>", source, re.S).group(1)
     return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())
+
+
+def hard_negatives(rows, anchors, positives: int = 5, negatives: int = 5) -> list[tuple]:
+    """Rows are (id, label, integer vector) without repeats."""
+
+    def best(own, others, most):
+        scored = sorted((-sum(x * y for x, y in zip(own[2], o[2], strict=False)), o[0], k) for k, o in enumerate(others) if o[0] != own[0])
+        return [(-s, i) for s, i, _ in scored[:most]]
+
+    out = []
+    for own in rows:
+        if not anchors(own[0]):
+            continue
+        same = [o for o in rows if o[1] == own[1]]
+        other = [o for o in rows if o[1] != own[1] and o[0] != own[0]]
+        ranked = best(own, other, len(other))
+        for score, i in best(own, same, positives):
+            inside = [(s, j) for s, j in ranked if 80 * score <= 100 * s <= 100 * score]
+            out += [(own[0], i, rank, j, score, s) for rank, (s, j) in enumerate(inside[:negatives], 1)]
+    return out
+
+
+def near_vectors(rows, link: float = 0.9) -> list[tuple]:
+    """Rows are (id, vector or None)."""
+
+    def usable(v):
+        return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    def cosine(a, b):
+        return math.fsum(x * y for x, y in zip(a, b, strict=False)) / math.sqrt(math.fsum(x * x for x in a)) / math.sqrt(math.fsum(y * y for y in b))
+
+    links = {k: set() for k in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            if usable(rows[a][1]) and usable(rows[b][1]) and cosine(rows[a][1], rows[b][1]) >= link:
+                links[a].add(b)
+                links[b].add(a)
+    out = []
+    for k, (i, _) in enumerate(rows):
+        seen, stack = {k}, [k]
+        while stack:
+            new = links[stack.pop()] - seen
+            seen |= new
+            stack += new
+        least = min((rows[x][0] for x in seen if rows[x][0] is not None), default=None)
+        out.append((i, len(links[k]), least, i == least))
+    return out
+
+
+def token_alignment(rows, a_path: str, b_path: str) -> list[tuple]:
+    import itertools
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model, b_model = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_model.encode_special_tokens = True
+    # The byte-level alphabet: printable bytes are themselves, the others follow 256 in order.
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    docs, holders = [], collections.Counter()
+    for i, text in rows:
+        source = (" " + (text or "")).encode()
+        a = a_model.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_model.encode(text) if text else []
+        a_bytes = [bytes(letter[c] for c in a_model.id_to_token(k)) for k in a]
+        b_bytes = [bytes([int(b_model.id_to_piece(k)[1:-1], 16)]) if b_model.is_byte(k) else b_model.id_to_piece(k).replace("▁", " ").encode() for k in b]
+        if not text or b"".join(a_bytes) != source or b"".join(b_bytes) != source:
+            docs.append((i, [], [], []))
+            continue
+        a_ends, b_ends = (list(itertools.accumulate(map(len, x))) for x in (a_bytes, b_bytes))
+        groups, low, lower = [], 0, 0
+        for end in sorted(set(a_ends) & set(b_ends)):
+            high, higher = a_ends.index(end, low) + 1, b_ends.index(end, lower) + 1
+            groups.append((a[low:high], b[lower:higher]))
+            low, lower = high, higher
+        docs.append((i, a, b, groups))
+        holders.update({(x, y) for g, h in groups for x in g for y in h})
+    best = collections.defaultdict(int)
+    for (x, _), n in holders.items():
+        best[x] = max(best[x], n)
+    out = []
+    for i, a, b, groups in docs:
+        links = [(x, y) for g, h in groups for x in g for y in h]
+        told = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(holders[p] == best[p[0]] for p in links), sum(holders[p] for p in links), sha(told) if a else ""))
+    return out
