@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimwright.operators.boosting import Growth, TreeModel, out_of_fold_models
 from claimwright.operators.linear import ALL_FOLDS, LinearModels, fit_linear, linear_value
-from claimwright.operators.models import fit_all, fit_on
 from claimwright.session import settle
 
 
@@ -139,37 +138,26 @@ def tree_out_of_fold(
     train: DataFrame,
     test: DataFrame | None,
     features: Sequence[str],
-    bases: Mapping[str, object],
+    bases: Mapping[str, Growth],
     fold: str,
     folds: int = 5,
-) -> tuple[DataFrame, DataFrame | None, dict[str, PipelineModel]]:
+    key: str | None = None,
+) -> tuple[DataFrame, DataFrame | None, dict[str, TreeModel]]:
     """Out-of-fold ``pred_<base>`` columns on ``train`` and full-fit ones on ``test``.
 
-    Each of the (folds + 1) fits per base is a distributed job. The result is written once
-    and shared by all meta-learners.
+    All fits, those without one fold and those on all rows, grow side by side over one set
+    of blocks. The result is written once and shared by all meta-learners.
     """
 
-    def scored(df, models):
-        for name, model in models.items():
-            df = model.transform(df).withColumnRenamed("prediction", f"pred_{name}").drop("features")
+    def scored(df, number):
+        for name in bases:
+            df = fitted[number, name].transform(df, f"pred_{name}")
         return df
 
-    def job(rows, estimator):
-        return lambda: fit_on(rows, features, estimator.copy())
-
-    everything = folds  # the number of the fit that leaves no fold out
-    jobs = {
-        (k, name): job(train.where(F.col(fold) != k) if k < folds else train, estimator)
-        for k in range(folds + 1)
-        for name, estimator in bases.items()
-    }
-    fitted = fit_all(jobs)
-    parts = [
-        scored(train.where(F.col(fold) == k), {n: fitted[(k, n)] for n in bases}) for k in range(folds)
-    ]
-    inside = parts[0]
-    for part in parts[1:]:
-        inside = inside.unionByName(part)
-    full = {n: fitted[(everything, n)] for n in bases}
-    outside = settle(scored(test, full), "stack-test") if test is not None else None
+    fitted = out_of_fold_models(train, features, bases, fold, folds, key=key)
+    inside = scored(train.where(F.col(fold) == 0), 0)
+    for k in range(1, folds):
+        inside = inside.unionByName(scored(train.where(F.col(fold) == k), k))
+    full = {n: fitted[folds, n] for n in bases}
+    outside = settle(scored(test, folds), "stack-test") if test is not None else None
     return settle(inside, "stack-train"), outside, full

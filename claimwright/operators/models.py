@@ -1,25 +1,24 @@
-"""Single models: parameter mapping onto pyspark.ml estimators.
+"""Single models: linear ones as pyspark.ml estimators, trees as histogram growths.
 
-A booster with second-order leaf penalties has no counterpart in pyspark.ml;
-``boosted_trees`` plays its role with gradient-boosted trees, not with the same numbers.
+All tree models grow in ``boosting``: first-order boosting of squared error is second-order
+boosting without leaf penalty, and a forest is trees on drawn rows that fit the target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimwright.operators.boosting import Growth, TreeModel
 from claimwright.operators.metrics import regression_metrics
+from claimwright.sources.claims import KEY
 
 SEED = 42
-DEEPEST = 30  # the deepest tree pyspark.ml grows; stands for "no limit"
 
 
 def assembler(features: Sequence[str], output: str = "features") -> VectorAssembler:
@@ -60,45 +59,25 @@ def elastic_net(alpha: float, l1_ratio: float, deviation: float, **params) -> Li
     return penalised(alpha * l1_ratio, alpha * (1 - l1_ratio), deviation, **params)
 
 
-def random_forest(trees: int = 100, depth: int | None = None, target: str = "y") -> RandomForestRegressor:
-    return RandomForestRegressor(
-        labelCol=target,
-        numTrees=trees,
-        maxDepth=depth or DEEPEST,
-        featureSubsetStrategy="all",
-        maxMemoryInMB=1024,
-        seed=SEED,
-    )
+def random_forest(trees: int = 100, depth: int = 10) -> Growth:
+    return Growth(trees, depth=depth, l2=0.0, forest=True, seed=SEED)
 
 
-def gradient_boosting(trees: int = 100, rate: float = 0.1, depth: int = 3, target: str = "y") -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, maxMemoryInMB=1024, seed=SEED
-    )
+def gradient_boosting(trees: int = 100, rate: float = 0.1, depth: int = 3) -> Growth:
+    return Growth(trees, rate, depth, l2=0.0, seed=SEED)
 
 
 def boosted_trees(
     trees: int = 100,
     rate: float = 0.3,
     depth: int = 6,
-    min_child: int = 1,
+    min_child: float = 1.0,
     subsample: float = 1.0,
     column_share: float = 1.0,
     min_gain: float = 0.0,
-    target: str = "y",
-) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=target,
-        maxIter=trees,
-        stepSize=rate,
-        maxDepth=depth,
-        minInstancesPerNode=min_child,
-        subsamplingRate=subsample,
-        featureSubsetStrategy="all" if column_share >= 1 else str(column_share),
-        minInfoGain=min_gain,
-        maxMemoryInMB=1024,
-        seed=SEED,
-    )
+    l2: float = 1.0,
+) -> Growth:
+    return Growth(trees, rate, depth, min_child, l2, min_gain, subsample, column_share, seed=SEED)
 
 
 def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> list:
@@ -118,26 +97,18 @@ def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], output
     return [*stages, VectorAssembler(inputCols=["numeric_scaled", *encoded], outputCol=output)]
 
 
-def fit_on(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
+def fit_on(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel | TreeModel:
+    if isinstance(estimator, Growth):
+        return estimator.fit(train, features, key=KEY if KEY in train.columns else None)
     return Pipeline(stages=[assembler(features), estimator]).fit(train)
 
 
-def fit_all(jobs: Mapping[Hashable, Callable[[], PipelineModel]], parallelism: int = 4) -> dict:
-    """Run independent fits a few at a time. Each is a distributed job; overlapping them
-    fills the cores that one fit leaves idle between its many short stages."""
-    with ThreadPool(parallelism) as pool:
-        run = inheritable_thread_target(SparkSession.active())
-        fitted = pool.map(run(lambda job: job()), list(jobs.values()))
-    return dict(zip(jobs, fitted))
-
-
-def test_metrics(model: PipelineModel, test: DataFrame, name: str) -> DataFrame:
+def test_metrics(model: PipelineModel | TreeModel, test: DataFrame, name: str) -> DataFrame:
     scored = model.transform(test).select("y", "prediction")
     return regression_metrics(scored).withColumn("model", F.lit(name))
 
 
-def importances(model: PipelineModel, features: Sequence[str], top: int = 10) -> list[tuple[int, str, float]]:
+def importances(model: TreeModel, top: int = 10) -> list[tuple[int, str, float]]:
     """Largest importances first, as ``(rank, feature, importance)``."""
-    values = model.stages[-1].featureImportances.toArray()
-    order = sorted(zip(features, values), key=lambda p: (-p[1], p[0]))[:top]
+    order = sorted(zip(model.features, model.importances()), key=lambda p: (-p[1], p[0]))[:top]
     return [(i, f, float(v)) for i, (f, v) in enumerate(order, start=1)]

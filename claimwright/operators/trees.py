@@ -4,34 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.session import settle, shared_path
+from claimwright.operators.boosting import TreeModel
+from claimwright.session import settle
 
 
-def node_table(model, spark) -> DataFrame:
-    """Nodes of a tree ensemble, from the model's own Parquet form; as many rows as the
-    model has nodes."""
-    path = shared_path(spark, "tree-nodes")
-    model.write().save(path)
-    node = F.col("nodeData")
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"),
-        node["id"].alias("node"),
-        node["prediction"].alias("value"),
-        node["leftChild"].alias("left"),
-        node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"),
-        node["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
-    )
+def node_table(model: TreeModel, spark: SparkSession, trees: int | None = None) -> DataFrame:
+    """Nodes of the first trees of a model; as many rows as these have nodes."""
+    return spark.createDataFrame(model.nodes(trees), TreeModel.NODES)
 
 
 def leaf_paths(nodes: DataFrame, features: Sequence[str], depth: int) -> DataFrame:
-    """``(tree, leaf, value, path)``: the tests on the way to every leaf, root first, and
-    the leaf's number in the order the model's ``leafCol`` uses."""
+    """``(tree, leaf, value, path)``: the tests on the way to every leaf, root first."""
     names = F.array(*[F.lit(c) for c in features])
     tests = F.array(
         F.struct(F.col("left").alias("child"), F.lit("<=").alias("sign")),
@@ -51,7 +37,7 @@ def leaf_paths(nodes: DataFrame, features: Sequence[str], depth: int) -> DataFra
         "tree-steps",
     )
     root = F.array().cast("array<struct<feature:string,sign:string,threshold:double>>")
-    reached = nodes.where("node = 0").select("tree", F.col("node").alias("at"), root.alias("path"))
+    reached = nodes.where("node = segment").select("tree", F.col("node").alias("at"), root.alias("path"))
     every = reached
     for _ in range(depth):
         reached = (
@@ -59,34 +45,23 @@ def leaf_paths(nodes: DataFrame, features: Sequence[str], depth: int) -> DataFra
             .select(reached["tree"], F.col("child").alias("at"), F.concat("path", F.array("test")).alias("path"))
         )
         every = every.union(reached)
-    number = F.row_number().over(W.partitionBy("tree").orderBy("node")) - 1
-    leaves = nodes.where("left < 0").select("tree", "node", "value", number.alias("leaf"))
+    leaves = nodes.where("left < 0").select("tree", F.col("node").alias("leaf"), "value")
     return leaves.join(
         every.withColumnsRenamed({"tree": "path_tree"}),
-        (F.col("tree") == F.col("path_tree")) & (F.col("node") == F.col("at")),
+        (F.col("tree") == F.col("path_tree")) & (F.col("leaf") == F.col("at")),
     ).select("tree", "leaf", "value", "path")
 
 
-def decision_paths(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str], trees: int = 3) -> DataFrame:
+def decision_paths(model: TreeModel, df: DataFrame, key: str, features: Sequence[str], trees: int = 3) -> DataFrame:
     """Path and leaf of every record in the first trees: ``(key, tree, leaf, value, path)``."""
-    ensemble = model.stages[-1]
-    nodes = node_table(ensemble, df.sparkSession).where(F.col("tree") < trees)
-    depth = max(t.depth for t in ensemble.trees[:trees])
-    paths = settle(leaf_paths(nodes, features, depth), "leaf-paths")
-    ensemble.setLeafCol("leaves")
-    leaves = F.slice(_leaf_array("leaves"), 1, trees)
-    found = model.transform(df).select(key, F.posexplode(leaves).alias("tree", "leaf_number"))
+    nodes = node_table(model, df.sparkSession, trees)
+    paths = settle(leaf_paths(nodes, features, model.growth.depth), "leaf-paths")
+    found = df.select(key, F.posexplode(model.path_leaves(trees)).alias("tree", "leaf_number"))
     return found.join(
         paths, (found["tree"] == paths["tree"]) & (found["leaf_number"] == paths["leaf"])
     ).select(key, paths["tree"], paths["leaf"], "value", "path")
 
 
-def _leaf_array(column: str):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(column))
-
-
 def predicate(path) -> F.Column:
     """A path as text."""
     return F.concat_ws(

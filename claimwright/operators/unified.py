@@ -6,22 +6,21 @@ forest and two boosters with an elastic net on the segments' predictions.
 * The meta-model sees out-of-fold segment predictions only.
 * Medians and the segment dictionary (with the merge target of small segments) are kept
   with the model, so a scored batch does not change how its own rows are read.
-* Every segment gets a booster, each a distributed fit on its own files, and its own set of
-  features, chosen once on all its training rows. Only rows of a segment whose fit has no
-  rows (all of them in the fold left out) get the overall mean. The fits are driven from
-  here, ``parallelism`` at a time: their number is that of the segments, which ``min_segment``
-  bounds by the rows.
-* The meta-models see each row's own ``segment_prediction`` and one ``pred_<segment>`` column
+* Every segment gets its own trees and its own set of features, chosen once on all its training
+  rows. The trees of all segments, and of all folds that are left out, grow in the same jobs.
+  Segments are a table that rows join, so scoring has no branch for each and no write: a
+  stream is scored by the same expressions as a batch.
+* The meta-models see each row's own ``segment_prediction`` and one ``pred_segment_<i>`` column
   for every segment, 0 outside it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from functools import partial
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from claimwright.functions.hashing import inner_fold_of
 from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
+from claimwright.operators.boosting import Growth, Lane, TreeModel, fit_many
 from claimwright.operators.clean import constant_impute, finite_target, fit_medians, impute
 from claimwright.operators.features import engineered
 from claimwright.operators.metrics import regression_metrics, weighted_metrics
@@ -42,53 +42,32 @@ FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "total_
 TOTALS = ["total_special", "total_general", "total_damages"]
 
 
-def select_features(model: PipelineModel, features: Sequence[str], least: int = 3) -> list[str]:
-    """Features at or above the mean importance; the top ``least`` if fewer qualify."""
-    values = dict(zip(features, model.stages[-1].featureImportances.toArray()))
-    mean = sum(values.values()) / len(values)
-    kept = [f for f in features if values[f] >= mean]
-    return kept if len(kept) >= least else sorted(values, key=lambda f: (-values[f], f))[:least]
+def select_features(shares: np.ndarray, least: int = 3) -> np.ndarray:
+    """Which features have at least the mean importance; the top ``least`` if fewer do."""
+    kept = shares >= shares.mean()
+    if kept.sum() < least:
+        kept = np.zeros(len(shares), bool)
+        kept[np.argsort(-shares, kind="stable")[:least]] = True
+    return kept
 
 
 def segment_names(rows: DataFrame) -> list[str]:
-    return [r[0] for r in rows.select("segment").distinct().sort("segment").collect()]
+    return [r[0] for r in rows.where("segment is not null").select("segment").distinct().sort("segment").collect()]
 
 
-def boosted_per_segment(
-    rows: DataFrame, features: Sequence[str], estimator, chosen: Mapping[str, list[str]] | None = None,
-    parallelism: int = 4,
-) -> dict[str, PipelineModel]:
-    """One booster per segment of ``rows`` (written by segment), a few at a time. ``chosen``
-    has the segments to fit and their features; by default all with all. A segment without
-    rows here is left out."""
-    chosen = chosen or {name: list(features) for name in segment_names(rows)}
-
-    def fit(name: str) -> PipelineModel | None:
-        own = rows.where(F.col("segment") == name)
-        return mo.fit_on(own, chosen[name], estimator.copy()) if own.head(1) else None
-
-    fitted = mo.fit_all({name: partial(fit, name) for name in chosen}, parallelism)
-    return {name: model for name, model in fitted.items() if model is not None}
-
-
-def chosen_features(rows: DataFrame, features: Sequence[str], estimator, parallelism: int = 4) -> dict[str, list[str]]:
-    """For every segment the features of at least mean importance in a booster over all."""
-    fitted = boosted_per_segment(rows, features, estimator, None, parallelism)
-    return {name: select_features(model, features) for name, model in fitted.items()}
+def boosted_per_segment(rows: DataFrame, features: Sequence[str], growth: Growth, target: str = "y") -> TreeModel:
+    """One booster for every ``segment`` of ``rows``, all grown side by side."""
+    names = segment_names(rows)
+    return fit_many(rows, features, {"own": Lane(growth)}, target, segment="segment", key=KEY if KEY in rows.columns else None, segments=names)["own"]
 
 
 def boosted_segmentation(
-    df: DataFrame, dictionary: SegmentDictionary, features: Sequence[str], estimator
+    df: DataFrame, dictionary: SegmentDictionary, features: Sequence[str], growth: Growth
 ) -> DataFrame:
     """Size-weighted test metrics of one booster per segment. ``df`` has ``y`` and ``split``."""
-    rows = settle(
-        dictionary.split(df).select("segment", "split", "y", *features), "search-files", by="segment"
-    )
-    fitted = boosted_per_segment(rows.where("split = 'train'"), features, estimator)
-    scored = rows.select("segment", "y", F.lit(0.0).alias("prediction")).limit(0)
-    for name, model in fitted.items():
-        test = rows.where((F.col("segment") == name) & (F.col("split") == "test"))
-        scored = scored.unionByName(model.transform(test).select("segment", "y", "prediction"))
+    rows = settle(dictionary.split(df).select(KEY, "segment", "split", "y", *features), "search-rows")
+    model = boosted_per_segment(rows.where("split = 'train'"), features, growth)
+    scored = model.transform(rows.where("split = 'test'")).where("prediction is not null")
     sizes = dictionary.sizes().withColumnRenamed("n", "n_total")
     return weighted_metrics(regression_metrics(scored, ["segment"]).join(sizes, "segment"), "n_total")
 
@@ -99,7 +78,6 @@ class UnifiedSegmentedModel:
     min_segment: int = 50
     feature_selection: bool = True
     trees: int = 150
-    parallelism: int = 4
     folds: int = 5
 
     def fit(self, df: DataFrame) -> FittedSegmentedModel:
@@ -111,37 +89,33 @@ class UnifiedSegmentedModel:
         )
         dictionary = segment_composite(ready, self.segmentation, self.min_segment)
         dictionary.table = settle(dictionary.table, "unified-segments")
-        rows = settle(
-            dictionary.split(ready).select(KEY, "segment", "fold", "y", *FEATURES), "unified-rows", by="segment"
-        )
-        estimator = mo.boosted_trees(self.trees, 0.1, 5, subsample=0.8, column_share=0.8)
-        if self.feature_selection:
-            chosen = chosen_features(rows, FEATURES, estimator, self.parallelism)
-        else:
-            chosen = {name: FEATURES for name in segment_names(rows)}
-
-        def boosted(part: DataFrame) -> dict[str, PipelineModel]:
-            return boosted_per_segment(part, FEATURES, estimator, chosen, self.parallelism) if chosen else {}
-
-        meta = _meta_columns(list(chosen))
-        meta_rows = rows.select(KEY, "y", "fold", *TOTALS, F.lit(0.0).alias("segment_prediction"), "segment").limit(0)
+        rows = settle(dictionary.split(ready).select(KEY, "segment", "fold", "y", *FEATURES), "unified-rows")
+        growth = mo.boosted_trees(self.trees, 0.1, 5, subsample=0.8, column_share=0.8)
+        names = segment_names(rows)
+        shared = {"fold": "fold", "segment": "segment", "segments": names, "key": KEY}
+        chosen = None
+        if self.feature_selection and names:
+            first = fit_many(rows, FEATURES, {"all": Lane(growth)}, **shared)["all"]
+            chosen = np.stack([select_features(first.importances(k)) for k in range(len(names))])
+        lanes = {str(k): Lane(growth, k if k < self.folds else None) for k in range(self.folds + 1)}
+        boosted = fit_many(rows, FEATURES, lanes, chosen=chosen, **shared)
+        meta_rows = None
         for k in range(self.folds):
-            scored = _own_prediction(rows.where(F.col("fold") == k), boosted(rows.where(F.col("fold") != k)), overall)
-            meta_rows = meta_rows.unionByName(scored.select(*meta_rows.columns))
-        meta_rows = _with_segment_columns(meta_rows, list(chosen))
+            part = _own_prediction(rows.where(F.col("fold") == k), boosted[str(k)], overall)
+            meta_rows = part if meta_rows is None else meta_rows.unionByName(part)
+        meta = _meta_columns(names)
+        meta_rows = _with_segment_columns(meta_rows, names)
         meta_rows = settle(spread(meta_rows.select(KEY, "y", "fold", *meta), KEY), "unified-meta")
         bases = {
             "boosted": mo.boosted_trees(self.trees, 0.05, 4),
             "gbm": mo.gradient_boosting(self.trees, 0.05, 4),
             "rf": mo.random_forest(self.trees, 8),
         }
-        inside, _, full = en.tree_out_of_fold(
-            meta_rows, None, meta, bases, "fold", self.folds
-        )
+        inside, _, full = en.tree_out_of_fold(meta_rows, None, meta, bases, "fold", self.folds, KEY)
         names_in = [f"pred_{b}" for b in bases]
         final = mo.elastic_net(0.001, 0.5, mo.target_deviation(inside, "y")[1])
         return FittedSegmentedModel(
-            asdict(self), medians, overall, dictionary, list(chosen), boosted(rows), full,
+            asdict(self), medians, overall, dictionary, names, boosted[str(self.folds)], full,
             mo.fit_on(inside, names_in, final),
         )
 
@@ -153,15 +127,10 @@ def _prepared(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     )
 
 
-def _own_prediction(df: DataFrame, boosted: dict[str, PipelineModel], overall: float) -> DataFrame:
-    """``segment_prediction``: the booster's where the segment has one, else the overall
-    mean. Every branch reads only its own segments."""
-    others = ~F.col("segment").isin(list(boosted)) | F.col("segment").isNull()
-    result = df.where(others).withColumn("segment_prediction", F.coalesce(F.lit(overall), F.lit(0.0)))
-    for name, model in boosted.items():
-        scored = model.transform(df.where(F.col("segment") == name)).drop("features")
-        result = result.unionByName(scored.withColumnRenamed("prediction", "segment_prediction"))
-    return result
+def _own_prediction(df: DataFrame, boosted: TreeModel, overall: float | None) -> DataFrame:
+    """``segment_prediction``: that of the segment's booster, else the overall mean."""
+    found = boosted.transform(df, "segment_prediction")
+    return found.withColumn("segment_prediction", F.coalesce("segment_prediction", F.lit(overall), F.lit(0.0)))
 
 
 def _meta_columns(segments: Sequence[str]) -> list[str]:
@@ -181,20 +150,16 @@ class FittedSegmentedModel:
     overall: float
     dictionary: SegmentDictionary
     segments: list[str]
-    boosted: dict[str, PipelineModel]
-    bases: dict[str, PipelineModel]
+    boosted: TreeModel
+    bases: dict[str, TreeModel]
     final: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``segment``, ``segment_prediction`` and the non-negative ``prediction``."""
         ready = self.dictionary.assign(_prepared(df, self.medians))
-        if not df.isStreaming:
-            # Written by segment, so that each booster reads only its own rows. A stream's
-            # batch is filtered for each booster instead.
-            ready = settle(ready, "unified-scoring", by="segment")
         scored = _with_segment_columns(_own_prediction(ready, self.boosted, self.overall), self.segments)
         for name, model in self.bases.items():
-            scored = model.transform(scored).withColumnRenamed("prediction", f"pred_{name}").drop("features")
+            scored = model.transform(scored, f"pred_{name}")
         scored = self.final.transform(scored).drop("features", *[f"pred_{b}" for b in self.bases], *_meta_columns(self.segments)[4:])
         return scored.withColumn(
             "prediction", en.clip_nonnegative(F.coalesce(F.col("prediction"), F.lit(self.overall)))
@@ -206,9 +171,9 @@ class FittedSegmentedModel:
 
     def save(self, path: str) -> None:
         spark = self.dictionary.table.sparkSession
-        for folder, models in (("boosted", self.boosted), ("bases", self.bases)):
-            for i, model in enumerate(models.values()):
-                model.write().overwrite().save(f"{path}/{folder}/{i}")
+        self.boosted.save(spark, f"{path}/boosted")
+        for i, model in enumerate(self.bases.values()):
+            model.save(spark, f"{path}/bases/{i}")
         self.final.write().overwrite().save(f"{path}/final")
         self.dictionary.table.write.mode("overwrite").parquet(f"{path}/segments")
         facts = {
@@ -218,7 +183,6 @@ class FittedSegmentedModel:
             "columns": self.dictionary.columns,
             "fallback": self.dictionary.fallback,
             "segments": self.segments,
-            "boosted": list(self.boosted),
             "bases": list(self.bases),
         }
         text = spark.createDataFrame([(json.dumps(facts),)], "facts string")
@@ -227,14 +191,11 @@ class FittedSegmentedModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedSegmentedModel:
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
-
-        def models(folder):
-            return {n: PipelineModel.load(f"{path}/{folder}/{i}") for i, n in enumerate(facts[folder])}
-
+        bases = {n: TreeModel.load(spark, f"{path}/bases/{i}") for i, n in enumerate(facts["bases"])}
         dictionary = SegmentDictionary(
             spark.read.parquet(f"{path}/segments"), facts["columns"], facts["fallback"]
         )
         return cls(
-            facts["params"], facts["medians"], facts["overall"], dictionary, facts["segments"], models("boosted"),
-            models("bases"), PipelineModel.load(f"{path}/final"),
+            facts["params"], facts["medians"], facts["overall"], dictionary, facts["segments"], TreeModel.load(spark, f"{path}/boosted"),
+            bases, PipelineModel.load(f"{path}/final"),
         )

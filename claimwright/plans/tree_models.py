@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import time
-from functools import partial
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators import rbf
 from claimwright.operators import trees as tr
+from claimwright.operators.boosting import Lane, TreeModel, fit_many
 from claimwright.operators.clean import finite_target
 from claimwright.operators.linear import fit_linear
 from claimwright.operators.metrics import improvement_pct, regression_metrics
@@ -39,11 +37,10 @@ from claimwright.sources.tables import load_model, save_model
 
 FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "special_general_ratio",
             "severe_injury", "whiplash_flag", "psych_flag"]
-#: Trees of the single models, and of each of the many fits of searches and stacks, where the
-#: whole query would otherwise take hours on one machine; the operators' defaults are full.
-TREES = 100
-FOREST_TREES, FOREST_DEPTH = 100, 10
-STACK_TREES, SEARCH_TREES, GRID_TREES, PAIR_TREES = 5, 3, 2, 20
+#: Sizes of the published study; searches, stacks and single models grow as many trees.
+TREES, TUNED_TREES, STACK_TREES, SEGMENT_TREES = 100, 200, 200, 150
+#: Depth that stands for a forest without one.
+FOREST_DEPTH = 10
 
 
 def model_frame(spark, sf_dir) -> DataFrame:
@@ -73,7 +70,7 @@ def _single(spark, sf_dir, name, estimator) -> DataFrame:
 
 @query("random_forest")
 def random_forest(spark, sf_dir) -> DataFrame:
-    return _single(spark, sf_dir, "random_forest", mo.random_forest(FOREST_TREES, FOREST_DEPTH))
+    return _single(spark, sf_dir, "random_forest", mo.random_forest(TREES, FOREST_DEPTH))
 
 
 @query("gradient_boosting")
@@ -103,67 +100,75 @@ def rbf_regression(spark, sf_dir) -> DataFrame:
     return _rows([mo.test_metrics(model, test.withColumns(columns), "rbf")])
 
 
-def grid_search(train: DataFrame, estimator, grid: list, folds: int = 5) -> CrossValidator:
-    """Every combination on key-hash folds, scored by R², the best one refitted."""
-    chain = Pipeline(stages=[mo.assembler(FEATURES), estimator])
-    search = CrossValidator(
-        estimator=chain,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol="y", metricName="r2"),
-        numFolds=folds,
-        foldCol="inner_fold",
-        parallelism=4,
-    )
-    return search.fit(train)
-
-
-def full_grid(estimator) -> list:
-    """Sixteen combinations of rate, depth, sampling and smallest leaf."""
-    return (
-        ParamGridBuilder()
-        .addGrid(estimator.stepSize, [0.05, 0.1])
-        .addGrid(estimator.maxDepth, [3, 5])
-        .addGrid(estimator.subsamplingRate, [0.8, 1.0])
-        .addGrid(estimator.minInstancesPerNode, [1, 3])
-        .build()
-    )
+GRID = {"rate": (0.05, 0.1), "depth": (3, 5), "min_child": (1.0, 3.0)}
+
+
+def grid_search(train: DataFrame, features, grid: dict, trees: tuple[int, ...], fold: str = "inner_fold", folds: int = 5) -> list[dict]:
+    """Mean R² over left-out folds of every combination, best first. All points and folds
+    grow side by side; numbers of trees are prefixes of one fit."""
+    points = [dict(zip(grid, c)) for c in product(*grid.values())]
+    lanes = {
+        f"{i}|{k}": Lane(mo.boosted_trees(max(trees), **c), k) for i, c in enumerate(points) for k in range(folds)
+    }
+    fitted = fit_many(train, features, lanes, fold=fold, key=KEY, marks=trees)
+    rows = [
+        {**c, "trees": n, "cv_r2": sum(fitted[f"{i}|{k}"].left_out_r2[n] for k in range(folds)) / folds}
+        for i, c in enumerate(points)
+        for n in trees
+    ]
+    return sorted(rows, key=lambda r: -r["cv_r2"])
 
 
 @query("grid_search_cv")
 def grid_search_cv(spark, sf_dir) -> DataFrame:
-    """Mean cross-validated R² of every combination, and for the best one the holdout metrics
-    of its refit on all training rows."""
+    """Mean cross-validated R² of sixteen points, and for the best one the holdout
+    metrics of its refit on all training rows."""
     train, test = halves(model_frame(spark, sf_dir))
-    estimator = mo.boosted_trees(GRID_TREES, rate=0.1)
-    grid = full_grid(estimator)
-    fitted = grid_search(train, estimator, grid)
-    names = ("stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode")
-    rows = [
-        (*(float(p[estimator.getParam(n)]) for n in names), float(r2))
-        for p, r2 in zip(grid, fitted.avgMetrics)
-    ]
-    best = max(range(len(rows)), key=lambda i: rows[i][-1])
-    holdout_metrics = mo.test_metrics(fitted.bestModel, test, "best").first()
+    found = grid_search(train, FEATURES, GRID, (TREES, TUNED_TREES))
+    best = found[0]
+    refit = mo.boosted_trees(best["trees"], **{c: best[c] for c in GRID})
+    measured = mo.test_metrics(mo.fit_on(train, FEATURES, refit), test, "best").first()
     rows = [
-        (*r, i == best, *((holdout_metrics[m] if i == best else None) for m in ("rmse", "mae", "r2"))) for i, r in enumerate(rows)
+        (float(r["rate"]), float(r["depth"]), float(r["trees"]), r["min_child"], r["cv_r2"], r is best, *((measured[m] if r is best else None) for m in ("rmse", "mae", "r2")))
+        for r in found
     ]
-    schema = "step_size double, max_depth double, subsample double, min_child double, cv_r2 double, best boolean, test_rmse double, test_mae double, test_r2 double"
+    schema = "step_size double, max_depth double, n_trees double, min_child double, cv_r2 double, best boolean, test_rmse double, test_mae double, test_r2 double"
     return spark.createDataFrame(rows, schema).orderBy(F.col("cv_r2").desc())
 
 
+def default_and_tuned(spark, sf_dir) -> DataFrame:
+    """``model`` and test metrics of every prefix of the default and the tuned booster, which
+    grow side by side."""
+    train, test = halves(model_frame(spark, sf_dir))
+    lanes = {
+        "default": Lane(mo.boosted_trees(TREES)),
+        "tuned": Lane(mo.boosted_trees(TUNED_TREES, rate=0.1, depth=5, subsample=0.8)),
+    }
+    fitted = fit_many(train, FEATURES, lanes, key=KEY)
+    parts = [fitted[m].staged_metrics(test).withColumn("model", F.lit(m)) for m in lanes]
+    return settle(parts[0].unionByName(parts[1]), "stages")
+
+
+@query("learning_curves")
+def learning_curves(spark, sf_dir) -> DataFrame:
+    """Test metrics of the default and the tuned booster after every tree."""
+    shown = [rounded(F.col(c), 6 if c == "r2" else 4).alias(c) for c in ("rmse", "mae", "r2")]
+    return default_and_tuned(spark, sf_dir).select("model", "trees", "n", *shown).orderBy("model", "trees")
+
+
 @query("default_vs_tuned")
 def default_vs_tuned(spark, sf_dir) -> DataFrame:
-    """Default and tuned booster side by side, with the gains of the tuned one."""
-    train, test = halves(model_frame(spark, sf_dir))
-    default = mo.test_metrics(mo.fit_on(train, FEATURES, mo.boosted_trees(PAIR_TREES)), test, "default")
-    tuned = mo.boosted_trees(2 * PAIR_TREES, rate=0.1, depth=5, subsample=0.8)
-    second = mo.test_metrics(mo.fit_on(train, FEATURES, tuned), test, "tuned")
-    pair = default.unionByName(second).agg(
+    """Default and tuned booster side by side, with the gains of the tuned one and the number
+    of trees after which each was best."""
+    curves = default_and_tuned(spark, sf_dir)
+    last = (F.col("model") == "default") & (F.col("trees") == TREES) | (F.col("model") == "tuned") & (F.col("trees") == TUNED_TREES)
+    pair = curves.agg(
         *[
-            F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}")
+            F.max(F.when(last & (F.col("model") == m), F.col(c))).alias(f"{m}_{c}")
             for m in ("default", "tuned")
             for c in ("rmse", "mae", "r2")
-        ]
+        ],
+        *[F.min_by(F.when(F.col("model") == m, F.col("trees")), F.when(F.col("model") == m, F.col("rmse"))).alias(f"{m}_best_trees") for m in ("default", "tuned")],
     )
     return pair.withColumns(
         {
@@ -175,9 +180,9 @@ def default_vs_tuned(spark, sf_dir) -> DataFrame:
 
 def base_trees(trees: int) -> dict[str, object]:
     return {
-        "rf": mo.random_forest(trees, 5),
-        "gb": mo.gradient_boosting(trees),
-        "boosted": mo.boosted_trees(trees, rate=0.1, depth=4, min_child=3),
+        "rf": mo.random_forest(trees, 10),
+        "gb": mo.gradient_boosting(trees, 0.1, 5),
+        "boosted": mo.boosted_trees(trees, rate=0.1, depth=5, min_child=3),
     }
 
 
@@ -186,7 +191,7 @@ def stacking_trees(spark, sf_dir) -> DataFrame:
     """Ridge over out-of-fold predictions of a forest and two boosters."""
     train, test = halves(model_frame(spark, sf_dir))
     bases = base_trees(STACK_TREES)
-    inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold")
+    inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold", key=KEY)
     names = [f"pred_{b}" for b in bases]
     meta = mo.fit_on(inside, names, mo.ridge(0.1, *mo.target_deviation(inside, "y")))
     return _rows([mo.test_metrics(meta, outside, "stacked")])
@@ -211,12 +216,12 @@ def metalearner_sweep(spark, sf_dir) -> DataFrame:
     """Ten meta-learners over one out-of-fold table, which is computed once."""
     train, test = halves(model_frame(spark, sf_dir))
     bases = base_trees(STACK_TREES)
-    inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold")
+    inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold", key=KEY)
     names = [f"pred_{b}" for b in bases]
     n, deviation = mo.target_deviation(inside, "y")
     parts = [
         mo.test_metrics(mo.fit_on(inside, names, estimator), outside, name)
-        for name, estimator in meta_learners(n, deviation, STACK_TREES).items()
+        for name, estimator in meta_learners(n, deviation, TREES).items()
     ]
     model, columns = rbf.fit_rbf(inside, names)
     parts.append(mo.test_metrics(model, outside.withColumns(columns), "rbf"))
@@ -237,25 +242,21 @@ def metalearner_sweep(spark, sf_dir) -> DataFrame:
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir) -> DataFrame:
+    """Mean gain of the splits of a booster, largest first."""
     train, _ = halves(model_frame(spark, sf_dir))
-    model = mo.fit_on(train, FEATURES, mo.random_forest(FOREST_TREES, FOREST_DEPTH))
+    model = mo.fit_on(train, FEATURES, mo.boosted_trees(TREES, rate=0.1, depth=5))
     return spark.createDataFrame(
-        mo.importances(model, FEATURES), "place int, feature string, importance double"
+        mo.importances(model), "place int, feature string, importance double"
     )
 
 
 @query("per_segment_boosted")
 def per_segment_boosted(spark, sf_dir) -> DataFrame:
-    """One booster per segment of the circumstances, each a distributed fit on its own files."""
-    frame = model_frame(spark, sf_dir).withColumn("segment", F.col("exceptional_circumstances"))
-    rows = settle(frame, "segment-files", by="segment")
-    fitted = boosted_per_segment(rows.where("split = 'train'"), FEATURES, mo.boosted_trees(5, 0.1, 5))
-    parts = [
-        regression_metrics(fitted[s].transform(rows.where((F.col("segment") == s) & (F.col("split") == "test"))))
-        .withColumn("model", F.lit(s))
-        for s in fitted
-    ]
-    return _rows(parts).withColumnRenamed("model", "segment")
+    """One booster per segment of the circumstances, all grown side by side."""
+    train, test = halves(model_frame(spark, sf_dir).withColumn("segment", F.col("exceptional_circumstances")))
+    model = boosted_per_segment(train, FEATURES, mo.boosted_trees(SEGMENT_TREES, 0.1, 5, subsample=0.8, column_share=0.8))
+    scored = model.transform(test).where("prediction is not null")
+    return shown_metrics(regression_metrics(scored, ["segment"]), "segment")
 
 
 @query("segment_prediction_boosted")
@@ -268,7 +269,7 @@ def segment_prediction_boosted(spark, sf_dir) -> DataFrame:
     models = en.fit_bases(folded, base_learner, "fold")
     inside = settle(en.base_predictions(folded, models, True), "segment-train")
     outside = en.base_predictions(test, models, False)
-    model = mo.fit_on(inside, [*FEATURES, "pred_segment"], mo.boosted_trees(PAIR_TREES, rate=0.05, depth=3))
+    model = mo.fit_on(inside, [*FEATURES, "pred_segment"], mo.boosted_trees(TREES, rate=0.05, depth=3))
     return _rows([mo.test_metrics(model, outside, "segment_prediction")])
 
 
@@ -290,7 +291,7 @@ def boosted_search(frame: DataFrame, dictionaries: dict[str, SegmentDictionary],
 
 def single_boosted(frame: DataFrame) -> DataFrame:
     singles = {c: segment_single(frame, c) for c in CATEGORICAL}
-    return boosted_search(frame, singles, mo.boosted_trees(SEARCH_TREES, 0.1, 5), most_values=20)
+    return boosted_search(frame, singles, mo.boosted_trees(TREES), most_values=20)
 
 
 @query("segmentation_search_boosted")
@@ -305,7 +306,7 @@ def pairwise_search_boosted(spark, sf_dir) -> DataFrame:
     frame = model_frame(spark, sf_dir)
     best = [r["candidate"] for r in single_boosted(frame).limit(5).collect()]
     pairs = {f"{a} + {b}": segment_multi(frame, [a, b]) for a, b in combinations(best, 2)}
-    return boosted_search(frame, pairs, mo.boosted_trees(SEARCH_TREES, 0.1, 5), most_values=None)
+    return boosted_search(frame, pairs, mo.boosted_trees(TREES), most_values=None)
 
 
 @query("stacked_segment_model")
@@ -323,19 +324,15 @@ def stacked_segment_model(spark, sf_dir) -> DataFrame:
     meta += ["pred_mean", "all_pred_mean", "segment_prediction"]
     ready = settle(spread(wide.na.fill(0.0, meta), KEY), "stacked-segments")
     train, test = halves(ready)
-    model = mo.fit_on(train, [*meta, *FEATURES], mo.boosted_trees(PAIR_TREES, rate=0.05, depth=4, subsample=0.9))
+    model = mo.fit_on(train, [*meta, *FEATURES], mo.boosted_trees(SEGMENT_TREES, rate=0.05, depth=4, subsample=0.9))
     return _rows([mo.test_metrics(model, test, "stacked_segments")])
 
 
-def _unified(trees: int = 3) -> UnifiedSegmentedModel:
-    return UnifiedSegmentedModel(segmentation=["exceptional_circumstances"], trees=trees, folds=2)
-
-
 @query("unified_segmented_model")
 def unified_segmented_model(spark, sf_dir) -> DataFrame:
     """Fit on the raw training claims, score the raw test claims."""
     raw = written_claims(spark, sf_dir).withColumn("split", holdout(F.col(KEY)))
-    fitted = _unified().fit(raw.where("split = 'train'"))
+    fitted = UnifiedSegmentedModel().fit(raw.where("split = 'train'"))
     test = finite_target(raw.where("split = 'test'"), TARGET)
     return _rows([fitted.score(test).withColumn("model", F.lit("unified"))])
 
@@ -347,11 +344,11 @@ def unified_segmented_model(spark, sf_dir) -> DataFrame:
 def model_save_load(spark, sf_dir) -> DataFrame:
     """A loaded model must predict every test row exactly as the saved one."""
     train, test = halves(model_frame(spark, sf_dir))
-    model = mo.fit_on(train, FEATURES, mo.boosted_trees(3, 0.1, 3))
+    model = mo.fit_on(train, FEATURES, mo.boosted_trees(TREES, 0.1, 3))
     path = shared_path(spark, "saved-model")
     save_model(model, path)
     first = model.transform(test).select(KEY, *FEATURES, F.col("prediction").alias("saved"))
-    both = load_model(path).transform(first)
+    both = load_model(path, TreeModel).transform(first)
     return both.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("saved") == F.col("prediction")).alias("n_equal")
     )
@@ -359,19 +356,16 @@ def model_save_load(spark, sf_dir) -> DataFrame:
 
 @query("decision_paths")
 def decision_paths(spark, sf_dir) -> DataFrame:
-    """The tests a record passes in the first three trees, and the leaf it reaches."""
+    """The tests a record passes in the first three trees of a booster, and the leaf it reaches."""
     train, test = halves(model_frame(spark, sf_dir))
-    model = mo.fit_on(train, FEATURES, mo.boosted_trees(3, 0.1, 4))
+    model = mo.fit_on(train, FEATURES, mo.boosted_trees(TREES, 0.1, 4))
     found = tr.decision_paths(model, test, KEY, FEATURES)
     return found.select(
         KEY, "tree", "leaf", rounded(F.col("value")).alias("value"), tr.predicate(F.col("path")).alias("path")
     )
 
 
-SUITE_SIZES = {"trees": 5, "forest_depth": 8}
-
-
-def suite(train: DataFrame, trees: int, forest_depth: int | None) -> dict[str, object]:
+def suite(train: DataFrame, trees: int, forest_depth: int) -> dict[str, object]:
     n, deviation = mo.target_deviation(train, "y")
     return {
         "Linear Regression": LinearRegression(labelCol="y", solver="normal"),
@@ -384,7 +378,7 @@ def suite(train: DataFrame, trees: int, forest_depth: int | None) -> dict[str, o
     }
 
 
-def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_depth: int | None, folds: int = 5) -> list[dict]:
+def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_depth: int, folds: int = 5) -> list[dict]:
     """Fit, predict and measure every model with its wall time; the stack's out-of-fold
     table serves the vote as well."""
     train, test = halves(frame)
@@ -407,13 +401,12 @@ def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_dept
 
     def vote():
         scored = test
-        fits = {n: partial(mo.fit_on, train, FEATURES, e.copy()) for n, e in bases.items()}
-        for name, model in mo.fit_all(fits).items():
-            scored = model.transform(scored).withColumnRenamed("prediction", f"pred_{name}").drop("features")
+        for name, model in fit_many(train, FEATURES, {n: Lane(g) for n, g in bases.items()}, key=KEY).items():
+            scored = model.transform(scored, f"pred_{name}")
         return regression_metrics(scored.select("y", en.mean_vote(names).alias("prediction")))
 
     def stack():
-        inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold", folds)
+        inside, outside, _ = en.tree_out_of_fold(train, test, FEATURES, bases, "inner_fold", folds, KEY)
         meta = mo.elastic_net(0.001, 0.5, mo.target_deviation(inside, "y")[1])
         return mo.test_metrics(mo.fit_on(inside, names, meta), outside, "stack")
 
@@ -422,7 +415,7 @@ def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_dept
     if raw is not None:
         timed(
             "Unified Segmented Model",
-            lambda: _unified(trees)
+            lambda: UnifiedSegmentedModel()
             .fit(raw.where("split = 'train'"))
             .score(finite_target(raw.where("split = 'test'"), TARGET)),
         )
@@ -433,7 +426,7 @@ def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_dept
 def model_suite(spark, sf_dir) -> DataFrame:
     """Ten models on one split with wall time, best R² first."""
     raw = written_claims(spark, sf_dir).withColumn("split", holdout(F.col(KEY)))
-    rows = timed_suite(model_frame(spark, sf_dir), raw, **SUITE_SIZES, folds=2)
+    rows = timed_suite(model_frame(spark, sf_dir), raw, TREES, FOREST_DEPTH)
     order = ["model", "n", "mse", "rmse", "mae", "r2", "seconds"]
     schema = "model string, n long, mse double, rmse double, mae double, r2 double, seconds double"
     table = spark.createDataFrame([tuple(r[c] for c in order) for r in rows], schema)

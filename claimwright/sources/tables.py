@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimwright.operators.boosting import TreeModel
 from claimwright.sources.claims import CATEGORICAL, DATES, KEY, NUMERIC, TARGET
 
 CLAIMS_SCHEMA = T.StructType(
@@ -50,14 +51,17 @@ def append_run(metrics: DataFrame, path: str, run_id: str, key: str = "model") -
     ).write.mode("append").parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | TreeModel, path: str) -> None:
+    if isinstance(model, TreeModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    model = PipelineModel.load(path)
-    if not isinstance(model, PipelineModel):
-        raise TypeError(f"{path} holds no pipeline model")
+def load_model(path: str, kind: type = PipelineModel) -> PipelineModel | TreeModel:
+    model = kind.load(SparkSession.active(), path) if kind is TreeModel else kind.load(path)
+    if not isinstance(model, kind):
+        raise TypeError(f"{path} holds no {kind.__name__}")
     return model
 
 
