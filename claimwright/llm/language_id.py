@@ -6,9 +6,8 @@ the mean log frequency counts. The text's language has the largest sum, its scor
 share of that language after a soft maximum over the languages.
 
 The model is fitted on a sample of labelled rows of bounded size (``FIT_ROWS``, chosen by a
-hash of the row), and keeps the ``MODEL_WORDS`` most frequent words and ``MODEL_GRAMS`` most
-frequent n-grams of each length, so what goes to the tasks has a fixed bound. The counts
-are made and added up on the cluster. Every text is scored whole, in one pass, without a
+hash of the row) and keeps all words and n-grams of these rows, so what goes to the tasks is
+bounded by the sample. The counts are made and added up on the cluster. Every text is scored whole, in one pass, without a
 shuffle.
 
 Defined cases: ``und`` with score 0 for a null text, one without any letter, and every text
@@ -29,10 +28,11 @@ from claimwright.llm import words as W
 from claimwright.llm.blocks import held_out
 from claimwright.llm.registry import query
 
-#: Bounds of the fit: labelled rows, words and n-grams of each length that are kept.
-FIT_ROWS, MODEL_WORDS, MODEL_GRAMS = 20_000, 200_000, 50_000
+#: Bound of the fit: labelled rows.
+FIT_ROWS = 20_000
 LONGEST = 4
-LEAST_COUNT = 3
+#: Added to each count: little, so that a word seen once in one language tells something.
+SMOOTH = 0.01
 UNKNOWN = "und"
 SLICE_BYTES = 2 << 20
 _SPACE = 0x20
@@ -81,7 +81,7 @@ class Model:
         self.languages, self.tables = languages, {}
         for level, (keys, counts) in tables.items():
             order = np.argsort(keys)
-            share = np.log((counts[order] + 0.1) / (totals[level] + 0.1 * (len(keys) + 1)))
+            share = np.log((counts[order] + SMOOTH) / (totals[level] + SMOOTH * (len(keys) + 1)))
             self.tables[level] = (keys[order], share.astype(np.float32))
         words = totals.get(0, np.zeros(len(languages)))
         self.usual = int(np.argmax(words)) if len(languages) else -1
@@ -170,11 +170,10 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
         totals = {level: np.zeros(len(languages)) for level in {r["level"] for r in total_rows}}
         for r in total_rows:
             totals[r["level"]][languages.index(r["lang"])] = r["n"]
-        whole = counts.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("n") >= LEAST_COUNT)
+        whole = counts.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
         tables = {}
         for level in sorted(totals):
-            most = MODEL_WORDS if level == 0 else MODEL_GRAMS
-            kept = whole.where(F.col("level") == level).orderBy(F.desc("n"), "gram").limit(most)
+            kept = whole.where(F.col("level") == level)
             found = kept.select("gram", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"c{k}") for k, x in enumerate(languages)]).toArrow()
             if found.num_rows:
                 tables[level] = (found["gram"].to_numpy().view(np.uint64), np.stack([found[f"c{k}"].to_numpy() for k in range(len(languages))], 1))
