@@ -549,6 +549,49 @@ class TreeModel:
         found = with_segment_number(df, self.segment, self.segments).withColumn(output, F.nanvl(self.prediction(), F.lit(None).cast("double")))
         return found.drop("segment_number")
 
+    def rescored(self, x: np.ndarray, segment: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Predictions of ``row`` (of ``x``) with one ``feature`` at another ``value``, for as many
+        triples. Only trees that split on the feature are walked again."""
+        tree = np.repeat(np.arange(self.n_trees), np.diff(self.starts))
+        inner = self.feature >= 0
+        used = np.zeros((len(self.features), self.n_trees, len(self.base)), bool)
+        used[self.feature[inner], tree[inner], self.node_segment[inner]] = True
+        before = np.stack([self.value[self.leaves(x, segment, t)] for t in range(self.n_trees)]) if self.n_trees else np.zeros((0, x.shape[1]))
+        out = (self.base[segment] + before.sum(0))[row]
+        for f in np.unique(feature):
+            own = np.flatnonzero(feature == f)
+            changed, at = x[:, row[own]], segment[row[own]]
+            changed[f] = value[own]
+            for t in range(self.n_trees):
+                walked = np.flatnonzero(used[f, t, at])
+                if len(walked):
+                    out[own[walked]] += self.value[self.leaves(changed[:, walked], at[walked], t)] - before[t, row[own[walked]]]
+        return out
+
+    def what_if(self, which: Column, values: Column) -> Column:
+        """For each feature number in the array ``which`` and each of its test values in the
+        array of arrays ``values``: the prediction with that feature at that value."""
+        count = len(self.features)
+
+        def score(*columns: pd.Series) -> pd.Series:
+            x, segment = np.stack([c.to_numpy(float) for c in columns[:count]]), columns[count].to_numpy(float)
+            known = ~np.isnan(segment)
+            triples, shapes = [], []
+            for r, (own, lists) in enumerate(zip(columns[count + 1], columns[count + 2], strict=True)):
+                shapes.append([len(v) for v in lists] if known[r] else [])
+                if known[r]:
+                    triples += [(r, f, v) for f, given in zip(own, lists, strict=True) for v in given]
+            if not triples:
+                return pd.Series([[[np.nan] * len(v) for v in lists] for lists in columns[count + 2]])
+            row, feature, value = (np.array(c) for c in zip(*triples, strict=True))
+            out = self.rescored(x, np.where(known, segment, 0).astype(np.int64), row, feature, value.astype(float))
+            cuts = np.cumsum([n for sizes in shapes for n in sizes])[:-1]
+            parts = iter(np.split(out, cuts))
+            return pd.Series([[next(parts) for _ in sizes] if known[r] else [[np.nan] * len(v) for v in columns[count + 2].iloc[r]] for r, sizes in enumerate(shapes)])
+
+        number = F.col("segment_number") if self.segment else F.lit(0)
+        return F.pandas_udf(score, "array<array<double>>")(*[F.col(c).cast("double") for c in self.features], number.cast("double"), which, values)
+
     def importances(self, segment: int | None = None) -> np.ndarray:
         """Mean gain of the splits on each feature, scaled to sum 1."""
         inner = self.feature >= 0

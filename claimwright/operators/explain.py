@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimwright.operators.boosting import TreeModel
 from claimwright.session import settle
 
 # How many features of each kind a sensitivity report shows first.
@@ -159,13 +160,31 @@ def contribution_shares(models: DataFrame, least: float = 0.01) -> DataFrame:
     )
 
 
+def test_values(value: Column) -> tuple[Column, Column]:
+    """The two test values of a feature: half and one and a half times the value (100 and 1000
+    for zero), or 100 either side when these are closer than 1."""
+    low = F.when(value == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.1), value * 0.5))
+    high = F.when(value == 0, F.lit(1000.0)).otherwise(value * 1.5)
+    narrow = F.abs(high - low) < 1.0
+    return F.when(narrow, F.greatest(F.lit(0.0), value - 100)).otherwise(low), F.when(narrow, value + 100).otherwise(high)
+
+
 def test_width(value: Column) -> Column:
-    """Distance between the two test values of a feature: half and one and a half times the
-    value (100 and 1000 for zero), or 100 either side when these are closer than 1."""
+    """Distance between the two test values of a feature."""
     usual = F.when(value == 0, F.lit(900.0)).otherwise(value * 1.5 - F.greatest(F.lit(0.1), value * 0.5))
     return F.when(F.abs(usual) < 1.0, value + 100 - F.greatest(F.lit(0.0), value - 100)).otherwise(usual)
 
 
+def slopes_of_model(df: DataFrame, model: TreeModel, features: Sequence[str]) -> DataFrame:
+    """Add ``slopes``: for every feature the change of the model's prediction between the
+    record's two test values, over their distance, all else unchanged."""
+    pairs = F.transform(values_of(features), lambda v: F.array(*[x.cast("double") for x in test_values(v)]))
+    which = F.array(*[F.lit(model.features.index(c)) for c in features])
+    tested = df.withColumn("tests", pairs).withColumn("tested", model.what_if(which, F.col("tests")))
+    slope = F.zip_with("tests", "tested", lambda t, p: F.coalesce(F.try_divide(p[1] - p[0], t[1] - t[0]), F.lit(0.0)))
+    return tested.withColumn("slopes", slope).drop("tests", "tested")
+
+
 def impact(value: Column, always: Column, slope: Column, importance: Column, prediction: Column):
     """Whether a perturbation moves the prediction by more than 1 or by more than 0.5 %,
     by how much, by which share, and the score. A value near zero counts only if ``always``."""
@@ -209,7 +228,13 @@ def moving(features: Sequence[str]) -> Column:
 def screened(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """Rows ``(key, feature, kind, change, share, score)`` of the features that matter.
     ``df`` holds the records, their segment's arrays and ``prediction``."""
-    return df.select(key, F.explode(moving(features)).alias("m")).select(key, "m.feature", "m.kind", "m.change", "m.share", "m.score")
+    return exploded(df.select(key, moving(features).alias("all")), "all", "m").select(key, "m.feature", "m.kind", "m.change", "m.share", "m.score")
+
+
+def exploded(df: DataFrame, entries: str, entry: str, at: str = "at") -> DataFrame:
+    """A row for each of the ``entries``. The plain form of the generator would add a filter on
+    their number below, which evaluates what they are made of once more for every use."""
+    return df.select("*", F.posexplode_outer(entries).alias(at, entry)).drop(entries).where(F.col(entry).isNotNull())
 
 
 def _first_of_kind(ranked: Column, kind: str, count: int) -> Column:
@@ -226,7 +251,7 @@ def with_shown(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def diverse(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """``(key, feature, kind, place)`` of ``with_shown``."""
-    return with_shown(df, features).select(key, F.posexplode("shown").alias("at", "s")).select(
+    return exploded(with_shown(df, features).select(key, "shown"), "shown", "s").select(
         key, "s.feature", "s.kind", (F.col("at") + 1).cast("long").alias("place")
     )
 

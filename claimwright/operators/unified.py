@@ -169,6 +169,14 @@ class FittedSegmentedModel:
         """Metrics on rows that have a target."""
         return regression_metrics(self.transform(df).select(F.col(TARGET).alias("y"), "prediction"))
 
+    def weights(self) -> DataFrame:
+        """``place``, ``model``, ``coefficient`` and ``share`` of the stack's inputs, largest first."""
+        coefficients = [float(c) for c in self.final.stages[-1].coefficients]
+        order = sorted(zip(self.bases, coefficients), key=lambda p: (-abs(p[1]), p[0]))
+        total = sum(abs(c) for _, c in order)
+        rows = [(k, n, c, abs(c) / total if total else 0.0) for k, (n, c) in enumerate(order, 1)]
+        return self.dictionary.table.sparkSession.createDataFrame(rows, "place int, model string, coefficient double, share double")
+
     def save(self, path: str) -> None:
         spark = self.dictionary.table.sparkSession
         self.boosted.save(spark, f"{path}/boosted")

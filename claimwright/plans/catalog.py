@@ -7,7 +7,7 @@ import importlib
 from claimwright.plans.registry import ORACLES, QUERIES
 
 for _module in (
-    "cleaning", "features", "segments", "linear_models", "evaluation", "explain", "tree_models", "streams",
+    "cleaning", "features", "segments", "linear_models", "evaluation", "explain", "tree_models", "explain_models", "streams",
 ):
     importlib.import_module(f"claimwright.plans.{_module}")
 

@@ -295,7 +295,7 @@ def sensitivity_curve(spark, sf_dir) -> DataFrame:
     ranges = spread.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*at)))).alias("ranges"))
     fitted = settle(models.drop("means").join(ranges, "segment"), "curve-models")
     scored = rows.join(fitted, "segment").withColumn("prediction", ex.predicted(FEATURES))
-    shown = ex.with_shown(scored, FEATURES).select(KEY, F.col("prediction").alias("now"), "ranges", F.explode("shown").alias("s"))
+    shown = ex.exploded(ex.with_shown(scored, FEATURES).select(KEY, F.col("prediction").alias("now"), "ranges", "shown"), "shown", "s")
     own = F.col("ranges")[F.col("s.feature")]
     low, high = ex.curve_range(F.col("s.value"), own["low"], own["high"], own["top"])
     points = F.explode(F.sequence(F.lit(0), F.lit(10))).alias("point")

@@ -95,9 +95,12 @@ def preprocess_pipeline(spark, sf_dir) -> DataFrame:
 
 @query("rbf_regression")
 def rbf_regression(spark, sf_dir) -> DataFrame:
+    """Support-vector regression over all features on the scale of their deviations."""
     train, test = halves(model_frame(spark, sf_dir))
-    model, columns = rbf.fit_rbf(train, ["total_special", "total_general", "driver_age"])
-    return _rows([mo.test_metrics(model, test.withColumns(columns), "rbf")])
+    scale = train.agg(*[F.stddev_pop(c).alias(c) for c in FEATURES], F.stddev_pop("y").alias("y")).first()
+    scaled = {c: F.col(c) / F.lit(scale[c] or 1.0) for c in FEATURES}
+    model = rbf.fit_rbf(train.withColumns(scaled), FEATURES, cost=1.0, epsilon=0.1)
+    return _rows([mo.test_metrics(model, test.withColumns(scaled), "rbf")])
 
 
 GRID = {"rate": (0.05, 0.1), "depth": (3, 5), "min_child": (1.0, 3.0)}
@@ -223,8 +226,7 @@ def metalearner_sweep(spark, sf_dir) -> DataFrame:
         mo.test_metrics(mo.fit_on(inside, names, estimator), outside, name)
         for name, estimator in meta_learners(n, deviation, TREES).items()
     ]
-    model, columns = rbf.fit_rbf(inside, names)
-    parts.append(mo.test_metrics(model, outside.withColumns(columns), "rbf"))
+    parts.append(mo.test_metrics(rbf.fit_rbf(inside, names), outside, "rbf"))
 
     keep = [KEY, "y", *names]
     both = inside.select(*keep, F.lit(False).alias("new")).unionByName(
