@@ -3,16 +3,21 @@
 Every element of a page gets a hash of its subtree: tag, texts and the hashes of its
 children, without attributes. Spark counts on how many different pages of a host each hash
 occurs, and subtrees that recur on at least ``LEAST_PAGES`` of them, however many pages the
-host has, are deleted: menus, notices, footers and the like, whatever their markup. Pages
-of a host with the same content, the text that is left without templates, are one page here:
-no copy votes for its own text, under however many URLs it stands. Texts inside an
-``article`` are never taken for a template, as articles quote each other. Elements that say
-themselves that they are no content (``NO_CONTENT`` tags, ``NO_CONTENT_NAMES`` in class, id
-or role) go too, so that sites of a few pages are cleaned as well. What is left of the
-articles, else of ``main``, else of the page, is the text.
-
-A page meets only those templates that it holds, at most as many as it has subtrees. Pages and their lists meet by a hash of URL and source, so a host
-with a third of all pages is spread over all tasks.
+host has, are deleted: menus, notices, footers and the like, whatever their markup. Pages are
+different, for a subtree, if their headlines outside of it are, or without such their longest
+texts: copies and near copies of a page share these and are one page here, so they never vote
+for their own text, under however many URLs they stand.
+
+Inside an ``article`` only containers (``BOXES``) can be templates, at the same path of tags
+below the article: a share bar or a call to subscribe recurs as a box in its place, while what
+articles quote from each other are paragraphs and quotations. Elements that say themselves
+that they are no content (``NO_CONTENT`` tags, ``NO_CONTENT_NAMES`` in class, id or role)
+go too, so that sites of a few pages are cleaned as well; inside an article only if they say
+nothing else. What is left of the articles, else of ``main``, else of the page, is the text.
+
+A page meets only those templates that it holds, at most as many as it has subtrees. Pages and
+their lists meet by a hash of URL and source, so a host with a third of all pages is spread
+over all tasks.
 
 Defined cases: a null page is empty and gives an empty text; a URL without host belongs to the
 host ''; repeated rows count as one page and get the same text; end tags may be missing; a
@@ -53,6 +58,8 @@ NO_CONTENT_NAMES = frozenset(
     "navigation breadcrumb breadcrumbs footer comment comments disqus replies share sharing social related recommended newsletter subscribe signup login popup modal skip toolbar pagination".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar".split())
+NEUTRAL_NAMES = frozenset("bar block box button buttons container group inner links list module section widget wrap wrapper".split())
+BOXES = frozenset("aside center details div dl fieldset figure footer form header nav ol section ul".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -68,20 +75,22 @@ def host_of(url: str | None) -> str:
 class Element:
     """An open element: what its subtree hash is made of, and where its texts begin."""
 
-    __slots__ = ("tag", "parts", "first", "dropped", "article", "text")
+    __slots__ = ("tag", "parts", "first", "dropped", "path", "text")
 
-    def __init__(self, tag: str, first: int, dropped: bool, article: bool) -> None:
-        self.tag, self.parts, self.first, self.dropped, self.article, self.text = tag, [], first, dropped, article, False
+    def __init__(self, tag: str, first: int, dropped: bool, path: str | None) -> None:
+        # path: tags from the article down to here, None outside.
+        self.tag, self.parts, self.first, self.dropped, self.path, self.text = tag, [], first, dropped, path, False
 
 
 class PageReader:
-    """Reads one page. ``subtrees``: hashes of closed blocks outside articles that have text. ``blocks``: texts that are kept, with the region they lie in."""
+    """Reads one page. ``subtrees``: hashes of closed blocks that can be templates and have text, with the range of texts they hold. ``blocks``: texts that are kept, with the region they lie in."""
 
     def __init__(self, source: str, templates: frozenset[int] | set[int] = frozenset()) -> None:
         self.templates = templates
-        self.subtrees: set[int] = set()
+        self.subtrees: dict[int, tuple[int, int]] = {}
         self.blocks: list[tuple[int, str]] = []  # region: 2 article, 1 main, 0 elsewhere
-        self.open: list[Element] = [Element("", 0, False, False)]
+        self.headlines: set[int] = set()  # numbers of the texts of first-order headings
+        self.open: list[Element] = [Element("", 0, False, None)]
         self.region = [0]
         self.line: list[str] = []
         self._read(source)
@@ -99,15 +108,21 @@ class PageReader:
             self._flush()
         element = self.open.pop()
         self.region.pop()
+        if element.tag == "h1":
+            self.headlines.update(range(element.first, len(self.blocks)))
         digest = hashlib.blake2b("\x00".join([element.tag, *element.parts]).encode("utf-8", "replace"), digest_size=8).digest()
         parent = self.open[-1]
         parent.parts.append(digest.hex())
         parent.text |= element.text
-        if element.text and not inline and not element.article and element.tag not in ("html", "body", "article", "main"):
+        if element.text and not inline and (element.tag in BOXES if element.path is not None else element.tag not in ("html", "body", "article", "main")):
             key = int.from_bytes(digest, "little", signed=True)
-            self.subtrees.add(key)
+            if element.path is not None:
+                key ^= site_hash("article/" + element.path)
+            low, high = self.subtrees.get(key, (element.first, element.first))
+            self.subtrees[key] = min(low, element.first), max(high, len(self.blocks))
             if key in self.templates:
                 del self.blocks[element.first :]
+                self.headlines = {k for k in self.headlines if k < element.first}
 
     def _pop_to(self, at: int) -> None:
         while len(self.open) > at:
@@ -139,12 +154,14 @@ class PageReader:
         if attributes:
             for value in _NAMES.findall(attributes):
                 names.update(_SPLIT.split(value.lower()))
-        inside = parent.article or parent.tag == "article"
-        dropped = parent.dropped or tag in NO_CONTENT or bool(names & NO_CONTENT_NAMES) and tag not in ("html", "body", "article", "main")
+        inside = parent.path is not None or parent.tag == "article"
+        path = f"{parent.path or ''}/{tag}" if inside else None
+        named = bool(names & NO_CONTENT_NAMES) and (not inside or names - {""} <= NO_CONTENT_NAMES | NEUTRAL_NAMES)
+        dropped = parent.dropped or tag in NO_CONTENT or named and tag not in ("html", "body", "article", "main")
         if not inside and (tag == "header" or names & OUTER_NAMES and tag not in ("html", "body", "article", "main")):
             dropped = True
         region = 2 if tag == "article" else 1 if tag == "main" or "main" in names and "role" in attributes.lower() else 0
-        self.open.append(Element(tag, len(self.blocks), dropped, inside))
+        self.open.append(Element(tag, len(self.blocks), dropped, path))
         self.region.append(max(self.region[-1], region))
 
     def _end(self, tag: str) -> None:
@@ -192,10 +209,17 @@ class PageReader:
         self._pop_to(1)
         self._flush()
 
-    def content(self) -> int:
-        """Hash of all texts that are kept: the same for copies of a page."""
-        digest = hashlib.blake2b("\x00".join(text for _, text in self.blocks).encode("utf-8", "replace"), digest_size=8).digest()
-        return int.from_bytes(digest, "little", signed=True)
+    def votes(self) -> Iterator[tuple[int, int]]:
+        """Each subtree with a hash of what tells the page from others outside of it: its
+        headline, else its longest text."""
+        order = sorted(range(len(self.blocks)), key=lambda k: (k not in self.headlines, -len(self.blocks[k][1]), k))
+        hashes: dict[int, int] = {}
+        for key, (low, high) in self.subtrees.items():
+            at = next((k for k in order if not low <= k < high), -1)
+            if at not in hashes:
+                text = self.blocks[at][1] if at >= 0 else ""
+                hashes[at] = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+            yield key, hashes[at]
 
     def main_text(self) -> str:
         best = max((region for region, _ in self.blocks), default=0)
@@ -208,17 +232,18 @@ def site_hash(host: str) -> int:
 
 
 def page_subtrees(pages: DataFrame, page: str = "page", url: str = "url", source: str = "html") -> DataFrame:
-    """``page``, a hash of the page's ``content``, and ``subtree``, the hash of subtree and host,
-    for every different subtree of every page."""
+    """``page``, a hash of the page's ``content`` outside, and ``subtree``, the hash of subtree and
+    host, for every different subtree of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, contents, hashes = [], [], []
             for key, link, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 read, site = PageReader(text or ""), site_hash(host_of(link))
-                keys += [key] * len(read.subtrees)
-                contents += [read.content()] * len(read.subtrees)
-                hashes += [subtree ^ site for subtree in read.subtrees]
+                for subtree, outside in read.votes():
+                    keys.append(key)
+                    contents.append(outside)
+                    hashes.append(subtree ^ site)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, contents, hashes)], names=["page", "content", "subtree"])
 
     return pages.select(page, url, source).mapInArrow(run, "page long, content long, subtree long")

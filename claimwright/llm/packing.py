@@ -11,8 +11,9 @@ Each piece gets its rank among the pieces of its length, by counts of blocks add
 the blocks, and finds the sequence and the place that the plan has for that rank. No step
 gathers the pieces of a length in one task.
 
-Tokenising splits the text of a slice into the pieces of the tokenizer's own pattern with
-arrays and encodes each distinct piece once with the tokenizer.
+Tokenising splits the text of a slice at the tokenizer's added tokens and then into the pieces
+of its own pattern with arrays, and encodes each distinct piece once with the tokenizer as it
+was loaded.
 
 Defined cases: null and empty texts are the end token alone; only documents longer than a
 sequence are cut, into a first piece with the remainder and full pieces; repeated rows are
@@ -21,6 +22,7 @@ packed as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -108,7 +110,12 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that the tokenizer maps to one id wherever they stand in a text.
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        plain = all(not (t.single_word or t.lstrip or t.rstrip) for t in self.tokenizer.get_added_tokens_decoder().values())
+        if not plain:
+            raise ValueError("added tokens that look at what stands beside them are not supported")
+        self.pattern = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.forget()
 
     def forget(self) -> None:
@@ -117,7 +124,7 @@ class PieceTokenizer:
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces, each as a word of one call, and add them to what is known."""
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)  # an added token is one piece, and one id
         counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
         base = len(self.starts) - 1
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
@@ -132,7 +139,12 @@ class PieceTokenizer:
         whole = "".join(texts)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         points = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
-        starts = split_pieces(points, bounds)
+        # An added token ends the text before it and begins one after it.
+        marked = [(m.start() + int(b), m.end() + int(b)) for t, b in zip(texts, bounds, strict=False) for m in (self.pattern.finditer(t) if self.pattern else ())]
+        starts = split_pieces(points, np.unique(np.concatenate([bounds, np.array(marked, np.int64).reshape(-1)])) if marked else bounds)
+        if marked:
+            low, high = np.array(marked, np.int64).T
+            starts = starts[np.searchsorted(high, starts, "right") == np.searchsorted(low, starts, "left")]  # none inside a token
         ends = np.concatenate([starts[1:], [len(points)]]) if len(starts) else starts
         hashes = np.empty(len(starts), np.uint64)
         low = 0

@@ -1,5 +1,6 @@
 """Secrets, pages, packing, top-k and the pipeline."""
 
+import re
 import zlib
 
 import duckdb
@@ -58,6 +59,22 @@ def test_weak_parts_with_prefixes_and_long_parts(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[5] == "[REDACTED] [REDACTED]"
 
 
+def test_redaction_is_linear_in_spans(spark):
+    """Thousands of spans of every kind in one document, and a text of megabytes."""
+    import time
+
+    hexes = " ".join(f"{k:020x}x" for k in range(5_000))
+    linked = " ".join(f"login=user{k} ABCxef0123456789ABCDzz{k}" for k in range(1_000))
+    long = "word " * 600_000 + "deadbeefdeadbeef12 tail"
+    docs = spark.createDataFrame([(1, hexes), (2, linked), (3, long)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.time() - start < 100
+    assert got[1] == "x ".join([secrets.MARK] * 5_000) + "x"
+    assert got[2] == " ".join([secrets.MARK] * 2_000)
+    assert got[3] == "word " * 600_000 + secrets.MARK + " tail"
+
+
 def test_redaction(secret_docs):
     got = {r.doc_id: r.text for r in secrets.redact(secret_docs).collect()}
     assert got[0] == "é😀 [REDACTED] x [REDACTED] [REDACTED] [REDACTED] [REDACTED]"
@@ -107,6 +124,60 @@ def test_copies_keep_their_text(spark):
     assert all(r.text == ("Title one text and more" if r.page_id < 100 else f"text {r.page_id - 100}") for r in got)
 
 
+def site(spark, sources):
+    rows = [(k, f"http://s.example/{k}", source) for k, source in enumerate(sources)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts_of(docs, **more):
+    return [r.text for r in sorted(html_text.extract(docs, **more).collect(), key=lambda r: r.page_id)]
+
+
+def test_boxes_inside_articles_go_by_recurrence(spark):
+    """Without a telling name or tag; what articles quote from each other stays."""
+    quote = "<p>A line that all of them quote at some length.</p><blockquote><p>So it is said everywhere.</p></blockquote>"
+    box = "<div><p>Join our many readers</p><ul><li>one mail a week</li></ul></div>"
+    page = "<body><article><h1>Title {0}</h1><p>Own text of page {0}, which is longer than all else here by far, and then some.</p>{1}{2}</article></body>"
+    docs = site(spark, [page.format(k, quote, box) for k in range(6)])
+    own = [f"Title {k} Own text of page {k}, which is longer than all else here by far, and then some. A line that all of them quote at some length. So it is said everywhere." for k in range(6)]
+    assert texts_of(docs) == own
+    assert texts_of(docs, least_pages=7) == [t + " Join our many readers one mail a week" for t in own]
+
+
+def test_near_copies_keep_their_text(spark):
+    page = "<body><h1>The headline</h1><p>The one paragraph of this page, seen under many addresses.</p><p>Seen {} times on 2000</p></body>"
+    got = texts_of(site(spark, [page.format(k) for k in range(6)]))
+    assert got == [f"The headline The one paragraph of this page, seen under many addresses. Seen {k} times on 2000" for k in range(6)]
+
+
+def test_long_notices_go_and_names_need_to_say_it(spark):
+    notice = "<div><p>" + "We set cookies and tell you so at great length. " * 30 + "</p></div>"
+    page = "<body>{1}<article><h1>T{0}</h1><p>Short text {0}.</p><div id='share-prices'><p>Prices of {0}</p></div><div class='share-bar'>Send {0}</div></article></body>"
+    assert texts_of(site(spark, [page.format(k, notice) for k in range(6)])) == [f"T{k} Short text {k}. Prices of {k}" for k in range(6)]
+    bare = "<body>{1}<h1>T{0}</h1><p>A text {0} of some length.</p></body>"
+    small = "<div><p>We set cookies</p></div>"
+    assert texts_of(site(spark, [bare.format(k, small) for k in range(6)])) == [f"T{k} A text {k} of some length." for k in range(6)]
+
+
+def test_counted_templates_equal_a_plain_count(spark):
+    """Templates of whole sites against counting subtrees by hand, page by page."""
+    import collections
+    import random
+
+    own = random.Random(3)
+    boxes = [f"<div><p>box {k}</p></div>" for k in range(12)]
+    sources = ["<body>" + "".join(own.sample(boxes, 4)) + f"<p>text {own.randrange(25)} of a page with words</p><p>line {k}</p></body>" for k in range(40)]
+    votes = collections.defaultdict(set)
+    for source in sources:
+        texts = re.findall(r"<p>(.*?)</p>", source)
+        for box in texts:
+            votes[box].add(max((t for t in texts if t != box), key=lambda t: (len(t), -texts.index(t))))
+    gone = {box for box, outside in votes.items() if len(outside) >= html_text.LEAST_PAGES}
+    assert 0 < len(gone)
+    for text, source in zip(texts_of(site(spark, sources)), sources, strict=True):
+        assert text == " ".join(t for t in re.findall(r"<p>(.*?)</p>", source) if t not in gone)
+
+
 def test_reader_drops_what_is_no_content():
     page = html_text.PageReader(
         '<html><head><title>T</title></head><body><div class="main-menu">m</div><header>h</header><main>x<article><h1>A &amp; b</h1><p>one <b>two<p>thr<i>e</i>e</b> x<span class=ad>AD</span>y'
@@ -119,7 +190,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return [np.array(e.ids + [packing.END_TOKEN], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -169,6 +239,14 @@ def test_pieces_equal_the_tokenizer():
     line, bounds = packing.PieceTokenizer(packing.tokenizer_path()).encode(*words.flat(pa.array(texts)))
     for k, expected in enumerate(encoded(texts)):
         assert line[bounds[k] : bounds[k + 1]].tolist() == expected.tolist()
+    assert (line == 50256).sum() > 300  # added tokens are one id
+
+
+def test_added_tokens_in_texts(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "<|endoftext|><|endoftext|>  x"), (4, "it's<|endoftext|>'s <|endoftext"), (5, "word <|endoftext|>" * 900)]
+    got = packing.pack(packing.cut_pieces(spark.createDataFrame(rows, "doc_id long, text string"), packing.tokenizer_path())).collect()
+    check_packing(got, rows)
+    assert {r.doc_id: r.length for r in got}[1] == 5
 
 
 @pytest.mark.parametrize("most", [1, 2, 3])
@@ -212,6 +290,16 @@ def test_top_k_edges(spark):
     assert top_k.top_k(table.where("vec_id in (100, 5)"), F.col("id") % 100 == 0).count() == 1
 
 
+def test_many_vectors_under_one_id(spark):
+    """Tiles that share their ids are told apart, and every row is a candidate once."""
+    rng = np.random.default_rng(1)
+    rows = [(7, [float(x) for x in v]) for v in rng.normal(size=(12_000, 4))] + [(100, [1.0, 2.0, 3.0, 4.0])]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect()
+    query = np.floor(np.array(rows[-1][1]) * 1024)
+    expected = sorted((-(np.floor(np.array([v for _, v in rows[:-1]]) * 1024) @ query)).tolist())[:10]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(7, int(-s)) for s in expected]
+
+
 def test_search_prunes_and_stays_exact():
     rng = np.random.default_rng(0)
     vectors = (rng.normal(size=(4000, 16)) * np.linspace(3, 0.05, 16) * rng.lognormal(size=(4000, 1)) * 100).astype(np.int64)
