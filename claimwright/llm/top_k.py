@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +35,9 @@ from claimwright.llm.registry import query
 SAMPLE, TILE, STRETCH, BLOCK, SEEDS = 20_000, 4_096, 512, 512, 2
 SCALE, TOP, EVERY = 1024, 10, 100
 
-_PACKED = "first long, n int, longest double, ids binary, vectors binary"
+_PACKED = "panel int, place long, longest double, ids binary, vectors binary"
+#: Tiles of a panel, the unit in which blocks are sent.
+PANEL = 8
 
 
 def integer_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
@@ -51,6 +54,7 @@ def _filled(v: Column, dimensions: int) -> Column:
 
 def _packer(dimensions: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        panel, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, most):
                 part = batch.slice(low, most)
@@ -58,9 +62,10 @@ def _packer(dimensions: int, most: int):
                 v = part.column(1).flatten().to_numpy().reshape(-1, dimensions)
                 longest = float(np.sqrt((v.astype(float) ** 2).sum(1).max()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(ids[0])]), pa.array([len(ids)], pa.int32()), pa.array([longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
-                    names=["first", "n", "longest", "ids", "vectors"],
+                    [pa.array([panel], pa.int32()), pa.array([panel << 32 | count]), pa.array([longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
+                    names=["panel", "place", "longest", "ids", "vectors"],
                 )
+                count += 1
 
     return run
 
@@ -142,18 +147,18 @@ def top_k(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     vectors = vectors.select("id", _filled(F.col("v"), dimensions).alias("v"))
     rotation = spark.sparkContext.broadcast(_rotation(vectors, rows, dimensions))
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    ordered = vectors.withColumn("length", squares).repartitionByRange(max(1, -(-rows // TILE)), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
+    ordered = vectors.withColumn("length", squares).repartitionByRange(max(1, -(-rows // (TILE * PANEL))), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id", "v")
     tiles = saved(ordered.select("id", "v").mapInArrow(_packer(dimensions, TILE), _PACKED), "tiles")
-    # One number for each tile: the order of the tiles by length.
-    lengths = tiles.select("first", "longest")
-    numbered = tiles.join(lengths.select("first", (F.row_number().over(Window.orderBy(F.desc("longest"), "first")) - 1).alias("tile")), "first")
-    ranks = spark.sparkContext.broadcast(np.array([r[0] for r in lengths.select("longest").orderBy(F.desc("longest")).collect()]))
-    seeds = spark.sparkContext.broadcast([_unpack(r["ids"], r["vectors"]) for r in numbered.where(F.col("tile") < SEEDS).orderBy("tile").select("ids", "vectors").collect()])
+    # Panels are ranges of lengths, the longest first: those a block needs are the first ones.
+    panels = tiles.groupBy("panel").agg(F.max("longest").alias("longest"))
+    count = (tiles.agg(F.max("panel")).first()[0] or 0) + 1
+    first = tiles.orderBy("panel", "place").limit(SEEDS).select("ids", "vectors").collect()
+    seeds = spark.sparkContext.broadcast([_unpack(r["ids"], r["vectors"]) for r in first])
     asked = vectors.where(is_query)
     asked = asked.repartition(max(1, -(-asked.count() // BLOCK)), "id").select("id", "v").mapInArrow(_packer(dimensions, BLOCK), _PACKED)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The floor under each query's k-th best, and how many tiles the block needs."""
+        """The floor under each query's k-th best, and the length below which a block needs no tile."""
         for batch in batches:
             floors, needed = [], []
             for ids, packed in zip(batch["ids"].to_pylist(), batch["vectors"].to_pylist(), strict=True):
@@ -162,13 +167,16 @@ def top_k(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
                 for tile_ids, tile in seeds.value:
                     search(best, names, queries, tile_ids, tile, rotation.value)
                 own = np.maximum(np.linalg.norm(queries.astype(float), axis=1), 1e-9)
-                least = np.where(best.least > 0, best.least / own * (1 - 1e-6), 0.0).min()
-                needed.append(int(np.searchsorted(-ranks.value, -least, "right")))
+                needed.append(float(np.where(best.least > 0, best.least / own * (1 - 1e-6), 0.0).min()))
                 floors.append(best.least.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["ids"], batch["vectors"], pa.array(floors, pa.binary()), pa.array(needed, pa.int32())], names=["q_ids", "q_vectors", "floors", "needed"])
-
-    blocks = saved(asked.mapInArrow(seed, "q_ids binary, q_vectors binary, floors binary, needed int"), "queries")
-    met = blocks.where("needed > 0").select("q_ids", "q_vectors", "floors", F.explode(F.sequence(F.lit(0), F.col("needed") - 1)).alias("tile")).join(numbered.select("tile", "ids", "vectors"), "tile")
+            yield pa.RecordBatch.from_arrays(
+                [batch["place"], batch["ids"], batch["vectors"], pa.array(floors, pa.binary()), pa.array(needed, pa.float64())], names=["place", "q_ids", "q_vectors", "floors", "needed"]
+            )
+
+    blocks = saved(asked.mapInArrow(seed, "place long, q_ids binary, q_vectors binary, floors binary, needed double"), "queries")
+    # Which panels a block meets is decided on numbers alone; then it is sent to those.
+    pairs = blocks.select("place", "needed", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("panel")).join(panels, "panel").where("longest >= needed").select("place", "panel")
+    met = pairs.join(blocks, "place").join(tiles.select("panel", "ids", "vectors", F.col("longest").alias("own")), "panel").where("own >= needed")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
