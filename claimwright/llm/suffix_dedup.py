@@ -16,7 +16,8 @@ together by their content:
    contexts are contested.
 3. Contested contexts (the first of equal ones) are sent as bytes to the shard of their
    anchor, which builds the suffix array of their windows and its previous factors. Under an
-   anchor with very many contexts each window is sent to the shard of its own hash instead.
+   anchor with very many contexts each window is sent to the shard of its own hash instead,
+   once from each block, so that a passage costs a shard no more rows than there are blocks.
 4. The verdicts meet their block again, which cuts its texts.
 
 Defined cases: null texts are empty; texts shorter than a window lose nothing; documents of
@@ -179,6 +180,30 @@ def _verdicts(answers: pa.Table, n: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(n, np.uint8)
 
 
+class Crowd:
+    """Windows of the crowded contexts of a block. Equal ones are one, the earliest, which is
+    asked about; the others start later or at the same place as it."""
+
+    def __init__(self, e: Entries, crowded: np.ndarray) -> None:
+        times = e.contexts.count[e.at[crowded]]
+        inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        self.entry, self.shift = np.repeat(crowded, times), inner
+        self.first = e.contexts.first[e.at[self.entry]] + inner
+        self.key = np.zeros(len(inner), np.uint64)
+        along = np.argsort(self.first, kind="stable")
+        if len(along):
+            self.key[along] = W.hash_words(e.data, self.first[along], self.first[along] + WINDOW, W.BYTE_VALUES)
+        doc, start = e.entry_doc[self.entry], e.entry_start[self.entry] + inner
+        order = np.lexsort((start, doc, self.key))
+        new = np.ones(len(order), bool)
+        new[1:] = self.key[order][1:] != self.key[order][:-1]
+        self.leads = order[new]
+        self.lead = np.empty(len(order), np.int64)  # number of the leading window of each
+        self.lead[order] = np.cumsum(new) - 1
+        ahead = self.leads[self.lead]
+        self.later = (doc != doc[ahead]) | (start != start[ahead])
+
+
 def _shipper(shards: int):
     def ship(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {n: [] for n in _SHIP.names}
@@ -187,18 +212,13 @@ def _shipper(shards: int):
         e = Entries(group)
         verdict = _verdicts(answers, len(e.at))
         block, c = group["block"][0].as_py(), e.contexts
-        # Contested contexts whole; of crowded ones each window on its own.
-        whole, crowd = np.flatnonzero(verdict == CONTESTED), np.flatnonzero(verdict == CROWDED)
-        times = c.count[e.at[crowd]]
-        inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.concatenate([whole, np.repeat(crowd, times)])
-        shift = np.concatenate([np.zeros(len(whole), np.int64), inner])
-        windows = np.concatenate([c.count[e.at[whole]], np.ones(len(inner), np.int64)])
+        # Contested contexts whole; of crowded ones each different window on its own.
+        whole, crowd = np.flatnonzero(verdict == CONTESTED), Crowd(e, np.flatnonzero(verdict == CROWDED))
+        entry = np.concatenate([whole, crowd.entry[crowd.leads]])
+        shift = np.concatenate([np.zeros(len(whole), np.int64), crowd.shift[crowd.leads]])
+        windows = np.concatenate([c.count[e.at[whole]], np.ones(len(crowd.leads), np.int64)])
         first = c.first[e.at[entry]] + shift
-        key = e.anchor[entry].copy()
-        if len(crowd):
-            alone = len(whole) + np.argsort(first[len(whole) :], kind="stable")
-            key[alone] = W.hash_words(e.data, first[alone], first[alone] + WINDOW, W.BYTE_VALUES)
+        key = np.concatenate([e.anchor[whole], crowd.key[crowd.leads]])
         order = np.argsort(key, kind="stable")
         cut = shard_cuts(key[order], shards)
         for shard in np.flatnonzero(np.diff(cut)):
@@ -315,6 +335,9 @@ def _cutter(group: pa.Table, answers: pa.Table) -> pa.Table:
         moved = shift > 0
         repeats[entry[~moved]] |= own[~moved]
         repeats[entry[moved], shift[moved]] |= own[moved, 0]
+    crowd = Crowd(e, np.flatnonzero(verdict == CROWDED))
+    answered = repeats[crowd.entry[crowd.leads], crowd.shift[crowd.leads]]
+    repeats[crowd.entry, crowd.shift] = crowd.later | answered[crowd.lead]
     change = np.zeros(len(data) + 1, np.int32)
     whole = e.later | (verdict == GONE)[e.rank]
     np.add.at(change, c.first[whole], 1)
