@@ -9,11 +9,14 @@ hash, so the rows are at most as many as with a row for each hash.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwright.session import shared_path
@@ -38,9 +41,41 @@ def in_blocks(docs: DataFrame, blocks: int, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), block.alias("block"), *chosen).repartition(blocks, "block")
 
 
+#: Tables that the operators around a call have written so far.
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are saved inside are deleted at the end, but for those whose paths are taken
+    out of the list. For steps whose result reads none of the others any more."""
+    paths: list[str] = []
+    _WRITTEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.remove(paths)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+        # Spark deletes shuffle files when the driver has collected what refers to them.
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def kept(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """``df`` saved for longer than the scratch tables in ``paths``."""
+    out = saved(df, name)
+    paths.pop()
+    return out
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share, and read back."""
     path = shared_path(df.sparkSession, name)
+    for paths in _WRITTEN:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimwright.llm import words as W
-from claimwright.llm.blocks import block_count, in_blocks, planes, saved, shard_cuts, table, unplanes
+from claimwright.llm.blocks import block_count, in_blocks, kept, planes, saved, scratch, shard_cuts, table, unplanes
 from claimwright.llm.graph import components
 from claimwright.llm.registry import query
 
@@ -345,14 +346,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that link to a smaller id; of equal rows one stays. Rows
     without an id stay."""
-    found = near_duplicates(docs, key, text).where("doc_id is not null")
     own = F.col("doc_id") == F.col("component_id")
-    ids = saved(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(own).alias("stays"), F.count("*").alias("rows")), "ids")
-    # Few ids go or repeat: texts meet those alone, and only repeated ids are looked at twice.
-    special = ids.where("not stays or rows > 1").select("_id")
-    again = ids.where("stays and rows > 1").select("_id")
-    once = docs.join(special, F.col(key) == F.col("_id"), "left_anti")
-    return once.unionByName(docs.join(again, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key, text]))
+    with scratch(docs.sparkSession) as paths:
+        found = near_duplicates(docs, key, text).where("doc_id is not null")
+        ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(own).alias("_stays"), F.count("*").alias("_rows"))
+        # Ids that go or repeat. The sets and links they come from are deleted here.
+        special = kept(ids.where("not _stays or _rows > 1").select("_id", F.col("_stays").alias("_again")), "ids", paths)
+    # Texts meet the ids that go or repeat once, and planned alike at every size. Rows of an id
+    # are together then, so equal rows of one that repeats are found without another shuffle.
+    names = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    met = rows.join(special.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left").where("_id is null or _again")
+    number = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0)))
+    return met.withColumn("_number", number).where("_id is null or _number = 1").select(*names)
 
 
 @query("op5_ngram_join")

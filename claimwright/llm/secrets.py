@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimwright.llm.blocks import saved
+from claimwright.llm.blocks import kept, saved, scratch
 from claimwright.llm.registry import query
 
 #: Characters between parts of one credential.
 SCOPE = 300
+#: Characters of a block when a text is cut between spans.
+BLOCK = 2_048
 MARK = "[REDACTED]"
 
 # Patterns of the kinds, in the order in which spans of one start are listed.
@@ -142,26 +144,50 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return joined.select("doc_id", *map(count, BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def _stretches(found: DataFrame) -> DataFrame:
+    """``row`` and its ``stretches``: spans that overlap or touch as one, in order."""
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))
+    numbered = found.select("row", "start", "end").withColumn("begins", begins.cast("int")).withColumn("number", F.sum("begins").over(own))
+    merged = numbered.groupBy("row", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("stretches"))
+
+
+def _between(blocks: Column, low: Column, high: Column) -> Column:
+    """Characters from ``low`` to ``high``, from a text's blocks of ``BLOCK`` characters."""
+    first, last = F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int")
+    at, to = (low % BLOCK).cast("int"), (high % BLOCK).cast("int")
+
+    def block(k: Column) -> Column:
+        return F.coalesce(F.get(blocks, k), F.lit(""))
+
+    whole = F.when(last - first > 1, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+    spread = F.concat(F.substring(block(first), at + 1, F.lit(BLOCK)), whole, F.substring(block(last), F.lit(1), to))
+    return F.when(low >= high, "").when(first == last, F.substring(block(first), at + 1, to - at)).otherwise(spread)
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with every span, overlapping ones as one, replaced by ``MARK``."""
-    names = docs.columns
-    listed = _listed(docs, key, text).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = docs.join(listed, _row_key(key, text).eqNullSafe(F.col("_row")), "left")
-    # A span begins a new stretch if it starts after all earlier ones end.
-    spans = F.col("_spans")
-    ends = F.transform(spans, lambda s, i: F.array_max(F.transform(F.slice(spans, F.lit(1), i + 1), lambda x: x["end"])))
-    begins = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.element_at(ends, F.greatest(i, F.lit(1)))), i)), lambda i: i.isNotNull())
-    starts = F.transform(begins, lambda i: F.element_at(spans, i + 1)["start"])
-    stops = F.transform(begins, lambda i, k: F.element_at(ends, F.coalesce(F.get(begins, k + 1), F.size(spans))))
-    size = F.size(starts)
+    """The documents with every span, overlapping ones as one, replaced by ``MARK``.
+
+    Only texts that can hold a span, by the patterns themselves, meet the spans; the others
+    pass by. The work on a text grows with its length and its spans and not their product."""
+    own = F.col(text)
+    strong = own.rlike(ASSIGN) | own.rlike(ACCESS) | own.rlike(HEX)
+    holds = F.coalesce(strong | (own.rlike(IDENT) & own.rlike(KEY)), F.lit(False))
+    held, rest = docs.where(holds), docs.where(~holds)
+    with scratch(docs.sparkSession) as paths:
+        stretches = kept(_stretches(linked(saved(parts(held, key, text), "parts"))), "stretches", paths)
+    cut = F.regexp_extract_all(own, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    rows = held.select(F.struct("*").alias("_doc"), _row_key(key, text).alias("_row"), cut.alias("_blocks"), F.length(text).cast("long").alias("_length"))
+    met = rows.join(stretches, F.col("_row").eqNullSafe(F.col("row")), "left")
+    spans, size = F.col("stretches"), F.size("stretches")
     pieces = F.transform(
         F.sequence(F.lit(0), size),
-        lambda i: F.substring(
-            F.col(text), (F.coalesce(F.get(stops, i - 1), F.lit(0)) + 1).cast("int"), (F.coalesce(F.get(starts, i), F.length(text).cast("long")) - F.coalesce(F.get(stops, i - 1), F.lit(0))).cast("int")
-        ),
-    )
-    cut = F.when(spans.isNull(), F.col(text)).otherwise(F.array_join(pieces, MARK))
-    return joined.withColumn(text, cut).select(*names)
+        lambda i: _between(F.col("_blocks"), F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), F.coalesce(F.get(spans, i)["start"], F.col("_length"))),
+    )
+    marked = F.when(spans.isNull(), F.col(f"_doc.`{text}`")).otherwise(F.array_join(pieces, MARK))
+    return met.select(*[(marked.alias(c) if c == text else F.col(f"_doc.`{c}`").alias(c)) for c in docs.columns]).unionByName(rest)
 
 
 @query("op6_secrets")
