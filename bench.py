@@ -19,7 +19,7 @@ QUERIES = """scan_claims table_shape quantile_trim median_impute standard_scale
 segment_hierarchical segment_composite segmentation_search pairwise_search linear_regression lasso per_segment_models
 voting_weighted stacking meta_features_wide segment_metrics weighted_metrics contributions sensitivity_screen
 diverse_top_features similar_cases knn_regression score_stream random_forest gradient_boosting xgboost_like""".split()
-TREES, FOREST_DEPTH, FOLDS = 10, 10, 2
+TREES, FOREST_DEPTH, FOLDS = 100, 10, 5
 
 
 def main() -> None:

@@ -14,6 +14,10 @@ carries each model's predictions; they are written to the checkpoint folder ever
 ``CHECKPOINT`` trees, so a lost executor costs at most that many trees of its blocks. Samples are
 drawn by hash of key and tree, so a retried task draws the same rows.
 
+Trees of a forest do not wait for each other. Once a node of one has at most ``LOCAL_ROWS`` rows,
+these go to one task, which finishes the tree below it; no group of rows is ever larger, and
+no histogram of a deep level is sent.
+
 The sums of one level go straight to the driver while they and their number are small
 (``DIRECT_BYTES``); larger ones are added up by (model, range of nodes) on the executors, which
 then send the chosen splits alone.
@@ -39,6 +43,11 @@ BINS = 64
 MISSING = BINS  # the bin of missing values
 WIDTH = BINS + 1
 BLOCK_ROWS = 1 << 16
+#: Rows of a node that one task takes to finish a forest's tree below it, and bytes of rows that
+#: are sent for that at once.
+LOCAL_ROWS, SENT_BYTES = 1 << 16, 1 << 29
+#: Rows times models that are worth a task.
+TASK_ROWS = 1 << 15
 CHECKPOINT = 25
 DIRECT_BYTES = 256 << 20
 #: Entries of the histograms of one task at once; models beyond wait for the next pass.
@@ -107,6 +116,17 @@ class Tree:
         self.gain = np.concatenate([self.gain, np.zeros(n)])
         return both(first, first + 1)
 
+    def graft(self, node: int, own: Tree) -> None:
+        """Put a tree over the rows of ``node`` in its place."""
+        base = len(self.feature) - 1  # the root's children and all below are added
+        for name in ("feature", "cut", "missing_left", "g", "h", "gain"):
+            mine, theirs = getattr(self, name), getattr(own, name)
+            mine[node] = theirs[0]
+            setattr(self, name, np.concatenate([mine, theirs[1:]]))
+        self.left[node] = own.left[0] + base
+        self.left = np.concatenate([self.left, own.left[1:] + np.int32(base)])
+        self.segment = np.concatenate([self.segment, np.full(len(own.feature) - 1, self.segment[node], np.int32)])
+
     def place(self, bins: np.ndarray, segment: np.ndarray, depth: int) -> np.ndarray:
         """The node that each row has reached; ``bins`` has a line for each feature."""
         node = segment.astype(np.int64)
@@ -216,7 +236,7 @@ def _block_sums(block: dict, lane: Lane, grown: _Open, features: int) -> np.ndar
     return out.reshape(features, n, WIDTH, 2).transpose(1, 0, 2, 3)
 
 
-def _packer(features: int, cuts: list[np.ndarray], lanes: int, base: np.ndarray):
+def _packer(features: int, cuts: list[np.ndarray], base: np.ndarray):
     def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
         hashes, y, fold, segment, *x = columns
         bins = np.empty((features, len(y)), np.uint8)
@@ -301,7 +321,10 @@ def fit_many(
         empty[m] = n == 0
         mean = s.sum() / max(n.sum(), 1)
         base[m] = 0.0 if lane.growth.forest else np.where(n > 0, s / np.maximum(n, 1), mean)
-    blocks = rows.mapInArrow(_packer(len(features), cuts, len(models), base), "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist()
+    blocks = rows.mapInArrow(_packer(len(features), cuts, base), "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
+    # A job waits for each of its tasks to start: no more tasks than there is work for.
+    tasks = max(1, -(-sum(r["n"] for r in sums) * len(models) // TASK_ROWS))
+    blocks = (blocks.coalesce(tasks) if tasks < blocks.getNumPartitions() else blocks).persist()
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
@@ -329,7 +352,8 @@ def fit_many(
                 marked.setdefault(m, {})[number + 1] = r2
     forests = [(m, k) for m, lane in enumerate(models) if lane.growth.forest for k in range(lane.growth.trees)]
     if forests:
-        for (m, _), tree in zip(forests, _grow(blocks, models, forests, len(segments), len(features), allowed), strict=True):
+        rows_in_all = sum(r["n"] for r in sums)
+        for (m, _), tree in zip(forests, _grow(blocks, models, forests, len(segments), len(features), allowed, rows_in_all), strict=True):
             grown[m].append(tree)
     while _LATER:
         _LATER.pop().unpersist()
@@ -380,12 +404,16 @@ def _columns(growth: Growth, number: int, features: int) -> np.ndarray:
     return used
 
 
-def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray) -> list[Tree]:
-    """One tree for each wanted (model, number), level by level, side by side."""
+def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray, rows: int | None = None) -> list[Tree]:
+    """One tree for each wanted (model, number), level by level, side by side. With the number of
+    ``rows``, nodes of few rows are finished in one task each."""
     trees = [Tree(segments) for _ in wanted]
     nodes = [np.arange(segments) for _ in wanted]
     columns = [_columns(models[m].growth, k, features) for m, k in wanted]
     partitions = blocks.getNumPartitions()
+    small: list[list[tuple[int, int]]] = [[] for _ in wanted]  # (node, depth) to be finished
+    if rows is not None and rows <= LOCAL_ROWS:
+        small, nodes = [[(k, 0) for k in range(segments)] for _ in wanted], [np.zeros(0, np.int64) for _ in wanted]
     for depth in range(max(models[m].growth.depth for m, _ in wanted)):
         todo = [w for w, (m, _) in enumerate(wanted) if len(nodes[w]) and depth < models[m].growth.depth]
         if not todo:
@@ -415,9 +443,88 @@ def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: i
                 children[w].append(tree.split(a.nodes[good], {k: v[good] for k, v in found.items()}))
         for w in todo:
             nodes[w] = np.concatenate(children[w])
+            if rows is not None and depth + 1 < models[wanted[w][0]].growth.depth:
+                few = trees[w].h[nodes[w]] <= LOCAL_ROWS
+                small[w] += [(int(k), depth + 1) for k in nodes[w][few]]
+                nodes[w] = nodes[w][~few]
+    # Rows that are sent: all features and three numbers each, for as many trees as fit at once.
+    step = max(1, SENT_BYTES // max((rows or 1) * (features + 24), 1))
+    for low in range(0, len(wanted), step):
+        part = [w for w in range(low, min(low + step, len(wanted))) if small[w]]
+        if part:
+            _finish(blocks, models, wanted, trees, small, columns, allowed, part)
     return trees
 
 
+def _finish(blocks, models: list[Lane], wanted: list[tuple[int, int]], trees: list[Tree], small: list[list[tuple[int, int]]], columns: list[np.ndarray], allowed: np.ndarray, part: list[int]) -> None:
+    """Grow the small nodes of some trees to the end, each in one task."""
+    tasks = {w: (models[wanted[w][0]], wanted[w][1], trees[w], {node: depth for node, depth in small[w]}) for w in part}
+
+    def sent(own: Iterator[dict]) -> Iterator[tuple]:
+        for block in own:
+            for w, (lane, number, tree, nodes) in tasks.items():
+                weight = row_weights(block, lane, number)
+                used = np.flatnonzero(weight)
+                at = tree.place(block["bins"][:, used], block["segment"][used], lane.growth.depth)
+                order = np.argsort(at, kind="stable")
+                edges = np.append(np.flatnonzero(np.append(True, np.diff(at[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    rows, node = used[order[a:b]], int(at[order[a]])
+                    if node in nodes:
+                        yield (w, node), (block["bins"][:, rows], block["y"][rows], weight[rows], block["hash"][rows])
+
+    def grown(item: tuple) -> tuple:
+        (w, node), pieces = item
+        pieces = list(pieces)
+        lane, _, tree, nodes = tasks[w]
+        hashes = np.concatenate([p[3] for p in pieces])
+        order = np.argsort(hashes, kind="stable")  # the same sums in whatever order rows come
+        bins, y, weight = np.concatenate([p[0] for p in pieces], 1)[:, order], np.concatenate([p[1] for p in pieces])[order], np.concatenate([p[2] for p in pieces])[order]
+        return (w, node), _grown_alone(bins, -y * weight, weight, lane.growth, nodes[node], columns[w] & allowed[tree.segment[node]])
+
+    count = min(sum(len(small[w]) for w in part), max(blocks.getNumPartitions(), blocks.context.defaultParallelism))
+    for (w, node), own in blocks.mapPartitions(sent).groupByKey(count).map(grown).collect():
+        trees[w].graft(node, own)
+
+
+def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray, growth: Growth, depth: int, may: np.ndarray) -> Tree:
+    """A tree over these rows, from a root that stands at ``depth``."""
+    tree, features = Tree(1), len(bins)
+    node, nodes = np.zeros(len(g), np.int64), np.zeros(1, np.int64)
+    alive = np.arange(len(g))
+    tree.g[0], tree.h[0] = g.sum(), h.sum()
+    for _ in range(depth, growth.depth):
+        index = np.full(len(tree.feature), -1, np.int64)
+        index[nodes] = np.arange(len(nodes))
+        children = []
+        step = max(1, TASK_ENTRIES // (features * WIDTH * 2))
+        at = index[node[alive]]
+        order = np.argsort(at, kind="stable")
+        for low in range(0, len(nodes), step):
+            own = nodes[low : low + step]
+            first, last = np.searchsorted(at[order], [low, low + len(own)])
+            rows = alive[order[first:last]]
+            place = (index[node[rows]] - low) * WIDTH
+            sums = np.empty((features, len(own) * WIDTH, 2))
+            for f in range(features):
+                key = place + bins[f, rows]
+                sums[f, :, 0] = np.bincount(key, g[rows], len(own) * WIDTH)
+                sums[f, :, 1] = np.bincount(key, h[rows], len(own) * WIDTH)
+            found = best_splits(sums.reshape(features, len(own), WIDTH, 2).transpose(1, 0, 2, 3), growth, np.broadcast_to(may, (len(own), features)))
+            good = (found["gain"] > 1e-12) & np.isfinite(found["gain"])
+            children.append(tree.split(own[good], {k: v[good] for k, v in found.items()}))
+        nodes = np.concatenate(children)
+        # Rows move to the children; those of leaves are done.
+        f = tree.feature[node[alive]]
+        alive, f = alive[f >= 0], f[f >= 0]
+        here = node[alive]
+        b = bins[f, alive]
+        node[alive] = tree.left[here] + np.where(b == MISSING, ~tree.missing_left[here], b > tree.cut[here])
+        if not len(nodes):
+            break
+    return tree
+
+
 def _splits(blocks, models: list[Lane], asked: list[_Open], features: int, allowed: np.ndarray, direct: bool) -> list[dict[str, np.ndarray]]:
     """The best split of each open node of the trees that are asked about."""
     may = [allowed[a.tree.segment[a.nodes]] & a.columns for a in asked]

@@ -136,6 +136,19 @@ def test_forest_is_a_mean_of_drawn_trees(table):
     assert abs(weights.mean() - 1) < 0.03 and abs(weights.var() - 1) < 0.05
 
 
+@pytest.mark.parametrize("local", [0, 200, 1 << 16])
+def test_forest_trees_do_not_hang_on_where_they_are_finished(table, local, monkeypatch):
+    """Grown by levels, half by levels, and in one task each: the same trees, missing values and
+    segments included."""
+    df, x, y = table
+    forest = bo.Growth(6, depth=5, l2=0.0, forest=True, column_share=0.7)
+    expected = predictions(bo.fit_many(df, FEATURES, {"m": bo.Lane(forest, 2)}, fold="f", segment="seg", key="id")["m"], df)
+    monkeypatch.setattr(bo, "LOCAL_ROWS", local)
+    monkeypatch.setattr(bo, "SENT_BYTES", 30_000)
+    got = predictions(bo.fit_many(df, FEATURES, {"m": bo.Lane(forest, 2)}, fold="f", segment="seg", key="id")["m"], df)
+    assert np.allclose(got, expected, atol=1e-6)
+
+
 def test_staged_metrics_are_those_of_prefixes(table):
     df, x, y = table
     model = bo.Growth(8, 0.3, 3).fit(df, FEATURES)
