@@ -14,7 +14,9 @@ carries each model's predictions; they are written to the checkpoint folder ever
 ``CHECKPOINT`` trees, so a lost executor costs at most that many trees of its blocks. Samples are
 drawn by hash of key and tree, so a retried task draws the same rows.
 
-Trees of a forest do not wait for each other. Once a node of one has at most ``LOCAL_ROWS`` rows,
+A booster waits for all tasks at every level of every tree. Where all rows of a segment that a
+model sees fit one task (``LOCAL_ROWS``), they go to one and all its trees grow there; segments
+and models are spread over the tasks. Trees of a forest do not wait for each other. Once a node of one has at most ``LOCAL_ROWS`` rows,
 these go to one task, which finishes the tree below it; no group of rows is ever larger, and
 no histogram of a deep level is sent.
 
@@ -43,9 +45,9 @@ BINS = 64
 MISSING = BINS  # the bin of missing values
 WIDTH = BINS + 1
 BLOCK_ROWS = 1 << 16
-#: Rows of a node that one task takes to finish a forest's tree below it, and bytes of rows that
-#: are sent for that at once.
-LOCAL_ROWS, SENT_BYTES = 1 << 16, 1 << 29
+#: Rows that one task takes to grow a model's segment, or a forest's tree below a node, to the end,
+#: and bytes of rows that are sent for that at once.
+LOCAL_ROWS, SENT_BYTES = 1 << 17, 1 << 29
 #: Rows times models that are worth a task.
 TASK_ROWS = 1 << 15
 CHECKPOINT = 25
@@ -329,14 +331,33 @@ def fit_many(
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     grown: list[list[Tree]] = [[] for _ in models]
-    marked: dict[int, dict[int, float]] = {}
     allowed = np.ones((len(segments), len(features)), bool) if chosen is None else chosen
     boosters = [m for m, lane in enumerate(models) if not lane.growth.forest]
+    # Boosting goes on from tree to tree: where all rows of a model's segment fit one task, it
+    # goes on there, and only larger ones wait for all tasks at every level.
+    sizes: dict[tuple[int, int], int] = {}
+    for m in boosters:
+        for r in sums:
+            if models[m].left_out is None or r["fold"] != models[m].left_out:
+                sizes[m, r["segment_number"]] = sizes.get((m, r["segment_number"]), 0) + r["n"]
+    alone = _boost_alone(blocks, models, sorted(g for g, n in sizes.items() if n <= LOCAL_ROWS), base, allowed, sizes, len(features))
+    large = {m: np.array([s for s in range(len(segments)) if sizes.get((m, s), 0) > LOCAL_ROWS], np.int64) for m in boosters}
     for number in range(max((models[m].growth.trees for m in boosters), default=0)):
         own = [m for m in boosters if models[m].growth.trees > number]
-        trees = _grow(blocks, models, [(m, number) for m in own], len(segments), len(features), allowed)
+        trees = [Tree(len(segments)) for _ in own]
+        by_levels = [k for k, m in enumerate(own) if len(large[m])]
+        if by_levels:
+            found = _grow(blocks, models, [(own[k], number) for k in by_levels], len(segments), len(features), allowed, roots=[large[own[k]] for k in by_levels])
+            for k, tree in zip(by_levels, found, strict=True):
+                trees[k] = tree
+        for k, m in enumerate(own):
+            for s in range(len(segments)):
+                if (m, s) in alone:
+                    trees[k].graft(s, alone[m, s][number])
         for m, tree in zip(own, trees, strict=True):
             grown[m].append(tree)
+        if not by_levels:
+            continue
         after = blocks.map(_advance([(m, models[m].growth.depth, t, t.values(models[m].growth)) for m, t in zip(own, trees, strict=True)])).persist()
         if (number + 1) % CHECKPOINT == 0:
             after.checkpoint()
@@ -347,39 +368,86 @@ def fit_many(
         blocks = after
         while len(_LATER) > 1:
             _LATER.pop(0).unpersist()
-        if number + 1 in marks:
-            for m, r2 in _left_out_r2(blocks, models).items():
-                marked.setdefault(m, {})[number + 1] = r2
     forests = [(m, k) for m, lane in enumerate(models) if lane.growth.forest for k in range(lane.growth.trees)]
     if forests:
         rows_in_all = sum(r["n"] for r in sums)
         for (m, _), tree in zip(forests, _grow(blocks, models, forests, len(segments), len(features), allowed, rows_in_all), strict=True):
             grown[m].append(tree)
+    marked = _left_out_r2(blocks, models, grown, base, marks)
     while _LATER:
         _LATER.pop().unpersist()
     blocks.unpersist()
     fitted = {name: TreeModel(list(features), asdict(models[m].growth), cuts, grown[m], base[m], segment, list(segments)) for m, name in enumerate(names)}
-    for m, name in enumerate(names):
-        fitted[name].left_out_r2 = marked.get(m, {})
+    for m, r2 in marked.items():
+        fitted[names[m]].left_out_r2 = r2
     return fitted
 
 
-def _left_out_r2(blocks, models: list[Lane]) -> dict[int, float]:
-    """R² of the models on the folds they do not see, from sums over the blocks."""
-    asked = [(m, lane.left_out) for m, lane in enumerate(models) if lane.left_out is not None and not lane.growth.forest]
+def _left_out_r2(blocks, models: list[Lane], grown: list[list[Tree]], base: np.ndarray, marks: Sequence[int]) -> dict[int, dict[int, float]]:
+    """R² of the models on the folds they do not see after so many trees, from sums over blocks."""
+    asked = [(m, lane.left_out) for m, lane in enumerate(models) if lane.left_out is not None]
+    if not asked or not marks:
+        return {}
+    marks = sorted(marks)
 
     def run(part: Iterator[dict]) -> Iterator[np.ndarray]:
-        out = np.zeros((len(asked), 4))
+        out = np.zeros((len(asked), 3 + len(marks)))
         for block in part:
             for k, (m, fold) in enumerate(asked):
-                own = block["fold"] == fold
-                y, error = block["y"][own], (block["predicted"][m] - block["y"])[own]
-                out[k] += len(y), y.sum(), (y * y).sum(), (error * error).sum()
+                own = np.flatnonzero(block["fold"] == fold)
+                y, bins, segment = block["y"][own], block["bins"][:, own], block["segment"][own]
+                out[k, :3] += len(y), y.sum(), (y * y).sum()
+                predicted = base[m, segment].astype(float)
+                for number, tree in enumerate(grown[m][: marks[-1]], 1):
+                    predicted += tree.values(models[m].growth)[tree.place(bins, segment, models[m].growth.depth)]
+                    if number in marks:
+                        out[k, 3 + marks.index(number)] += ((predicted - y) ** 2).sum()
         yield out
 
-    sums = sum(blocks.mapPartitions(run).collect(), np.zeros((len(asked), 4)))
+    sums = sum(blocks.mapPartitions(run).collect(), np.zeros((len(asked), 3 + len(marks))))
     spread = sums[:, 2] - sums[:, 1] ** 2 / np.maximum(sums[:, 0], 1)
-    return {m: float(1 - sums[k, 3] / spread[k]) if spread[k] > 0 else math.nan for k, (m, _) in enumerate(asked)}
+    return {m: {n: float(1 - sums[k, 3 + i] / spread[k]) if spread[k] > 0 else math.nan for i, n in enumerate(marks)} for k, (m, _) in enumerate(asked)}
+
+
+def _boost_alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.ndarray, allowed: np.ndarray, sizes: dict[tuple[int, int], int], features: int) -> dict[tuple[int, int], list[Tree]]:
+    """All trees of those (model, segment) whose rows fit one task, each there."""
+    out: dict[tuple[int, int], list[Tree]] = {}
+    low = 0
+    while low < len(groups):
+        # As many groups at once as their rows may be sent.
+        high, size = low, 0
+        while high < len(groups) and (high == low or size + sizes[groups[high]] * (features + 24) <= SENT_BYTES):
+            size, high = size + sizes[groups[high]] * (features + 24), high + 1
+        part = set(groups[low:high])
+
+        def sent(own: Iterator[dict], part: set = part) -> Iterator[tuple]:
+            for block in own:
+                for m, s in part:
+                    rows = np.flatnonzero((block["segment"] == s) & (block["fold"] != models[m].left_out if models[m].left_out is not None else True))
+                    if len(rows):
+                        yield (m, s), (block["bins"][:, rows], block["y"][rows], block["hash"][rows])
+
+        def grown(item: tuple) -> tuple:
+            (m, s), pieces = item
+            pieces = list(pieces)
+            hashes = np.concatenate([p[2] for p in pieces])
+            order = np.argsort(hashes, kind="stable")  # the same sums in whatever order rows come
+            bins, y, hashes = np.concatenate([p[0] for p in pieces], 1)[:, order], np.concatenate([p[1] for p in pieces])[order], hashes[order]
+            growth, predicted, trees = models[m].growth, np.full(len(y), base[m, s]), []
+            for number in range(growth.trees):
+                weight = row_weights({"hash": hashes, "y": y}, Lane(growth), number)
+                used = np.flatnonzero(weight)
+                gradient = (predicted[used] - y[used]) * weight[used]
+                whole = len(used) == len(y)
+                tree = _grown_alone(bins if whole else bins[:, used], gradient, weight[used], growth, 0, _columns(growth, number, features) & allowed[s])
+                predicted += tree.values(growth)[tree.place(bins, np.zeros(len(y), np.int64), growth.depth)]
+                trees.append(tree)
+            return (m, s), trees
+
+        count = min(high - low, blocks.context.defaultParallelism * 4)
+        out.update(blocks.mapPartitions(sent).groupByKey(count).map(grown).collect())
+        low = high
+    return out
 
 
 #: Blocks whose successors are not computed yet.
@@ -404,11 +472,11 @@ def _columns(growth: Growth, number: int, features: int) -> np.ndarray:
     return used
 
 
-def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray, rows: int | None = None) -> list[Tree]:
+def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray, rows: int | None = None, roots: list[np.ndarray] | None = None) -> list[Tree]:
     """One tree for each wanted (model, number), level by level, side by side. With the number of
     ``rows``, nodes of few rows are finished in one task each."""
     trees = [Tree(segments) for _ in wanted]
-    nodes = [np.arange(segments) for _ in wanted]
+    nodes = [np.arange(segments) for _ in wanted] if roots is None else [r.copy() for r in roots]
     columns = [_columns(models[m].growth, k, features) for m, k in wanted]
     partitions = blocks.getNumPartitions()
     small: list[list[tuple[int, int]]] = [[] for _ in wanted]  # (node, depth) to be finished

@@ -49,6 +49,13 @@ def plain_boost(x, y, growth, cuts, may=None):
     return lambda rows: base + sum(np.array([value(t, r) for r in rows]) for t in trees)
 
 
+@pytest.fixture(autouse=True, params=["by levels", "alone"])
+def way(request, monkeypatch):
+    """Both ways to grow: all tasks at every level, and each group of rows in one task."""
+    if request.param == "by levels":
+        monkeypatch.setattr(bo, "LOCAL_ROWS", 0)
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(0)
@@ -144,11 +151,20 @@ def test_forest_trees_do_not_hang_on_where_they_are_finished(table, local, monke
     forest = bo.Growth(6, depth=5, l2=0.0, forest=True, column_share=0.7)
     expected = predictions(bo.fit_many(df, FEATURES, {"m": bo.Lane(forest, 2)}, fold="f", segment="seg", key="id")["m"], df)
     monkeypatch.setattr(bo, "LOCAL_ROWS", local)
-    monkeypatch.setattr(bo, "SENT_BYTES", 30_000)
+    monkeypatch.setattr(bo, "SENT_BYTES", 60_000)
     got = predictions(bo.fit_many(df, FEATURES, {"m": bo.Lane(forest, 2)}, fold="f", segment="seg", key="id")["m"], df)
     assert np.allclose(got, expected, atol=1e-6)
 
 
+def test_left_out_r2_is_that_of_the_fold(table):
+    df, x, y = table
+    model = bo.fit_many(df, FEATURES, {"m": bo.Lane(bo.Growth(6, 0.3, 3), 2)}, fold="f", marks=(3, 6))["m"]
+    own = np.arange(len(y)) % 5 == 2
+    got = predictions(model, df)[own]
+    assert sorted(model.left_out_r2) == [3, 6] and model.left_out_r2[3] < model.left_out_r2[6]
+    assert abs(model.left_out_r2[6] - (1 - ((got - y[own]) ** 2).sum() / ((y[own] - y[own].mean()) ** 2).sum())) < 1e-9
+
+
 def test_staged_metrics_are_those_of_prefixes(table):
     df, x, y = table
     model = bo.Growth(8, 0.3, 3).fit(df, FEATURES)
