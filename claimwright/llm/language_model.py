@@ -12,12 +12,15 @@ one of ``GRID`` under which the training tokens, each left out of its own counts
 likely; this covers every training token. The probabilities of all words and one unseen
 word sum to 1 after any state.
 
-Nothing of the model is ever whole in one place. Blocks of documents send the n-grams they
-need with their own counts to shards, shards add up and answer, and each block builds the
-part of the automaton that its texts can reach. ``op1_language_model`` keeps to word pairs,
-which its plain version in ``tests/llm`` states; ``op1_language_model_order3`` scores with two
-words of context, and ``order`` may be any. Longer n-grams of invented or rare words are nearly
-all unlike, and moving them takes several times the input.
+Nothing of the model is ever whole in one place. Blocks of documents ask shards about their
+n-grams in two rounds. In the first they send single words with their own counts and, of
+longer n-grams, only short fingerprints; shards add up the words and tell which fingerprints
+another block has too. An n-gram without such a fingerprint, or with a part that is known to
+be nowhere else, stands in this block alone: its own count is its whole count. In the second
+round the others are sent in full with their counts. Fingerprints only settle what cannot be
+elsewhere, so counts are exact whatever their size. Each block then builds the part of the
+automaton that its texts can reach. ``op1_language_model`` scores with two words of context;
+``op1_language_model_order2`` keeps to word pairs, and ``order`` may be any.
 
 Defined cases: null and empty texts consist of the end token; rows without id are not
 learned from; repeated rows count as often as they occur; an empty table gives an empty
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwright.llm import words as W
-from claimwright.llm.blocks import block_count, held_out, in_blocks, planes, saved, shard_cuts, table, unplanes
+from claimwright.llm.blocks import BLOCK_BYTES, block_count, held_out, in_blocks, pack_sorted, planes, saved, shard_cuts, table, unpack_sorted, unplanes
 from claimwright.llm.registry import query
 
 ADD = 0.1
@@ -78,45 +81,130 @@ def _grams(line: np.ndarray, place: np.ndarray, level: int) -> np.ndarray:
     return W.hash_grams(line, level)[place - level + 1]
 
 
+def _indexed(grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, the number of each place's one, and the sums of weights."""
+    by_gram = np.argsort(grams)
+    ordered = grams[by_gram]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(grams), np.int64)
+    number[by_gram] = np.cumsum(new) - 1
+    keys = ordered[new]
+    return keys, number, np.bincount(number, weights, len(keys)).astype(np.int64)
+
+
+def _singles(line: np.ndarray, place: np.ndarray, train: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The single words of a block; the last place stands for the starts of its training texts."""
+    return _indexed(np.append(line[place], START), np.append(train, texts))
+
+
+def fingerprint_bits(blocks: int) -> int:
+    """Bits that make most n-grams of so many blocks differ."""
+    return min(64, (blocks * BLOCK_BYTES).bit_length())
+
+
+def _fingerprints(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints of sorted n-grams, moved to the upper bits, and the number of
+    each n-gram's one."""
+    short = keys & ~np.uint64((1 << (64 - bits)) - 1)
+    new = np.concatenate([[True], short[1:] != short[:-1]])
+    return short[new], np.cumsum(new) - 1
+
+
+def _send(rows: dict[str, list], block: int, level: int, shards: int, keys: np.ndarray, counts: np.ndarray | None, drop: int = 0) -> None:
+    cut = shard_cuts(keys, shards)
+    for shard in np.flatnonzero(np.diff(cut)):
+        a, b = cut[shard], cut[shard + 1]
+        packed = pack_sorted(keys[a:b] >> np.uint64(drop) if drop else keys[a:b])
+        for name, value in zip(_ASK.names, (shard, block, level, packed, b"" if counts is None else planes(counts[a:b].astype(np.uint32))), strict=True):
+            rows[name].append(value)
+
+
 def _asker(order: int, shards: int):
+    bits = fingerprint_bits(shards)
+
     def ask(group: pa.Table) -> pa.Table:
         line, place, text, _ = token_lines(group["text"], order)
-        train = group["train"].to_numpy()[text]
+        learn = group["train"].to_numpy()
         rows: dict[str, list] = {n: [] for n in _ASK.names}
         block = group["block"][0].as_py()
-        for level in range(1, order + 1):
-            grams = _grams(line, place, level)
-            keys = np.sort(grams)
-            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-            own = np.sort(grams[train])
-            counts = (np.searchsorted(own, keys, "right") - np.searchsorted(own, keys, "left")).astype(np.uint32)
-            cut = shard_cuts(keys, shards)
-            for shard in np.flatnonzero(np.diff(cut)):
-                a, b = cut[shard], cut[shard + 1]
-                for name, value in zip(_ASK.names, (shard, block, level, keys[a:b].tobytes(), planes(counts[a:b])), strict=True):
-                    rows[name].append(value)
+        keys, _, own = _singles(line, place, learn[text], int(learn.sum()))
+        _send(rows, block, 1, shards, keys, own)
+        for level in range(2, order + 1):
+            short, _ = _fingerprints(np.sort(_grams(line, place, level)), bits)
+            _send(rows, block, level, shards, short, None, 64 - bits)
         return table(_ASK, rows)
 
     return ask
 
 
 def _answer(group: pa.Table) -> pa.Table:
+    """Sums of counts; where none were sent, marks of what more than one block has."""
     rows: dict[str, list] = {n: [] for n in _ANSWER.names}
     levels = group["level"].to_numpy()
     for level in np.unique(levels):
         part = group.filter(pa.array(levels == level))
-        keys = [np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()]
-        counts = np.concatenate([unplanes(c, np.uint32) for c in part["counts"].to_pylist()]).astype(np.int64)
-        whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, counts, len(whole)).astype(np.int64)[inverse]
+        keys = [unpack_sorted(k) for k in part["keys"].to_pylist()]
+        counts = [unplanes(c, np.uint32) for c in part["counts"].to_pylist()]
+        whole, number, _ = _indexed(np.concatenate(keys), np.ones(sum(map(len, keys))))
+        if len(counts[0]):
+            sums = np.bincount(number, np.concatenate(counts), len(whole)).astype(np.int64)[number]
+        else:
+            sums = np.bincount(number)[number] > 1
         at = 0
         for own, block, shard in zip(keys, part["block"].to_pylist(), part["shard"].to_pylist(), strict=True):
-            for name, value in zip(_ANSWER.names, (block, shard, level, planes(sums[at : at + len(own)])), strict=True):
+            mine = sums[at : at + len(own)]
+            for name, value in zip(_ANSWER.names, (block, shard, level, np.packbits(mine).tobytes() if mine.dtype == bool else planes(mine)), strict=True):
                 rows[name].append(value)
             at += len(own)
     return table(_ANSWER, rows)
 
 
+class _Answers:
+    """The answers to one block, by round and level in the order of shards."""
+
+    def __init__(self, answers: pa.Table) -> None:
+        self.levels, self.owners = answers["level"].to_numpy(), answers["shard"].to_numpy()
+        self.packed = answers["counts"]
+
+    def _of(self, level: int) -> list[tuple[int, bytes]]:
+        mine = np.flatnonzero(self.levels == level)
+        return [(int(self.owners[k]), self.packed[int(k)].as_py()) for k in mine[np.argsort(self.owners[mine])]]
+
+    def sums(self, level: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[unplanes(c, np.int64) for _, c in self._of(level)]])
+
+    def marks(self, level: int, short: np.ndarray, shards: int) -> np.ndarray:
+        size = np.diff(shard_cuts(short, shards))
+        return np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=size[s]) for s, c in self._of(level)]).astype(bool)
+
+
+def _open_grams(line, place, inner, learn, order: int, shards: int, answers: _Answers):
+    """For each level from 2 on: the distinct n-grams of a block, the number of each place's
+    one, their counts in the block, and which of them other blocks may have too."""
+    bits = fingerprint_bits(shards)
+    elsewhere = np.ones(len(line), bool)  # by place, of the n-gram one word shorter
+    for level in range(2, order + 1):
+        keys, number, own = _indexed(_grams(line, place, level), learn)
+        short, of_key = _fingerprints(keys, bits)
+        parts = elsewhere[place] & ((inner == 0) | elsewhere[place - 1])
+        sent = answers.marks(level, short, shards)[of_key] & (np.bincount(number, ~parts, len(keys)) == 0)
+        elsewhere[place] = sent[number]
+        yield level, keys, number, own, sent
+
+
+def _second_asker(order: int, shards: int):
+    def ask(group: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {n: [] for n in _ASK.names}
+        if group.num_rows and order > 1:
+            line, place, text, inner = token_lines(group["text"], order)
+            learn = group["train"].to_numpy()[text]
+            for level, keys, _, own, sent in _open_grams(line, place, inner, learn, order, shards, _Answers(answers)):
+                _send(rows, group["block"][0].as_py(), order + level, shards, keys[sent], own[sent])
+        return table(_ASK, rows)
+
+    return ask
+
+
 def walk(seen: list[np.ndarray], arcs: list[np.ndarray], fails: list[np.ndarray], state: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Walk all lanes from left to right and add up the weights, for each smoothing.
 
@@ -148,7 +236,7 @@ def walk(seen: list[np.ndarray], arcs: list[np.ndarray], fails: list[np.ndarray]
     return out
 
 
-def _scorer(order: int, shards: int, tokens: int, types: int, texts: int):
+def _scorer(order: int, shards: int, tokens: int, types: int):
     mass = tokens + ADD * (types + 1)
     grid = np.array(GRID)
 
@@ -170,20 +258,18 @@ def _scorer(order: int, shards: int, tokens: int, types: int, texts: int):
             return table(_SCORED, {n: [] for n in _SCORED.names})
         line, place, text, inner = token_lines(group["text"], order)
         train = group["train"].to_numpy()
-        levels, owners = answers["level"].to_numpy(), answers["shard"].to_numpy()
-        packed = answers["counts"].to_pylist()
-        c_gram, c_state = [], [np.full(len(place), tokens)]
-        for level in range(1, order + 1):
-            keys = np.unique(_grams(line, place, level))
-            mine = np.flatnonzero(levels == level)
-            mine = mine[np.argsort(owners[mine])]
-            counts = np.concatenate([unplanes(packed[k], np.int64) for k in mine])
-            full = np.zeros(len(line), np.int64)  # by place in the line
-            full[place] = counts[np.searchsorted(keys, _grams(line, place, level))]
-            c_gram.append(full[place])
-            if level < order:
-                # The state before a token: the sequence that ends one place earlier.
-                c_state.append(np.where(inner == 0, texts, full[place - 1]))
+        told = _Answers(answers)
+        _, number, _ = _singles(line, place, train[text], 0)
+        whole = told.sums(1)[number]
+        c_gram, c_state = [whole[:-1]], [np.full(len(place), tokens)]
+        before = np.full(len(line), whole[-1])  # by place; every start stands for all training texts
+        before[place] = c_gram[0]
+        for level, _, number, own, sent in _open_grams(line, place, inner, train[text], order, shards, told):
+            # The state before a token: the sequence that ends one place earlier.
+            c_state.append(np.where(inner == 0, whole[-1], before[place - 1]))
+            own[sent] = told.sums(order + level)
+            c_gram.append(own[number])
+            before[place] = c_gram[-1]
         n_texts = group.num_rows
         base = np.bincount(text, np.log10((c_gram[0] + ADD) / mass), n_texts)
         lane_start = np.flatnonzero(inner % LANE == 0)
@@ -225,30 +311,29 @@ def _distinct_asker(shards: int):
             if not batch.num_rows:
                 continue
             line, place, _, _ = token_lines(pa.chunked_array([batch.column(0)]), 1)
-            keys, counts = np.unique(line[place], return_counts=True)
+            keys, _, counts = _indexed(line[place], np.ones(len(place)))
             cut = shard_cuts(keys, shards)
             used = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array([keys[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()),
-                 pa.array([int(counts[cut[s] : cut[s + 1]].sum()) for s in used], pa.int64()),
-                 pa.array([int(batch.num_rows) if k == 0 else 0 for k in range(len(used))], pa.int64())],
-                names=["shard", "keys", "tokens", "texts"],
+                [pa.array(used.astype(np.int32)), pa.array([pack_sorted(keys[cut[s] : cut[s + 1]]) for s in used], pa.binary()),
+                 pa.array([int(counts[cut[s] : cut[s + 1]].sum()) for s in used], pa.int64())],
+                names=["shard", "keys", "tokens"],
             )
 
     return run
 
 
 def _distinct(group: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()])
-    return pa.table({"types": pa.array([len(np.unique(keys))], pa.int64()), "tokens": pa.array([sum(group["tokens"].to_pylist())], pa.int64()), "texts": pa.array([sum(group["texts"].to_pylist())], pa.int64())})
+    keys = np.sort(np.concatenate([unpack_sorted(k) for k in group["keys"].to_pylist()]))
+    return pa.table({"types": pa.array([1 + int((keys[1:] != keys[:-1]).sum())], pa.int64()), "tokens": pa.array([sum(group["tokens"].to_pylist())], pa.int64())})
 
 
-def training_totals(docs: DataFrame, train: Column, text: str, shards: int) -> tuple[int, int, int]:
-    """Tokens, distinct tokens and texts of the training rows."""
+def training_totals(docs: DataFrame, train: Column, text: str, shards: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training rows."""
     own = docs.where(train).select(F.col(text).alias("text"))
-    asked = own.mapInArrow(_distinct_asker(shards), "shard int, keys binary, tokens long, texts long")
-    row = asked.groupBy("shard").applyInArrow(_distinct, "types long, tokens long, texts long").agg(F.sum("tokens"), F.sum("types"), F.sum("texts")).first()
-    return int(row[0] or 0), int(row[1] or 0), int(row[2] or 0)
+    asked = own.mapInArrow(_distinct_asker(shards), "shard int, keys binary, tokens long")
+    row = asked.groupBy("shard").applyInArrow(_distinct, "types long, tokens long").agg(F.sum("tokens"), F.sum("types")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def score_texts(docs: DataFrame, train: Column, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,11 +341,13 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, key: str = "doc_
     ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, and
     ``smoothing``, the pair chosen."""
     blocks = block_count(docs, text)
-    tokens, types, texts = training_totals(docs, train, text, blocks)
+    tokens, types = training_totals(docs, train, text, blocks)
     rows = in_blocks(docs, blocks, key, text, train=F.coalesce(train, F.lit(False)))
     asked = rows.groupBy("block").applyInArrow(_asker(order, blocks), _ddl(_ASK))
-    answers = asked.groupBy("shard").applyInArrow(_answer, _ddl(_ANSWER))
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order, blocks, tokens, types, texts), _ddl(_SCORED))
+    told = asked.groupBy("shard").applyInArrow(_answer, _ddl(_ANSWER)).repartition(blocks, "block")
+    asked_again = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_second_asker(order, blocks), _ddl(_ASK))
+    answers = told.union(asked_again.groupBy("shard").applyInArrow(_answer, _ddl(_ANSWER)))
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order, blocks, tokens, types), _ddl(_SCORED))
     scored = saved(scored, "scores")
     sums = scored.agg(*[F.sum(F.col("left_out")[k]).alias(str(k)) for k in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda k: sums[k] if sums[k] is not None else 0.0)
@@ -271,12 +358,13 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, key: str = "doc_
 
 
 @query("op1_language_model")
+@query("op1_language_model_order3")
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_texts(docs, ~held_out("doc_id", 10))
+    return score_texts(docs, ~held_out("doc_id", 10), order=3)
 
 
-@query("op1_language_model_order3")
-def op1_language_model_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("op1_language_model_order2")
+def op1_language_model_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_texts(docs, ~held_out("doc_id", 10), order=3)
+    return score_texts(docs, ~held_out("doc_id", 10))

@@ -4,13 +4,15 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import ordered
 
 from claimwright.llm import language_id, language_model, quality
-from claimwright.llm.blocks import held_out
+from claimwright.llm.blocks import held_out, pack_sorted, unpack_sorted
 from claimwright.llm.registry import QUERIES
 
 
@@ -24,8 +26,8 @@ def test_language_model_edges(edge_docs, edge_rows):
     assert rounded(got) == ordered(brute.language_model(edge_rows, scale, power))
 
 
-def test_language_model_query(spark, sf_dir, small_rows):
-    got = QUERIES["op1_language_model"](spark, sf_dir).collect()
+def test_language_model_of_word_pairs(spark, sf_dir, small_rows):
+    got = QUERIES["op1_language_model_order2"](spark, sf_dir).collect()
     scale, power = eval(got[0].smoothing)
     assert rounded(got) == ordered(brute.language_model(small_rows, scale, power))
     unseen = [r for r in got if r.held_out]
@@ -61,7 +63,7 @@ def plain_order_three(rows, scale, power):
 
 
 def test_language_model_with_two_words_of_context(spark, sf_dir, small_rows):
-    got = QUERIES["op1_language_model_order3"](spark, sf_dir).collect()
+    got = QUERIES["op1_language_model"](spark, sf_dir).collect()
     scale, power = eval(got[0].smoothing)
     scores = {}
     for r in got:
@@ -69,7 +71,49 @@ def test_language_model_with_two_words_of_context(spark, sf_dir, small_rows):
     expected = plain_order_three(small_rows, scale, power)
     assert scores.keys() == expected.keys() and all(np.allclose(sorted(v), expected[k], rtol=0, atol=1e-5) for k, v in scores.items())
     # More context than the word pairs of the other query: other scores.
-    assert [r.score for r in sorted(got)] != [r.score for r in sorted(QUERIES["op1_language_model"](spark, sf_dir).collect())]
+    assert [r.score for r in sorted(got)] != [r.score for r in sorted(QUERIES["op1_language_model_order2"](spark, sf_dir).collect())]
+    unseen = [r for r in got if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+
+
+@pytest.mark.parametrize("bits", [3, 12, 64])
+def test_language_model_counts_do_not_hang_on_fingerprints(edge_rows, bits, monkeypatch):
+    """Three blocks, two of them sharing passages: counts of all n-grams equal plain counts."""
+    monkeypatch.setattr(language_model, "fingerprint_bits", lambda blocks: bits)
+    order, shards = 4, 5
+    blocks = [pa.table({"text": pa.array([t for _, t in edge_rows[k::3]], pa.string()), "train": [j % 4 > 0 for j in range(len(edge_rows[k::3]))]}) for k in range(3)]
+    blocks = [b.append_column("block", pa.array([k] * b.num_rows, pa.int32())) for k, b in enumerate(blocks)]
+    answered = language_model._answer(pa.concat_tables([language_model._asker(order, shards)(b) for b in blocks]))
+    told = [answered.filter(pc.equal(answered["block"], k)) for k in range(3)]
+    again = pa.concat_tables([language_model._second_asker(order, shards)(b, a) for b, a in zip(blocks, told, strict=True)])
+    second = language_model._answer(again)
+    plain = collections.Counter()
+    lines = []
+    for b in blocks:
+        line, place, text, inner = language_model.token_lines(b["text"], order)
+        learn = b["train"].to_numpy()[text]
+        lines.append((line, place, inner, learn))
+        for level in range(2, order + 1):
+            plain.update((level, int(g)) for g in language_model._grams(line, place, level)[learn])
+    settled = 0
+    for k, own_line in enumerate(lines):
+        first, last = language_model._Answers(told[k]), language_model._Answers(second.filter(pc.equal(second["block"], k)))
+        for level, keys, _, own, sent in language_model._open_grams(*own_line, order, shards, first):
+            own[sent] = last.sums(order + level)
+            settled += int((~sent).sum())
+            assert own.tolist() == [plain[level, int(g)] for g in keys]
+    assert (settled > 0) == (bits > 3)  # three bits settle nothing
+
+
+@pytest.mark.parametrize("top", [2**64 - 1, 2**40, 5000])
+def test_sorted_numbers_are_packed_without_loss(top):
+    for n in (0, 1, 2, 9, 3000):
+        values = np.unique(np.random.default_rng(n).integers(0, top, n, dtype=np.uint64, endpoint=True))
+        packed = pack_sorted(values)
+        assert unpack_sorted(packed).tolist() == values.tolist()
+        assert n < 3000 or len(packed) < 24 + len(values) * (2.5 + math.log2(top / len(values))) / 8 + 8
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert unpack_sorted(pack_sorted(ends)).tolist() == ends.tolist()
 
 
 def test_language_model_of_order_three_sums_to_one(spark):
