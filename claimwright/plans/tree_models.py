@@ -39,8 +39,11 @@ FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "specia
             "severe_injury", "whiplash_flag", "psych_flag"]
 #: Sizes of the published study; searches, stacks and single models grow as many trees.
 TREES, TUNED_TREES, STACK_TREES, SEGMENT_TREES = 100, 200, 200, 150
-#: Depth that stands for a forest without one.
-FOREST_DEPTH = 10
+#: Depth that stands for a forest without one. A tree then has at most 2**17 nodes, so a forest
+#: that the driver holds has a size that does not follow the rows.
+FOREST_DEPTH = 16
+#: Depth of the forests inside stacks and suites, which grow once for each fold as well.
+SUITE_DEPTH = 10
 
 
 def model_frame(spark, sf_dir) -> DataFrame:
@@ -428,7 +431,7 @@ def timed_suite(frame: DataFrame, raw: DataFrame | None, trees: int, forest_dept
 def model_suite(spark, sf_dir) -> DataFrame:
     """Ten models on one split with wall time, best R² first."""
     raw = written_claims(spark, sf_dir).withColumn("split", holdout(F.col(KEY)))
-    rows = timed_suite(model_frame(spark, sf_dir), raw, TREES, FOREST_DEPTH)
+    rows = timed_suite(model_frame(spark, sf_dir), raw, TREES, SUITE_DEPTH)
     order = ["model", "n", "mse", "rmse", "mae", "r2", "seconds"]
     schema = "model string, n long, mse double, rmse double, mae double, r2 double, seconds double"
     table = spark.createDataFrame([tuple(r[c] for c in order) for r in rows], schema)
