@@ -78,3 +78,35 @@ def test_blocks_of_many_rows_are_counted_jointly(binned):
         g = ((0 if growth.forest else y.mean()) - y) * weight
         for f in range(len(bins)):
             assert np.allclose(got[0, f, :, 0], np.bincount(bins[f], g, bo.WIDTH)) and np.allclose(got[0, f, :, 1], np.bincount(bins[f], weight, bo.WIDTH))
+
+
+@pytest.mark.parametrize("depth", [5, 7])
+def test_leaf_sets_reach_the_leaves(binned, depth):
+    """Predictions and changed predictions as by walking down the trees, with segments and missing
+    values; the walk is the only way for trees of more than 64 leaves."""
+    bins, y = binned
+    n = 4000
+    x = np.where(bins[:, :n] == bo.MISSING, np.nan, bins[:, :n].astype(float))
+    cuts = [np.arange(b[b < bo.MISSING].max()).astype(float) for b in bins]
+    growth, segment, trees = bo.Growth(5, 0.4, depth, min_child=2), np.arange(n) % 2, []
+    for k in range(growth.trees):
+        tree = bo.Tree(3)  # the last segment has no row: a tree without splits
+        for s in range(2):
+            tree.graft(s, bo._grown_alone(bins[:, :n][:, segment == s], np.sin(y[:n] / (k + 2))[segment == s], None, growth, 0, np.ones(len(bins), bool))[0])
+        trees.append(tree)
+    model = bo.TreeModel([f"x{k}" for k in range(len(bins))], bo.asdict(growth), cuts, trees, np.array([1.0, 2.0, 3.0]), "s", ["a", "b", "c"])
+    assert (model._sets() is None) == (depth > 6)
+
+    def walked(x):
+        return sum((model.value[model.leaves(x, segment, t)] for t in range(growth.trees)), model.base[segment])
+
+    assert np.allclose(model.predict(x, segment), walked(x), atol=1e-12)
+    assert model.predict(x[:, :1], np.array([2])).tolist() == [3.0]
+    rng = np.random.default_rng(5)
+    row, feature, value = rng.integers(0, n, 500), rng.integers(0, len(bins), 500), rng.integers(-2, 70, 500) / 1.5
+    value[::9] = np.nan
+    got = model.rescored(x, segment, row, feature, value)
+    for i in range(len(row)):
+        changed = x[:, row[i] : row[i] + 1].copy()
+        changed[feature[i]] = value[i]
+        assert abs(got[i] - model.predict(changed, segment[row[i] : row[i] + 1])[0]) < 1e-9
