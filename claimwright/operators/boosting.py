@@ -27,6 +27,9 @@ bins, and a task that has all rows of a node counts its smaller child alone.
 The sums of one level go straight to the driver while they and their number are small
 (``DIRECT_BYTES``); larger ones are added up by (model, range of nodes) on the executors, which
 then send the chosen splits alone.
+
+A forest that may have more than ``HELD_NODES`` nodes is never whole in one place (``StoredForest``):
+finished trees go to a written table, one row each, and rows to be scored meet them there in blocks.
 """
 
 from __future__ import annotations
@@ -41,10 +44,12 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from claimwright.session import shared_dir
+from claimwright.session import settle, shared_dir, shared_path
 
 BINS = 64
 MISSING = BINS  # the bin of missing values
@@ -64,6 +69,8 @@ DIRECT_BYTES = 1 << 20
 TASK_ENTRIES = 8 << 20
 #: Nodes of a range whose sums meet in one place.
 RANGE = 64
+#: Nodes of a forest that the driver may hold, and rows of a block that meets the trees of a larger one.
+HELD_NODES, SCORED_ROWS = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -82,7 +89,9 @@ class Growth:
     forest: bool = False
     seed: int = 42
 
-    def fit(self, df: DataFrame, features: Sequence[str], target: str = "y", key: str | None = None) -> TreeModel:
+    def fit(self, df: DataFrame, features: Sequence[str], target: str = "y", key: str | None = None) -> TreeModel | StoredForest:
+        if self.forest and self.trees << (self.depth + 1) > HELD_NODES:
+            return fit_stored(df, features, self, target, key)
         return fit_many(df, features, {"one": Lane(self)}, target, key=key)["one"]
 
     def copy(self) -> Growth:
@@ -166,22 +175,31 @@ def best_splits(sums: np.ndarray, growth: Growth, allowed: np.ndarray) -> dict[s
     total_g, total_h = g[:, :1].sum(2), h[:, :1].sum(2)
 
     def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a * a / np.maximum(b + growth.l2, 1e-300)
+        out, weight = a * a, b + growth.l2
+        out /= np.maximum(weight, 1e-300, out=weight)
+        return out
 
-    # Missing values to the right, or to the left.
-    g_left = np.repeat(np.cumsum(g[..., : BINS - 1], 2)[:, :, None], 2, 2)
-    h_left = np.repeat(np.cumsum(h[..., : BINS - 1], 2)[:, :, None], 2, 2)
-    g_left[:, :, 1] += g[..., MISSING, None]
-    h_left[:, :, 1] += h[..., MISSING, None]
+    # Missing values to the right, or, where there are any, to the left.
+    sides = 2 if h[..., MISSING].any() else 1
+    g_left = np.repeat(np.cumsum(g[..., : BINS - 1], 2)[:, :, None], sides, 2)
+    h_left = np.repeat(np.cumsum(h[..., : BINS - 1], 2)[:, :, None], sides, 2)
+    if sides == 2:
+        g_left[:, :, 1] += g[..., MISSING, None]
+        h_left[:, :, 1] += h[..., MISSING, None]
     g_right, h_right = total_g[:, :, None, None] - g_left, total_h[:, :, None, None] - h_left
-    gain = 0.5 * (score(g_left, h_left) + score(g_right, h_right) - score(total_g, total_h)[:, :, None, None]) - growth.min_gain
+    gain = score(g_left, h_left)
+    gain += score(g_right, h_right)
+    gain -= score(total_g, total_h)[:, :, None, None]
+    gain *= 0.5
+    gain -= growth.min_gain
     least = max(growth.min_child, 1e-9)
-    gain = np.where((h_left >= least) & (h_right >= least) & allowed[:, :, None, None], gain, -np.inf).reshape(len(g), -1)
+    gain[~((h_left >= least) & (h_right >= least) & allowed[:, :, None, None])] = -np.inf
+    gain = gain.reshape(len(g), -1)
     # Gains that differ by rounding alone are ties.
     most = gain.max(1, keepdims=True)
     at = (gain >= most - 1e-9 * np.where(np.isfinite(most), np.abs(most), 0)).argmax(1)
     row = np.arange(len(at))
-    feature, rest = np.divmod(at, 2 * (BINS - 1))
+    feature, rest = np.divmod(at, sides * (BINS - 1))
     best = {"gain": gain[row, at], "feature": feature, "cut": rest % (BINS - 1), "missing_left": rest >= BINS - 1,
             "g_left": g_left.reshape(len(at), -1)[row, at], "h_left": h_left.reshape(len(at), -1)[row, at]}
     return best | {"g": total_g[:, 0], "h": total_h[:, 0]}
@@ -293,6 +311,13 @@ def fit_cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[n
     return out
 
 
+def _training_rows(df: DataFrame, features: Sequence[str], target: str, fold: str | None, key: str | None) -> DataFrame:
+    numbers = [F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]
+    hashed = F.xxhash64(key) if key is not None else F.xxhash64(*features, target)
+    fold_number = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    return df.where(F.col("segment_number").isNotNull()).select(hashed.alias("hash"), F.col(target).cast("double").alias("y"), F.coalesce(fold_number, F.lit(-1)).alias("fold"), "segment_number", *numbers)
+
+
 def fit_many(
     df: DataFrame,
     features: Sequence[str],
@@ -320,11 +345,7 @@ def fit_many(
     else:
         segments, df = [None], df.withColumn("segment_number", F.lit(0))
     names, models = list(lanes), list(lanes.values())
-    cuts = fit_cuts(df, features)
-    numbers = [F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]
-    hashed = F.xxhash64(key) if key is not None else F.xxhash64(*features, target)
-    fold_number = F.lit(-1) if fold is None else F.col(fold).cast("int")
-    rows = df.where(F.col("segment_number").isNotNull()).select(hashed.alias("hash"), F.col(target).cast("double").alias("y"), F.coalesce(fold_number, F.lit(-1)).alias("fold"), "segment_number", *numbers)
+    cuts, rows = fit_cuts(df, features), _training_rows(df, features, target, fold, key)
     # Means to start from: those of the rows a model sees, by fold and segment in one pass.
     sums = rows.groupBy("fold", "segment_number").agg(F.sum("y").alias("s"), F.count("*").alias("n")).collect()
     base = np.zeros((len(models), len(segments)))
@@ -410,6 +431,28 @@ def fit_many(
     return fitted
 
 
+def fit_stored(df: DataFrame, features: Sequence[str], growth: Growth, target: str = "y", key: str | None = None) -> StoredForest:
+    """A forest whose finished trees are written where they grow."""
+    spark, features = df.sparkSession, list(features)
+    df = df.withColumn("segment_number", F.lit(0))
+    cuts, rows = fit_cuts(df, features), _training_rows(df, features, target, None, key)
+    size = rows.count()
+    blocks = rows.mapInArrow(_packer(len(features), cuts, np.zeros((0, 1))), "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist()
+    path, models, allowed = shared_path(spark, "forest"), [Lane(growth)], np.ones((1, len(features)), bool)
+
+    def store(trees) -> None:
+        spark.createDataFrame(trees.map(lambda t: _stored(t[0], t[1], growth)), StoredForest.TREES).write.mode("append").parquet(path)
+
+    if not size:
+        store(spark.sparkContext.parallelize([(k, Tree(1)) for k in range(growth.trees)], 1))
+    elif size <= LOCAL_ROWS:
+        _alone(blocks, models, [(0, 0)], np.zeros((1, 1)), allowed, {(0, 0): size}, len(features), store)
+    else:
+        _grow(blocks, models, [(0, k) for k in range(growth.trees)], 1, len(features), allowed, size, store=store)
+    blocks.unpersist()
+    return StoredForest(features, growth, cuts, spark.read.schema(StoredForest.TREES).parquet(path))
+
+
 def _left_out_r2(blocks, models: list[Lane], grown: list[list[Tree]], base: np.ndarray, marks: Sequence[int]) -> dict[int, dict[int, float]]:
     """R² of the models on the folds they do not see after so many trees, from sums over blocks."""
     asked = [(m, lane.left_out) for m, lane in enumerate(models) if lane.left_out is not None]
@@ -436,9 +479,10 @@ def _left_out_r2(blocks, models: list[Lane], grown: list[list[Tree]], base: np.n
     return {m: {n: float(1 - sums[k, 3 + i] / spread[k]) if spread[k] > 0 else math.nan for i, n in enumerate(marks)} for k, (m, _) in enumerate(asked)}
 
 
-def _alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.ndarray, allowed: np.ndarray, sizes: dict[tuple[int, int], int], features: int) -> dict[tuple[int, int], list[Tree]]:
+def _alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.ndarray, allowed: np.ndarray, sizes: dict[tuple[int, int], int], features: int, store=None) -> dict[tuple[int, int], list[Tree]]:
     """All trees of those (model, segment) whose rows fit one task: a booster's in one task, those
-    of a forest, which do not wait for each other, in a few."""
+    of a forest, which do not wait for each other, in a few. ``store`` gets them, by number, in
+    place of the driver, if given."""
     parallel = blocks.context.defaultParallelism
     items: list[tuple[int, int, int, int]] = []  # model, segment, and the range of trees
     for m, s in groups:
@@ -496,7 +540,12 @@ def _alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.n
 
         count = min(len(part), parallel * 4)
         # Items by number, so that tasks get equal shares and the longest start first.
-        for i, trees in blocks.mapPartitions(sent).groupByKey(count, lambda i, n=count: i % n).map(grown).collect():
+        done = blocks.mapPartitions(sent).groupByKey(count, lambda i, n=count: i % n).map(grown)
+        if store is not None:
+            store(done.flatMap(lambda d, part=part: enumerate(d[1], part[d[0]][2])))
+            low = high
+            continue
+        for i, trees in done.collect():
             m, s, first, _ = part[i]
             out.setdefault((m, s), {})[first] = trees
         low = high
@@ -525,9 +574,10 @@ def _columns(growth: Growth, number: int, features: int) -> np.ndarray:
     return used
 
 
-def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray, rows: int | None = None, roots: list[np.ndarray] | None = None, slots: Mapping[int, int] | None = None) -> list[Tree]:
+def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: int, features: int, allowed: np.ndarray, rows: int | None = None, roots: list[np.ndarray] | None = None, slots: Mapping[int, int] | None = None, store=None) -> list[Tree]:
     """One tree for each wanted (model, number), level by level, side by side. With the number of
-    ``rows``, nodes of few rows are finished in one task each."""
+    ``rows``, nodes of few rows are finished in one task each; ``store``, if given, gets the trees
+    with what is below those nodes, which the driver then never sees."""
     trees = [Tree(segments) for _ in wanted]
     nodes = [np.arange(segments) for _ in wanted] if roots is None else [r.copy() for r in roots]
     columns = [_columns(models[m].growth, k, features) for m, k in wanted]
@@ -573,11 +623,14 @@ def _grow(blocks, models: list[Lane], wanted: list[tuple[int, int]], segments: i
     for low in range(0, len(wanted), step):
         part = [w for w in range(low, min(low + step, len(wanted))) if small[w]]
         if part:
-            _finish(blocks, models, wanted, trees, small, columns, allowed, part)
+            _finish(blocks, models, wanted, trees, small, columns, allowed, part, store)
+    ended = [(wanted[w][1], trees[w]) for w in range(len(wanted)) if not small[w]]
+    if store is not None and ended:
+        store(blocks.context.parallelize(ended, 1))
     return trees
 
 
-def _finish(blocks, models: list[Lane], wanted: list[tuple[int, int]], trees: list[Tree], small: list[list[tuple[int, int]]], columns: list[np.ndarray], allowed: np.ndarray, part: list[int]) -> None:
+def _finish(blocks, models: list[Lane], wanted: list[tuple[int, int]], trees: list[Tree], small: list[list[tuple[int, int]]], columns: list[np.ndarray], allowed: np.ndarray, part: list[int], store=None) -> None:
     """Grow the small nodes of some trees to the end, each in one task."""
     tasks = {w: (models[wanted[w][0]], wanted[w][1], trees[w], {node: depth for node, depth in small[w]}) for w in part}
 
@@ -604,7 +657,19 @@ def _finish(blocks, models: list[Lane], wanted: list[tuple[int, int]], trees: li
         return (w, node), _grown_alone(bins, -y * weight, weight, lane.growth, nodes[node], columns[w] & allowed[tree.segment[node]])[0]
 
     count = min(sum(len(small[w]) for w in part), max(blocks.getNumPartitions(), blocks.context.defaultParallelism))
-    for (w, node), own in blocks.mapPartitions(sent).groupByKey(count).map(grown).collect():
+    done = blocks.mapPartitions(sent).groupByKey(count).map(grown)
+    if store is not None:
+
+        def whole(item: tuple) -> tuple[int, Tree]:
+            w, below = item
+            tree = tasks[w][2]
+            for node, own in sorted(below, key=lambda b: b[0]):
+                tree.graft(node, own)
+            return tasks[w][1], tree
+
+        store(done.map(lambda d: (d[0][0], (d[0][1], d[1]))).groupByKey(len(part)).map(whole))
+        return
+    for (w, node), own in done.collect():
         trees[w].graft(node, own)
 
 
@@ -1094,6 +1159,93 @@ class TreeModel:
         return model
 
 
+def _stored(number: int, tree: Tree, growth: Growth) -> tuple:
+    """A row of the table of trees: one column for scoring, one for all else."""
+    inner = tree.feature >= 0
+    left = np.where(inner, tree.left, 0).astype(np.int32)
+    score = [tree.values(growth), left, tree.feature.astype(np.int16), tree.cut, tree.missing_left.astype(np.uint8)]
+    return number, len(inner), bytearray(b"".join(a.tobytes() for a in score)), bytearray(tree.gain.tobytes() + tree.h.tobytes())
+
+
+def _restored(score, nodes: int) -> tuple[Tree, np.ndarray]:
+    """A tree as far as rows need it to find their leaves, and the values of its nodes."""
+    tree, at, parts = Tree(1), 0, []
+    for kind in (np.float64, np.int32, np.int16, np.uint8, np.uint8):
+        parts.append(np.frombuffer(score, kind, nodes, at))
+        at += parts[-1].nbytes
+    values, tree.left, tree.feature, tree.cut, missing = parts
+    tree.missing_left = missing.astype(bool)
+    return tree, values
+
+
+class StoredForest:
+    """A fitted forest as a written table of its trees. Rows to be scored are packed into blocks,
+    each block meets each tree, and the sums that a task found for a block go back to its rows."""
+
+    TREES = "number int, nodes int, score binary, facts binary"
+
+    def __init__(self, features: list[str], growth: Growth, cuts: list[np.ndarray], trees: DataFrame) -> None:
+        self.features, self.growth, self.cuts, self.trees = features, growth, cuts, trees
+
+    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        """Add the prediction; all columns are kept."""
+        features, cuts, depth = self.features, self.cuts, self.growth.depth
+        numbers = [F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)]
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, held, size, count = (TaskContext.get().partitionId() << 32), [], 0, 0
+
+            def emit() -> pa.RecordBatch:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                own, x = rows.select(rows.column_names[: -len(features)]), rows.column_names[-len(features) :]
+                bins = np.empty((len(features), len(rows)), np.uint8)
+                for f, c in enumerate(x):
+                    values = rows[c].to_numpy()
+                    bins[f] = np.where(np.isnan(values), MISSING, np.searchsorted(cuts[f], values, "left"))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_table(own)
+                return pa.RecordBatch.from_arrays([pa.array([first + count], pa.int64()), pa.array([bins.tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bins", "rows"])
+
+            for batch in batches:
+                for low in range(0, batch.num_rows, SCORED_ROWS):
+                    held.append(batch.slice(low, SCORED_ROWS))
+                    size += held[-1].num_rows
+                    if size >= SCORED_ROWS:
+                        yield emit()
+                        held, size, count = [], 0, count + 1
+            if held:
+                yield emit()
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, total = None, None
+
+            def emit() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
+
+            for batch in batches:
+                for number, bins, score, nodes in zip(*(batch.column(c) for c in ("block", "bins", "score", "nodes")), strict=True):
+                    if number.as_py() != block:
+                        if block is not None:
+                            yield emit()
+                        block, own = number.as_py(), np.frombuffer(bins.as_buffer(), np.uint8).reshape(len(features), -1)
+                        total = np.zeros(own.shape[1])
+                    tree, values = _restored(score.as_buffer(), nodes.as_py())
+                    total += values.take(tree.place(own, np.zeros(own.shape[1], np.int64), depth))
+            if block is not None:
+                yield emit()
+
+        def back(rows: pa.Table, sums: pa.Table) -> pa.Table:
+            own = pa.ipc.open_stream(rows["rows"][0].as_buffer()).read_all()
+            return own.append_column(output, pa.array(sum(np.frombuffer(s.as_buffer()) for s in sums["sums"])))
+
+        blocks = settle(df.select("*", *numbers).mapInArrow(packed, "block long, bins binary, rows binary"), "forest-rows")
+        pairs = blocks.select("block", "bins").crossJoin(self.trees.select("score", "nodes"))
+        sums = pairs.mapInArrow(met, "block long, sums binary")
+        schema = StructType([*df.schema.fields, StructField(output, DoubleType())])
+        return blocks.select("block", "rows").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(back, schema)
+
+
 def out_of_fold_models(df: DataFrame, features: Sequence[str], growths: Mapping[str, Growth], fold: str, folds: int, target: str = "y", **more) -> dict[tuple[int, str], TreeModel]:
     """For each growth the models that leave out each fold, and, as fold ``folds``, that of all
     rows, all grown together."""

@@ -39,8 +39,8 @@ FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "specia
             "severe_injury", "whiplash_flag", "psych_flag"]
 #: Sizes of the published study; searches, stacks and single models grow as many trees.
 TREES, TUNED_TREES, STACK_TREES, SEGMENT_TREES = 100, 200, 200, 150
-#: Depth that stands for a forest without one. A tree then has at most 2**17 nodes, so a forest
-#: that the driver holds has a size that does not follow the rows.
+#: Depth that stands for a forest without one. A tree then has at most 2**17 nodes, so the size of
+#: a forest does not follow the rows; its trees are written where they grow.
 FOREST_DEPTH = 16
 #: Depth of the forests inside stacks and suites, which grow once for each fold as well.
 SUITE_DEPTH = 10

@@ -110,3 +110,22 @@ def test_leaf_sets_reach_the_leaves(binned, depth):
         changed = x[:, row[i] : row[i] + 1].copy()
         changed[feature[i]] = value[i]
         assert abs(got[i] - model.predict(changed, segment[row[i] : row[i] + 1])[0]) < 1e-9
+
+
+@pytest.mark.parametrize("local", [1 << 20, 500])
+def test_a_large_forest_stays_on_the_cluster(spark, monkeypatch, local):
+    """A forest above ``HELD_NODES`` predicts as one that the driver holds, and the driver gets no tree."""
+    df = spark.range(0, 6000, 1, 4).selectExpr("id", "double(id % 97) AS a", "if(id % 11 = 0, NULL, double(id % 89)) AS b", "concat('n', id) AS name")
+    df = df.withColumn("y", F.col("a") * F.coalesce("b", F.lit(7.0)))
+    growth = bo.Growth(5, depth=12, l2=0.0, forest=True)
+    held = growth.fit(df, ["a", "b"], key="id")
+    monkeypatch.setattr(bo, "LOCAL_ROWS", local)
+    monkeypatch.setattr(bo, "HELD_NODES", 1000)
+    monkeypatch.setattr(bo.Tree, "graft", None) if local > 6000 else None
+    stored = growth.fit(df, ["a", "b"], key="id")
+    assert isinstance(stored, bo.StoredForest) and stored.trees.count() == 5
+    scored = stored.transform(df)
+    assert scored.columns == [*df.columns, "prediction"]
+    got, expected = scored.orderBy("id").toPandas(), held.transform(df).orderBy("id").toPandas()
+    assert (got["name"] == expected["name"]).all() and got["b"].isna().sum() == expected["b"].isna().sum()
+    assert np.allclose(got["prediction"], expected["prediction"], rtol=1e-9)
