@@ -879,7 +879,7 @@ class TreeModel:
         self.left = joined([t.left + s for t, s in zip(trees, self.starts, strict=False)], np.int64)
         self.missing_left = joined([t.missing_left for t in trees], bool)
         cut = joined([t.cut for t in trees], np.int64)
-        self._leaf_sets: tuple | None = None
+        self._leaf_sets: dict[int, list] = {}
         self.threshold = np.full(len(cut), np.nan)
         for f, own in enumerate(cuts):
             at = np.flatnonzero(self.feature == f)
@@ -935,18 +935,20 @@ class TreeModel:
                 continue
             out = np.empty(len(segment))
             for s, rows, bins in parts:
-                sets, values = self._sets()[s][t]
+                sets, values = self._sets(s)[t]
                 out[rows] = values.take(_lowest(_reached(sets, bins))) if sets else values
             yield out
 
-    def _sets(self) -> list[list[tuple[list[tuple[int, np.ndarray]], np.ndarray]]] | None:
-        """For each segment and tree ``(sets, values)``. ``sets`` has for each feature that the tree
+    def _sets(self, segment: int = 0) -> list[tuple[list[tuple[int, np.ndarray]], np.ndarray]] | None:
+        """For each tree of a segment ``(sets, values)``. ``sets`` has for each feature that the tree
         splits on, by bin, the leaves that its tests leave over, as bits in the order of the leaves;
         the first leaf that all features leave over is the one that a row reaches. Trees with
         more than 64 leaves have none."""
-        if self._leaf_sets is None:
-            self._leaf_sets = (None if self.growth.depth > 6 else [[self._sets_of(int(first) + s) for first in self.starts[:-1]] for s in range(len(self.base))],)
-        return self._leaf_sets[0]
+        if self.growth.depth > 6:
+            return None
+        if segment not in self._leaf_sets:
+            self._leaf_sets[segment] = [self._sets_of(int(first) + segment) for first in self.starts[:-1]]
+        return self._leaf_sets[segment]
 
     def _sets_of(self, root: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         values: list[float] = []
@@ -982,7 +984,7 @@ class TreeModel:
         return [(int(s), rows, np.ascontiguousarray(bins[:, rows])) for s in np.unique(segment) for rows in [np.flatnonzero(segment == s)]]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_leaf_sets": None}
+        return self.__dict__ | {"_leaf_sets": {}}
 
     def prediction(self) -> Column:
         """The prediction as an expression of the features (and ``segment_number``)."""
@@ -1041,7 +1043,7 @@ class TreeModel:
             place = np.zeros(x.shape[1], np.int64)
             place[rows] = np.arange(len(rows))
             base, changes = np.full(len(rows), float(self.base[s])), {f: (own, b, place[row[own]], np.zeros(len(own))) for f, own, b in asked.get(s, [])}
-            for sets, values in self._sets()[s]:
+            for sets, values in self._sets(s):
                 if not sets:
                     base += values
                     continue

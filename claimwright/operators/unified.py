@@ -17,7 +17,7 @@ forest and two boosters with an elastic net on the segments' predictions.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -40,6 +40,8 @@ FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "total_
             "log_special", "log_general", "log_damages", "special_general_ratio", "severe_injury",
             "whiplash_flag", "psych_flag", "severe_total", "psych_total"]
 TOTALS = ["total_special", "total_general", "total_damages"]
+#: Rows times candidate segmentations that grow in one fit.
+SEARCH_ROWS = 1 << 24
 
 
 def select_features(shares: np.ndarray, least: int = 3) -> np.ndarray:
@@ -61,15 +63,29 @@ def boosted_per_segment(rows: DataFrame, features: Sequence[str], growth: Growth
     return fit_many(rows, features, {"own": Lane(growth)}, target, segment="segment", key=KEY if KEY in rows.columns else None, segments=names)["own"]
 
 
-def boosted_segmentation(
-    df: DataFrame, dictionary: SegmentDictionary, features: Sequence[str], growth: Growth
-) -> DataFrame:
-    """Size-weighted test metrics of one booster per segment. ``df`` has ``y`` and ``split``."""
-    rows = settle(dictionary.split(df).select(KEY, "segment", "split", "y", *features), "search-rows")
-    model = boosted_per_segment(rows.where("split = 'train'"), features, growth)
-    scored = model.transform(rows.where("split = 'test'")).where("prediction is not null")
-    sizes = dictionary.sizes().withColumnRenamed("n", "n_total")
-    return weighted_metrics(regression_metrics(scored, ["segment"]).join(sizes, "segment"), "n_total")
+def boosted_segmentations(
+    df: DataFrame, dictionaries: Mapping[str, SegmentDictionary], features: Sequence[str], growth: Growth
+) -> DataFrame | None:
+    """For each ``candidate`` segmentation the size-weighted test metrics of one booster per
+    segment. ``df`` has ``y`` and ``split``. Segments of several candidates are segments of one fit
+    over the rows of each, so that a candidate's largest segment, which grows in one task, does not
+    keep the others waiting; as many candidates at once as ``SEARCH_ROWS`` allow."""
+    names = list(dictionaries)
+    step = max(1, SEARCH_ROWS // max(df.count(), 1))
+    result = None
+    for low in range(0, len(names), step):
+        rows = sizes = None
+        for name in names[low : low + step]:
+            own = F.concat(F.lit(f"{names.index(name)}|"), F.col("segment")).alias("segment")
+            part = dictionaries[name].split(df).select(KEY, own, "split", "y", *features)
+            size = dictionaries[name].sizes().select(F.lit(name).alias("candidate"), own, F.col("n").alias("n_total"))
+            rows, sizes = (part, size) if rows is None else (rows.unionByName(part), sizes.unionByName(size))
+        rows = settle(rows, "search-rows")
+        model = boosted_per_segment(rows.where("split = 'train'"), features, growth)
+        scored = model.transform(rows.where("split = 'test'")).where("prediction is not null")
+        found = settle(weighted_metrics(regression_metrics(scored, ["segment"]).join(sizes, "segment"), "n_total", ["candidate"]), "search-metrics")
+        result = found if result is None else result.unionByName(found)
+    return result
 
 
 @dataclass

@@ -25,7 +25,7 @@ from claimwright.operators.split import holdout
 from claimwright.operators.unified import (
     UnifiedSegmentedModel,
     boosted_per_segment,
-    boosted_segmentation,
+    boosted_segmentations,
 )
 from claimwright.plans.base import base, written_claims
 from claimwright.plans.linear_models import shown_metrics
@@ -281,12 +281,12 @@ def segment_prediction_boosted(spark, sf_dir) -> DataFrame:
 def boosted_search(frame: DataFrame, dictionaries: dict[str, SegmentDictionary], estimator, most_values: int | None) -> DataFrame:
     """Weighted test metrics of one booster per segment for every candidate segmentation. One
     of more than ``most_values`` values, or of a single segment, is left out."""
-    result = None
-    for name, dictionary in dictionaries.items():
-        if dictionary.sizes().count() < 2 or most_values is not None and dictionary.table.count() > most_values:
-            continue
-        part = boosted_segmentation(frame, dictionary, FEATURES, estimator).withColumn("candidate", F.lit(name))
-        result = part if result is None else result.unionByName(part)
+    kept = {
+        name: dictionary
+        for name, dictionary in dictionaries.items()
+        if dictionary.sizes().count() >= 2 and (most_values is None or dictionary.table.count() <= most_values)
+    }
+    result = boosted_segmentations(frame, kept, FEATURES, estimator)
     if result is None:
         schema = "candidate string, rmse double, mae double, r2 double, n_total long"
         return frame.sparkSession.createDataFrame([], schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from claimwright.operators import ensembles as en
 from claimwright.operators import models as mo
 from claimwright.operators import trees as tr
+from claimwright.operators import unified as un
 from claimwright.operators.clean import finite_target
 from claimwright.operators.unified import FittedSegmentedModel, UnifiedSegmentedModel, boosted_per_segment
 from claimwright.session import settle, shared_path
@@ -88,3 +89,26 @@ def test_every_segment_gets_a_booster(spark):
     assert len(fitted.segments) == 40
     scored = fitted.transform(rows)
     assert scored.where("prediction is null or abs(prediction - y) > 1e-9").count() == 0
+
+
+def test_candidate_segmentations_grow_in_one_fit(spark, monkeypatch):
+    """Each candidate gets the metrics that it has alone, from one fit of all, or of as many as fit."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr(
+        "id AS claim_id", "concat('a', id % 2) AS one", "if(id % 50 = 0, NULL, concat('b', id % 3)) AS two",
+        "double(id % 41) AS x", "double(id % 41) * (1 + id % 3) + id % 2 AS y", "if(id % 5 = 0, 'test', 'train') AS split",
+    )
+    found = {c: un.segment_composite(rows, [c]) for c in ("one", "two")}
+    fits = []
+    inner = un.fit_many
+    monkeypatch.setattr(un, "fit_many", lambda *a, **k: fits.append(1) or inner(*a, **k))
+    growth = mo.boosted_trees(3)
+    both = {r["candidate"]: r for r in un.boosted_segmentations(rows, found, ["x"], growth).collect()}
+    assert len(fits) == 1 and sorted(both) == ["one", "two"]
+    monkeypatch.setattr(un, "SEARCH_ROWS", 4000)
+    apart = {r["candidate"]: r for r in un.boosted_segmentations(rows, found, ["x"], growth).collect()}
+    assert len(fits) == 3
+    for c in found:
+        alone = un.boosted_segmentations(rows, {c: found[c]}, ["x"], growth).first()
+        for r in (both[c], apart[c]):
+            assert r["n_total"] == alone["n_total"]
+            assert all(abs(r[m] - alone[m]) < 1e-9 for m in ("rmse", "mae", "r2"))
