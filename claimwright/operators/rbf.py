@@ -5,7 +5,10 @@ functions are those spanned by kernels at ``landmarks`` rows (Nyström features)
 has a bounded size. The loss is minimised by reweighted least squares: rows outside the
 tube pull with weight ``C / (|r| - epsilon)`` towards its near edge, rows inside not at all. A
 pass adds up one weighted normal matrix by ``treeAggregate`` and the driver solves it; the
-features of a row are made from it anew in every pass, so nothing large is kept.
+features of a row are made from it anew in every pass, so nothing large is kept. With many rows
+the passes start from the weights that about ``WARM_ROWS`` of them give, drawn by hash; the
+objective is convex, so the passes over all rows, which go on until their own loss stands still,
+end at the same weights, only sooner.
 
 Missing values count as the feature's mean. With fewer rows than landmarks the model is the
 exact kernel machine.
@@ -18,11 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.operators.models import SEED
 
+#: Rows that give the start, and rows of a block.
+WARM_ROWS, BLOCK_ROWS = 1 << 16, 1 << 16
+
 
 def scale_gamma(df: DataFrame, columns: Sequence[str]) -> float:
     """1 / (number of features x variance over all of their values)."""
@@ -85,12 +92,23 @@ def fit_rbf(
     model = RadialModel(columns, means, gamma, at, root, start)
     if not first["n"]:
         return model
-    blocks = rows.rdd.mapPartitions(_blocks).persist()
-    best, best_loss = start, np.inf
+    share = first["n"] // WARM_ROWS
+    if share >= 4:
+        some = rows.where(F.pmod(F.xxhash64("target", *columns, F.lit(SEED)), F.lit(share)) == 0)
+        model.weights = _descend(some, model, cost * share, epsilon, passes, tolerance)
+    model.weights = _descend(rows, model, cost, epsilon, passes, tolerance)
+    return model
+
+
+def _descend(rows: DataFrame, model: RadialModel, cost: float, epsilon: float, passes: int, tolerance: float) -> np.ndarray:
+    """The weights of the least loss on ``rows``, from those of the model on."""
+    columns, size = rows.columns, len(model.weights)
+    blocks = rows.mapInArrow(_blocks, "block binary").rdd.map(lambda r: np.frombuffer(r["block"]).reshape(-1, len(columns))).persist()
+    best, best_loss = model.weights, np.inf
     try:
         for _ in range(passes):
             weights = model.weights
-            matrix, side, loss = blocks.mapPartitions(lambda part: [_sums(part, model, cost, epsilon)]).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b)))
+            matrix, side, loss = blocks.mapPartitions(lambda part: [_sums(part, model, cost, epsilon)]).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
             loss += float(weights[:-1] @ weights[:-1]) / 2
             if loss < best_loss * (1 - tolerance):
                 best, best_loss = weights, loss
@@ -109,14 +127,24 @@ def fit_rbf(
             model.weights = np.linalg.solve(matrix + ridge, side)
     finally:
         blocks.unpersist()
-    model.weights = best
-    return model
+    return best
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as bytes, up to about ``BLOCK_ROWS`` in one; missing values are NaN."""
+    held: list[np.ndarray] = []
 
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block"])
 
-def _blocks(part: Iterator) -> Iterator[np.ndarray]:
-    held = [[np.nan if v is None else v for v in r] for r in part]
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1))
+        if sum(map(len, held)) >= BLOCK_ROWS:
+            yield emit()
+            held.clear()
     if held:
-        yield np.array(held, float)
+        yield emit()
 
 
 def _sums(part: Iterator[np.ndarray], model: RadialModel, cost: float, epsilon: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -131,6 +159,7 @@ def _sums(part: Iterator[np.ndarray], model: RadialModel, cost: float, epsilon:
             loss += cost * out[out > 0].sum()
             pull = np.where(out > 0, cost / np.maximum(out, 1e-3 * max(epsilon, 1e-9) + 1e-9), 0.0)
             edge = y - np.sign(rest) * epsilon
-            matrix += (phi * pull[:, None]).T @ phi
+            pulled = phi * np.sqrt(pull)[:, None]
+            matrix += pulled.T @ pulled  # of one array: half of the products
             side += phi.T @ (pull * edge)
     return matrix, side, loss
