@@ -880,6 +880,7 @@ class TreeModel:
         self.missing_left = joined([t.missing_left for t in trees], bool)
         cut = joined([t.cut for t in trees], np.int64)
         self._leaf_sets: dict[int, list] = {}
+        self._leaf_tables: dict[int, tuple] = {}
         self.threshold = np.full(len(cut), np.nan)
         for f, own in enumerate(cuts):
             at = np.flatnonzero(self.feature == f)
@@ -929,6 +930,9 @@ class TreeModel:
     def each_tree(self, x: np.ndarray, segment: np.ndarray) -> Iterator[np.ndarray]:
         """What each tree adds to the prediction of each row."""
         parts = self._parts(x, segment)
+        if parts is not None and len(parts) > 1:
+            yield from self._of_few(parts, len(segment))
+            return
         for t in range(self.n_trees):
             if parts is None:
                 yield self.value[self.leaves(x, segment, t)]
@@ -936,9 +940,28 @@ class TreeModel:
             out = np.empty(len(segment))
             for s, rows, bins in parts:
                 sets, values = self._sets(s)[t]
-                out[rows] = values.take(_lowest(_reached(sets, bins))) if sets else values
+                out[rows] = values.take(_lowest(_reached(sets, bins))) if sets else values[0]
             yield out
 
+    def _of_few(self, parts: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> Iterator[np.ndarray]:
+        """The same for rows of many segments, of which each has few: a step serves several trees
+        of a segment."""
+        held = {s: (*self._held_tables(s), rows, bins) for s, rows, bins in parts}
+        step = max(1, TASK_ENTRIES // 8 // max(size, 1))
+        for low in range(0, self.n_trees, step):
+            out = np.empty((min(step, self.n_trees - low), size))
+            for tables, values, used, rows, bins in held.values():
+                left = np.full((len(out), len(rows)), 2**64 - 1, np.uint64)
+                for f in np.flatnonzero(used[low : low + step].any(0)):
+                    left &= tables[low : low + step, f].take(bins[f], 1)
+                out[:, rows] = np.take_along_axis(values[low : low + step], _lowest(left).astype(np.intp), 1)
+            yield from out
+
+    def _held_tables(self, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if segment not in self._leaf_tables:
+            self._leaf_tables[segment] = self._tables(segment)
+        return self._leaf_tables[segment]
+
     def _sets(self, segment: int = 0) -> list[tuple[list[tuple[int, np.ndarray]], np.ndarray]] | None:
         """For each tree of a segment ``(sets, values)``. ``sets`` has for each feature that the tree
         splits on, by bin, the leaves that its tests leave over, as bits in the order of the leaves;
@@ -947,29 +970,47 @@ class TreeModel:
         if self.growth.depth > 6:
             return None
         if segment not in self._leaf_sets:
-            self._leaf_sets[segment] = [self._sets_of(int(first) + segment) for first in self.starts[:-1]]
+            tables, values, used = self._tables(segment)
+            self._leaf_sets[segment] = [([(int(f), tables[t, f]) for f in np.flatnonzero(used[t])], values[t]) for t in range(self.n_trees)]
         return self._leaf_sets[segment]
 
-    def _sets_of(self, root: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-        values: list[float] = []
-        found: dict[int, np.ndarray] = {}
-
-        def walk(node: int) -> None:
-            f = int(self.feature[node])
-            if f < 0:
-                values.append(self.value[node])
-                return
-            first = len(values)
-            walk(int(self.left[node]))
-            without = np.uint64(~(((1 << len(values)) - 1) ^ ((1 << first) - 1)) & (2**64 - 1))
-            own = found.setdefault(f, np.full(WIDTH, 2**64 - 1, np.uint64))
-            right = np.arange(WIDTH) > np.searchsorted(self.cuts[f], self.threshold[node], "left")
-            right[MISSING] = not self.missing_left[node]
-            own[right] &= without
-            walk(int(self.left[node]) + 1)
-
-        walk(root)
-        return sorted(found.items()), np.array(values)
+    def _tables(self, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf sets by (tree, feature, bin), the values of the leaves by (tree, leaf), and which
+        features a tree splits on. All trees of the segment go down together, level by level."""
+        trees, features = self.n_trees, len(self.features)
+        nodes, of = self.starts[:-1] + segment, np.arange(trees)
+        levels = []
+        while len(nodes):
+            inner = self.feature[nodes] >= 0
+            levels.append((nodes, of, inner))
+            nodes, of = (self.left[nodes[inner]][:, None] + np.arange(2)).reshape(-1), np.repeat(of[inner], 2)
+        # Leaves below each node, and the number of the first of them.
+        below = [np.ones(len(nodes), np.int64) for nodes, _, _ in levels]
+        for k in range(len(levels) - 2, -1, -1):
+            below[k][levels[k][2]] = below[k + 1].reshape(-1, 2).sum(1)
+        first, values = np.zeros(trees, np.int64), np.zeros((trees, 64))
+        tables, missing = np.full((trees * features, WIDTH), 2**64 - 1, np.uint64), np.full(trees * features, 2**64 - 1, np.uint64)
+        used = np.zeros(trees * features, bool)
+        for k, (nodes, of, inner) in enumerate(levels):
+            values[of[~inner], first[~inner]] = self.value[nodes[~inner]]
+            nodes, start = nodes[inner], first[inner]
+            if not len(nodes):
+                break
+            f, left = self.feature[nodes], below[k + 1][::2]
+            # Bins beyond a cut leave over all but the leaves on its left.
+            without = ~(((np.uint64(1) << left.astype(np.uint64)) - np.uint64(1)) << start.astype(np.uint64))
+            at, beyond = of[inner] * features + f, np.empty(len(nodes), np.int64)
+            for own in np.unique(f):
+                mine = f == own
+                beyond[mine] = np.searchsorted(self.cuts[own], self.threshold[nodes[mine]], "left") + 1
+            used[at] = True
+            np.bitwise_and.at(tables.reshape(-1), at * WIDTH + beyond, without)
+            right = ~self.missing_left[nodes]
+            np.bitwise_and.at(missing, at[right], without[right])
+            first = np.stack([start, start + left], 1).reshape(-1)
+        tables = np.bitwise_and.accumulate(tables, axis=1)
+        tables[:, MISSING] = missing
+        return tables.reshape(trees, features, WIDTH), values, used.reshape(trees, features)
 
     def _binned(self, x: np.ndarray, feature: int) -> np.ndarray:
         return np.where(np.isnan(x), MISSING, np.searchsorted(self.cuts[feature], x, "left"))
@@ -984,7 +1025,7 @@ class TreeModel:
         return [(int(s), rows, np.ascontiguousarray(bins[:, rows])) for s in np.unique(segment) for rows in [np.flatnonzero(segment == s)]]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_leaf_sets": {}}
+        return self.__dict__ | {"_leaf_sets": {}, "_leaf_tables": {}}
 
     def prediction(self) -> Column:
         """The prediction as an expression of the features (and ``segment_number``)."""
@@ -1045,7 +1086,7 @@ class TreeModel:
             base, changes = np.full(len(rows), float(self.base[s])), {f: (own, b, place[row[own]], np.zeros(len(own))) for f, own, b in asked.get(s, [])}
             for sets, values in self._sets(s):
                 if not sets:
-                    base += values
+                    base += values[0]
                     continue
                 taken = [table.take(bins[f]) for f, table in sets]
                 # What the features before, and those after, leave over.

@@ -129,3 +129,43 @@ def test_a_large_forest_stays_on_the_cluster(spark, monkeypatch, local):
     got, expected = scored.orderBy("id").toPandas(), held.transform(df).orderBy("id").toPandas()
     assert (got["name"] == expected["name"]).all() and got["b"].isna().sum() == expected["b"].isna().sum()
     assert np.allclose(got["prediction"], expected["prediction"], rtol=1e-9)
+
+
+@pytest.fixture(scope="module")
+def many_segments():
+    """A model of seven segments, the last without a split, with its rows and their segments."""
+    rng = np.random.default_rng(5)
+    segments, n = 7, 4000
+    x = rng.normal(size=(5, n))
+    x[2, rng.random(n) < 0.2], x[4] = np.nan, rng.integers(0, 3, n)
+    segment = rng.integers(0, segments, n)
+    y = np.where(np.isnan(x[2]), 3.0, x[0] * segment) + x[1]
+    cuts = [np.unique(np.nanquantile(c, np.arange(1, 64) / 64)) for c in x]
+    cuts = [own[own < np.nanmax(c)] for own, c in zip(cuts, x)]
+    bins = np.stack([np.where(np.isnan(c), bo.MISSING, np.searchsorted(own, c, "left")) for c, own in zip(x, cuts)]).astype(np.uint8)
+    growth, trees, predicted = bo.Growth(20, 0.3, 6), [], np.zeros(n)
+    for _ in range(growth.trees):
+        tree = bo.Tree(segments)
+        for s in range(segments - 1):
+            own = np.flatnonzero(segment == s)
+            tree.graft(s, bo._grown_alone(np.ascontiguousarray(bins[:, own]), predicted[own] - y[own], None, growth, 0, np.ones(len(x), bool))[0])
+        predicted += tree.values(growth)[tree.place(bins, segment, growth.depth)]
+        trees.append(tree)
+    return bo.TreeModel([f"f{k}" for k in range(len(x))], bo.asdict(growth), cuts, trees, np.zeros(segments), "s", list(range(segments))), x, segment
+
+
+def test_leaf_sets_of_many_segments_reach_the_same_leaves(many_segments):
+    model, x, segment = many_segments
+    for own in (segment, np.full(len(segment), 2), np.full(len(segment), 6)):
+        expected = [model.value[model.leaves(x, own, t)] for t in range(model.n_trees)]
+        assert all((a == b).all() for a, b in zip(model.each_tree(x, own), expected, strict=True))
+
+
+def test_leaf_sets_are_not_built_node_by_node(many_segments, monkeypatch):
+    """Every task that scores builds them: steps follow depth and features, not nodes."""
+    model, x, segment = many_segments
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    model._leaf_sets.clear(), getattr(model, "_leaf_tables", {}).clear()
+    list(model.each_tree(x, segment))
+    assert (model.feature >= 0).sum() > 2000 and len(calls) < 300
