@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.operators import boosting as bo
+from claimwright.operators import models as mo
 
 
 @pytest.fixture(scope="module")
@@ -169,3 +170,54 @@ def test_leaf_sets_are_not_built_node_by_node(many_segments, monkeypatch):
     model._leaf_sets.clear(), getattr(model, "_leaf_tables", {}).clear()
     list(model.each_tree(x, segment))
     assert (model.feature >= 0).sum() > 2000 and len(calls) < 300
+
+
+def test_rows_reach_a_growing_task_with_each_feature_side_by_side():
+    """A feature whose bins lie apart is copied by every step that reads some of them."""
+    rng = np.random.default_rng(2)
+    bins, y, hashes = rng.integers(0, 64, (5, 900)).astype(np.uint8), rng.normal(size=900), rng.permutation(900) * 977
+    pieces = [(bins[:, own], y[own], hashes[own]) for own in np.array_split(rng.permutation(900), 4)]
+    got = bo._in_order(iter(pieces))
+    order = np.argsort(hashes)
+    assert got[0].flags.c_contiguous
+    assert all((a == b).all() for a, b in zip(got, (bins[:, order], y[order], hashes[order]), strict=True))
+
+
+@pytest.mark.parametrize("growth", [bo.Growth(1, 0.3, 6, min_child=3), bo.Growth(1, depth=10, l2=0.0, forest=True)])
+def test_rows_moved_side_by_side_grow_the_same_tree(binned, growth, monkeypatch):
+    bins, y = binned
+    weight = bo.row_weights({"hash": np.arange(len(y)) * 7919, "y": y}, bo.Lane(bo.Growth(forest=True)), 1)
+    used = np.flatnonzero(weight)
+    g, h = (-y * weight, weight) if growth.forest else (y.mean() - y, None)
+    may = np.ones(len(bins), bool)
+    monkeypatch.setattr(bo, "FEW_ROWS", 16)
+    trees = []
+    for moved in (99, 1, 2, 3):
+        monkeypatch.setattr(bo, "MOVED", moved)
+        trees.append(bo._grown_alone(bins, g, h, growth, 0, may, None, used))
+    for tree, leaf in trees[1:]:
+        assert all((getattr(tree, c) == getattr(trees[0][0], c)).all() for c in ("feature", "cut", "left", "g", "h"))
+        assert (leaf == trees[0][1]).all()
+
+
+def test_forests_beside_boosters_do_not_keep_them_waiting():
+    """The folds of a stack: no task has more work than a booster, which cannot be divided."""
+    growths = [bo.Growth(200, depth=10, l2=0.0, forest=True), bo.Growth(200, 0.1, 5), bo.Growth(200, 0.1, 5)]
+    models = [bo.Lane(g, k if k < 5 else None) for g in growths for k in range(6)]
+    groups = [(m, 0) for m in range(len(models))]
+    items = bo._items(models, groups, {g: 600_000 for g in groups}, 12)
+    assert max((high - low) * models[m].growth.depth for m, _, low, high in items) <= 200 * 5
+    for m in range(6):
+        assert [k for i in sorted(i for i in items if i[0] == m) for k in range(i[2], i[3])] == list(range(200))
+
+
+def test_a_solver_of_many_steps_waits_for_few_tasks(spark):
+    rows = spark.range(0, 4000, 1, 16).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"))
+    rows = rows.withColumn("y", F.col("a") + 2 * F.col("b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    mo.fit_on(rows, ["a", "b"], mo.elastic_net(0.01, 0.5, 70.0, rows=4000, solver="l-bfgs"))
+    spark.sparkContext.setJobGroup("other", "other")
+    stages = [s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    tasks = sorted(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+    assert tasks[len(tasks) // 2] == 1
