@@ -38,13 +38,14 @@ import json
 import math
 import pickle
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from copy import copy
+from dataclasses import asdict, dataclass, field, replace
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -58,6 +59,12 @@ BLOCK_ROWS = 1 << 18
 #: Rows that one task takes to grow a model's segment, or a forest's tree below a node, to the end,
 #: and bytes of rows that are sent for that at once.
 LOCAL_ROWS, SENT_BYTES = 1 << 20, 1 << 30
+#: Times ``LOCAL_ROWS`` that one task takes to grow a whole model's segment: on eight cores that many
+#: rows grow as fast there as by levels, where each level sends all blocks to Python. And rows
+#: from which on a task that needs a good part of the rows reads the blocks itself.
+WHOLE, READ_ROWS = 8, 1 << 18
+#: Rows that are counted or parted at once, so that what a step makes stays near the processor.
+STEP_ROWS = 1 << 15
 #: Values of the joint bins of features that are counted in one pass, and rows that a node needs
 #: on the average to be worth steps of its own.
 PAIRED, FEW_ROWS = WIDTH * WIDTH, 512
@@ -369,20 +376,20 @@ def fit_many(
             if lane.left_out is None or r["fold"] != lane.left_out:
                 sizes[m, r["segment_number"]] = sizes.get((m, r["segment_number"]), 0) + r["n"]
     boosters = [m for m, lane in enumerate(models) if not lane.growth.forest]
-    large = {m: np.array([s for s in range(len(segments)) if sizes.get((m, s), 0) > LOCAL_ROWS], np.int64) for m in range(len(models))}
+    large = {m: np.array([s for s in range(len(segments)) if sizes.get((m, s), 0) > WHOLE * LOCAL_ROWS], np.int64) for m in range(len(models))}
     # Blocks carry the predictions of those that wait.
     slots = {m: k for k, m in enumerate(m for m in boosters if len(large[m]))}
     blocks = rows.mapInArrow(_packer(len(features), cuts, base[list(slots)]), "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
-    # A job waits for each of its tasks to start: no more tasks than there is work for.
+    # Blocks that memory does not hold are read again, not packed again. A job waits for each of its tasks to start: no more tasks than there is work for.
     tasks = max(1, -(-sum(r["n"] for r in sums) * len(models) // TASK_ROWS))
-    blocks = (blocks.coalesce(tasks) if tasks < blocks.getNumPartitions() else blocks).persist()
+    blocks = (blocks.coalesce(tasks) if tasks < blocks.getNumPartitions() else blocks).persist(StorageLevel.MEMORY_AND_DISK)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     grown: list[list[Tree]] = [[] for _ in models]
     allowed = np.ones((len(segments), len(features)), bool) if chosen is None else chosen
     # A forest goes this way as a whole, or its nodes do as soon as they are small.
-    apart = sorted(g for g, n in sizes.items() if n <= LOCAL_ROWS and (g[0] not in boosters) <= (not len(large[g[0]])))
+    apart = sorted((m, s) for m, s in sizes if not len(large[m]) or (m in boosters and s not in large[m]))
     alone = _alone(blocks, models, apart, base, allowed, sizes, len(features))
     for number in range(max((models[m].growth.trees for m in boosters), default=0)):
         own = [m for m in boosters if models[m].growth.trees > number]
@@ -461,22 +468,27 @@ def _left_out_r2(blocks, models: list[Lane], grown: list[list[Tree]], base: np.n
     if not asked or not marks:
         return {}
     marks = sorted(marks)
+    # Models of the same fold and the same trees are measured once.
+    kinds: dict[tuple, int] = {}
+    kind = [kinds.setdefault((fold, base[m].tobytes(), asdict(models[m].growth)["rate"], *(t.feature.tobytes() + t.cut.tobytes() + t.g.tobytes() for t in grown[m])), k) for k, (m, fold) in enumerate(asked)]
+    needed, steps = sorted(set(kind)), {m: [(t, t.values(models[m].growth)) for t in grown[m][: marks[-1]]] for m, _ in (asked[k] for k in set(kind))}
 
     def run(part: Iterator[dict]) -> Iterator[np.ndarray]:
         out = np.zeros((len(asked), 3 + len(marks)))
         for block in part:
-            for k, (m, fold) in enumerate(asked):
+            for k in needed:
+                m, fold = asked[k]
                 own = np.flatnonzero(block["fold"] == fold)
-                y, bins, segment = block["y"][own], block["bins"][:, own], block["segment"][own]
+                y, bins, segment = block["y"][own], block["bins"].take(own, 1), block["segment"][own]
                 out[k, :3] += len(y), y.sum(), (y * y).sum()
                 predicted = base[m, segment].astype(float)
-                for number, tree in enumerate(grown[m][: marks[-1]], 1):
-                    predicted += tree.values(models[m].growth)[tree.place(bins, segment, models[m].growth.depth)]
+                for number, (tree, values) in enumerate(steps[m], 1):
+                    predicted += values.take(tree.place(bins, segment, models[m].growth.depth))
                     if number in marks:
                         out[k, 3 + marks.index(number)] += ((predicted - y) ** 2).sum()
         yield out
 
-    sums = sum(blocks.mapPartitions(run).collect(), np.zeros((len(asked), 3 + len(marks))))
+    sums = sum(blocks.mapPartitions(run).collect(), np.zeros((len(asked), 3 + len(marks))))[kind]
     spread = sums[:, 2] - sums[:, 1] ** 2 / np.maximum(sums[:, 0], 1)
     return {m: {n: float(1 - sums[k, 3 + i] / spread[k]) if spread[k] > 0 else math.nan for i, n in enumerate(marks)} for k, (m, _) in enumerate(asked)}
 
@@ -500,8 +512,81 @@ def _alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.n
     of a forest, which do not wait for each other, in a few. ``store`` gets them, by number, in
     place of the driver, if given."""
     parallel = blocks.context.defaultParallelism
-    items = _items(models, groups, sizes, parallel)
+    # Boosters that differ in the least weight of a child alone are the same until a node has too little.
+    twins: dict[int, list[int]] = {}
+    alike: dict[tuple, list[int]] = {}
+    for m, lane in enumerate(models):
+        own = (m,) if lane.growth.forest else (replace(lane.growth, min_child=0.0), lane.left_out, tuple(sorted(s for k, s in groups if k == m)))
+        alike.setdefault(own, []).append(m)
+    for own in alike.values():
+        twins[own[0]] = own
+    items = _items(models, [g for g in groups if g[0] in twins], sizes, parallel)
+    every = sum(max((n for (_, k), n in sizes.items() if k == s), default=0) for s in {s for _, s in sizes})
     out: dict[tuple[int, int], dict[int, list[Tree]]] = {}
+
+    def rows_of(block: dict, fold: int | None, s: int) -> tuple | None:
+        rows = np.flatnonzero((block["segment"] == s) & (block["fold"] != fold if fold is not None else True))
+        return (block["bins"].take(rows, 1), block["y"].take(rows), block["hash"].take(rows)) if len(rows) else None
+
+    def grown(item: tuple[int, int, int, int], pieces: Iterator[tuple]) -> list[tuple[int, list[Tree]]]:
+        m, s, first, last = item
+        bins, y, hashes = _in_order(pieces, sizes[m, s])
+        growth, paired = models[m].growth, _paired(bins)
+        all_rows = np.arange(len(y), dtype=np.int32)
+        if growth.forest:
+            trees = []
+            for number in range(first, last):
+                may, weight = _columns(growth, number, features) & allowed[s], row_weights({"hash": hashes, "y": y}, Lane(growth), number)
+                trees.append(_grown_rows(bins, -y * weight, weight, growth, 0, may, paired, np.flatnonzero(weight).astype(np.int32))[0])
+            return [(m, trees)]
+        done: dict[int, list[Tree]] = {k: [] for k in twins[m]}
+        waiting = [(twins[m], first, base[m, s] - y)]
+        y, hashes = (y, hashes) if growth.subsample < 1 else (y[:0], hashes[:0])  # nothing else needs them
+        while waiting:
+            own, start, g = waiting.pop()
+            for number in range(start, last):
+                lead, *others = own
+                growth, same = models[lead].growth, {k: models[k].growth for k in others}
+                may = _columns(growth, number, features) & allowed[s]
+                weight = row_weights({"hash": hashes, "y": y}, Lane(growth), number) if growth.subsample < 1 else None
+                tree, leaves = _grown_rows(bins, g, None, growth, 0, may, paired, all_rows if weight is None else np.flatnonzero(weight).astype(np.int32), same)
+                if len(same) < len(others):  # the others go on by themselves from here
+                    waiting.append(([k for k in others if k not in same], number, g.copy()))
+                    own = [lead, *same]
+                for k in own:
+                    done[k].append(tree)
+                values = tree.values(growth)
+                for leaf, rows in leaves:
+                    for low in range(0, len(rows), STEP_ROWS):
+                        part = rows[low : low + STEP_ROWS]
+                        g[part] += values[leaf if isinstance(leaf, int) else leaf[low : low + STEP_ROWS]]
+                rest = np.zeros(0, np.int64) if weight is None else np.flatnonzero(weight == 0)
+                for low in range(0, len(rest), STEP_ROWS):
+                    part = rest[low : low + STEP_ROWS]
+                    g[part] += values[tree.place(bins.take(part, 1), np.zeros(len(part), np.int64), growth.depth)]
+        return list(done.items())
+
+    def taken(done, part: list) -> None:
+        if store is not None:
+            store(done.flatMap(lambda d: enumerate(d[1][0][1], part[d[0]][2])))
+            return
+        for i, found in done.collect():
+            for m, trees in found:
+                out.setdefault((m, part[i][1]), {})[part[i][2]] = trees
+
+    # A task that needs a good part of the rows reads the blocks, which then go through no shuffle.
+    parted = [max(READ_ROWS, every // 4) < sizes[i[:2]] for i in items]
+    whole, items = [i for i, reads in zip(items, parted, strict=True) if reads], [i for i, reads in zip(items, parted, strict=True) if not reads]
+    if whole:
+
+        def read(number: int, own: Iterator[dict]) -> Iterator[tuple]:
+            m, s, _, _ = whole[number]
+            yield number, grown(whole[number], filter(None, (rows_of(block, models[m].left_out, s) for block in own)))
+
+        # One partition with all blocks, which are there before, for each item, the longest first.
+        blocks.foreachPartition(lambda own: [None for _ in own])
+        all_blocks = blocks.coalesce(1)
+        taken(blocks.context.union([all_blocks] * len(whole)).mapPartitionsWithIndex(read), whole)
     low = 0
     while low < len(items):
         # As many at once as their rows may be sent.
@@ -516,53 +601,42 @@ def _alone(blocks, models: list[Lane], groups: list[tuple[int, int]], base: np.n
         def sent(own: Iterator[dict], by_rows: dict = by_rows) -> Iterator[tuple]:
             for block in own:
                 for (fold, s), numbers in by_rows.items():
-                    rows = np.flatnonzero((block["segment"] == s) & (block["fold"] != fold if fold is not None else True))
-                    if len(rows):
-                        piece = block["bins"].take(rows, 1), block["y"][rows], block["hash"][rows]
+                    piece = rows_of(block, fold, s)
+                    if piece is not None:
                         for i in numbers:
                             yield i, piece
 
-        def grown(item: tuple, part: list = part) -> tuple:
-            m, s, first, last = part[item[0]]
-            bins, y, hashes = _in_order(item[1])
-            growth, predicted, trees, paired = models[m].growth, np.full(len(y), base[m, s]), [], _paired(bins)
-            for number in range(first, last):
-                may = _columns(growth, number, features) & allowed[s]
-                weight = row_weights({"hash": hashes, "y": y}, Lane(growth), number)
-                used = np.flatnonzero(weight).astype(np.int32)
-                if growth.forest:
-                    trees.append(_grown_alone(bins, -y * weight, weight, growth, 0, may, paired, used)[0])
-                    continue
-                tree, leaf = _grown_alone(bins, predicted - y, None, growth, 0, may, paired, used)
-                values = tree.values(growth)
-                predicted[used] += values[leaf]
-                if len(used) < len(y):
-                    rest = np.flatnonzero(weight == 0)
-                    predicted[rest] += values[tree.place(bins[:, rest], np.zeros(len(rest), np.int64), growth.depth)]
-                trees.append(tree)
-            return item[0], trees
-
         count = min(len(part), parallel * 4)
         # Items by number, so that tasks get equal shares and the longest start first.
-        done = blocks.mapPartitions(sent).groupByKey(count, lambda i, n=count: i % n).map(grown)
-        if store is not None:
-            store(done.flatMap(lambda d, part=part: enumerate(d[1], part[d[0]][2])))
-            low = high
-            continue
-        for i, trees in done.collect():
-            m, s, first, _ = part[i]
-            out.setdefault((m, s), {})[first] = trees
+        def received(own: Iterator[tuple], part: list = part) -> Iterator[tuple]:
+            held: dict[int, list] = {}
+            for i, piece in own:
+                held.setdefault(i, []).append(piece)
+            for i in sorted(held):
+                yield i, grown(part[i], iter(held.pop(i)))
+
+        taken(blocks.mapPartitions(sent).partitionBy(count, lambda i, n=count: i % n).mapPartitions(received), part)
         low = high
     return {g: [t for first in sorted(found) for t in found[first]] for g, found in out.items()}
 
 
-def _in_order(pieces) -> list[np.ndarray]:
+def _in_order(pieces, rows: int | None = None) -> list[np.ndarray]:
     """Pieces of rows put together, bins first and hashes last, in the order of hashes: the same sums
-    in whatever order rows come. ``take`` keeps each feature's bins side by side, an index does not."""
-    columns = list(zip(*pieces, strict=True))
-    hashes = np.concatenate(columns[-1])
-    order = np.argsort(hashes, kind="stable")
-    return [np.concatenate(columns[0], 1).take(order, 1), *(np.concatenate(c).take(order) for c in columns[1:-1]), hashes[order]]
+    in whatever order rows come. With the number of ``rows``, pieces are put in place as they come."""
+    if rows is None:
+        pieces = list(pieces)
+        rows = sum(len(p[-1]) for p in pieces)
+    columns, at = [], 0
+    for piece in pieces:
+        columns = columns or [np.empty((*c.shape[:-1], rows), c.dtype) for c in piece]
+        for whole, own in zip(columns, piece, strict=True):
+            whole[..., at : at + len(piece[-1])] = own
+        at += len(piece[-1])
+    order = np.argsort(columns[-1], kind="stable")
+    for whole in columns:
+        for line in whole if whole.ndim == 2 else [whole]:
+            line[:] = line.take(order)
+    return columns
 
 
 #: Blocks whose successors are not computed yet.
@@ -664,7 +738,7 @@ def _finish(blocks, models: list[Lane], wanted: list[tuple[int, int]], trees: li
         (w, node), pieces = item
         lane, _, tree, nodes = tasks[w]
         bins, y, weight, _ = _in_order(pieces)
-        return (w, node), _grown_alone(bins, -y * weight, weight, lane.growth, nodes[node], columns[w] & allowed[tree.segment[node]])[0]
+        return (w, node), _grown_rows(bins, -y * weight, weight, lane.growth, nodes[node], columns[w] & allowed[tree.segment[node]])[0]
 
     count = min(sum(len(small[w]) for w in part), max(blocks.getNumPartitions(), blocks.context.defaultParallelism))
     done = blocks.mapPartitions(sent).groupByKey(count).map(grown)
@@ -704,47 +778,97 @@ def _paired(bins: np.ndarray) -> list[tuple[list[int], list[int], np.ndarray]]:
     return out
 
 
-def _paired_sums(paired: list, at: np.ndarray | None, nodes: int, g: np.ndarray, h: np.ndarray | None, features: int, columns: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+def _paired_sums(paired: list, at: np.ndarray | None, nodes: int, g: np.ndarray, h: np.ndarray | None, features: int, columns: np.ndarray, rows: np.ndarray | None = None, of_all: bool = False) -> np.ndarray:
     """Gradient and weight by (node, feature, bin) of ``rows`` (all, by default), which are at the
-    nodes ``at`` (one node, by default); those of the first feature and of ``columns``."""
+    nodes ``at`` (one node, by default); those of the first feature and of ``columns``. ``g`` and
+    ``h`` are those of ``rows``, or ``of_all``. Some rows at a time."""
     out = np.zeros((nodes, features, WIDTH, 2))
-    for own, widths, number in paired:
-        wanted = [i for i, f in enumerate(own) if f == 0 or columns[f]]
-        if not wanted:
-            continue
-        size = math.prod(widths)
-        key = (number if rows is None else number.take(rows)).astype(np.intp)
-        if at is not None:
-            key += at * size
-        for k, weight in enumerate((g, h)):
-            sums = np.bincount(key, weight, nodes * size).reshape(nodes, *widths)
+    asked = [(own, widths, number, [i for i, f in enumerate(own) if f == 0 or columns[f]]) for own, widths, number in paired]
+    asked = [(own, widths, number, wanted, math.prod(widths)) for own, widths, number, wanted in asked if wanted]
+    sums = [(np.zeros(nodes * size), np.zeros(nodes * size, np.int64 if h is None else float)) for *_, size in asked]
+    step = max(STEP_ROWS, 4 * nodes * PAIRED)
+    for low in range(0, len(g) if rows is None else len(rows), step):
+        part = slice(low, low + step)
+        own = None if rows is None else rows[part].astype(np.intp)
+        g_own, h_own = ((None if w is None else w.take(own)) if of_all and own is not None else (None if w is None else w[part]) for w in (g, h))
+        node = None if at is None else at[part]
+        for (_, _, number, _, size), (total_g, total_h) in zip(asked, sums, strict=True):
+            key = (number[part] if own is None else number.take(own)).astype(np.intp)
+            if node is not None:
+                key += node * size
+            total_g += np.bincount(key, g_own, nodes * size)
+            total_h += np.bincount(key, h_own, nodes * size)
+    for (own, widths, _, wanted, _), both in zip(asked, sums, strict=True):
+        for k, total in enumerate(both):
+            table = total.reshape(nodes, *widths)
             for i in wanted:
-                out[:, own[i], : widths[i], k] = sums.sum(tuple(j + 1 for j in range(len(own)) if j != i))
+                out[:, own[i], : widths[i], k] = table.sum(tuple(j + 1 for j in range(len(own)) if j != i))
     return out
 
 
+def _chosen(sums: np.ndarray, growth: Growth, allowed: np.ndarray, twins: dict[int, Growth] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The best splits, and which of them are made; ``twins`` that split otherwise are taken out."""
+
+    def best(growth: Growth) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        found = best_splits(sums, growth, allowed)
+        return found, (found["gain"] > 1e-12) & np.isfinite(found["gain"])
+
+    found, good = best(growth)
+    for k in list(twins or ()):
+        other, made = best(twins[k])
+        if (made != good).any() or any((other[c][good] != found[c][good]).any() for c in ("feature", "cut", "missing_left")):
+            del twins[k]
+    return found, good
+
+
+def _parted(values: np.ndarray, beyond: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that stay and those whose value is ``beyond``, in their order, some at a time."""
+    out, rest, a, b = np.empty_like(rows), np.empty_like(rows), 0, 0
+    for low in range(0, len(rows), STEP_ROWS):
+        own = rows[low : low + STEP_ROWS]
+        right = beyond.take(values.take(own))
+        there, here = np.flatnonzero(right), np.flatnonzero(~right)
+        own.take(here, out=out[a : a + len(here)], mode="clip")
+        own.take(there, out=rest[b : b + len(there)], mode="clip")
+        a, b = a + len(here), b + len(there)
+    out[a:] = rest[:b]
+    return out[:a], out[a:]
+
+
 def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth: Growth, depth: int, may: np.ndarray, paired: list | None = None, rows: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
-    """A tree over ``rows`` (all, by default), from a root that stands at ``depth``, and the leaf of
-    each. No ``h`` stands for weights of one. While nodes have many rows, only the smaller child
-    of a node is counted; the other is what is left of the node. Every few levels the rows of each
-    node are put side by side, as reading one here and one there takes longer than counting."""
+    """``_grown_rows`` and the leaf of each row."""
+    tree, leaves = _grown_rows(bins, g, h, growth, depth, may, paired, rows)
+    node = np.zeros(len(g), np.int64)
+    for k, own in leaves:
+        node[own] = k
+    return tree, node if rows is None else node[rows]
+
+
+def _grown_rows(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth: Growth, depth: int, may: np.ndarray, paired: list | None = None, rows: np.ndarray | None = None, twins: dict[int, Growth] | None = None) -> tuple[Tree, list[tuple[int | np.ndarray, np.ndarray]]]:
+    """A tree over ``rows`` (all, by default), from a root that stands at ``depth``, and its leaves
+    (one, or that of each row) with their rows. No ``h`` stands for weights of one. While nodes have
+    many rows, only the smaller child of a node is counted; the other is what is left of the node.
+    Every few levels the rows of each node are put side by side, as reading one here and one there
+    takes longer than counting. ``twins`` that would not grow the same tree are taken out."""
     tree, features = Tree(1), len(bins)
-    order = np.arange(len(g), dtype=np.int32) if rows is None else rows.astype(np.int32)
+    order = np.arange(len(g), dtype=np.int32) if rows is None else rows.astype(np.int32, copy=False)
     paired = _paired(bins) if paired is None else paired
-    tree.g[0], tree.h[0] = g[order].sum(), len(order) if h is None else h[order].sum()
+    whole = len(order) == len(g)
+    tree.g[0], tree.h[0] = g.sum() if whole else g[order].sum(), len(order) if h is None else h[order].sum()
     nodes, held = np.zeros(1, np.int64), [order]  # the open nodes and their rows
     sums = np.zeros((0, features, WIDTH, 2))
-    leaves: list[tuple[int, np.ndarray]] = []
+    leaves: list[tuple[int | np.ndarray, np.ndarray]] = []
     allowed = np.broadcast_to(may, (1, features))
     all_bins, all_g, all_h, moved = bins, g, h, depth + MOVED
     line: np.ndarray | None = None  # the rows as they stand side by side, if they were moved
 
     def counted(parts: list[np.ndarray]) -> np.ndarray:
         if paired and (len(parts) == 1 or sum(map(len, parts)) >= PAIRED * len(parts)):
-            return np.concatenate([_paired_sums(paired, None, 1, g[r], None if h is None else h[r], features, may, r) for r in parts])
+            return np.concatenate([_paired_sums(paired, None, 1, g, h, features, may, None if len(r) == len(g) else r, True) for r in parts])
         own = np.concatenate(parts)
         place = np.repeat(np.arange(len(parts)) * WIDTH, [len(r) for r in parts])
         out, g_own, h_own = np.zeros((features, len(parts) * WIDTH, 2)), g[own], None if h is None else h[own]
+        own = own if line is None or bins is not all_bins else line.take(own)  # bins stay where joint ones are moved
         for f in np.unique(np.append(0, np.flatnonzero(may))):
             key = place + bins[f].take(own)
             out[f, :, 0], out[f, :, 1] = np.bincount(key, g_own, out.shape[1]), np.bincount(key, h_own, out.shape[1])
@@ -753,9 +877,12 @@ def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth:
     while depth < growth.depth and len(nodes) and len(nodes) * features * WIDTH * 2 <= TASK_ENTRIES and sum(map(len, held)) >= FEW_ROWS * len(nodes):
         if depth >= moved:
             alive, edges, moved = np.concatenate(held), np.cumsum([0, *map(len, held)]), depth + MOVED
-            bins, g, h = bins.take(alive, 1), g.take(alive), None if h is None else h.take(alive)
-            paired = [(own, widths, number.take(alive)) for own, widths, number in paired] if len(alive) >= PAIRED * len(nodes) else []
-            line = alive if line is None else line.take(alive)
+            g, h = g.take(alive), None if h is None else h.take(alive)
+            before, line = line, alive if line is None else line.take(alive)
+            if paired and len(alive) >= PAIRED * len(nodes):
+                paired = [(own, widths, number.take(alive)) for own, widths, number in paired]
+            else:
+                paired, bins = [], (all_bins.take(line, 1) if paired or before is None else bins.take(alive, 1))
             held = [np.arange(x, y, dtype=np.int32) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         if len(sums) == 0:
             sums = counted(held)
@@ -768,18 +895,20 @@ def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth:
             rest[..., 0][rest[..., 1] < 0.5] = 0.0  # nothing is left in these, but for rounding
             both[smaller ^ 1] = rest
             sums = both
-        found = best_splits(sums, growth, np.broadcast_to(allowed, (len(nodes), features)))
-        good = (found["gain"] > 1e-12) & np.isfinite(found["gain"])
+        found, good = _chosen(sums, growth, np.broadcast_to(allowed, (len(nodes), features)), twins)
         children, kept = tree.split(nodes[good], {k: v[good] for k, v in found.items()}), []
         for k, (node, own) in enumerate(zip(nodes.tolist(), held, strict=True)):
             if good[k]:
-                b = bins[tree.feature[node]].take(own)
-                right = b > tree.cut[node]
-                if tree.missing_left[node]:
-                    right &= b != MISSING
-                else:
-                    right |= b == MISSING
-                kept += [own[~right], own[right]]
+                f = int(tree.feature[node])
+                beyond = np.arange(WIDTH) > tree.cut[node]
+                beyond[MISSING] = not tree.missing_left[node]
+                values = bins[f]
+                for joint, widths, number in paired:
+                    if f in joint:  # told by the joint bin, which stands side by side
+                        i = joint.index(f)
+                        beyond = np.tile(np.repeat(beyond[: widths[i]], math.prod(widths[i + 1 :])), math.prod(widths[:i]))
+                        values = number
+                kept += _parted(values, beyond, own)
             else:
                 leaves.append((node, own if line is None else line.take(own)))
         nodes, held, sums = children, kept, sums[good]
@@ -787,10 +916,12 @@ def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth:
     bins, g, h = all_bins, all_g, all_h
     if line is not None:
         held = [line.take(own) for own in held]
-    node = np.zeros(len(g), np.int64)
-    for k, own in [*leaves, *zip(nodes.tolist(), held, strict=True)]:
+    if depth == growth.depth or not len(nodes):
+        return tree, [*leaves, *zip(nodes.tolist(), held, strict=True)]
+    alive = np.concatenate(held)
+    ended, node = [], np.zeros(len(g), np.int64)
+    for k, own in zip(nodes.tolist(), held, strict=True):
         node[own] = k
-    alive = np.concatenate(held) if held else order[:0]
     for _ in range(depth, growth.depth):
         if not len(nodes):
             break
@@ -810,17 +941,18 @@ def _grown_alone(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, growth:
                 key = place + bins[f, rows]
                 part[f, :, 0] = np.bincount(key, g[rows], len(own) * WIDTH)
                 part[f, :, 1] = np.bincount(key, None if h is None else h[rows], len(own) * WIDTH)
-            found = best_splits(part.reshape(features, len(own), WIDTH, 2).transpose(1, 0, 2, 3), growth, np.broadcast_to(may, (len(own), features)))
-            good = (found["gain"] > 1e-12) & np.isfinite(found["gain"])
+            found, good = _chosen(part.reshape(features, len(own), WIDTH, 2).transpose(1, 0, 2, 3), growth, np.broadcast_to(may, (len(own), features)), twins)
             children.append(tree.split(own[good], {k: v[good] for k, v in found.items()}))
         nodes = np.concatenate(children)
         # Rows move to the children; those of leaves are done.
         f = tree.feature[node[alive]]
+        ended.append(alive[f < 0])
         alive, f = alive[f >= 0], f[f >= 0]
         here = node[alive]
         b = bins[f, alive]
         node[alive] = tree.left[here] + np.where(b == MISSING, ~tree.missing_left[here], b > tree.cut[here])
-    return tree, node[order]
+    own = np.concatenate([*ended, alive])
+    return tree, [*leaves, (node[own], own)]
 
 
 def _splits(blocks, models: list[Lane], asked: list[_Open], features: int, allowed: np.ndarray, direct: bool) -> list[dict[str, np.ndarray]]:
@@ -916,6 +1048,14 @@ class TreeModel:
     def n_trees(self) -> int:
         return len(self.starts) - 1
 
+    def first(self, trees: int) -> TreeModel:
+        """The model of the first trees, which a booster of so many trees is."""
+        own, stop = copy(self), int(self.starts[trees])
+        for name in ("feature", "left", "missing_left", "threshold", "value", "gain", "weight", "node_segment"):
+            setattr(own, name, getattr(self, name)[:stop])
+        own.starts, own.growth, own._leaf_sets, own._leaf_tables, own.left_out_r2 = self.starts[: trees + 1], replace(self.growth, trees=trees), {}, {}, {}
+        return own
+
     def leaves(self, x: np.ndarray, segment: np.ndarray, tree: int) -> np.ndarray:
         """The leaf (in the flat table) that each row reaches; ``x`` has a line for each feature."""
         node = self.starts[tree] + segment

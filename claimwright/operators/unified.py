@@ -41,7 +41,7 @@ FEATURES = [*NUMERIC, "days_to_claim", "total_special", "total_general", "total_
             "whiplash_flag", "psych_flag", "severe_total", "psych_total"]
 TOTALS = ["total_special", "total_general", "total_damages"]
 #: Rows times candidate segmentations that grow in one fit.
-SEARCH_ROWS = 1 << 24
+SEARCH_ROWS = 1 << 26
 
 
 def select_features(shares: np.ndarray, least: int = 3) -> np.ndarray:

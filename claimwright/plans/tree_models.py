@@ -110,11 +110,17 @@ GRID = {"rate": (0.05, 0.1), "depth": (3, 5), "min_child": (1.0, 3.0)}
 
 
 def grid_search(train: DataFrame, features, grid: dict, trees: tuple[int, ...], fold: str = "inner_fold", folds: int = 5) -> list[dict]:
-    """Mean R² over left-out folds of every combination, best first. All points and folds
-    grow side by side; numbers of trees are prefixes of one fit."""
+    """Mean R² over left-out folds of every combination, best first."""
+    return searched_and_fitted(train, features, grid, trees, fold, folds, refit=False)[0]
+
+
+def searched_and_fitted(train: DataFrame, features, grid: dict, trees: tuple[int, ...], fold: str = "inner_fold", folds: int = 5, refit: bool = True) -> tuple[list[dict], TreeModel | None]:
+    """The rows of ``grid_search``, and the model of the best combination on all rows. All points
+    and folds grow side by side, and so do the models on all rows: the best one grown afterwards
+    would keep one task busy. Numbers of trees are prefixes of one fit."""
     points = [dict(zip(grid, c)) for c in product(*grid.values())]
     lanes = {
-        f"{i}|{k}": Lane(mo.boosted_trees(max(trees), **c), k) for i, c in enumerate(points) for k in range(folds)
+        f"{i}|{k}": Lane(mo.boosted_trees(max(trees), **c), k) for i, c in enumerate(points) for k in [*range(folds), *([None] if refit else [])]
     }
     fitted = fit_many(train, features, lanes, fold=fold, key=KEY, marks=trees)
     rows = [
@@ -122,7 +128,9 @@ def grid_search(train: DataFrame, features, grid: dict, trees: tuple[int, ...],
         for i, c in enumerate(points)
         for n in trees
     ]
-    return sorted(rows, key=lambda r: -r["cv_r2"])
+    rows.sort(key=lambda r: -r["cv_r2"])
+    best = points.index({c: rows[0][c] for c in grid})
+    return rows, fitted[f"{best}|None"].first(rows[0]["trees"]) if refit else None
 
 
 @query("grid_search_cv")
@@ -130,10 +138,9 @@ def grid_search_cv(spark, sf_dir) -> DataFrame:
     """Mean cross-validated R² of sixteen points, and for the best one the holdout
     metrics of its refit on all training rows."""
     train, test = halves(model_frame(spark, sf_dir))
-    found = grid_search(train, FEATURES, GRID, (TREES, TUNED_TREES))
+    found, refit = searched_and_fitted(train, FEATURES, GRID, (TREES, TUNED_TREES))
     best = found[0]
-    refit = mo.boosted_trees(best["trees"], **{c: best[c] for c in GRID})
-    measured = mo.test_metrics(mo.fit_on(train, FEATURES, refit), test, "best").first()
+    measured = mo.test_metrics(refit, test, "best").first()
     rows = [
         (float(r["rate"]), float(r["depth"]), float(r["trees"]), r["min_child"], r["cv_r2"], r is best, *((measured[m] if r is best else None) for m in ("rmse", "mae", "r2")))
         for r in found

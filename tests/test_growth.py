@@ -221,3 +221,72 @@ def test_a_solver_of_many_steps_waits_for_few_tasks(spark):
     stages = [s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
     tasks = sorted(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
     assert tasks[len(tasks) // 2] == 1
+
+
+def test_boosters_that_differ_in_the_least_child_part_where_it_matters(binned):
+    bins, y = binned
+    may, growth = np.ones(len(bins), bool), bo.Growth(1, 0.3, 5)
+    twins = {1: bo.replace(growth, min_child=3.0), 2: bo.replace(growth, min_child=25_000.0)}
+    tree, leaves = bo._grown_rows(bins, y.mean() - y, None, growth, 0, may, twins=twins)
+    assert list(twins) == [1] and sorted(np.concatenate([own for _, own in leaves])) == list(range(len(y)))
+    other = bo._grown_rows(bins, y.mean() - y, None, bo.replace(growth, min_child=3.0), 0, may)[0]
+    assert all((getattr(tree, c) == getattr(other, c)).all() for c in ("feature", "cut", "left", "g", "h"))
+
+
+def test_boosters_side_by_side_with_other_least_children_are_those_of_own_fits(spark):
+    df = spark.range(0, 3000, 1, 3).selectExpr("id", "double(id % 97) AS a", "if(id % 11 = 0, NULL, double(id % 89)) AS b", "int(id % 3) AS f")
+    df = df.withColumn("y", F.col("a") * F.coalesce("b", F.lit(7.0)))
+    growths = {n: bo.Growth(6, 0.3, 4, min_child=n) for n in (1.0, 2.0, 150.0)}
+    lanes = {f"{n}|{k}": bo.Lane(g, k) for n, g in growths.items() for k in range(2)}
+    both = bo.fit_many(df, ["a", "b"], lanes, fold="f", key="id", marks=(2, 6))
+    for name, lane in lanes.items():
+        own = bo.fit_many(df, ["a", "b"], {"m": lane}, fold="f", key="id", marks=(2, 6))["m"]
+        assert np.array_equal(own.value, both[name].value) and np.array_equal(own.threshold, both[name].threshold, equal_nan=True)
+        assert own.left_out_r2 == pytest.approx(both[name].left_out_r2, abs=1e-12)
+    assert not np.array_equal(both["1.0|0"].value, both["150.0|0"].value)
+
+
+def test_rows_of_several_times_a_small_task_do_not_wait_at_every_level(spark, monkeypatch):
+    monkeypatch.setattr(bo, "LOCAL_ROWS", 20_000)
+    monkeypatch.setattr(bo, "READ_ROWS", 10_000, raising=False)
+    df = spark.range(100_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"))
+    df = df.withColumn("y", F.col("a") * F.col("b"))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(name, trees):
+        spark.sparkContext.setJobGroup(name, name)
+        bo.fit_many(df, ["a", "b"], {"m": bo.Lane(bo.Growth(trees, 0.3, 3))}, key="id")
+        n = len(tracker.getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n
+
+    assert jobs("large-two", 2) == jobs("large-six", 6)
+
+
+def test_counting_takes_some_rows_at_a_time(binned, monkeypatch):
+    """The same sums as at once, with nothing made that is as long as all rows."""
+    bins, y = binned
+    may, paired, rows = np.ones(len(bins), bool), bo._paired(bins), np.arange(0, len(y), 3, dtype=np.int32)
+    at_once = bo._paired_sums(paired, None, 1, y[rows], None, len(bins), may, rows)
+    monkeypatch.setattr(bo, "STEP_ROWS", 1000)
+    longest, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: longest.append(len(x)) or count(x, *a))
+    got = bo._paired_sums(paired, None, 1, y, None, len(bins), may, rows, True)
+    assert np.allclose(got, at_once) and max(longest) < len(rows)
+
+
+def test_the_best_point_of_a_grid_is_fitted_beside_the_folds(spark, monkeypatch):
+    from claimwright.plans import tree_models as tm
+
+    df = spark.range(0, 3000, 1, 3).selectExpr("id AS claim_id", "double(id % 97) AS a", "if(id % 11 = 0, NULL, double(id % 89)) AS b", "int(id % 5) AS inner_fold")
+    df = df.withColumn("y", F.col("a") * F.coalesce("b", F.lit(7.0)))
+    fits, fit = [], tm.fit_many
+    monkeypatch.setattr(tm, "fit_many", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    rows, model = tm.searched_and_fitted(df, ["a", "b"], {"rate": (0.1, 0.3), "depth": (2, 3)}, (3, 6))
+    assert len(fits) == 1 and rows == tm.grid_search(df, ["a", "b"], {"rate": (0.1, 0.3), "depth": (2, 3)}, (3, 6))
+    for trees in (3, 6):
+        own = fit(df, ["a", "b"], {"m": bo.Lane(mo.boosted_trees(trees, rate=rows[0]["rate"], depth=rows[0]["depth"]))}, key="claim_id")["m"]
+        got = model.first(trees) if trees < model.n_trees else model
+        if got.n_trees == trees:
+            assert np.array_equal(own.value, got.value) and own.growth == got.growth
+            assert [r[0] for r in own.transform(df).orderBy("claim_id").select("prediction").collect()] == [r[0] for r in got.transform(df).orderBy("claim_id").select("prediction").collect()]
