@@ -1035,6 +1035,7 @@ class TreeModel:
         cut = joined([t.cut for t in trees], np.int64)
         self._leaf_sets: dict[int, list] = {}
         self._leaf_tables: dict[int, tuple] = {}
+        self._walk: np.ndarray | None = None
         self.threshold = np.full(len(cut), np.nan)
         for f, own in enumerate(cuts):
             at = np.flatnonzero(self.feature == f)
@@ -1053,7 +1054,7 @@ class TreeModel:
         own, stop = copy(self), int(self.starts[trees])
         for name in ("feature", "left", "missing_left", "threshold", "value", "gain", "weight", "node_segment"):
             setattr(own, name, getattr(self, name)[:stop])
-        own.starts, own.growth, own._leaf_sets, own._leaf_tables, own.left_out_r2 = self.starts[: trees + 1], replace(self.growth, trees=trees), {}, {}, {}
+        own.starts, own.growth, own._leaf_sets, own._leaf_tables, own._walk, own.left_out_r2 = self.starts[: trees + 1], replace(self.growth, trees=trees), {}, {}, None, {}
         return own
 
     def leaves(self, x: np.ndarray, segment: np.ndarray, tree: int) -> np.ndarray:
@@ -1095,16 +1096,30 @@ class TreeModel:
         if parts is not None and len(parts) > 1:
             yield from self._of_few(parts, len(segment))
             return
+        if parts is None:
+            yield from self._of_walks(x, segment)
+            return
         for t in range(self.n_trees):
-            if parts is None:
-                yield self.value[self.leaves(x, segment, t)]
-                continue
             out = np.empty(len(segment))
             for s, rows, bins in parts:
                 sets, values = self._sets(s)[t]
                 out[rows] = values.take(_lowest(_reached(sets, bins))) if sets else values[0]
             yield out
 
+    def _of_walks(self, x: np.ndarray, segment: np.ndarray) -> Iterator[np.ndarray]:
+        """The same for trees of many leaves: rows are binned once and go down by their bins."""
+        bins = np.stack([self._binned(c, f) for f, c in enumerate(x)]).astype(np.uint8) if len(x) else np.zeros((0, len(segment)), np.uint8)
+        if self._walk is None:
+            cut = np.zeros(len(self.feature), np.uint8)
+            for f, own in enumerate(self.cuts):
+                at = np.flatnonzero(self.feature == f)
+                cut[at] = np.searchsorted(own, self.threshold[at], "left")
+            self._walk = cut
+        for t in range(self.n_trees):
+            tree, own = Tree(1), slice(int(self.starts[t]), int(self.starts[t + 1]))
+            tree.feature, tree.cut, tree.missing_left, tree.left = self.feature[own], self._walk[own], self.missing_left[own], self.left[own] - self.starts[t]
+            yield self.value[own].take(tree.place(bins, segment, self.growth.depth))
+
     def _of_few(self, parts: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> Iterator[np.ndarray]:
         """The same for rows of many segments, of which each has few: a step serves several trees
         of a segment."""
@@ -1187,7 +1202,7 @@ class TreeModel:
         return [(int(s), rows, np.ascontiguousarray(bins[:, rows])) for s in np.unique(segment) for rows in [np.flatnonzero(segment == s)]]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_leaf_sets": {}, "_leaf_tables": {}}
+        return self.__dict__ | {"_leaf_sets": {}, "_leaf_tables": {}, "_walk": None}
 
     def prediction(self) -> Column:
         """The prediction as an expression of the features (and ``segment_number``)."""

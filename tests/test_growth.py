@@ -290,3 +290,15 @@ def test_the_best_point_of_a_grid_is_fitted_beside_the_folds(spark, monkeypatch)
         if got.n_trees == trees:
             assert np.array_equal(own.value, got.value) and own.growth == got.growth
             assert [r[0] for r in own.transform(df).orderBy("claim_id").select("prediction").collect()] == [r[0] for r in got.transform(df).orderBy("claim_id").select("prediction").collect()]
+
+
+def test_trees_of_many_leaves_are_walked_by_bins(binned, monkeypatch):
+    """The same leaves as by values, missing ones and those beyond the last cut included."""
+    bins, y = binned
+    x = np.where(bins == bo.MISSING, np.nan, bins.astype(float))[:, :5000]
+    cuts, growth = [np.arange(b[b < bo.MISSING].max()).astype(float) for b in bins], bo.Growth(4, depth=9, l2=0.0, forest=True)
+    trees = [bo._grown_alone(bins, -np.cos(y / (k + 3)), np.ones(len(y)), growth, 0, np.ones(len(bins), bool))[0] for k in range(growth.trees)]
+    model, segment = bo.TreeModel([f"x{k}" for k in range(len(bins))], bo.asdict(growth), cuts, trees, np.zeros(1), None, [None]), np.zeros(5000, np.int64)
+    expected = [model.value[model.leaves(x, segment, t)] for t in range(model.n_trees)]
+    monkeypatch.setattr(bo.TreeModel, "leaves", None)
+    assert all((a == b).all() for a, b in zip(model.each_tree(x, segment), expected, strict=True))
