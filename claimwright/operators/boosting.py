@@ -15,8 +15,9 @@ carries each model's predictions; they are written to the checkpoint folder ever
 drawn by hash of key and tree, so a retried task draws the same rows.
 
 A booster waits for all tasks at every level of every tree. Where all rows of a segment that a
-model sees fit one task (``LOCAL_ROWS``), they go to one and all its trees grow there; segments
-and models are spread over the tasks. Trees of a forest do not wait for each other: one whose rows
+model sees fit one task (``WHOLE`` times ``LOCAL_ROWS``), they go to one and all its trees grow
+there; segments and models are spread over the tasks. Boosters that differ in the least weight of
+a child alone share their trees up to the first that is not the same. Trees of a forest do not wait for each other: one whose rows
 fit one task grows in a few tasks that take some trees each. In a larger one, once a node has at
 most ``LOCAL_ROWS`` rows, these go to one task, which finishes the tree below it; no group of rows
 is ever larger, and no histogram of a deep level is sent.
